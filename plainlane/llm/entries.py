@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding, transport_stream
+from . import byte_bpe, sharding, transport_stream
 
 QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op7_sharding": sharding.op7_sharding,
     "op10_transport_stream": transport_stream.op10_transport_stream,
 }
