@@ -155,10 +155,19 @@ def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, salt, np.uint64)
-    for j in range(k):
-        out += mix(words[j : j + n] ^ _GRAM[(j + salt) % 64]) * _GRAM[(j + 32 + salt) % 64]
-    return mix(out)
+    power, inverse = _powers(len(words))
+    sums = np.empty(len(words) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum((mix(words ^ _GRAM[salt % 64]) if salt else words) * power, out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * inverse[:n] + U64(salt))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files of queries that are done, whose frames nothing holds any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
