@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, minhash_dedup, sharding, substring_dedup, transport_stream
+from . import byte_bpe, decontaminate, minhash_dedup, sharding, substring_dedup, toxicity, transport_stream
 
 QUERIES = {
     "op1_minhash": minhash_dedup.op1_minhash,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op9_substring": substring_dedup.op9_substring,
     "op10_transport_stream": transport_stream.op10_transport_stream,
