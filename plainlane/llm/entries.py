@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, minhash_dedup, sharding, substring_dedup, toxicity, transport_stream
+from . import byte_bpe, decontaminate, line_dedup, minhash_dedup, sharding, substring_dedup, toxicity, transport_stream
 
 QUERIES = {
     "op1_minhash": minhash_dedup.op1_minhash,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_line_dedup": line_dedup.SQL,
     "op9_substring": substring_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op7_sharding": sharding.SQL,
