@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, minhash_dedup, sharding, substring_dedup, toxicity, transport_stream
+from . import byte_bpe, decontaminate, line_dedup, minhash_dedup, secret_scan, sharding, substring_dedup, toxicity, transport_stream
 
 QUERIES = {
     "op1_minhash": minhash_dedup.op1_minhash,
@@ -11,11 +11,13 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
+    "op8_secrets": secret_scan.op8_secrets,
     "op9_substring": substring_dedup.op9_substring,
     "op10_transport_stream": transport_stream.op10_transport_stream,
 }
 
 SQL = {
+    "op8_secrets": secret_scan.sql(),
     "op4_line_dedup": line_dedup.SQL,
     "op9_substring": substring_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
