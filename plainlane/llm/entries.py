@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, line_dedup, minhash_dedup, secret_scan, sharding, substring_dedup, toxicity, transport_stream
+import corpus_pipeline
+
+from . import byte_bpe, decontaminate, line_dedup, minhash_dedup, secret_scan, sharding, substring_dedup, token_counts, toxicity, transport_stream
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_minhash": minhash_dedup.op1_minhash,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -23,3 +27,6 @@ SQL = {
     "op5_decontaminate": decontaminate.SQL,
     "op7_sharding": sharding.SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
