@@ -1,0 +1 @@
+"""A Spark engine for controlled technical English."""
