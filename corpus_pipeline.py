@@ -15,17 +15,19 @@ from plainlane.llm._common import read_table, staged, unstage
 
 
 def _joined(docs: DataFrame, result: DataFrame, how: str = "inner") -> DataFrame:
-    """docs with the columns of result (one row for each non-null doc_id), which are named apart from theirs."""
+    """docs with the columns of result (one row for each non-null doc_id), which are named apart from theirs.
+
+    The join is a merge at every size: a small result is not broadcast, so that plans are alike on any corpus.
+    """
     own = result.where("doc_id is not null").dropDuplicates(["doc_id"])
     own = own.select(F.col("doc_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in own.columns if c != "doc_id"))
-    return docs.join(own, docs["doc_id"] == F.col("__id"), how)
+    return docs.join(own.hint("merge"), docs["doc_id"] == F.col("__id"), how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model learns from this stage's own documents and the labels."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    bad = toxicity.toxicity(docs, model).where("score >= 0.5")
-    return _joined(docs, bad, "left").where("__id is null").select(docs.columns)
+    return toxicity.with_scores(docs, model, "__score").where("__score < 0.5").select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words are benchmark passages go."""
-    hits = decontaminate.verdicts(decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))).where("contaminated").select("doc_id")
-    return _joined(docs, hits, "left").where("__id is null").select(docs.columns)
+    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

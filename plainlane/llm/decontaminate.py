@@ -253,6 +253,37 @@ def _scanner(automaton):
     return run
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns as they are; no shuffle while one automaton holds the items.
+
+    With several, a document is judged by its hits of all of them together, which meet by doc_id.
+    """
+    parts = list(_broadcast(docs.sparkSession.sparkContext, automata(benchmark, item_col, item_text_col, window)))
+    if len(parts) > 1:
+        bad = verdicts(contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window), share).where("contaminated and doc_id is not null")
+        return docs.join(bad.select(F.col("doc_id").alias(id_col)).distinct().hint("merge"), id_col, "left_anti").select(docs.columns)
+    at = docs.columns.index(text_col)
+    automaton = parts[0]
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        sa = automaton.value
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(at))
+            keep = np.ones(batch.num_rows, bool)
+            for i, j in blocks(offsets):
+                part = LOWER[data[offsets[i] : offsets[j]]]
+                starts, ends, ranges = word_bounds(part, offsets[i : j + 1] - offsets[i], ALNUM)
+                hit, found = sa.scan(part, starts, ends, ranges)
+                for row in found:
+                    n_hit = int(hit[ranges[row] : ranges[row + 1]].sum())
+                    keep[i + row] = not (n_hit and share * n_hit >= ranges[row + 1] - ranges[row])
+            yield batch if keep.all() else batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def verdicts(hits: DataFrame, share: int = SHARE) -> DataFrame:
     """Adds n_hit and contaminated (n_hit > 0 and share * n_hit >= n_words) to contamination()'s rows."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]))

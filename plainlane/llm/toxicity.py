@@ -176,7 +176,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
     """Learns from labelled texts; share is that of toxic rows among all labelled ones. One class only: a constant."""
     labels = np.asarray(labels, np.float32)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    raw, s, e, h, ranges = block_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    raw, s, e, h, ranges = _sample_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
     logit_share = float(np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4))))
     constant = Model({**gru.new_parameters(1, BUCKETS)}, np.empty(0, np.uint64), np.array([logit_share, 0, 0, 0, 0]), float(share))
     if not len(h) or labels.min() == labels.max():
@@ -218,8 +218,21 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
     return model
 
 
+def _sample_words(data: np.ndarray, offsets: np.ndarray):
+    """block_words() of many texts, block by block."""
+    parts, counts = [], [np.zeros(1, np.int64)]
+    for i, j in blocks(offsets):
+        raw, s, e, h, ranges = block_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append((raw, s + offsets[i], e + offsets[i], h))
+        counts.append(np.diff(ranges))
+    if not parts:
+        return data, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return *(np.concatenate(x) for x in zip(*parts)), np.cumsum(np.concatenate(counts))
+
+
 def _sample_logits(model, raw, s, e, h, at, of, first, owner, ranges) -> np.ndarray:
-    projected = gru.project(model.p, model.vectors(raw, s[at], e[at], h[at])[0])
+    parts = [gru.project(model.p, model.vectors(raw, s[a], e[a], h[a])[0]) for a in np.array_split(at, -(-len(at) // 20000))]
+    projected = tuple(np.concatenate(x) for x in zip(*parts))
     out = np.empty(len(first), np.float32)
     for i in range(0, len(first), CHUNK):
         index, mask = _indexed(first[i : i + CHUNK], owner[i : i + CHUNK], ranges, of)
@@ -281,6 +294,23 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
 
 
+def with_scores(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """docs with a column name of the scores: all columns pass through, no shuffle."""
+    import pyarrow as pa
+    from pyspark.sql.types import DoubleType, StructType
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches) -> Iterator:
+        for batch in batches:
+            if batch.num_rows:
+                p = score(shared.value, *column_bytes(batch.column(at)))
+                yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")))
