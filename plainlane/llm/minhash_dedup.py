@@ -5,8 +5,8 @@
 2. Classes that share a band key form buckets. Each bucket's members are checked against two of its members, the least
    and a pseudo-random one, on their full sets; the links that hold are grouped.
 3. Buckets whose members then lie in one group are done, however large. In the others, members of different groups are
-   compared by whole signatures, in blocks of bounded size, and pairs that could reach the threshold are checked on
-   their full sets. No bucket, partner or candidate is capped.
+   compared by whole signatures, in blocks of bounded size, and those with a partner that could reach the threshold are
+   compared on their full sets, block by block, so that no pair becomes a row. No bucket, partner or candidate is capped.
 
 A pair at the threshold itself is missed by all bands with probability (1 - 0.75^4)^32 = 5e-6, by the signature
 comparison with less than 1e-7; both fall fast above it.
@@ -31,6 +31,8 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Members of a block of the signature comparison, and slots (of 128, by their low bytes) that a link must agree in.
 BLOCK, AGREE = 256, 68
+#: Parts of a class where its rows are joined.
+SALT = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -109,48 +111,117 @@ def _sets(batches) -> Iterator:
             yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_long(e)))], names=["doc", "shingles"])
 
 
-def _compare(batches) -> Iterator:
-    """Pairs of different groups whose signatures agree enough, of rows sorted by block pair (bucket, i, j)."""
+def _by_key(batches, work) -> Iterator:
+    """work(table, [(first row, last row + 1), ...]) for whole groups of rows sorted by (bucket, i, j)."""
     import pyarrow as pa
 
     held: list = []
-
-    def pairs(rows: np.ndarray, doc, comp, n, sig, side) -> tuple[np.ndarray, np.ndarray]:
-        left, right = rows[side[rows] <= 1], rows[side[rows] >= 1]  # 0: block i, 1: both (i = j), 2: block j
-        out_a, out_b = [], []
-        for r in left:
-            other = right[(comp[right] != comp[r]) & (4 * np.minimum(n[right], n[r]) >= 3 * np.maximum(n[right], n[r]))]
-            if side[r] == 1:
-                other = other[other > r]
-            if len(other):
-                other = other[(sig[other] == sig[r]).sum(axis=1) >= AGREE]
-                out_a.append(np.full(len(other), doc[r]))
-                out_b.append(doc[other])
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+    names = ("bucket", "i", "j")
 
     def done(table):
-        key = np.stack([table.column(k).to_numpy() for k in ("bucket", "i", "j")])
-        doc, comp, n, side = (table.column(k).to_numpy() for k in ("doc", "comp", "n", "side"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(doc), SLOTS)
-        cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(doc)]))
-        found = [pairs(np.arange(a, b), doc, comp, n, sig, side) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 and (comp[a:b] != comp[a]).any()]
-        if not found:
-            return None
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        key = np.stack([table.column(k).to_numpy() for k in names])
+        cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+        return work(table, list(zip(cuts[:-1].tolist(), cuts[1:].tolist())))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([*held, batch]).combine_chunks()
-        key = [table.column(k).to_numpy() for k in ("bucket", "i", "j")]
-        same = np.logical_and.reduce([k == k[-1] for k in key])
+        same = np.logical_and.reduce([(x := table.column(k).to_numpy()) == x[-1] for k in names])
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut and (out := done(table.slice(0, cut))) is not None:
-            yield out
+        if cut:
+            yield from done(table.slice(0, cut).combine_chunks())
         held = table.slice(cut).to_batches()
-    if held and (out := done(pa.Table.from_batches(held).combine_chunks())) is not None:
-        yield out
+    if held:
+        yield from done(pa.Table.from_batches(held).combine_chunks())
+
+
+def _fits(n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, twice: bool) -> np.ndarray:
+    """Which of left x right are of different groups and of sizes that allow a link; twice: both are the same rows."""
+    a, b = n[left][:, None], n[right][None, :]
+    ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+    return np.triu(ok, 1) if twice else ok
+
+
+def _sides(side: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows of block i and of block j (side 0 and 2), or twice those of one block (side 1)."""
+    rows = np.arange(a, b)
+    if side[a] == 1:
+        return rows, rows, True
+    return rows[side[a:b] == 0], rows[side[a:b] == 2], False
+
+
+def _compare(batches) -> Iterator:
+    """The rows (bucket, i, j, side, doc, comp) with a partner of another group whose signature agrees enough."""
+
+    def work(table, groups):
+        comp, n, side = (table.column(k).to_numpy() for k in ("comp", "n", "side"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(n), SLOTS)
+        keep = np.zeros(len(n), bool)
+        for a, b in groups:
+            if b - a < 2 or (comp[a:b] == comp[a]).all():
+                continue
+            left, right, twice = _sides(side, a, b)
+            ok = _fits(n, comp, left, right, twice)
+            for k in np.flatnonzero(ok.any(axis=1)):
+                other = right[ok[k]]
+                other = other[(sig[other] == sig[left[k]]).sum(axis=1) >= AGREE]
+                keep[other] = True
+                keep[left[k]] |= len(other) > 0
+        if keep.any():
+            yield from table.select(["bucket", "i", "j", "side", "doc", "comp"]).take(np.flatnonzero(keep)).to_batches()
+
+    return _by_key(batches, work)
+
+
+def _verify(batches) -> Iterator:
+    """Links (a, b) of different groups among the rows of each block pair, on their full sets; of the links of a document
+    to one other group, which is connected already, the first stands for all."""
+    import pyarrow as pa
+
+    def work(table, groups):
+        doc, comp, side = (table.column(k).to_numpy() for k in ("doc", "comp", "side"))
+        lists = table.column("shingles").chunk(0) if table.column("shingles").num_chunks else None
+        at, e = lists.offsets.to_numpy(), lists.values.to_numpy()
+        n = np.diff(at)
+        out_a, out_b = [], []
+        for a, b in groups:
+            left, right, twice = _sides(side, a, b)
+            if not len(left) or not len(right):
+                continue
+            ok = _fits(n, comp, left, right, twice)
+            if not ok.any():
+                continue
+            common = _common_counts(e, at, a, b)[np.ix_(left - a, right - a)]
+            ok &= 100 * common >= PERCENT * (n[left][:, None] + n[right][None, :] - common)
+            for k in np.flatnonzero(ok.any(axis=1)):
+                other = right[ok[k]]
+                other = other[np.unique(comp[other], return_index=True)[1]]
+                out_a.append(np.full(len(other), doc[left[k]]))
+                out_b.append(doc[other])
+        if out_a:
+            x, y = np.concatenate(out_a), np.concatenate(out_b)
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return _by_key(batches, work)
+
+
+def _common_counts(e: np.ndarray, at: np.ndarray, a: int, b: int, columns: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets a .. b - 1 share, by products of their 0/1 rows over ranges of elements."""
+    own = e[at[a] : at[b]]
+    _, number, count = np.unique(own, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))
+    shared = count[number] > 1
+    number, row = (np.cumsum(count > 1) - 1)[number[shared]], row[shared]
+    order = np.argsort(number, kind="stable")
+    number, row = number[order], row[order]
+    out = np.zeros((b - a, b - a), np.int64)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        i, j = np.searchsorted(number, (lo, lo + columns))
+        x = np.zeros((b - a, columns), np.float32)
+        x[row[i:j], number[i:j] - lo] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = signed.where("n > 0 and doc_id is not null")
     digest = ["n", "d1", "d2"]
     classes = keyed.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    members = keyed.join(classes, digest).where("doc_id = rep")
+    members = keyed.join(classes.withColumn("doc_id", F.col("rep")), ["doc_id", *digest])
     entries = members.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "n")
     hubs = entries.groupBy("bucket").agg(
         F.min(F.struct("doc", "n")).alias("first"),
@@ -210,13 +281,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc", "comp", "n", "sig",
         F.when(F.col("block") == F.col("k"), 1).when(F.col("block") < F.col("k"), 0).otherwise(2).alias("side"),
     )
-    more = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare, "a long, b long").distinct()
-    more = more.join(tested, ["a", "b"], "left_anti")
-    links2 = staged(_links(more, sets), "links")
+    key = ["bucket", "i", "j"]
+    near = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "bucket long, i int, j int, side int, doc long, comp long")
+    full = near.join(sets, "doc").select(*key, "side", "doc", "comp", "shingles")
+    links2 = staged(full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify, "a long, b long").distinct(), "links")
     whole = _graph.components(links.union(links2))
 
     roots = classes.join(whole, classes["rep"] == whole["node"], "left").select(*digest, F.coalesce("root", "rep").alias("component"))
-    out = signed.join(roots, digest, "left")
+    # a class may hold a large part of all rows: its rows are dealt to SALT parts
+    parts = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(parts, [*digest, "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     unstage(buckets, sets, tested, labelled)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
