@@ -16,12 +16,19 @@ def plain_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[\\p{IsWhite_Space}]+"), lambda w: w.rlike("[\\p{IsAlphabetic}\\p{N}]")))
 
 
-def canonical(groups: Column) -> Column:
-    """Groups by (start, longest first, rank), one for each span."""
+def ordered(groups: Column) -> Column:
+    """Groups by (start, longest first, rank)."""
     rank = F.create_map(*[x for k, v in RANKS.items() for x in (F.lit(k), F.lit(v))])
     keyed = F.transform(F.filter(groups, lambda g: g["start"] < g["end"]), lambda g: F.struct(g["cs"].alias("cs"), (-g["ce"]).alias("neg"), F.coalesce(rank[g["kind"]], F.lit(9)).alias("rank"), g["ce"].alias("ce"), g["kind"].alias("kind")))
-    ordered = F.array_sort(keyed)
-    return F.filter(ordered, lambda g: ~F.exists(ordered, lambda h: (h["cs"] == g["cs"]) & (h["ce"] == g["ce"]) & (h["rank"] < g["rank"])))
+    return F.array_sort(keyed)
+
+
+def canonical(rows: DataFrame, groups: Column, name: str) -> DataFrame:
+    """rows with a column name: the ordered groups, the first one of each span."""
+    rows = rows.withColumn("_ordered", ordered(groups))
+    before = lambda i: F.get(F.col("_ordered"), i - 1)
+    first = F.filter("_ordered", lambda g, i: (i == 0) | (before(i)["cs"] != g["cs"]) | (before(i)["ce"] != g["ce"]))
+    return rows.withColumn(name, first).drop("_ordered")
 
 
 def unit_words(unit: Column, groups: Column) -> Column:
@@ -48,6 +55,6 @@ def counted_units(scanned: DataFrame, extra: DataFrame | None = None) -> DataFra
     if extra is not None:
         rows = rows.join(extra.select("doc_id", F.col("groups").alias("more")), "doc_id", "left")
         groups = F.concat(groups, F.coalesce(F.col("more"), F.array().cast(_EMPTY)))
-    rows = rows.withColumn("all_groups", canonical(groups)).select("doc_id", "mode", "all_groups", F.explode("units").alias("u"))
+    rows = canonical(rows, groups, "all_groups").select("doc_id", "mode", "all_groups", F.explode("units").alias("u"))
     limit = F.when(F.col("u.kind") == "note", LIMITS["note"]).when(F.col("mode") == "procedural", LIMITS["procedural"]).otherwise(LIMITS["descriptive"])
     return rows.select("doc_id", "mode", "u.kind", "u.start", "u.end", unit_words(F.col("u"), F.col("all_groups")).alias("words"), limit.alias("limit"))
