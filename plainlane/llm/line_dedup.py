@@ -6,7 +6,7 @@ tokens that stand at their place in at least MIN_DOCS documents' lines are const
 a line with the fields blanked is its template. Templates of mostly constant tokens that recur in at least MIN_DOCS
 documents are dropped from all of them but the first (least doc_id), so content is lost nowhere. Counting is by
 aggregates that combine before they shuffle, so no leaf, template or line has to fit one task, and the result does not
-depend on order, as that of a tree grown line by line would.
+depend on order, as that of a tree grown line by line would. Texts meet their line numbers in merge joins at every size.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = mine.groupBy("leaf", "line").agg(F.sum(F.col("new_line").cast("long")).alias("docs"), F.min(F.struct("doc_id", "number")).alias("at"))
     kinds = staged(kinds, "kinds")
     wanted = kinds.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.number")).alias("numbers"))
-    tokens = texts.join(wanted, "doc_id").select("text", "numbers").mapInArrow(_tokens, "leaf long, line long, tokens array<long>").dropDuplicates(["leaf", "line"])
+    tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(_tokens, "leaf long, line long, tokens array<long>").dropDuplicates(["leaf", "line"])
     tokens = staged(tokens.join(kinds.select("leaf", "line", "docs"), ["leaf", "line"]), "tokens")
     places = tokens.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
@@ -178,7 +178,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if n:
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=[x.split()[0] for x in CLEANED.split(", ")])
 
-    return texts.join(lost, "doc_id", "left").select("doc_id", "text", "numbers").mapInArrow(run, CLEANED)
+    return texts.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "text", "numbers").mapInArrow(run, CLEANED)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
