@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import diagnostics
+from ..schema import diagnose, diagnostics
 from . import counting, matching
 
 # Closed word classes and word lists of the rules.
@@ -80,10 +80,14 @@ def lists(x: Inputs) -> DataFrame:
     wrong = syntax.where(~F.col("text").rlike("[,;]$"))
     return _union([
         diagnostics(heads, "lists", "STE-LIST-001", "error", "Introduce the list with a colon."),
-        diagnostics(items.where((first != "") & (F.lower(first) == first) & (F.upper(first) != first)), "lists", "STE-LIST-002", "error", "Start the item with a capital letter."),
-        diagnostics(items.where(F.col("text").rlike("[,;]$")), "lists", "STE-LIST-003", "error", "Do not end the item with a comma or semicolon."),
-        diagnostics(wrong.where(F.col("sentence") & ~period | (~F.col("sentence") & ~F.col("maybe") & period)), "lists", "STE-LIST-004", "error", "End sentences, and only them, with a period."),
-        diagnostics(wrong.where(~F.col("sentence") & F.col("maybe")), "lists", "STE-LIST-004", "blocked", "It is not clear whether the item is a sentence."),
+        diagnose(items, "lists", [
+            ((first != "") & (F.lower(first) == first) & (F.upper(first) != first), "STE-LIST-002", "error", "Start the item with a capital letter."),
+            (F.col("text").rlike("[,;]$"), "STE-LIST-003", "error", "Do not end the item with a comma or semicolon."),
+        ]),
+        diagnose(wrong, "lists", [
+            (F.col("sentence") & ~period | (~F.col("sentence") & ~F.col("maybe") & period), "STE-LIST-004", "error", "End sentences, and only them, with a period."),
+            (~F.col("sentence") & F.col("maybe"), "STE-LIST-004", "blocked", "It is not clear whether the item is a sentence."),
+        ]),
     ])
 
 
@@ -106,10 +110,10 @@ def _unit_words(x: Inputs, kinds: list[str], mode: str | None = "procedural") ->
 def notes(x: Inputs) -> DataFrame:
     rows = _opening(_unit_words(x, ["note"]), x).where("base_verbs > 0")
     sure = F.col("other_approved") == 0
-    return _union([
-        diagnostics(rows.where(sure), "notes", "STE-NOTE-001", "error", "Do not give instructions in a note.", F.to_json(F.struct("form"))),
-        diagnostics(rows.where(~sure), "notes", "STE-NOTE-002", "blocked", "The note may give an instruction.", F.to_json(F.struct("form"))),
-    ])
+    return diagnose(rows, "notes", [
+        (sure, "STE-NOTE-001", "error", "Do not give instructions in a note."),
+        (~sure, "STE-NOTE-002", "blocked", "The note may give an instruction."),
+    ], F.to_json(F.struct("form")))
 
 
 def paragraph(x: Inputs) -> DataFrame:
@@ -127,24 +131,25 @@ def paragraph(x: Inputs) -> DataFrame:
     return _union(out)
 
 
+def _verbal(x: Inputs) -> DataFrame:
+    """Words after an auxiliary and white space, with their candidates and, for progressive forms, their verb."""
+    k = _known(x).where(F.col("p1").isin(*HAVE, *BE) & F.col("gap").rlike("^\\s+$"))
+    return k.join(x.ings.select(F.col("form").alias("w"), F.col("base"), F.col("n_approved").alias("ing_ok")), "w", "left")
+
+
 def verb_constructions(x: Inputs) -> DataFrame:
-    k = _known(x).where(F.col("gap").rlike("^\\s+$"))
     clear = (F.col("other_approved") == 0) & (F.col("n_unapproved") == 0)
-    have = k.where(F.col("p1").isin(*HAVE) & (F.col("participles") > 0))
-    be = k.where(F.col("p1").isin(*BE) & (F.col("participles") > 0))
-    adjective = F.col("adjectives") > 0
-    ing = k.drop("n_approved").join(x.ings.withColumnRenamed("form", "w").withColumnRenamed("n_approved", "ing_ok"), "w").where(F.col("p1").isin(*BE) & (F.col("ing_ok") > 0))
-    other = F.coalesce(F.col("nominals"), F.lit(0)) > 0
-    ev = F.to_json(F.struct(F.col("p1").alias("auxiliary"), F.col("w").alias("form")))
-    at = lambda rows, code, sev, msg: diagnostics(rows, "verb_constructions", code, sev, msg, ev, start="p_start")
-    out = [
-        at(have.where(clear), "STE-VERB-001", "error", "Do not use perfect tenses."),
-        at(have.where(~clear), "STE-VERB-002", "blocked", "The tense may be a perfect one."),
-        at(be.where(~adjective), "STE-VERB-003", "error", "Do not use the passive voice."),
-        at(be.where(adjective), "STE-VERB-004", "blocked", "The participle may be an adjective."),
-        at(ing.where(~other), "STE-VERB-005", "error", "Do not use progressive tenses."),
-        at(ing.where(other), "STE-VERB-006", "blocked", "The form may be a noun or adjective."),
-    ]
+    have, be = F.col("p1").isin(*HAVE) & (F.col("participles") > 0), F.col("p1").isin(*BE) & (F.col("participles") > 0)
+    adjective, other = F.col("adjectives") > 0, F.coalesce(F.col("nominals"), F.lit(0)) > 0
+    ing = F.col("p1").isin(*BE) & (F.col("ing_ok") > 0)
+    out = [diagnose(_verbal(x), "verb_constructions", [
+        (have & clear, "STE-VERB-001", "error", "Do not use perfect tenses."),
+        (have & ~clear, "STE-VERB-002", "blocked", "The tense may be a perfect one."),
+        (be & ~adjective, "STE-VERB-003", "error", "Do not use the passive voice."),
+        (be & adjective, "STE-VERB-004", "blocked", "The participle may be an adjective."),
+        (ing & ~other, "STE-VERB-005", "error", "Do not use progressive tenses."),
+        (ing & other, "STE-VERB-006", "blocked", "The form may be a noun or adjective."),
+    ], F.to_json(F.struct(F.col("p1").alias("auxiliary"), F.col("w").alias("form"))), start="p_start")]
     if x.evidence is not None:
         e = x.evidence.where("pos = 'verb'").select("doc_id", "start", "end").distinct()
         free = matching.word_rows(x.scanned).where(F.col("w").endswith("ing") & ~F.coalesce(F.col("p1").isin(*BE), F.lit(False))).join(e, ["doc_id", "start", "end"])
@@ -168,13 +173,13 @@ def nominal_runs(x: Inputs) -> DataFrame:
 
 
 def grammar(x: Inputs) -> DataFrame:
-    k = _known(x).where(F.col("gap").rlike("^\\s+$"))
-    ing = k.join(x.ings.select(F.col("form").alias("w"), "base"), "w").where(F.col("p1").isin(*BE) & (F.coalesce(F.col("nominals"), F.lit(0)) == 0))
-    passive = k.where("mode = 'procedural'").where(F.col("p1").isin(*BE) & (F.col("participles") > 0) & (F.col("adjectives") == 0))
+    be = F.col("p1").isin(*BE)
     return _union([
         diagnostics(nominal_runs(x).where("n > 3"), "grammar", "STE-NOUN-001", "error", "Use no more than three words in a noun.", F.to_json(F.struct("n"))),
-        diagnostics(ing, "grammar", "STE-GRAM-002", "error", "Do not use progressive tenses.", start="p_start"),
-        diagnostics(passive, "grammar", "STE-GRAM-003", "error", "Use the active voice in procedures.", start="p_start"),
+        diagnose(_verbal(x), "grammar", [
+            (be & F.col("base").isNotNull() & (F.coalesce(F.col("nominals"), F.lit(0)) == 0), "STE-GRAM-002", "error", "Do not use progressive tenses."),
+            ((F.col("mode") == "procedural") & be & (F.col("participles") > 0) & (F.col("adjectives") == 0), "STE-GRAM-003", "error", "Use the active voice in procedures."),
+        ], start="p_start"),
     ])
 
 
@@ -216,10 +221,10 @@ def technical_roles(x: Inputs) -> DataFrame:
     k = matching.word_rows(x.scanned).join(m, "w")
     nominal = F.coalesce(F.col("p1").isin(*DETERMINERS) & ~F.col("first"), F.lit(False))
     verbal = (F.col("mode") == "procedural") & F.col("first") & F.coalesce(F.col("n1").isin(*DETERMINERS), F.lit(False)) & ~nominal
-    return _union([
-        diagnostics(k.where(F.col("noun") & ~F.col("verb") & verbal), "technical_roles", "STE-TERM-003", "error", "Do not use a technical noun as a verb.", F.to_json(F.struct("w"))),
-        diagnostics(k.where(F.col("verb") & ~F.col("noun") & nominal), "technical_roles", "STE-TERM-004", "error", "Do not use a technical verb as a noun.", F.to_json(F.struct("w"))),
-    ])
+    return diagnose(k, "technical_roles", [
+        (F.col("noun") & ~F.col("verb") & verbal, "STE-TERM-003", "error", "Do not use a technical noun as a verb."),
+        (F.col("verb") & ~F.col("noun") & nominal, "STE-TERM-004", "error", "Do not use a technical verb as a noun."),
+    ], F.to_json(F.struct("w")))
 
 
 def dictionary_forms(x: Inputs) -> DataFrame:
@@ -255,16 +260,18 @@ def procedural(x: Inputs) -> DataFrame:
     out = [
         diagnostics(acts.where("actions > 1 and i = 0"), "procedural", "STE-PROC-003", "error", "Write one instruction in a sentence.", F.to_json(F.struct("actions"))),
         diagnostics(u.where(opener & ~F.col("text").contains(",")), "procedural", "STE-PROC-002", "error", "Put a comma after the condition."),
-        diagnostics(head.where(known & ~imperative & (F.col("n_approved") > 0)), "procedural", "STE-PROC-001", "error", "Start the instruction with a command.", F.to_json(F.struct("form"))),
-        diagnostics(head.where(imperative & (F.col("other_approved") > 0)), "procedural", "STE-PROC-004", "blocked", "The first word may be no command.", F.to_json(F.struct("form"))),
+        diagnose(head, "procedural", [
+            (known & ~imperative & (F.col("n_approved") > 0), "STE-PROC-001", "error", "Start the instruction with a command."),
+            (imperative & (F.col("other_approved") > 0), "STE-PROC-004", "blocked", "The first word may be no command."),
+        ], F.to_json(F.struct("form"))),
     ]
     s = x.scanned.select("doc_id", F.explode("safety").alias("s")).select("doc_id", "s.level", "s.start", "s.end", F.filter(F.split(F.lower("s.text"), "[^\\p{IsAlphabetic}\\p{N}']+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
     o = _opening(s.where(~F.get("words", F.lit(0)).isin(*OPENERS)), x)
     ok = F.coalesce(F.col("base_verbs"), F.lit(0)) > 0
-    out += [
-        diagnostics(o.where(~ok), "procedural", "STE-SAFE-001", "error", "Start with a command or a condition.", F.to_json(F.struct("form"))),
-        diagnostics(o.where(ok & (F.col("other_approved") > 0)), "procedural", "STE-SAFE-002", "blocked", "The opening may be no command.", F.to_json(F.struct("form"))),
-    ]
+    out.append(diagnose(o, "procedural", [
+        (~ok, "STE-SAFE-001", "error", "Start with a command or a condition."),
+        (ok & (F.col("other_approved") > 0), "STE-SAFE-002", "blocked", "The opening may be no command."),
+    ], F.to_json(F.struct("form"))))
     if x.safety_facts is not None:
         f = x.safety_facts.select("doc_id", F.col("start").alias("fs"), F.col("end").alias("fe"), F.lower("safety_level").alias("fact"))
         both = s.join(f, "doc_id").where("fs < end and start < fe").groupBy("doc_id", "start", "end", "level").agg(F.collect_set("fact").alias("facts"))
@@ -290,16 +297,13 @@ def contextual(x: Inputs) -> DataFrame:
         ("phrasal_verb", "STE-PHRASE-001", F.col("phrasal_verb") & part.rlike("\\S\\s+\\S"), "Do not use phrasal verbs."),
         ("parenthesis_use", "STE-PUNC-003", F.col("parenthesis_use") == "other", "Use parentheses only as the rules permit."),
     ]
-    good = o.where("not bad")
-    out = [diagnostics(o.where("bad"), "contextual", "STE-CTX-000", "blocked", "The fact does not fit the text.")]
-    out += [diagnostics(good.where(F.coalesce(test, F.lit(False))), "contextual", code, "error", msg, F.to_json(F.struct(part.alias("text")))) for name, code, test, msg in tests if name in have]
-    return _union(out)
+    good = [(~F.col("bad") & test, code, "error", msg) for name, code, test, msg in tests if name in have]
+    return diagnose(o, "contextual", [(F.col("bad"), "STE-CTX-000", "blocked", "The fact does not fit the text."), *good], F.when(~F.col("bad"), F.to_json(F.struct(part.alias("text")))))
 
 
 def lexical(x: Inputs) -> DataFrame:
     """Dictionary and glossary status of words and phrases: longest first, the glossary before the dictionary."""
-    words = F.transform("lexical", lambda t: F.struct(t["idx"].alias("idx"), t["start"].alias("start"), t["end"].alias("end"), t["text"].alias("text"), t["machine"].alias("machine")))
-    s = x.scanned.select("doc_id", "mode", words.alias("lexical"))
+    s = x.scanned.select("doc_id", "mode", "lexical")
     ph = matching.phrases(s, x.widths, "lexical")
     d = x.forms.select(F.col("form").alias("phrase"), F.lit(1).alias("source"), "n_approved", "n_unapproved", "instead", F.lit(None).cast("string").alias("status"), F.lit(None).cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("replacement"))
     if x.identities is not None:
@@ -314,12 +318,13 @@ def lexical(x: Inputs) -> DataFrame:
     rows = single.select(cols).unionByName(many.select(cols))
     ev = F.to_json(F.struct("phrase", "instead", "replacement"))
     noun = F.array_contains("roles", "noun")
-    return _union([
-        diagnostics(rows.where("source = 1 and n_approved = 0"), "lexical", "STE-LEX-001", "error", "Use an approved word.", ev),
-        diagnostics(rows.where("source = 1 and n_approved > 0 and n_unapproved > 0"), "lexical", "STE-LEX-002", "blocked", "The word is approved only in some uses.", ev),
-        diagnostics(rows.where("source is null"), "lexical", "STE-TERM-001", "blocked", "The word is in neither source.", ev),
-        diagnostics(rows.where("source = 0 and status = 'deprecated'"), "lexical", "STE-TERM-002", "error", "Do not use a deprecated term.", ev, rules=F.when(noun, F.array(F.lit("1.8"))).otherwise(F.array().cast("array<string>"))),
-    ])
+    word = F.col("source") == 1
+    return diagnose(rows, "lexical", [
+        (word & (F.col("n_approved") == 0), "STE-LEX-001", "error", "Use an approved word."),
+        (word & (F.col("n_approved") > 0) & (F.col("n_unapproved") > 0), "STE-LEX-002", "blocked", "The word is approved only in some uses."),
+        (F.col("source").isNull(), "STE-TERM-001", "blocked", "The word is in neither source."),
+        ((F.col("source") == 0) & (F.col("status") == "deprecated"), "STE-TERM-002", "error", "Do not use a deprecated term."),
+    ], ev, rules=F.when(F.col("source") == 0, F.when(noun, F.array(F.lit("1.8"))).otherwise(F.array().cast("array<string>"))))
 
 
 def _none(x: Inputs) -> DataFrame:

@@ -30,7 +30,7 @@ RULES = {
 }
 
 
-def diagnostics(rows: DataFrame, family: str, code: str | Column, severity: str | Column, message: str, evidence: Column | None = None, start: str | Column = "start", end: str | Column = "end", rules: Column | None = None) -> DataFrame:
+def diagnostics(rows: DataFrame, family: str, code: str | Column, severity: str | Column, message: str, evidence: Column | None = None, start: str | Column = "start", end: str | Column = "end", rules: Column | None = None, text: Column | None = None) -> DataFrame:
     """rows (doc_id, start, end, ...) as diagnostics of one rule family."""
     col = lambda x: F.col(x) if isinstance(x, str) else x
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
@@ -40,11 +40,21 @@ def diagnostics(rows: DataFrame, family: str, code: str | Column, severity: str
         rules = table[code]
     return rows.select(
         "doc_id", code.alias("code"), lit(severity).alias("severity"), col(start).cast("long").alias("start"), col(end).cast("long").alias("end"),
-        rules.alias("rules"), F.lit(message).alias("message"), (evidence if evidence is not None else F.lit(None).cast("string")).alias("evidence"),
+        rules.alias("rules"), (F.lit(message) if text is None else text).alias("message"), (evidence if evidence is not None else F.lit(None).cast("string")).alias("evidence"),
         F.lit(PASSES.index(family)).alias("pass_no"), col(start).cast("long").alias("seq"),
     )
 
 
+def diagnose(rows: DataFrame, family: str, tests: list[tuple[Column, str, str, str]], evidence: Column | None = None, start: str = "start", end: str = "end", rules: Column | None = None) -> DataFrame:
+    """Diagnostics of all tests (condition, code, severity, message) in one pass over rows; a null condition is false."""
+    hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(msg).alias("message"))) for c, code, sev, msg in tests]), lambda h: h.isNotNull())
+    kept = rows.select("doc_id", F.col(start).alias("start"), F.col(end).alias("end"), hits.alias("_hits"), (evidence if evidence is not None else F.lit(None).cast("string")).alias("_evidence"), (rules if rules is not None else F.lit(None).cast("array<string>")).alias("_rules"))
+    flat = kept.where(F.size("_hits") > 0).withColumn("_h", F.explode("_hits"))
+    table = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    out = diagnostics(flat, family, F.col("_h.code"), F.col("_h.severity"), "", F.col("_evidence"), rules=F.coalesce(F.col("_rules"), table[F.col("_h.code")]), text=F.col("_h.message"))
+    return out
+
+
 def classify(diags: DataFrame) -> DataFrame:
     """(doc_id, outcome, n_errors, n_blocked): error over blocked."""
     counts = diags.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "blocked").alias("n_blocked"))
