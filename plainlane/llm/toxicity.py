@@ -27,6 +27,8 @@ GRAMS, BUCKETS = (3, 5, 7), 1 << 14
 #: A word has its own vector if so many documents of the sample have it.
 WORD_DOCS = 8
 ROUNDS, TOP, BATCH = 5, 2, 256
+#: Batches of a round at least: small samples are gone through more than once.
+STEPS = 30
 FOLDS = 5
 #: Windows scored at once, by a worker.
 CHUNK = 1024
@@ -198,8 +200,9 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
             order = np.lexsort((-x, owner))
             rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
             chosen = r.permutation(order[rank < np.where(y[order] > 0, TOP, TOP + 2)])
-        for i in range(0, len(chosen), BATCH):
-            rows = chosen[i : i + BATCH]
+        batches = -(-len(chosen) // BATCH)
+        passes = [r.permutation(chosen) for _ in range(-(-STEPS // batches))]
+        for rows in (p_[i : i + BATCH] for p_ in passes for i in range(0, len(p_), BATCH)):
             index, mask = _indexed(first[rows], owner[rows], ranges, of)
             own, local = np.unique(index, return_inverse=True)
             a = at[own]
