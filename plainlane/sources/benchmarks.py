@@ -27,7 +27,7 @@ def is_digest(c) -> Column:
 
 def is_date(c) -> Column:
     """An existing day as YYYY-MM-DD."""
-    d = F.try_to_date(F.col(c), F.lit("yyyy-MM-dd"))
+    d = F.try_to_date(F.col(c), "yyyy-MM-dd")
     return F.coalesce(F.col(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & d.isNotNull() & (F.date_format(d, "yyyy-MM-dd") == F.col(c)), F.lit(False))
 
 

@@ -76,7 +76,7 @@ def status_counts(table: DataFrame) -> DataFrame:
 
 def problems(table: DataFrame) -> DataFrame:
     """(rule, problem): repeated rules or keys, unknown statuses, statuses that do not fit their codes."""
-    twice = lambda c, p: table.groupBy(c).agg(F.count(F.lit(1)).alias("n"), F.min("rule").alias("rule")).where("n > 1").select("rule", F.lit(p).alias("problem"))
+    twice = lambda c, p: table.groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("rule").alias("first")).where("n > 1").select(F.col("first").alias("rule"), F.lit(p).alias("problem"))
     bad = [
         table.where(~F.col("status").isin(*STATUSES)).select("rule", F.lit("unknown status").alias("problem")),
         table.where(F.col("status").isin("implemented", "partial") & (F.size("codes") == 0)).select("rule", F.lit("no codes").alias("problem")),
