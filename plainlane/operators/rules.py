@@ -205,7 +205,9 @@ def discourse(x: Inputs) -> DataFrame:
     """Facts that one place must come before another, against where both are. Facts that match no node are left alone."""
     if x.orderings is None:
         return _none(x)
-    flat = x.scanned.where("mode = 'descriptive'").select("doc_id", F.explode(F.concat(*[F.transform(f, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for f, k in (("paragraphs", "paragraph"), ("units", "sentence"), ("headings", "heading"), ("items", "item"))])).alias("n")).select("doc_id", "n.*").distinct()
+    from .graph import nodes
+
+    flat = nodes(x.scanned.where("mode = 'descriptive'")).select("doc_id", "kind", "start", "end").distinct()
     o = x.orderings.select("doc_id", "before", "after")
     for side in ("before", "after"):
         n = flat.select("doc_id", F.struct("kind", "start", "end").alias(side))
