@@ -37,6 +37,7 @@ _SAFETY = re.compile(r"\s*(?P<level>warning|caution)\s*:", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _RUN = re.compile(r"(?:[^\W\d_]|['’-])+")
 _NONSPACE = re.compile(r"\S+")
+_MARK = re.compile(r"[\"“”().?!:]")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "_/\\-")
 _MACHINE = re.compile(r"[_/\\.\-0-9]")
 
@@ -193,7 +194,7 @@ def _ends_sentence(text: str, i: int, b: int) -> bool:
 
 def sentences(text: str, a: int, b: int, protected: list[tuple[int, int]], colon: bool = False) -> list[tuple[int, int]]:
     """Sentence spans of text[a:b]. Quotes and parentheses hold boundaries back until they close."""
-    out, start, i = [], a, a
+    out, start = [], a
     depth, quote = 0, ""
     code = iter([p for p in protected if p[1] > a and p[0] < b])
     nxt = next(code, None)
@@ -207,13 +208,12 @@ def sentences(text: str, a: int, b: int, protected: list[tuple[int, int]], colon
             out.append((s, end))
         start = end
 
-    while i < b:
+    for m in _MARK.finditer(text, a, b):
+        i, ch = m.start(), m[0]
         while nxt and i >= nxt[1]:
             nxt = next(code, None)
         if nxt and i >= nxt[0]:
-            i = min(nxt[1], b)
             continue
-        ch = text[i]
         if ch == '"' and quote in ("", '"'):
             quote = "" if quote else '"'
         elif ch == "“" and not quote:
@@ -226,7 +226,6 @@ def sentences(text: str, a: int, b: int, protected: list[tuple[int, int]], colon
             depth -= 1
         elif not quote and not depth and (ch in "?!" or (ch == "." and _ends_sentence(text, i, b)) or (colon and ch == ":" and not text[i + 1 : b].strip())):
             put(i + 1)
-        i += 1
     put(b)
     return out
 
