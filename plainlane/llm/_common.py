@@ -49,6 +49,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: bounds what a worker and its executor hold of whole texts at once.
+BATCH_ROWS = 1000
+
+
+def _tidy() -> None:
+    """Gives a worker's free memory back to the system; workers live on and serve other operators."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidied(work):
+    """work for mapInArrow, with batches of BATCH_ROWS rows and the worker's memory tidied up after each task."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        yield from work(batches)
+        _tidy()
+
+    return run
+
+
 # ---------------------------------------------------------------- bytes and words
 
 

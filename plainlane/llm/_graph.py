@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged, unstage
+from ._common import staged, tidied, unstage
 
 
 def _union_find(batches) -> Iterator:
@@ -46,7 +46,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     Each round is written to the shared folder; rounds end when nothing changes, after about the logarithm of the
     longest way. The driver sees two numbers a round.
     """
-    now = staged(links.select("a", "b").mapInArrow(_union_find, "a long, b long"), label)
+    now = staged(links.select("a", "b").mapInArrow(tidied(_union_find), "a long, b long"), label)
     seen = None
     while True:
         new = staged(_stars(now), label)

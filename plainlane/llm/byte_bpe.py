@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, column_bytes, read_table
+from ._common import blocks, column_bytes, read_table, tidied
 
 # symbols
 LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, SPACE_IN, SPACE_LAST, GAP_LAST = range(8)
@@ -36,7 +36,7 @@ BLOCK_CHARS = 1 << 20
 #: Steps of a block of the scan.
 LANE = 256
 #: The cache of merged pieces is emptied at this size, and holds pieces up to this length.
-CACHE_PIECES, CACHE_BYTES = 1 << 19, 128
+CACHE_PIECES, CACHE_BYTES = 1 << 18, 128
 
 
 def _transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 )
 
     schema = "doc_id long, n_tokens long, ids array<int>, piece_ends array<int>, piece_tokens array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", rank_file: str | None = None) -> DataFrame:
@@ -268,7 +268,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", rank_file: str | None = N
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([vocab.decode(x or ()) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, content binary")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids").mapInArrow(tidied(run), "doc_id long, content binary")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_pieces long"
@@ -293,7 +293,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=[x.split()[0] for x in DIGESTS.split(", ")],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGESTS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), DIGESTS)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

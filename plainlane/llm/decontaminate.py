@@ -16,7 +16,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, LOWER, blocks, column_bytes, ragged, read_table, word_bounds, word_hashes
+from ._common import ALNUM, LOWER, blocks, column_bytes, ragged, read_table, tidied, word_bounds, word_hashes
 
 WINDOW = 13
 #: Contaminated: n_hit > 0 and SHARE * n_hit >= n_words.
@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     parts = list(_broadcast(docs.sparkSession.sparkContext, automata(benchmark, item_col, item_text_col, window)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frames = [texts.mapInArrow(_scanner(b), HITS) for b in parts]
+    frames = [texts.mapInArrow(tidied(_scanner(b)), HITS) for b in parts]
     if len(frames) == 1:
         return frames[0]
     out = frames[0]
@@ -281,7 +281,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     keep[i + row] = not (n_hit and share * n_hit >= ranges[row + 1] - ranges[row])
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def verdicts(hits: DataFrame, share: int = SHARE) -> DataFrame:

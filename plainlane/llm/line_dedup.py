@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from ._common import SPACED, U64, as_long, blocks, column_bytes, mix, read_table, release, staged, unstage, word_bounds, word_hashes
+from ._common import SPACED, U64, as_long, blocks, column_bytes, mix, read_table, release, staged, tidied, unstage, word_bounds, word_hashes
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -123,13 +123,13 @@ def _salted(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFra
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, numbers): the numbers (from 0) of the lines that a document loses; rows for such documents only."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = staged(texts.mapInArrow(_parse, "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean"), "lines")
+    lines = staged(texts.mapInArrow(tidied(_parse), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean"), "lines")
     leaves = lines.where("new_leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     mine = staged(_salted(lines.drop("new_leaf"), leaves, ["leaf"], "doc_id"), "leaf-lines")
     kinds = mine.groupBy("leaf", "line").agg(F.sum(F.col("new_line").cast("long")).alias("docs"), F.min(F.struct("doc_id", "number")).alias("at"))
     kinds = staged(kinds, "kinds")
     wanted = kinds.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.number")).alias("numbers"))
-    tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(_tokens, "leaf long, line long, tokens array<long>").dropDuplicates(["leaf", "line"])
+    tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(tidied(_tokens), "leaf long, line long, tokens array<long>").dropDuplicates(["leaf", "line"])
     tokens = staged(tokens.join(kinds.select("leaf", "line", "docs"), ["leaf", "line"]), "tokens")
     places = tokens.select("leaf", "line", "docs", F.posexplode("tokens").alias("at", "token"))
     constant = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
@@ -178,7 +178,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if n:
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=[x.split()[0] for x in CLEANED.split(", ")])
 
-    return texts.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "text", "numbers").mapInArrow(run, CLEANED)
+    return texts.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "text", "numbers").mapInArrow(tidied(run), CLEANED)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _graph
-from ._common import LOWER, SPACED, U64, as_long, blocks, column_bytes, gram_hashes, mix, ragged, read_table, staged, unstage, word_bounds, word_hashes
+from ._common import LOWER, SPACED, U64, as_long, blocks, column_bytes, gram_hashes, mix, ragged, read_table, staged, tidied, unstage, word_bounds, word_hashes
 from .superminhash import SLOTS, signatures
 
 WORDS = 5
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked. Other columns are not looked at; an empty table gives an empty one.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(_sign, SIGNED), "signatures")
+    signed = staged(texts.mapInArrow(tidied(_sign), SIGNED), "signatures")
     keyed = signed.where("n > 0 and doc_id is not null")
     digest = ["n", "d1", "d2"]
     classes = keyed.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "buckets",
     )
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
+    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(tidied(_sets), "doc long, shingles array<long>"), "sets")
 
     hub = F.col("hub")
     spokes = buckets.select("doc", "n", F.explode("hubs").alias("hub")).where((hub.doc != F.col("doc")) & (4 * F.least(hub.n, F.col("n")) >= 3 * F.greatest(hub.n, F.col("n"))))
@@ -282,9 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("block") == F.col("k"), 1).when(F.col("block") < F.col("k"), 0).otherwise(2).alias("side"),
     )
     key = ["bucket", "i", "j"]
-    near = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "bucket long, i int, j int, side int, doc long, comp long")
+    near = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidied(_compare), "bucket long, i int, j int, side int, doc long, comp long")
     full = near.join(sets, "doc").select(*key, "side", "doc", "comp", "shingles")
-    links2 = staged(full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verify, "a long, b long").distinct(), "links")
+    links2 = staged(full.repartition(*key).sortWithinPartitions(*key).mapInArrow(tidied(_verify), "a long, b long").distinct(), "links")
     whole = _graph.components(links.union(links2))
 
     roots = classes.join(whole, classes["rep"] == whole["node"], "left").select(*digest, F.coalesce("root", "rep").alias("component"))

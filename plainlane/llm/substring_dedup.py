@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACED, as_long, blocks, column_bytes, gram_hashes, read_table, release, staged, word_bounds, word_hashes
+from ._common import SPACED, as_long, blocks, column_bytes, gram_hashes, read_table, release, staged, tidied, word_bounds, word_hashes
 
 #: Words of a window, and of an anchor.
 LENGTH, ANCHOR = 20, 8
@@ -105,11 +105,11 @@ def _windows(length: int):
 def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, at, source_id, source_at): windows of texts (doc_id, text) that start earlier too, with the earliest place."""
     texts = texts.where("doc_id is not null")
-    rows = texts.mapInArrow(_anchors, "anchor long, doc_id long")
+    rows = texts.mapInArrow(tidied(_anchors), "anchor long, doc_id long")
     seeds = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("c > 1")
     by_doc = staged(seeds.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "seeds")
     release(texts.sparkSession)
-    places = texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, at int")
+    places = texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(tidied(_windows(length)), "w1 long, w2 long, doc_id long, at int")
     earliest = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("w1", "w2").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0))
     found = places.withColumn("e", earliest).where("doc_id > e.doc_id or at > e.at")
     return found.select("doc_id", "at", F.col("e.doc_id").alias("source_id"), F.col("e.at").alias("source_at"))
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if n:
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "copy").mapInArrow(run, RESULT)
+    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "copy").mapInArrow(tidied(run), RESULT)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

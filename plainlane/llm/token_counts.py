@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import column_bytes, read_table, staged
+from ._common import column_bytes, read_table, staged, tidied
 from .byte_bpe import encode_texts, vocabulary
 
 #: The id that ends documents: the one that the public byte-level vocabulary leaves free.
@@ -74,7 +74,7 @@ def write_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if rest:
             yield from out([rest], [])
 
-    return staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STREAM), "token-stream")
+    return staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), STREAM), "token-stream")
 
 
 def read_files(spark: SparkSession, path: str, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -92,7 +92,7 @@ def read_files(spark: SparkSession, path: str, width: int = WIDTH, block_tokens:
                 for k, at in enumerate(range(0, len(raw), size)):
                     yield pa.record_batch([pa.array([name]), pa.array([k], pa.int32()), pa.array([bytes(raw[at : at + size])], pa.binary())], names=["file", "block", "tokens"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block int, tokens binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidied(run), "file string, block int, tokens binary")
 
 
 def _scan(width: int, separator: int):
@@ -131,7 +131,7 @@ def count_tokens(blocks: DataFrame, width: int = WIDTH, separator: int = SEPARAT
     by number, which may have gaps but must not repeat.
     """
     kind = dict(blocks.dtypes)["file"]
-    scanned = blocks.select("file", "block", "tokens").mapInArrow(_scan(width, separator), f"file {kind}, block int, n long, seps long, head long, tail long, inner array<long>")
+    scanned = blocks.select("file", "block", "tokens").mapInArrow(tidied(_scan(width, separator)), f"file {kind}, block int, n long, seps long, head long, tail long, inner array<long>")
     scanned = staged(scanned.withColumn("run", F.floor(F.col("block") / SPAN).cast("int")), "block-sums")
 
     def opened(part: Window, order: str):

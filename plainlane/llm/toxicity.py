@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from ._common import LOWER, SPACED, U64, blocks, column_bytes, mix, ragged, read_table, word_bounds, word_hashes
+from ._common import LOWER, SPACED, U64, blocks, column_bytes, mix, ragged, read_table, tidied, word_bounds, word_hashes
 
 LENGTH, STRIDE = 24, 12
 #: Bounds of the training sample: documents of each label, taken by the order of a hash of their ids.
@@ -294,7 +294,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 p = score(shared.value, data, offsets)
                 yield pa.record_batch([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), SCORED)
 
 
 def with_scores(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
@@ -311,7 +311,7 @@ def with_scores(docs: DataFrame, model: Model, name: str, text_col: str = "text"
                 p = score(shared.value, *column_bytes(batch.column(at)))
                 yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column_bytes, read_table
+from ._common import column_bytes, read_table, tidied
 
 PACKET = 188
 SYNC = 0x47
@@ -254,7 +254,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]):
