@@ -6,7 +6,9 @@ Extension. Around each place of a repeated anchor all windows that chose it, to
 word (128-bit hash together with the anchor's place) with their earliest occurrence. Windows that follow each other in
 both places are parts of one longer match: chained, they make the maximal repeats (doc, first word, end, source place).
 No pairs of occurrences are made: each place is linked to the earliest one only, which decides removal, so a passage in
-thousands of documents costs as many rows as it has places. Exact copies of a text are recognised whole.
+thousands of documents costs as many rows as it has places. Each task settles what recurs among its own rows before they
+are shuffled, so a passage in a third of all documents meets itself once per PRE_ROWS rows, not in one task whole. Exact
+copies of a text are recognised whole.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACED, as_long, blocks, column_bytes, gram_hashes, read_table, release, staged, tidied, word_bounds, word_hashes
+from ._common import SPACED, U64, as_long, blocks, column_bytes, gram_hashes, mix, read_table, release, staged, tidied, word_bounds, word_hashes
 
 #: Words of a window, and of an anchor.
 LENGTH, ANCHOR = 20, 8
+#: Anchors or windows of a task that are looked at together before they are shuffled.
+PRE_ROWS = 500_000
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -54,67 +58,133 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return word_hashes(data, starts, ends), ranges
 
 
+def _gathered(parts, size: int):
+    """Lists of parts (tuples of equally long arrays) joined to arrays of about size rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= size:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _anchors(batches) -> Iterator:
-    """(anchor, doc_id), once for each text that has it, twice if it has it more than once."""
+    """(anchor, part, doc_id), once for each text that has it, twice if it has it more than once.
+
+    Anchors that PRE_ROWS rows hold more than once are known to recur: their rows are dealt by part, the document, and one
+    more row of part 0 tells other tasks. So an anchor of very many documents meets itself in few rows.
+    """
     import pyarrow as pa
 
+    def parts():
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j in blocks(offsets):
+                h, ranges = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                g, _, chosen = window_anchors(h, ranges)
+                at = np.flatnonzero(chosen)
+                if not len(at):
+                    continue
+                owner = np.searchsorted(ranges, at, "right") - 1
+                x = g[at]
+                order = np.lexsort((x, owner))
+                x, owner = x[order], owner[order]
+                same = (x[1:] == x[:-1]) & (owner[1:] == owner[:-1])
+                keep = np.ones(len(x), bool)
+                keep[2:] = ~(same[1:] & same[:-1])
+                yield x[keep], ids[i:j][owner[keep]]
+
+    for x, doc in _gathered(parts(), PRE_ROWS):
+        _, number, count = np.unique(x, return_inverse=True, return_counts=True)
+        known = count[number] > 1
+        one = np.flatnonzero(known)[np.unique(number[known], return_index=True)[1]]
+        part = np.where(known, as_long(mix(doc.view(np.uint64)) | U64(1)), 0)
+        yield pa.record_batch(
+            [pa.array(as_long(np.concatenate((x, x[one])))), pa.array(np.concatenate((part, np.zeros(len(one), np.int64)))), pa.array(np.concatenate((doc, doc[one])))],
+            names=["anchor", "part", "doc_id"],
+        )
+
+
+PLACES = "w1 long, w2 long, doc_id long, at int"
+
+
+def _places(batches, length: int):
+    """(w1, w2, doc_id, at) of the windows whose anchors are given, block by block."""
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
+        seeds = batch.column(2)
         for i, j in blocks(offsets):
             h, ranges = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            g, _, chosen = window_anchors(h, ranges)
-            at = np.flatnonzero(chosen)
+            _, least, _ = window_anchors(h, ranges, length)
+            known = np.unique(seeds.slice(i, j - i).flatten().to_numpy().view(np.uint64))
+            at = np.searchsorted(known, least).clip(max=max(len(known) - 1, 0))
+            at = np.flatnonzero((least != 0) & (known[at] == least)) if len(known) else np.empty(0, np.int64)
             if not len(at):
                 continue
             owner = np.searchsorted(ranges, at, "right") - 1
-            x = g[at]
-            order = np.lexsort((x, owner))
-            x, owner = x[order], owner[order]
-            same = (x[1:] == x[:-1]) & (owner[1:] == owner[:-1])
-            keep = np.ones(len(x), bool)
-            keep[2:] = ~(same[1:] & same[:-1])
-            yield pa.record_batch([pa.array(as_long(x[keep])), pa.array(ids[i:j][owner[keep]])], names=["anchor", "doc_id"])
+            yield as_long(gram_hashes(h, length, salt=1)[at]), as_long(gram_hashes(h, length, salt=2)[at]), ids[i:j][owner], (at - ranges[owner]).astype(np.int32)
 
 
 def _windows(length: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            seeds = batch.column(2)
-            for i, j in blocks(offsets):
-                h, ranges = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                _, least, _ = window_anchors(h, ranges, length)
-                known = np.unique(seeds.slice(i, j - i).flatten().to_numpy().view(np.uint64))
-                at = np.searchsorted(known, least).clip(max=max(len(known) - 1, 0))
-                at = np.flatnonzero((least != 0) & (known[at] == least)) if len(known) else np.empty(0, np.int64)
-                if not len(at):
-                    continue
-                owner = np.searchsorted(ranges, at, "right") - 1
-                yield pa.record_batch(
-                    [pa.array(as_long(gram_hashes(h, length, salt=1)[at])), pa.array(as_long(gram_hashes(h, length, salt=2)[at])), pa.array(ids[i:j][owner]), pa.array((at - ranges[owner]).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "at"],
-                )
+        for part in _places(batches, length):
+            yield pa.record_batch([pa.array(x) for x in part], names=["w1", "w2", "doc_id", "at"])
 
     return run
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, at, source_id, source_at): windows of texts (doc_id, text) that start earlier too, with the earliest place."""
-    texts = texts.where("doc_id is not null")
-    rows = texts.mapInArrow(tidied(_anchors), "anchor long, doc_id long")
-    seeds = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("c > 1")
+def _first_windows(length: int):
+    """As _windows(), with known: a window that starts earlier among the PRE_ROWS rows of its task is repeated for sure.
+    Its hashes are not needed any more and give way to its place, so that one very frequent window is dealt evenly."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for w1, w2, doc, at in _gathered(_places(batches, length), PRE_ROWS):
+            order = np.lexsort((at, doc, w2, w1))
+            w1, w2, doc, at = w1[order], w2[order], doc[order], at[order]
+            known = np.zeros(len(at), bool)
+            known[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+            # places of repeated rows are no earlier ones: they are as their group's first
+            first = np.maximum.accumulate(np.where(known, 0, np.arange(len(at))))
+            known &= (doc != doc[first]) | (at != at[first])
+            w1, w2 = np.where(known, doc, w1), np.where(known, at.astype(np.int64), w2)
+            yield pa.record_batch([pa.array(x) for x in (w1, w2, doc, at, known)], names=["w1", "w2", "doc_id", "at", "known"])
+
+    return run
+
+
+def _seeded(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, anchors) of texts that have anchors which recur."""
+    rows = texts.mapInArrow(tidied(_anchors), "anchor long, part long, doc_id long")
+    seeds = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("anchor", "part"))).where("c > 1 or part <> 0")
     by_doc = staged(seeds.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "seeds")
     release(texts.sparkSession)
-    places = texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(tidied(_windows(length)), "w1 long, w2 long, doc_id long, at int")
-    earliest = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("w1", "w2").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0))
-    found = places.withColumn("e", earliest).where("doc_id > e.doc_id or at > e.at")
+    return texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors")
+
+
+def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, at, source_id, source_at): windows of texts (doc_id, text) that start earlier too, with the earliest place."""
+    places = _seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_windows(length)), PLACES)
+    earliest = places.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("e"))
+    found = places.join(earliest, ["w1", "w2"]).where("doc_id > e.doc_id or at > e.at")
     return found.select("doc_id", "at", F.col("e.doc_id").alias("source_id"), F.col("e.at").alias("source_at"))
 
 
+def repeated_places(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, at) of repeated_windows(), in one shuffle of its windows, for removal needs no sources."""
+    places = _seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_first_windows(length)), PLACES + ", known boolean")
+    earliest = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("w1", "w2", "known").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0))
+    return places.withColumn("e", earliest).where("known or doc_id > e.doc_id or at > e.at").select("doc_id", "at")
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, first, end, source_id, source_first): repeats of at least length words, in words, with an earlier place.
 
@@ -147,7 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = staged(copies.withColumn("copy", F.lit(True)), "copies")
     own = texts.join(copies, "doc_id", "left_anti")
     # seeds come from all texts that are not copies: a copy's windows all start earlier in its original
-    marks = repeated_windows(own, length).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    marks = repeated_places(own, length).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     marks = staged(marks.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("at", F.array().cast("array<int>"))), "marks")
     release(docs.sparkSession)
 

@@ -286,6 +286,27 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_frequent_passage(spark):
+    """A passage in all documents, several times in some, and a run of one word: tasks settle their own repeats first."""
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(i, " ".join([*(f"u{r.randrange(10**6)}" for _ in range(12)), passage, *(["same"] * (i % 50)), passage if i % 7 == 0 else "end"])) for i in range(400)]
+    rows += rows[:5]
+    seen, want = set(), set()
+    for i, t in sorted(set(rows)):
+        w = t.split()
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                want.add((i, k))
+            seen.add(key)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {tuple(x) for x in substring_dedup.repeated_places(docs).collect()} == want
+    found = substring_dedup.repeated_windows(docs).collect()
+    assert {(x.doc_id, x.at) for x in found} == want and len(want) > 5000
+    assert all((x.source_id, x.source_at) < (x.doc_id, x.at) for x in found)
+
+
 def test_network_gradients():
     p = gru.new_parameters(3, 8)
     r = np.random.default_rng(0)
