@@ -27,6 +27,8 @@ from ._common import SPACED, U64, as_long, blocks, column_bytes, gram_hashes, mi
 LENGTH, ANCHOR = 20, 8
 #: Anchors or windows of a task that are looked at together before they are shuffled.
 PRE_ROWS = 500_000
+#: Parts of a group of copies where its rows are joined.
+SALT = 16
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -141,8 +143,9 @@ def _windows(length: int):
 
 
 def _first_windows(length: int):
-    """As _windows(), with known: a window that starts earlier among the PRE_ROWS rows of its task is repeated for sure.
-    Its hashes are not needed any more and give way to its place, so that one very frequent window is dealt evenly."""
+    """As _windows(), with n: windows that start earlier among the PRE_ROWS rows of their task are repeated for sure. They
+    are given as runs of n that follow each other, by their place in place of hashes, so that one very frequent window is
+    dealt evenly. n is 0 for all others."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -155,8 +158,17 @@ def _first_windows(length: int):
             # places of repeated rows are no earlier ones: they are as their group's first
             first = np.maximum.accumulate(np.where(known, 0, np.arange(len(at))))
             known &= (doc != doc[first]) | (at != at[first])
-            w1, w2 = np.where(known, doc, w1), np.where(known, at.astype(np.int64), w2)
-            yield pa.record_batch([pa.array(x) for x in (w1, w2, doc, at, known)], names=["w1", "w2", "doc_id", "at", "known"])
+            run_doc, run_at = doc[known], at[known]
+            order = np.lexsort((run_at, run_doc))
+            run_doc, run_at = run_doc[order], run_at[order]
+            new = np.ones(len(run_at), bool)
+            new[1:] = (run_doc[1:] != run_doc[:-1]) | (run_at[1:] > run_at[:-1] + 1)
+            first, last = np.flatnonzero(new), np.flatnonzero(np.concatenate((new[1:], np.ones(min(len(new), 1), bool))))
+            n = run_at[last] - run_at[first] + 1
+            run_doc, run_at = run_doc[first], run_at[first]
+            rest = ~known
+            columns = (w1[rest], run_doc), (w2[rest], run_at.astype(np.int64)), (doc[rest], run_doc), (at[rest], run_at), (np.zeros(int(rest.sum()), np.int32), n)
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in columns], names=["w1", "w2", "doc_id", "at", "n"])
 
     return run
 
@@ -179,10 +191,13 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_places(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, at) of repeated_windows(), in one shuffle of its windows, for removal needs no sources."""
-    places = _seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_first_windows(length)), PLACES + ", known boolean")
-    earliest = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("w1", "w2", "known").orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0))
-    return places.withColumn("e", earliest).where("known or doc_id > e.doc_id or at > e.at").select("doc_id", "at")
+    """(doc_id, at, n): runs of n windows of repeated_windows() from at on, in one shuffle, for removal needs no sources.
+
+    Runs may meet or overlap, as those of repeated rows do.
+    """
+    places = _seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_first_windows(length)), PLACES + ", n int")
+    earliest = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("w1", "w2", F.col("n") > 0).orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0))
+    return places.withColumn("e", earliest).where("n > 0 or doc_id > e.doc_id or at > e.at").select("doc_id", "at", F.greatest("n", F.lit(1)).alias("n"))
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -213,20 +228,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     named = texts.where("doc_id is not null").select("doc_id", F.md5("text").alias("m"), F.octet_length("text").alias("b"))
-    copies = named.join(named.groupBy("m", "b").agg(F.min("doc_id").alias("rep")), ["m", "b"]).where("doc_id > rep").select("doc_id").distinct()
+    groups = named.groupBy("m", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a group may hold a large part of all rows: they are dealt to SALT parts
+    groups = groups.select("m", "b", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    copies = salted.join(groups, ["m", "b", "salt"]).where("doc_id > rep").select("doc_id").distinct()
     copies = staged(copies.withColumn("copy", F.lit(True)), "copies")
     own = texts.join(copies, "doc_id", "left_anti")
     # seeds come from all texts that are not copies: a copy's windows all start earlier in its original
-    marks = repeated_places(own, length).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    marks = staged(marks.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("at", F.array().cast("array<int>"))), "marks")
+    marks = repeated_places(own, length).groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("run"))
+    marks = staged(marks.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", *(F.array().cast("array<int>").alias(c) for c in ("at", "run")), "copy")), "marks")
     release(docs.sparkSession)
 
     def run(batches) -> Iterator:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
-            marks, copy = batch.column(2), batch.column(3).fill_null(False).to_pylist()
-            ats, values = marks.offsets.to_numpy(), marks.values
-            values = values.to_numpy() if values is not None else np.empty(0, np.int32)
+            copy = batch.column(4).fill_null(False).to_pylist()
+            ats = batch.column(2).offsets.to_numpy()
+            values, runs = (np.empty(0, np.int32) if x.values is None else x.values.to_numpy() for x in batch.columns[2:4])
             n, removed, digest, kept = [], [], [], []
             for i in range(len(copy)):
                 words = data[offsets[i] : offsets[i + 1]].tobytes().split()
@@ -235,9 +254,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     left = [] if len(words) >= length else words
                 elif ats[i + 1] > ats[i]:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = values[ats[i] : ats[i + 1]]
+                    at, run_ = values[ats[i] : ats[i + 1]], runs[ats[i] : ats[i + 1]]
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + length, -1)
+                    np.add.at(edge, at + run_ - 1 + length, -1)
                     left = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 else:
                     left = words
@@ -248,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if n:
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "copy").mapInArrow(tidied(run), RESULT)
+    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "run", "copy").mapInArrow(tidied(run), RESULT)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
