@@ -6,7 +6,8 @@
    and a pseudo-random one, on their full sets; the links that hold are grouped.
 3. Buckets whose members then lie in one group are done, however large. In the others, members of different groups are
    compared by whole signatures, in blocks of bounded size, and those with a partner that could reach the threshold are
-   compared on their full sets, block by block, so that no pair becomes a row. No bucket, partner or candidate is capped.
+   compared on their full sets, block by block, so that no pair becomes a row. Blocks of one large group never meet, so a
+   bucket of one huge group and a few others costs its size times theirs. No bucket, partner or candidate is capped.
 
 A pair at the threshold itself is missed by all bands with probability (1 - 0.75^4)^32 = 5e-6, by the signature
 comparison with less than 1e-7; both fall fast above it.
@@ -29,7 +30,7 @@ WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BANDS, ROWS = 32, 4
-#: Members of a block of the signature comparison, and slots (of 128, by their low bytes) that a link must agree in.
+#: Mean members of a block of the signature comparison, and slots (of 128, by their low bytes) that a link must agree in.
 BLOCK, AGREE = 256, 68
 #: Parts of a class where its rows are joined.
 SALT = 16
@@ -272,11 +273,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets of more than one group
     labelled = buckets.join(groups, buckets["doc"] == groups["node"], "left").select("bucket", "doc", "n", F.coalesce("root", "doc").alias("comp"))
     labelled = staged(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").drop("lo", "hi")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("comp", "doc")) - 1
-    blocked = labelled.join(mixed, "bucket").withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("n_blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # groups of BLOCK members have blocks of their own, which never meet each other; smaller ones share blocks
+    own = F.col("c") >= BLOCK
+    sizes = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).withColumn("big", own).withColumn("pool", F.when(own, F.col("comp")).otherwise(0))
+    several = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    sizes = staged(sizes.join(several, "bucket"), "sizes")
+    pools = sizes.groupBy("bucket", "big", "pool").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("own"))
+    # a bucket has at most one pool for BLOCK members, and one more
+    upto = Window.partitionBy("bucket").orderBy("big", "pool").rowsBetween(Window.unboundedPreceding, 0)
+    pools = pools.withColumn("first", (F.sum("own").over(upto) - F.col("own")).cast("int")).withColumn("blocks", F.sum("own").over(Window.partitionBy("bucket")).cast("int"))
+    blocked = labelled.join(sizes.join(pools, ["bucket", "big", "pool"]).select("bucket", "comp", "big", "own", "first", "blocks"), ["bucket", "comp"])
+    blocked = blocked.withColumn("block", F.col("first") + F.pmod(F.xxhash64("doc"), F.col("own")).cast("int"))
     with_sig = blocked.join(members.select(F.col("rep").alias("doc"), "sig").dropDuplicates(["doc"]), "doc")
-    dealt = with_sig.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    # members of a large group meet all blocks but their group's
+    others = with_sig.withColumn("k", F.explode(F.sequence(F.lit(0), F.when(F.col("big"), F.col("blocks") - F.col("own")).otherwise(F.col("blocks")) - 1)))
+    dealt = others.withColumn("k", F.when(F.col("big") & (F.col("k") >= F.col("first")), F.col("k") + F.col("own")).otherwise(F.col("k")))
     dealt = dealt.select(
         "bucket", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc", "comp", "n", "sig",
         F.when(F.col("block") == F.col("k"), 1).when(F.col("block") < F.col("k"), 0).otherwise(2).alias("side"),
@@ -292,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     out = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(parts, [*digest, "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    unstage(buckets, sets, tested, labelled)
+    unstage(buckets, sets, tested, labelled, sizes)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
