@@ -35,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that lose nothing stay as they are; those whose every word goes are dropped.
     """
-    cleaned = line_dedup.drop_recurring(docs).where("n_dropped > 0").select("doc_id", "kept")
+    cleaned = line_dedup.drop_recurring(docs, lost_lines=line_dedup.templates).where("n_dropped > 0").select("doc_id", "kept")
     out = _joined(docs, cleaned, "left").where(F.col("__id").isNull() | F.col("__kept").rlike("[^ \t\n\x0b\x0c\r]"))
     text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(F.col("__kept"))
     new = {"text": text, "n_chars": F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}

@@ -7,12 +7,16 @@ a line with the fields blanked is its template. Templates of mostly constant tok
 documents are dropped from all of them but the first (least doc_id), so content is lost nowhere. Counting is by
 aggregates that combine before they shuffle, so no leaf, template or line has to fit one task, and the result does not
 depend on order, as that of a tree grown line by line would. Texts meet their line numbers in merge joins at every size.
+
+That is op4, as its SQL has it. The pipeline takes templates() instead, which also knows templates whose constant tokens
+are those of a share of the leaf, so that they are the same in a corpus of any size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +29,8 @@ DEPTH = 3
 MIN_DOCS = 10
 #: Templates have at least so many constant tokens of ten.
 CONSTANT_OF_TEN = 7
+#: templates(): a constant token stands at its place in at least so many of ten of the leaf's lines, and has no digit.
+SHARE_OF_TEN = 3
 #: Hot leaves and templates are split into so many parts where they are joined.
 SALT = 16
 _DIGIT = np.zeros(256, bool)
@@ -94,15 +100,20 @@ def _parse(batches) -> Iterator:
                 )
 
 
-def _tokens(batches) -> Iterator:
-    """(leaf, line, tokens) of the wanted lines of each text."""
+def _tokens(batches, marked: bool = False) -> Iterator:
+    """(leaf, line, tokens) of the wanted lines of each text; marked tokens are odd if they have a digit, else even."""
     import pyarrow as pa
 
     for batch in batches:
         data, offsets = column_bytes(batch.column(0))
         wanted = batch.column(1)
         for i, j in blocks(offsets):
-            row, number, leaf, line, h, ranges = _parsed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            row, number, leaf, line, h, ranges = _parsed(part, cuts)
+            if marked:
+                starts, ends, _ = word_bounds(part, _lines(part, cuts)[0], SPACED)
+                digits = np.concatenate(([0], np.cumsum(_DIGIT[part])))
+                h = h & ~U64(1) | (digits[ends] > digits[starts]).astype(np.uint64)
             lists = wanted.slice(i, j - i)
             want_row = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
             first = np.searchsorted(row, np.arange(j - i))
@@ -147,21 +158,57 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lost
 
 
+def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, numbers) as recurring_lines() has them, of templates by share.
+
+    A token is constant if it has no digit and stands at its place in SHARE_OF_TEN of ten of the leaf's lines (equal lines
+    of a document count once). It must also reach min_docs, for a template with a rarer one cannot recur. Lines whose
+    template by share is no template take the one of recurring_lines(); that is never the coarser of the two.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    lines = staged(texts.mapInArrow(tidied(_parse), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean"), "lines")
+    leaves = lines.groupBy("leaf").agg(F.count_if("new_leaf").alias("docs"), F.count_if("new_line").alias("size")).where(F.col("docs") >= min_docs).select("leaf", "size")
+    mine = staged(_salted(lines.drop("new_leaf"), leaves, ["leaf"], "doc_id"), "leaf-lines")
+    kinds = staged(mine.groupBy("leaf", "line").agg(F.count_if("new_line").alias("docs"), F.max("size").alias("size"), F.min(F.struct("doc_id", "number")).alias("at")), "kinds")
+    wanted = kinds.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.number")).alias("numbers"))
+    tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(tidied(partial(_tokens, marked=True)), "leaf long, line long, tokens array<long>").select("line", "tokens").dropDuplicates(["line"])
+    tokens = staged(tokens.join(kinds.drop("at"), "line"), "tokens")
+    places = tokens.select("leaf", "line", "docs", "size", F.posexplode("tokens").alias("at", "token"))
+    constant = places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs"), F.max("size").alias("size")).where(F.col("docs") >= min_docs)
+    shared = (F.col("token") % 2 == 0) & (F.col("docs") * 10 >= F.col("size") * SHARE_OF_TEN)
+    constant = constant.select("leaf", "at", "token", F.lit(True).alias("fixed"), shared.alias("shared"))
+    x, y = F.xxhash64("at", "token"), F.xxhash64("token", "at").cast("decimal(38,0)")
+    blanked = places.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(
+        F.count(F.lit(1)).alias("n"), *(f for k in ("fixed", "shared") for f in (F.count_if(k).alias(f"n_{k}"), F.bit_xor(F.when(F.col(k), x)).alias(f"x_{k}"), F.sum(F.when(F.col(k), y)).alias(f"y_{k}"))),
+    )
+    key = lambda k: F.sha2(F.concat_ws(",", F.lit(k), "leaf", f"n_{k}", f"x_{k}", f"y_{k}"), 256).substr(1, 32)
+    enough = lambda n: n * 10 >= F.col("n") * CONSTANT_OF_TEN
+    named = blanked.select("leaf", "line", F.when(enough(F.col("n_shared")), key("shared")).when(enough(F.col("n_fixed")), key("fixed")).alias("template")).where("template is not null")
+    found = staged(_salted(mine.drop("size"), named, ["leaf", "line"], "doc_id").select("doc_id", "number", "template"), "templated")
+    recurring = found.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
+    gone = _salted(found, recurring, ["template"], "doc_id").where("doc_id <> first").select("doc_id", "number")
+    lost = staged(gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")), "lost")
+    unstage(lines, mine, kinds, tokens, found)
+    release(docs.sparkSession)
+    return lost
+
+
 CLEANED = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True, lost_lines: Callable[..., DataFrame] = recurring_lines) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256, kept): every document without its recurring lines.
 
     Lines end at newlines; lines without words count in n_lines but are kept always. Null and empty texts have one empty
     line and lose nothing (a null text gives an empty kept); rows of null id lose nothing and count for nothing. Rows
     repeated whole count as one document and are all returned; ids should be unique otherwise. An empty table gives an
-    empty one; other columns are not looked at. keep_text=False leaves kept null.
+    empty one; other columns are not looked at. keep_text=False leaves kept null. lost_lines is
+    recurring_lines or templates.
     """
     import pyarrow as pa
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lost = recurring_lines(docs, id_col, text_col, min_docs)
+    lost = lost_lines(docs, id_col, text_col, min_docs)
 
     def run(batches) -> Iterator:
         for batch in batches:

@@ -242,6 +242,27 @@ def test_line_dedup(docs, empty):
     assert line_dedup.drop_recurring(empty).count() == 0
 
 
+UPDATED = "This article was last updated by the editorial team on {} {} {} at {:02d}:{:02d}"
+
+
+def without_lines(spark, lines):
+    """How many of the lines, each with a word of its own document above it, the pipeline's stage keeps, by their doc_id."""
+    import corpus_pipeline
+
+    rows = [(i, f"own{i}\n{x}", "en", "s", 0) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    return [i for i, _, *_ in rows if "\n" in got.get(i, "")]
+
+
+@pytest.mark.parametrize("n", [40, 40000])
+def test_templates_do_not_depend_on_the_size_of_the_corpus(spark, n):
+    r = random.Random(4)
+    months = "January February March April May June July August September October November December".split()
+    lines = [UPDATED.format(r.randint(1, 28), months[i % 12], r.randint(2015, 2024), r.randrange(24), r.randrange(60)) for i in range(n)]
+    assert without_lines(spark, lines) == [0]
+
+
 def test_decontamination(spark, docs, empty):
     rows = texts()
     long_ = rows[27][1].split()
