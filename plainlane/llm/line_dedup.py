@@ -31,6 +31,8 @@ MIN_DOCS = 10
 CONSTANT_OF_TEN = 7
 #: templates(): a constant token stands at its place in at least so many of ten of the leaf's lines, and has no digit.
 SHARE_OF_TEN = 3
+#: templates(): lines that are equal word for word go from so many documents on.
+EXACT_DOCS = 3
 #: Hot leaves and templates are split into so many parts where they are joined.
 SALT = 16
 _DIGIT = np.zeros(256, bool)
@@ -53,8 +55,8 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     return starts, first
 
 
-def _parsed(data: np.ndarray, offsets: np.ndarray):
-    """(row, line number, leaf, line hash, words' hashes, words' ranges) of the lines of a block."""
+def _parsed(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH):
+    """(row, line number, leaf, line hash, words' hashes, words' ranges) of the lines of a block; leaves of a tree of that depth."""
     cuts, first = _lines(data, offsets)
     starts, ends, ranges = word_bounds(data, cuts, SPACED)
     h = word_hashes(data, starts, ends)
@@ -64,7 +66,7 @@ def _parsed(data: np.ndarray, offsets: np.ndarray):
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     masked = np.where(digits[ends] > digits[starts], _FIELD, h)
     leaf = mix(n.astype(np.uint64) + U64(1))
-    for k in range(DEPTH):
+    for k in range(depth):
         has = n > k
         at = np.where(has, ranges[:-1] + k, 0)
         leaf = np.where(has, mix(leaf ^ (masked[at] if len(h) else U64(0)) * U64(2 * k + 3)), leaf)
@@ -83,7 +85,8 @@ def _first_of(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _parse(batches) -> Iterator:
+def _parse(batches, up: bool = False) -> Iterator:
+    """The lines that have words; with up also the node above each leaf."""
     import pyarrow as pa
 
     for batch in batches:
@@ -92,11 +95,12 @@ def _parse(batches) -> Iterator:
         for i, j in blocks(offsets):
             row, number, leaf, line, _, ranges = _parsed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             keep = np.diff(ranges) > 0
+            above = _parsed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], DEPTH - 1)[2][keep] if up else None
             row, number, leaf, line = row[keep], number[keep], leaf[keep], line[keep]
             if len(row):
                 yield pa.record_batch(
-                    [pa.array(ids[i:j][row]), pa.array(number.astype(np.int32)), pa.array(as_long(leaf)), pa.array(as_long(line)), pa.array(_first_of(row, leaf)), pa.array(_first_of(row, line))],
-                    names=["doc_id", "number", "leaf", "line", "new_leaf", "new_line"],
+                    [pa.array(ids[i:j][row]), pa.array(number.astype(np.int32)), pa.array(as_long(leaf)), pa.array(as_long(line)), pa.array(_first_of(row, leaf)), pa.array(_first_of(row, line)), *([pa.array(as_long(above))] if up else [])],
+                    names=["doc_id", "number", "leaf", "line", "new_leaf", "new_line", *(["up"] if up else [])],
                 )
 
 
@@ -125,10 +129,10 @@ def _tokens(batches, marked: bool = False) -> Iterator:
                 yield pa.record_batch([pa.array(as_long(leaf[at])), pa.array(as_long(line[at])), lists], names=["leaf", "line", "tokens"])
 
 
-def _salted(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
+def _salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
     """big joined with small, the keys of big split by a hash of column by."""
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-    return big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(small.select("*", parts), [*on, "salt"]).drop("salt")
+    return big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(small.select("*", parts), [*on, "salt"], how).drop("salt")
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -158,17 +162,23 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lost
 
 
-def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, exact_docs: int = EXACT_DOCS) -> DataFrame:
     """(doc_id, numbers) as recurring_lines() has them, of templates by share.
 
     A token is constant if it has no digit and stands at its place in SHARE_OF_TEN of ten of the leaf's lines (equal lines
-    of a document count once). It must also reach min_docs, for a template with a rarer one cannot recur. Lines whose
-    template by share is no template take the one of recurring_lines(); that is never the coarser of the two.
+    of a document count once). It must also reach min_docs, for a template with a rarer one cannot recur. Tokens with a
+    digit are fields for sure, those without may be prose: constant tokens (one at least) and tokens with a digit together
+    are at least CONSTANT_OF_TEN of ten. Lines of leaves of fewer than min_docs documents meet in the node above, their
+    third token a field. Lines whose template by share is no template take the one of recurring_lines(), never the coarser
+    of the two. Equal lines need no template: they go from exact_docs documents on.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = staged(texts.mapInArrow(tidied(_parse), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean"), "lines")
+    lines = staged(texts.mapInArrow(tidied(partial(_parse, up=True)), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean, up long"), "lines")
     leaves = lines.groupBy("leaf").agg(F.count_if("new_leaf").alias("docs"), F.count_if("new_line").alias("size")).where(F.col("docs") >= min_docs).select("leaf", "size")
-    mine = staged(_salted(lines.drop("new_leaf"), leaves, ["leaf"], "doc_id"), "leaf-lines")
+    placed = staged(_salted(lines.drop("new_leaf"), leaves, ["leaf"], "doc_id", "left"), "placed")
+    rest = placed.where("size is null").select("doc_id", "number", F.col("up").alias("leaf"), "line", "new_line")
+    above = rest.groupBy("leaf", "doc_id").agg(F.count_if("new_line").alias("size")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size")).where(F.col("docs") >= min_docs).select("leaf", "size")
+    mine = staged(placed.where("size is not null").drop("up").unionByName(_salted(rest, above, ["leaf"], "doc_id")), "leaf-lines")
     kinds = staged(mine.groupBy("leaf", "line").agg(F.count_if("new_line").alias("docs"), F.max("size").alias("size"), F.min(F.struct("doc_id", "number")).alias("at")), "kinds")
     wanted = kinds.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.number")).alias("numbers"))
     tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(tidied(partial(_tokens, marked=True)), "leaf long, line long, tokens array<long>").select("line", "tokens").dropDuplicates(["line"])
@@ -180,15 +190,18 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     x, y = F.xxhash64("at", "token"), F.xxhash64("token", "at").cast("decimal(38,0)")
     blanked = places.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(
         F.count(F.lit(1)).alias("n"), *(f for k in ("fixed", "shared") for f in (F.count_if(k).alias(f"n_{k}"), F.bit_xor(F.when(F.col(k), x)).alias(f"x_{k}"), F.sum(F.when(F.col(k), y)).alias(f"y_{k}"))),
+        F.count_if(F.col("token") % 2 != 0).alias("n_digit"),
     )
     key = lambda k: F.sha2(F.concat_ws(",", F.lit(k), "leaf", f"n_{k}", f"x_{k}", f"y_{k}"), 256).substr(1, 32)
     enough = lambda n: n * 10 >= F.col("n") * CONSTANT_OF_TEN
-    named = blanked.select("leaf", "line", F.when(enough(F.col("n_shared")), key("shared")).when(enough(F.col("n_fixed")), key("fixed")).alias("template")).where("template is not null")
+    named = blanked.select("leaf", "line", F.when((F.col("n_shared") > 0) & enough(F.col("n_shared") + F.col("n_digit")), key("shared")).when(enough(F.col("n_fixed")), key("fixed")).alias("template")).where("template is not null")
     found = staged(_salted(mine.drop("size"), named, ["leaf", "line"], "doc_id").select("doc_id", "number", "template"), "templated")
     recurring = found.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     gone = _salted(found, recurring, ["template"], "doc_id").where("doc_id <> first").select("doc_id", "number")
+    equal = placed.groupBy("line").agg(F.count_if("new_line").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= exact_docs).select("line", "first")
+    gone = gone.unionByName(_salted(placed, equal, ["line"], "doc_id").where("doc_id <> first").select("doc_id", "number"))
     lost = staged(gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")), "lost")
-    unstage(lines, mine, kinds, tokens, found)
+    unstage(lines, placed, mine, kinds, tokens, found)
     release(docs.sparkSession)
     return lost
 

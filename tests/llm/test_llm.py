@@ -263,6 +263,18 @@ def test_templates_do_not_depend_on_the_size_of_the_corpus(spark, n):
     assert without_lines(spark, lines) == [0]
 
 
+def test_short_templates_and_small_groups_of_lines(spark):
+    names = [f"{a}{b}" for a in ("Al", "Be", "Cy", "Do", "Ed", "Fa") for b in ("an", "bert", "cy", "dora", "eth")]
+    assert without_lines(spark, [f"Posted by {x} on 2021-03-{i:02d}" for i, x in enumerate(names)]) == [0]  # every name rare
+    assert without_lines(spark, [f"Posted by {names[i % 2]} on 2021-03-{i:02d}" for i in range(40)]) == [0, 1]
+    assert without_lines(spark, [f"Page {i}" for i in range(40)]) == [0]
+    assert without_lines(spark, ["Share this with a friend"] * 3 + ["only in two"] * 2) == [0, 3, 4]
+    prose = [f"There is a {x} {y}" for x, y in zip(names, names[1:])]
+    assert without_lines(spark, prose) == list(range(len(prose)))
+    digits = [f"{i} {i * i} {i + 7}" for i in range(40)]
+    assert without_lines(spark, digits) == list(range(40))
+
+
 def test_decontamination(spark, docs, empty):
     rows = texts()
     long_ = rows[27][1].split()
