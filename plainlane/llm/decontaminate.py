@@ -21,6 +21,8 @@ from ._common import ALNUM, LOWER, blocks, column_bytes, ragged, read_table, tid
 WINDOW = 13
 #: Contaminated: n_hit > 0 and SHARE * n_hit >= n_words.
 SHARE = 20
+#: Bytes of texts that meet one automaton after another, if there are several.
+LOT_BYTES = 16 << 20
 #: Bytes of item texts in one automaton; more items make more automata, used one after another.
 PART_BYTES = 8 << 20
 
@@ -193,27 +195,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     spans are [first, end) runs of hit words (numbers of words, ascending, apart), items the ids of items that have an
     occurring window, sorted as strings. Null or wordless texts have no words and no hits; null and wordless items have
-    no windows; items of the same id count once and a null id counts as "null"; repeated document rows give repeated
-    rows (their ids should be unique only if the benchmark takes more than one automaton). Empty tables are fine, other
-    columns are not looked at. Narrow, unless there are several automata: then their spans meet by doc_id.
+    no windows; items of the same id count once and a null id counts as "null"; each document row gives a row.
+    Empty tables are fine, other columns are not looked at. Narrow: each row meets all automata in its task.
     """
     parts = list(_broadcast(docs.sparkSession.sparkContext, automata(benchmark, item_col, item_text_col, window)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frames = [texts.mapInArrow(tidied(_scanner(b)), HITS) for b in parts]
-    if len(frames) == 1:
-        return frames[0]
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x)
-    merged = out.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", _united(F.col("s")).alias("spans"), "items")
-
-
-def _united(spans):
-    """Sorted [first, end) spans with the overlapping and touching ones joined."""
-    empty = F.array().cast("array<array<int>>")
-    add = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= x[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(spans, empty, add)
+    return texts.mapInArrow(tidied(_scanner(parts)), HITS)
 
 
 def _broadcast(sc: SparkContext, made: Iterator[SuffixAutomaton]):
@@ -221,29 +208,61 @@ def _broadcast(sc: SparkContext, made: Iterator[SuffixAutomaton]):
         yield sc.broadcast(x)
 
 
-def _scanner(automaton):
-    import pyarrow as pa
+def _scanned(batches: Iterator, at: int, parts: list) -> Iterator:
+    """(batch, blocks) of each batch; a block is (first row, rows' first bytes, words' starts, ends and ranges, hit, items by row).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sa = automaton.value
+    Only one of several automata is in memory: they are loaded one after another for each lot of texts.
+    """
+
+    def lots():
+        lot, size = [], 0
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            words, spans, items = [], [], []
+            data, offsets = column_bytes(batch.column(at))
+            own = []
             for i, j in blocks(offsets):
                 part = LOWER[data[offsets[i] : offsets[j]]]
-                starts, ends, ranges = word_bounds(part, offsets[i : j + 1] - offsets[i], ALNUM)
-                hit, found = sa.scan(part, starts, ends, ranges)
+                own.append((i, offsets[i : j + 1] - offsets[i], part, *word_bounds(part, offsets[i : j + 1] - offsets[i], ALNUM)))
+            lot.append((batch, own))
+            size += len(data)
+            if len(parts) == 1 or size >= LOT_BYTES:
+                yield lot
+                lot, size = [], 0
+        if lot:
+            yield lot
+
+    for lot in lots():
+        out = [[(i, first, starts, ends, ranges, np.zeros(len(starts), bool), {}) for i, first, _, starts, ends, ranges in own] for _, own in lot]
+        for automaton in parts:
+            sa = automaton.value
+            for (_, own), results in zip(lot, out):
+                for (_, _, part, starts, ends, ranges), result in zip(own, results):
+                    hit, found = sa.scan(part, starts, ends, ranges)
+                    np.logical_or(result[5], hit, out=result[5])
+                    for row, items in found.items():
+                        result[6].setdefault(row, set()).update(items)
+            if len(parts) > 1:
+                del sa, automaton._value
+        for (batch, _), results in zip(lot, out):
+            yield batch, results
+
+
+def _spans(hit: np.ndarray) -> np.ndarray:
+    """[first, end) of the runs of hit words."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).reshape(-1, 2)
+
+
+def _scanner(parts: list):
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, results in _scanned(batches, 1, parts):
+            words, spans, items = [], [], []
+            for _, _, _, _, ranges, hit, found in results:
                 words.extend(np.diff(ranges).tolist())
-                for row in range(j - i):
+                for row in range(len(ranges) - 1):
                     got = found.get(row)
-                    if got is None:
-                        spans.append([])
-                        items.append([])
-                        continue
-                    own = np.concatenate(([0], hit[ranges[row] : ranges[row + 1]].view(np.int8), [0]))
-                    edges = np.flatnonzero(np.diff(own))
-                    spans.append(edges.reshape(-1, 2).tolist())
-                    items.append(sorted(got))
+                    spans.append([] if got is None else _spans(hit[ranges[row] : ranges[row + 1]]).tolist())
+                    items.append([] if got is None else sorted(got))
             if len(words):
                 yield pa.record_batch(
                     [batch.column(0), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
@@ -254,31 +273,20 @@ def _scanner(automaton):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns as they are; no shuffle while one automaton holds the items.
-
-    With several, a document is judged by its hits of all of them together, which meet by doc_id.
-    """
+    """The rows of docs that are not contaminated, all columns as they are; no shuffle."""
     parts = list(_broadcast(docs.sparkSession.sparkContext, automata(benchmark, item_col, item_text_col, window)))
-    if len(parts) > 1:
-        bad = verdicts(contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, window), share).where("contaminated and doc_id is not null")
-        return docs.join(bad.select(F.col("doc_id").alias(id_col)).distinct().hint("merge"), id_col, "left_anti").select(docs.columns)
     at = docs.columns.index(text_col)
-    automaton = parts[0]
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        sa = automaton.value
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(at))
+        for batch, results in _scanned(batches, at, parts):
             keep = np.ones(batch.num_rows, bool)
-            for i, j in blocks(offsets):
-                part = LOWER[data[offsets[i] : offsets[j]]]
-                starts, ends, ranges = word_bounds(part, offsets[i : j + 1] - offsets[i], ALNUM)
-                hit, found = sa.scan(part, starts, ends, ranges)
+            for i, _, _, _, ranges, hit, found in results:
                 for row in found:
-                    n_hit = int(hit[ranges[row] : ranges[row + 1]].sum())
-                    keep[i + row] = not (n_hit and share * n_hit >= ranges[row + 1] - ranges[row])
+                    a, b = ranges[row], ranges[row + 1]
+                    n_hit = int(hit[a:b].sum())
+                    keep[i + row] = not (n_hit and share * n_hit >= b - a)
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -314,6 +314,27 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.verdicts(decontaminate.contamination(docs, bench.limit(0))).where("n_hit > 0").count() == 0
 
 
+def in_parts(part_bytes):
+    """automata() of parts of that size by default."""
+    decontaminate.automata.__defaults__ = (*decontaminate.automata.__defaults__[:-1], part_bytes)
+
+
+def test_rows_are_judged_alone_by_several_automata(spark):
+    own = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    bench = spark.createDataFrame([(1, own("i", 30)), (2, own("j", 30)), (3, own("k", 30))], "item_id long, text string")
+    bad, clean = f"{own('i', 15)} {own('j', 14)} {own('a', 5)}", own("b", 40)
+    docs = spark.createDataFrame([(None, bad), (None, clean), (None, bad), (7, bad), (7, bad), (8, clean), (8, clean)], "doc_id long, text string")
+    try:
+        in_parts(100)
+        hits = [(x.doc_id, x.n_words, x.spans, x["items"]) for x in decontaminate.contamination(docs, bench).collect()]
+        kept = [tuple(x) for x in decontaminate.clean_documents(docs, bench).collect()]
+    finally:
+        in_parts(decontaminate.PART_BYTES)
+    want = [(i, 34, [[0, 29]], ["1", "2"]) if t == bad else (i, 40, [], []) for i, t in [(None, bad), (None, clean), (None, bad), (7, bad), (7, bad), (8, clean), (8, clean)]]
+    assert sorted(hits, key=str) == sorted(want, key=str)
+    assert sorted(kept, key=str) == sorted([(None, clean), (8, clean), (8, clean)], key=str)
+
+
 def test_substring_dedup(docs, empty):
     seen, want = {}, {}
     for i, t in sorted((x for x in texts()[:-1] if x[0] is not None), key=lambda x: x[0]):
