@@ -49,8 +49,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words are benchmark passages go."""
-    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents of which a twentieth or more of the words are benchmark passages go; from others passages of eight words or more are cut.
+
+    n_chars follows the new text.
+    """
+    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark"), span=decontaminate.SPAN, chars_col="n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

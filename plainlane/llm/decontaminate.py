@@ -21,6 +21,8 @@ from ._common import ALNUM, LOWER, blocks, column_bytes, ragged, read_table, tid
 WINDOW = 13
 #: Contaminated: n_hit > 0 and SHARE * n_hit >= n_words.
 SHARE = 20
+#: Of documents that are not contaminated the pipeline cuts spans of so many hit words or more.
+SPAN = 8
 #: Bytes of texts that meet one automaton after another, if there are several.
 LOT_BYTES = 16 << 20
 #: Bytes of item texts in one automaton; more items make more automata, used one after another.
@@ -272,8 +274,38 @@ def _scanner(parts: list):
     return run
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns as they are; no shuffle."""
+def _without(batch, at: int, gone: dict[int, list[tuple[int, int]]], chars_col: str | None):
+    """batch without the byte ranges gone of its texts."""
+    import pyarrow as pa
+
+    texts = batch.column(at).to_pylist()
+    for row, ranges in gone.items():
+        raw, left, k = texts[row].encode(), [], 0
+        for a, b in ranges:
+            left.append(raw[k:a])
+            k = b
+        texts[row] = b"".join([*left, raw[k:]]).decode()
+    names = batch.schema.names
+    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    if chars_col is not None:
+        k = names.index(chars_col)
+        chars = batch.column(k).to_pylist()
+        for row in gone:
+            chars[row] = len(texts[row])
+        batch = batch.set_column(k, batch.schema.field(k), pa.array(chars, batch.schema.field(k).type))
+    return batch
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = SHARE,
+    span: int | None = None, chars_col: str | None = None,
+) -> DataFrame:
+    """The rows of docs that are not contaminated, all columns as they are; no shuffle.
+
+    With span, runs of that many hit words or more are cut out of the rows that stay, from the first word to the last (what
+    stands around them stays, so no words are joined), and chars_col, if given, takes the new text's length. A text is cut
+    once: words that only the cut brings together are not looked at again.
+    """
     parts = list(_broadcast(docs.sparkSession.sparkContext, automata(benchmark, item_col, item_text_col, window)))
     at = docs.columns.index(text_col)
 
@@ -281,12 +313,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         import pyarrow as pa
 
         for batch, results in _scanned(batches, at, parts):
-            keep = np.ones(batch.num_rows, bool)
-            for i, _, _, _, ranges, hit, found in results:
+            keep, new = np.ones(batch.num_rows, bool), {}
+            for i, first, starts, ends, ranges, hit, found in results:
                 for row in found:
                     a, b = ranges[row], ranges[row + 1]
                     n_hit = int(hit[a:b].sum())
                     keep[i + row] = not (n_hit and share * n_hit >= b - a)
+                    gone = [(x, y) for x, y in (_spans(hit[a:b]) + a).tolist() if span is not None and y - x >= span]
+                    if keep[i + row] and gone:
+                        new[i + row] = [(int(starts[x] - first[row]), int(ends[y - 1] - first[row])) for x, y in gone]
+            if new:
+                batch = _without(batch, at, new, chars_col)
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -335,6 +335,29 @@ def test_rows_are_judged_alone_by_several_automata(spark):
     assert sorted(kept, key=str) == sorted([(None, clean), (8, clean), (8, clean)], key=str)
 
 
+@pytest.mark.parametrize("part_bytes", [decontaminate.PART_BYTES, 100])
+def test_benchmark_passages_are_cut(spark, tmp_path, part_bytes):
+    import corpus_pipeline
+
+    own = lambda a, n: " ".join(f"ö{a}x{k}" for k in range(n))
+    item, short, tiny = own("i", 40), own("s", 9), "tiny item"
+    spark.createDataFrame([(1, item), (2, short), (3, tiny)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [
+        (1, f"{own('a', 500)}, ({item.upper().replace('Ö', 'ö')})!\n{own('b', 400)} {tiny}", f"{own('a', 500)}, ()!\n{own('b', 400)} {tiny}"),
+        (2, f"{own('c', 300)} {short} {own('d', 300)} {short}", f"{own('c', 300)}  {own('d', 300)} "),
+        (3, f"{own('e', 30)} {item}", None),
+        (4, own("f", 50), own("f", 50)),
+        (5, None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        in_parts(part_bytes)
+        got = {x.doc_id: (x.text, x.n_chars) for x in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    finally:
+        in_parts(decontaminate.PART_BYTES)
+    assert got == {i: (left, 7 if left == t else len(left)) for i, t, left in rows if i != 3}
+
+
 def test_substring_dedup(docs, empty):
     seen, want = {}, {}
     for i, t in sorted((x for x in texts()[:-1] if x[0] is not None), key=lambda x: x[0]):
