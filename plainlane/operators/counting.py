@@ -1,60 +1,42 @@
-"""Canonical word counts of units: count groups stand for one word, excluded numbering for none."""
+"""Canonical word counts of units: count groups stand for one word, excluded numbering for none.
+
+The scanner counts with the groups that it finds itself. Groups from elsewhere (context, named entities, abbreviations)
+are merged with those and the units counted again; either way a unit costs a bisection and one sweep of its groups.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from .units import RANKS, WHOLE
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LIMITS = {"procedural": 20, "descriptive": 25, "note": 25}
-_EMPTY = "array<struct<kind:string,start:bigint,end:bigint,cs:int,ce:int>>"
-
-
-def plain_words(text: Column) -> Column:
-    """White-space words that hold a letter or a digit."""
-    return F.size(F.filter(F.split(text, "[\\p{IsWhite_Space}]+"), lambda w: w.rlike("[\\p{IsAlphabetic}\\p{N}]")))
-
-
-def ordered(groups: Column) -> Column:
-    """Groups by (start, longest first, rank)."""
-    rank = F.create_map(*[x for k, v in RANKS.items() for x in (F.lit(k), F.lit(v))])
-    keyed = F.transform(F.filter(groups, lambda g: g["start"] < g["end"]), lambda g: F.struct(g["cs"].alias("cs"), (-g["ce"]).alias("neg"), F.coalesce(rank[g["kind"]], F.lit(9)).alias("rank"), g["ce"].alias("ce"), g["kind"].alias("kind")))
-    return F.array_sort(keyed)
-
-
-def canonical(rows: DataFrame, groups: Column, name: str) -> DataFrame:
-    """rows with a column name: the ordered groups, the first one of each span."""
-    rows = rows.withColumn("_ordered", ordered(groups))
-    before = lambda i: F.get(F.col("_ordered"), i - 1)
-    first = F.filter("_ordered", lambda g, i: (i == 0) | (before(i)["cs"] != g["cs"]) | (before(i)["ce"] != g["ce"]))
-    return rows.withColumn(name, first).drop("_ordered")
-
-
-def unit_words(unit: Column, groups: Column) -> Column:
-    """The word count of one unit, given its document's canonical groups: a fold with a cursor over those inside it."""
-    whole = F.exists(groups, lambda g: g["kind"].isin(*WHOLE) & (g["cs"] <= unit["cs"]) & (g["ce"] >= unit["ce"]))
-    inside = F.filter(groups, lambda g: (g["cs"] >= unit["cs"]) & (g["ce"] <= unit["ce"]))
-    piece = lambda a, b: F.substring(unit["text"], a - unit["cs"] + 1, b - a)
-    state = F.struct(unit["cs"].cast("int").alias("cursor"), F.lit(0).alias("n"))
-
-    def step(acc: Column, g: Column) -> Column:
-        take = g["cs"] >= acc["cursor"]
-        more = acc["n"] + plain_words(piece(acc["cursor"], g["cs"])) + F.when(g["kind"] == "document_numbering_excluded", 0).otherwise(1)
-        return F.struct(F.when(take, g["ce"]).otherwise(acc["cursor"]).cast("int").alias("cursor"), F.when(take, more).otherwise(acc["n"]).cast("int").alias("n"))
-
-    done = F.aggregate(inside, state, step, lambda acc: acc["n"] + plain_words(piece(acc["cursor"], unit["ce"])))
-    return F.when(whole, F.lit(1)).otherwise(done)
-
-
-def counted_units(scanned: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(doc_id, mode, kind, start, end, words, limit) of all word-limit units. extra: more groups by doc_id (context,
-    named entities, abbreviations) as (doc_id, groups array)."""
-    rows = scanned
-    groups = F.transform("groups", lambda g: F.struct(g["kind"].alias("kind"), g["start"].alias("start"), g["end"].alias("end"), g["cs"].alias("cs"), g["ce"].alias("ce")))
-    if extra is not None:
-        rows = rows.join(extra.select("doc_id", F.col("groups").alias("more")), "doc_id", "left")
-        groups = F.concat(groups, F.coalesce(F.col("more"), F.array().cast(_EMPTY)))
-    rows = canonical(rows, groups, "all_groups").select("doc_id", "mode", "all_groups", F.explode("units").alias("u"))
-    limit = F.when(F.col("u.kind") == "note", LIMITS["note"]).when(F.col("mode") == "procedural", LIMITS["procedural"]).otherwise(LIMITS["descriptive"])
-    return rows.select("doc_id", "mode", "u.kind", "u.start", "u.end", unit_words(F.col("u"), F.col("all_groups")).alias("words"), limit.alias("limit"))
+_UNITS = "doc_id long, mode string, kind string, start long, end long, words int"
+
+
+def _recounted(batches) -> Iterator:
+    import pyarrow as pa
+
+    from .structure import Groups
+
+    for batch in batches:
+        out = []
+        for doc_id, mode, text, units, groups, more in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            known = Groups((g["kind"], g["cs"], g["ce"]) for g in [*(groups or ()), *(more or ())])
+            out += [(doc_id, mode, u["kind"], u["start"], u["end"], known.words(text, u["cs"], u["ce"])) for u in units or ()]
+        if out:
+            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in _UNITS.split(", ")])
+
+
+def counted_units(scanned: DataFrame, extra: DataFrame | None = None, carry=()) -> DataFrame:
+    """(doc_id, mode, kind, start, end, words, limit, carry...) of all word-limit units. extra: more groups by doc_id (context,
+    named entities, abbreviations) as (doc_id, groups array); carry: columns of scanned to keep (without extra only)."""
+    if extra is None:
+        rows = scanned.select("doc_id", "mode", F.explode("units").alias("u"), *carry).select("doc_id", "mode", "u.kind", "u.start", "u.end", "u.words", *carry)
+    else:
+        both = scanned.join(extra.select("doc_id", F.col("groups").alias("more")).hint("merge"), "doc_id", "left")
+        rows = both.select("doc_id", "mode", "text", "units", "groups", "more").mapInArrow(_recounted, _UNITS)
+    limit = F.when(F.col("kind") == "note", LIMITS["note"]).when(F.col("mode") == "procedural", LIMITS["procedural"]).otherwise(LIMITS["descriptive"])
+    return rows.withColumn("limit", limit)

@@ -38,7 +38,7 @@ def edges(scanned: DataFrame) -> DataFrame:
 def references(x: rules.Inputs) -> DataFrame:
     """(doc_id, start, end, pronoun, candidates, state): antecedents of it and its among entity mentions, those before it in
     its sentence, else those of the sentence before. Several identities stay ambiguous."""
-    token_unit = x.scanned.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.col("t.idx").alias("idx"), F.col("t.unit").alias("unit"))
+    token_unit = x.scanned.select("doc_id", F.posexplode("tokens").alias("idx", "t")).select("doc_id", "idx", F.col("t.unit").alias("unit"))
     m = rules.mentions(x).join(token_unit, ["doc_id", "idx"]).select("doc_id", F.col("unit").alias("m_unit"), F.col("start").alias("m_start"), "term_id")
     p = matching.word_rows(x.scanned).where(F.col("w").isin(*PRONOUNS) & (F.col("unit") >= 0)).select("doc_id", "unit", "start", "end", F.col("w").alias("pronoun"))
     near = p.join(m, "doc_id", "left").where("m_unit is null or m_unit = unit - 1 or (m_unit = unit and m_start < start)")

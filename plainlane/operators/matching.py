@@ -1,7 +1,9 @@
 """Phrase matching: n-grams of word arrays joined with form tables, longest match, leftmost sweep.
 
-Phrases are built inside each document's row, so only places that match anything are shuffled (by doc_id, for the sweep).
-Form tables are small; Spark broadcasts them by their known size, and falls back to a shuffle where they are not.
+A sweep with a set of phrases runs inside each document's row and shuffles nothing: places are looked at whose word begins a
+phrase, the widest phrase there is found in the set, and a fold keeps the leftmost ones. Sets of over MOST_PHRASES phrases take
+the way of joins: phrases are exploded, joined, and only places that match are shuffled (by doc_id).
+Form tables are broadcast only if they are counted and small (small()); frames that derive from documents never are.
 """
 
 from __future__ import annotations
@@ -10,21 +12,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def word_rows(scanned: DataFrame, family: str = "tokens") -> DataFrame:
-    """One row a word, with its neighbours: (doc_id, mode, idx, start, end, cs, ce, w, unit, first, p1, p2, n1, n2, ...)."""
-    t = F.transform(
-        family,
-        lambda x, i: F.struct(
-            x.alias("t"), F.lower(x["text"]).alias("w"),
-            F.lower(F.get(F.col(family), i - 1)["text"]).alias("p1"), F.lower(F.get(F.col(family), i - 2)["text"]).alias("p2"),
-            F.lower(F.get(F.col(family), i + 1)["text"]).alias("n1"), F.lower(F.get(F.col(family), i + 2)["text"]).alias("n2"),
-            F.get(F.col(family), i - 1)["start"].alias("p_start"),
-            (F.coalesce(F.get(F.col(family), i - 1)["unit"], F.lit(-2)) != x["unit"]).alias("first"),
-            F.coalesce(F.get(F.col(family), i + 1)["gap"], F.lit("")).alias("n_gap"),
-        ),
-    )
-    rows = scanned.select("doc_id", "mode", F.explode(t).alias("x"))
-    return rows.select("doc_id", "mode", "x.t.*", "x.w", "x.p1", "x.p2", "x.n1", "x.n2", "x.p_start", "x.first", "x.n_gap")
+#: Phrases that a plan may hold as a set, and rows of a dimension table that may be broadcast.
+MOST_PHRASES, MOST_ROWS = 50_000, 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A dimension table with a hint: broadcast if it has no more than MOST_ROWS rows (they are counted), else merge join."""
+    n = table.limit(MOST_ROWS + 1).count()
+    return F.broadcast(table) if n <= MOST_ROWS else table.hint("merge")
+
+
+def pinned(table: DataFrame) -> DataFrame:
+    """A dimension table of no more than MOST_ROWS rows held in the plan, so that it is computed once; a larger one as it is."""
+    rows = table.limit(MOST_ROWS + 1).toArrow()
+    return table.sparkSession.createDataFrame(rows, table.schema) if rows.num_rows <= MOST_ROWS else table
+
+
+def phrase_set(table: DataFrame, column: str) -> list[str] | None:
+    """The phrases of a dimension table, sorted; None if there are more than MOST_PHRASES."""
+    rows = table.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_PHRASES + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= MOST_PHRASES else None
+
+
+def sweep(scanned: DataFrame, phrases: list[str], family: str = "lexical", spaced: bool = False) -> DataFrame:
+    """scanned with the columns low (its lower-case words) and kept: the places (idx, width) of the widest phrase at each place,
+    of which a sweep from the left keeps those that start where the last kept one ended, or later. spaced: only white space
+    may stand between a phrase's words (the family has gaps)."""
+    by_width: dict[int, list[str]] = {}
+    for p in phrases:
+        by_width.setdefault(p.count(" ") + 1, []).append(p)
+    heads = sorted({p.split(" ")[0] for p in phrases})
+    rows = scanned.withColumn("low", F.transform(family, lambda t: F.lower(t["text"])))
+    low = F.col("low")
+    rows = rows.withColumn("_heads", F.filter(F.transform(low, lambda w, i: F.when(w.isin(heads), i)), lambda i: i.isNotNull()))
+
+    def width(i: Column) -> Column:
+        found = []
+        for k in sorted(by_width, reverse=True):
+            hit = (i + k <= F.size(low)) & (F.array_join(F.slice(low, i + 1, k), " ") if k > 1 else F.get(low, i)).isin(by_width[k])
+            if spaced and k > 1:
+                hit &= F.forall(F.slice(family, i + 2, k - 1), lambda t: t["gap"] == " ")
+            found.append(F.when(hit, F.lit(k)))
+        return F.coalesce(*found) if found else F.lit(None).cast("int")
+
+    hits = F.filter(F.transform("_heads", lambda i: F.struct(i.alias("idx"), width(i).alias("width"))), lambda m: m["width"].isNotNull())
+    none = F.array().cast("array<struct<idx:int,width:int>>")
+
+    def step(acc: Column, m: Column) -> Column:
+        take = m["idx"] >= acc["cursor"]
+        return F.struct(F.when(take, m["idx"] + m["width"]).otherwise(acc["cursor"]).alias("cursor"), F.when(take, F.concat(acc["kept"], F.array(m))).otherwise(acc["kept"]).alias("kept"))
+
+    rows = rows.withColumn("_hits", hits)
+    kept = F.when(F.size("_hits") > 0, F.aggregate("_hits", F.struct(F.lit(0).alias("cursor"), none.alias("kept")), step)["kept"]).otherwise(none)
+    return rows.withColumn("kept", kept).drop("_heads", "_hits")
+
+
+#: Columns of word_rows() beside those of the words themselves.
+AROUND = ("w", "p1", "p2", "n1", "n2", "p_start", "first", "n_gap")
+
+
+def word_rows(scanned: DataFrame, family: str = "tokens", around: tuple[str, ...] = AROUND) -> DataFrame:
+    """One row a word, with its neighbours: (doc_id, mode, idx, start, end, text, unit, gap, around...)."""
+    rows = scanned.select("doc_id", "mode", family, F.transform(family, lambda t: F.lower(t["text"])).alias("low"))
+    near = lambda i: F.get(F.col(family), i)
+    fields = {
+        "w": lambda x, i: F.get("low", i), "p1": lambda x, i: F.get("low", i - 1), "p2": lambda x, i: F.get("low", i - 2),
+        "n1": lambda x, i: F.get("low", i + 1), "n2": lambda x, i: F.get("low", i + 2), "p_start": lambda x, i: near(i - 1)["start"],
+        "first": lambda x, i: F.coalesce(near(i - 1)["unit"], F.lit(-2)) != x["unit"], "n_gap": lambda x, i: F.coalesce(near(i + 1)["gap"], F.lit("")),
+    }
+    t = F.transform(family, lambda x, i: F.struct(i.alias("idx"), x.alias("t"), *(fields[f](x, i).alias(f) for f in around)))
+    return rows.select("doc_id", "mode", F.explode(t).alias("x")).select("doc_id", "mode", "x.idx", "x.t.*", *(f"x.{f}" for f in around))
 
 
 def phrases(scanned: DataFrame, widths: int, family: str = "lexical", spaced: bool = False) -> DataFrame:
@@ -38,7 +95,7 @@ def phrases(scanned: DataFrame, widths: int, family: str = "lexical", spaced: bo
             part = F.slice(words, i + 1, k)
             ok = last(i, k).isNotNull()
             if spaced:
-                ok &= F.forall(F.slice(words, i + 2, k - 1), lambda t: t["gap"].rlike("^\\s+$")) | (k == 1)
+                ok &= F.forall(F.slice(words, i + 2, k - 1), lambda t: t["gap"] == " ") | (k == 1)
             return F.when(ok, F.struct(i.alias("idx"), k.alias("width"), x["start"].alias("start"), last(i, k)["end"].alias("end"), F.array_join(F.transform(part, lambda t: F.lower(t["text"])), " ").alias("phrase")))
 
         return F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(widths, 1))), one), lambda y: y.isNotNull())
@@ -64,7 +121,7 @@ def leftmost(matches: DataFrame) -> DataFrame:
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("width").cast("int").alias("width"))))
     kept = matches.groupBy("doc_id").agg(F.aggregate(ordered, state, step)["kept"].alias("kept"))
-    return matches.join(kept.select("doc_id", F.explode("kept").alias("idx")), ["doc_id", "idx"])
+    return matches.join(kept.select("doc_id", F.explode("kept").alias("idx")).hint("merge"), ["doc_id", "idx"])
 
 
 def span_union(spans: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import diagnose, diagnostics
+from ..schema import checks, diagnose, diagnostics
 from . import counting, matching
 
 # Closed word classes and word lists of the rules.
@@ -40,9 +40,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _known(x: Inputs) -> DataFrame:
+def _known(x: Inputs, around: tuple[str, ...] = matching.AROUND) -> DataFrame:
     """Words with all that their form's candidates say."""
-    return matching.word_rows(x.scanned).join(x.forms.where("width = 1").withColumnRenamed("form", "w").drop("width"), "w", "left")
+    return matching.word_rows(x.scanned, around=around).join(matching.small(x.forms.where("width = 1").withColumnRenamed("form", "w").drop("width")), "w", "left")
 
 
 def punctuation(x: Inputs) -> DataFrame:
@@ -69,9 +69,10 @@ def length(x: Inputs) -> DataFrame:
 
 def lists(x: Inputs) -> DataFrame:
     heads = x.scanned.select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.*").where("depth = 0 and not introduced")
-    items = x.scanned.select("doc_id", "tokens", F.explode("items").alias("i")).select("doc_id", "i.start", "i.end", F.rtrim(F.regexp_replace("i.text", "\\s+$", "")).alias("text"), F.filter("tokens", lambda t: (t["start"] >= F.col("i.start")) & (t["end"] <= F.col("i.end"))).alias("own"))
+    zipped = x.scanned.select("doc_id", F.explode(F.arrays_zip("items", "item_words")).alias("z"))
+    items = zipped.select("doc_id", "z.items.start", "z.items.end", F.regexp_replace("z.items.text", "\\s+$", "").alias("text"), F.col("z.item_words.words").alias("own"))
     first = F.regexp_extract("text", "\\p{IsAlphabetic}", 0)
-    words = items.select("doc_id", "start", "end", "text", F.posexplode(F.transform("own", lambda t: F.lower(t["text"]))).alias("at", "w")).join(x.forms.where("width = 1").select(F.col("form").alias("w"), "base_verbs", "verbs", "other_approved", "nominals"), "w", "left")
+    words = items.select("doc_id", "start", "end", "text", F.posexplode("own").alias("at", "w")).join(matching.small(x.forms.where("width = 1").select(F.col("form").alias("w"), "base_verbs", "verbs", "other_approved", "nominals")), "w", "left")
     verb = F.col("w").isin(*BE, *HAVE, "do", "does", "did", "can", "must", "will")
     sure = verb | ((F.col("at") == 0) & (F.col("base_verbs") > 0) & (F.col("nominals") == 0))
     maybe = (F.col("verbs") > 0) & ~sure
@@ -95,16 +96,16 @@ def _opening(rows: DataFrame, x: Inputs, most: int = 8) -> DataFrame:
     """rows (doc_id, start, end, words array) with the candidates of their longest known opening phrase of up to most words."""
     tagged = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.greatest(F.size("words"), F.lit(1))))))
     tagged = tagged.withColumn("form", F.array_join(F.slice("words", 1, F.col("k")), " "))
-    joined = tagged.join(x.forms.select("form", "base_verbs", "other_approved", "n_unapproved", "n_approved"), "form", "left").where("n_approved is not null or k = 1")
+    joined = tagged.join(matching.small(x.forms.select("form", "base_verbs", "other_approved", "n_unapproved", "n_approved")), "form", "left").where("n_approved is not null or k = 1")
     m = F.max_by(F.struct("form", "base_verbs", "other_approved", "n_unapproved", "n_approved"), F.when(F.col("n_approved").isNotNull(), F.col("k")).otherwise(0)).alias("m")
     return joined.groupBy("doc_id", "start", "end").agg(m, F.first("words").alias("words")).select("doc_id", "start", "end", "words", "m.*")
 
 
-def _unit_words(x: Inputs, kinds: list[str], mode: str | None = "procedural") -> DataFrame:
-    rows = x.scanned if mode is None else x.scanned.where(F.col("mode") == mode)
-    u = rows.select("doc_id", "tokens", F.explode("units").alias("u")).where(F.col("u.kind").isin(*kinds))
-    words = F.transform(F.filter("tokens", lambda t: t["unit"] == F.col("u.id")), lambda t: F.lower(t["text"]))
-    return u.select("doc_id", "u.start", "u.end", F.col("u.text").alias("text"), words.alias("words")).where(F.size("words") > 0)
+def _unit_words(x: Inputs, kinds: list[str]) -> DataFrame:
+    """Units of procedural documents with their words."""
+    rows = x.scanned.where("mode = 'procedural'")
+    u = rows.select("doc_id", F.explode(F.arrays_zip("units", "unit_words")).alias("z")).where(F.col("z.units.kind").isin(*kinds))
+    return u.select("doc_id", "z.units.start", "z.units.end", "z.units.text", F.col("z.unit_words.words").alias("words")).where(F.size("words") > 0)
 
 
 def notes(x: Inputs) -> DataFrame:
@@ -131,39 +132,80 @@ def paragraph(x: Inputs) -> DataFrame:
     return _union(out)
 
 
-def _verbal(x: Inputs) -> DataFrame:
-    """Words after an auxiliary and white space, with their candidates and, for progressive forms, their verb."""
-    k = _known(x).where(F.col("p1").isin(*HAVE, *BE) & F.col("gap").rlike("^\\s+$"))
-    return k.join(x.ings.select(F.col("form").alias("w"), F.col("base"), F.col("n_approved").alias("ing_ok")), "w", "left")
+def words(x: Inputs) -> DataFrame:
+    """Every word with its candidates, its verb if it is a progressive form, and whether glossary terms of one word are nouns
+    or verbs: what all families of single words read, in one pass."""
+    ings = x.ings.select(F.col("form").alias("w"), F.col("base"), F.col("n_approved").alias("ing_ok"))
+    k = _known(x, ("w", "p1", "n1", "p_start", "first")).join(matching.small(ings), "w", "left")
+    if x.identities is None:
+        return k.withColumn("noun", F.lit(False)).withColumn("verb", F.lit(False))
+    terms = x.identities.where("width = 1 and coalesce(status, 'approved') <> 'deprecated'").groupBy(F.col("identity").alias("w"))
+    return k.join(matching.small(terms.agg(F.bool_or(F.array_contains("roles", "noun")).alias("noun"), F.bool_or(F.array_contains("roles", "verb")).alias("verb"))), "w", "left")
 
 
-def verb_constructions(x: Inputs) -> DataFrame:
+def _after_auxiliary() -> tuple[Column, Column]:
+    """Whether white space alone parts the word from a form of have, or of be, before it."""
+    return F.col("p1").isin(*HAVE) & (F.col("gap") == " "), F.col("p1").isin(*BE) & (F.col("gap") == " ")
+
+
+def verb_tests(x: Inputs) -> list[tuple]:
+    have, be = _after_auxiliary()
     clear = (F.col("other_approved") == 0) & (F.col("n_unapproved") == 0)
-    have, be = F.col("p1").isin(*HAVE) & (F.col("participles") > 0), F.col("p1").isin(*BE) & (F.col("participles") > 0)
-    adjective, other = F.col("adjectives") > 0, F.coalesce(F.col("nominals"), F.lit(0)) > 0
-    ing = F.col("p1").isin(*BE) & (F.col("ing_ok") > 0)
-    out = [diagnose(_verbal(x), "verb_constructions", [
-        (have & clear, "STE-VERB-001", "error", "Do not use perfect tenses."),
-        (have & ~clear, "STE-VERB-002", "blocked", "The tense may be a perfect one."),
-        (be & ~adjective, "STE-VERB-003", "error", "Do not use the passive voice."),
-        (be & adjective, "STE-VERB-004", "blocked", "The participle may be an adjective."),
+    participle, adjective, other = F.col("participles") > 0, F.col("adjectives") > 0, F.coalesce(F.col("nominals"), F.lit(0)) > 0
+    ing = be & (F.col("ing_ok") > 0)
+    ev = F.to_json(F.struct(F.col("p1").alias("auxiliary"), F.col("w").alias("form")))
+    tests = [
+        (have & participle & clear, "STE-VERB-001", "error", "Do not use perfect tenses."),
+        (have & participle & ~clear, "STE-VERB-002", "blocked", "The tense may be a perfect one."),
+        (be & participle & ~adjective, "STE-VERB-003", "error", "Do not use the passive voice."),
+        (be & participle & adjective, "STE-VERB-004", "blocked", "The participle may be an adjective."),
         (ing & ~other, "STE-VERB-005", "error", "Do not use progressive tenses."),
         (ing & other, "STE-VERB-006", "blocked", "The form may be a noun or adjective."),
-    ], F.to_json(F.struct(F.col("p1").alias("auxiliary"), F.col("w").alias("form"))), start="p_start")]
-    if x.evidence is not None:
-        e = x.evidence.where("pos = 'verb'").select("doc_id", "start", "end").distinct()
-        free = matching.word_rows(x.scanned).where(F.col("w").endswith("ing") & ~F.coalesce(F.col("p1").isin(*BE), F.lit(False))).join(e, ["doc_id", "start", "end"])
-        out.append(diagnostics(free, "verb_constructions", "STE-VERB-007", "error", "Use the -ing form only as a noun or modifier.", F.to_json(F.struct("w"))))
-    return _union(out)
+    ]
+    return [("verb_constructions", *t, ev, "p_start") for t in tests]
+
+
+def voice_tests(x: Inputs) -> list[tuple]:
+    _, be = _after_auxiliary()
+    none = F.lit(None).cast("string")
+    passive = (F.col("mode") == "procedural") & be & (F.col("participles") > 0) & (F.col("adjectives") == 0)
+    return [
+        ("grammar", be & F.col("base").isNotNull() & (F.coalesce(F.col("nominals"), F.lit(0)) == 0), "STE-GRAM-002", "error", "Do not use progressive tenses.", none, "p_start"),
+        ("grammar", passive, "STE-GRAM-003", "error", "Use the active voice in procedures.", none, "p_start"),
+    ]
+
+
+def role_tests(x: Inputs) -> list[tuple]:
+    nominal = F.coalesce(F.col("p1").isin(*DETERMINERS) & ~F.col("first"), F.lit(False))
+    verbal = (F.col("mode") == "procedural") & F.col("first") & F.coalesce(F.col("n1").isin(*DETERMINERS), F.lit(False)) & ~nominal
+    ev = F.to_json(F.struct("w"))
+    return [
+        ("technical_roles", F.col("noun") & ~F.col("verb") & verbal, "STE-TERM-003", "error", "Do not use a technical noun as a verb.", ev, "start"),
+        ("technical_roles", F.col("verb") & ~F.col("noun") & nominal, "STE-TERM-004", "error", "Do not use a technical verb as a noun.", ev, "start"),
+    ]
+
+
+def verb_constructions(x: Inputs) -> DataFrame:
+    out = [checks(words(x), verb_tests(x))]
+    return _union(out + free_ings(x))
+
+
+def free_ings(x: Inputs) -> list[DataFrame]:
+    """-ing forms that evidence calls verbs, without an auxiliary before them."""
+    if x.evidence is None:
+        return []
+    e = x.evidence.where("pos = 'verb'").select("doc_id", "start", "end").distinct()
+    free = matching.word_rows(x.scanned).where(F.col("w").endswith("ing") & ~F.coalesce(F.col("p1").isin(*BE), F.lit(False))).join(e, ["doc_id", "start", "end"])
+    return [diagnostics(free, "verb_constructions", "STE-VERB-007", "error", "Use the -ing form only as a noun or modifier.", F.to_json(F.struct("w")))]
 
 
 def nominal_runs(x: Inputs) -> DataFrame:
     """(doc_id, start, end, n): runs of words that can only be nouns or noun modifiers, after a determiner; words joined by
     hyphens count once. Gaps and islands over the marked words."""
-    k = _known(x).withColumn("nominal", (F.col("nominals") > 0) & (F.col("verbs") == 0) & ~F.col("w").isin(*DETERMINERS))
+    k = _known(x, ("w", "p1")).withColumn("nominal", (F.col("nominals") > 0) & (F.col("verbs") == 0) & ~F.col("w").isin(*DETERMINERS))
     if x.identities is not None:
         nouns = x.identities.where("width = 1 and array_contains(roles, 'noun')").select(F.col("identity").alias("w"), F.lit(True).alias("term")).distinct()
-        k = k.join(nouns, "w", "left").withColumn("nominal", F.coalesce(F.col("nominal"), F.lit(False)) | F.col("term").isNotNull())
+        k = k.join(matching.small(nouns), "w", "left").withColumn("nominal", F.coalesce(F.col("nominal"), F.lit(False)) | F.col("term").isNotNull())
     k = k.where("nominal")
     w = Window.partitionBy("doc_id").orderBy("idx")
     joined = F.coalesce((F.col("idx") == F.lag("idx").over(w) + 1) & F.col("gap").rlike("^(\\s+|-)$") & (F.col("unit") == F.lag("unit").over(w)), F.lit(False))
@@ -173,14 +215,11 @@ def nominal_runs(x: Inputs) -> DataFrame:
 
 
 def grammar(x: Inputs) -> DataFrame:
-    be = F.col("p1").isin(*BE)
-    return _union([
-        diagnostics(nominal_runs(x).where("n > 3"), "grammar", "STE-NOUN-001", "error", "Use no more than three words in a noun.", F.to_json(F.struct("n"))),
-        diagnose(_verbal(x), "grammar", [
-            (be & F.col("base").isNotNull() & (F.coalesce(F.col("nominals"), F.lit(0)) == 0), "STE-GRAM-002", "error", "Do not use progressive tenses."),
-            ((F.col("mode") == "procedural") & be & (F.col("participles") > 0) & (F.col("adjectives") == 0), "STE-GRAM-003", "error", "Use the active voice in procedures."),
-        ], start="p_start"),
-    ])
+    return _union([long_nouns(x), checks(words(x), voice_tests(x))])
+
+
+def long_nouns(x: Inputs) -> DataFrame:
+    return diagnostics(nominal_runs(x).where("n > 3"), "grammar", "STE-NOUN-001", "error", "Use no more than three words in a noun.", F.to_json(F.struct("n")))
 
 
 def mentions(x: Inputs) -> DataFrame:
@@ -217,16 +256,7 @@ def discourse(x: Inputs) -> DataFrame:
 
 
 def technical_roles(x: Inputs) -> DataFrame:
-    if x.identities is None:
-        return _none(x)
-    m = x.identities.where("width = 1 and coalesce(status, 'approved') <> 'deprecated'").select(F.col("identity").alias("w"), F.array_contains("roles", "noun").alias("noun"), F.array_contains("roles", "verb").alias("verb"))
-    k = matching.word_rows(x.scanned).join(m, "w")
-    nominal = F.coalesce(F.col("p1").isin(*DETERMINERS) & ~F.col("first"), F.lit(False))
-    verbal = (F.col("mode") == "procedural") & F.col("first") & F.coalesce(F.col("n1").isin(*DETERMINERS), F.lit(False)) & ~nominal
-    return diagnose(k, "technical_roles", [
-        (F.col("noun") & ~F.col("verb") & verbal, "STE-TERM-003", "error", "Do not use a technical noun as a verb."),
-        (F.col("verb") & ~F.col("noun") & nominal, "STE-TERM-004", "error", "Do not use a technical verb as a noun."),
-    ], F.to_json(F.struct("w")))
+    return _none(x) if x.identities is None else checks(words(x), role_tests(x))
 
 
 def dictionary_forms(x: Inputs) -> DataFrame:
@@ -303,21 +333,40 @@ def contextual(x: Inputs) -> DataFrame:
     return diagnose(o, "contextual", [(F.col("bad"), "STE-CTX-000", "blocked", "The fact does not fit the text."), *good], F.when(~F.col("bad"), F.to_json(F.struct(part.alias("text")))))
 
 
-def lexical(x: Inputs) -> DataFrame:
-    """Dictionary and glossary status of words and phrases: longest first, the glossary before the dictionary."""
-    s = x.scanned.select("doc_id", "mode", "lexical")
-    ph = matching.phrases(s, x.widths, "lexical")
-    d = x.forms.select(F.col("form").alias("phrase"), F.lit(1).alias("source"), "n_approved", "n_unapproved", "instead", F.lit(None).cast("string").alias("status"), F.lit(None).cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("replacement"))
+def _dictionary(x: Inputs) -> DataFrame:
+    """Phrases of the lexicon and the glossary with what LEX and TERM codes ask of them; the glossary comes first."""
+    d = x.forms.select(F.col("form").alias("phrase"), "width", F.lit(1).alias("source"), "n_approved", "n_unapproved", "instead", F.lit(None).cast("string").alias("status"), F.lit(None).cast("array<string>").alias("roles"), F.lit(None).cast("string").alias("replacement"))
     if x.identities is not None:
-        g = x.identities.select(F.col("identity").alias("phrase"), F.lit(0).alias("source"), F.lit(0).cast("long").alias("n_approved"), F.lit(0).cast("long").alias("n_unapproved"), F.lit(None).cast("string").alias("instead"), "status", "roles", "replacement")
+        g = x.identities.select(F.col("identity").alias("phrase"), "width", F.lit(0).alias("source"), F.lit(0).cast("long").alias("n_approved"), F.lit(0).cast("long").alias("n_unapproved"), F.lit(None).cast("string").alias("instead"), "status", "roles", "replacement")
         d = d.unionByName(g)
-    found = matching.longest(ph.join(d, "phrase"), "source")
-    many = matching.leftmost(found.where("width > 1"))
-    covered = many.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "width")).alias("covered"))
-    single = s.select("doc_id", F.explode("lexical").alias("t")).select("doc_id", "t.*").where("not machine").join(found.where("width = 1").drop("mode", "start", "end", "phrase"), ["doc_id", "idx"], "left").join(covered, "doc_id", "left")
-    single = single.where(~F.coalesce(F.exists("covered", lambda c: (F.col("idx") >= c["idx"]) & (F.col("idx") < c["idx"] + c["width"])), F.lit(False))).withColumn("phrase", F.lower("text"))
-    cols = ["doc_id", "start", "end", "phrase", "source", "n_approved", "n_unapproved", "instead", "status", "roles", "replacement"]
-    rows = single.select(cols).unionByName(many.select(cols))
+    rest = [c for c in d.columns if c != "phrase"]
+    return d.groupBy("phrase").agg(F.min_by(F.struct(*rest), "source").alias("m")).select("phrase", "m.*")
+
+
+def lexical_rows(x: Inputs) -> DataFrame:
+    """(doc_id, start, end, phrase): the longest, leftmost known phrases of several words, and all words outside of them that
+    are not machine-like."""
+    d = _dictionary(x)
+    s = x.scanned.select("doc_id", "mode", "lexical")
+    many = matching.phrase_set(d.where("width > 1"), "phrase")
+    if many is not None:
+        swept = matching.sweep(s, many)
+        t = lambda i: F.get("lexical", i)
+        multi = F.transform("kept", lambda m: F.struct(t(m["idx"])["start"].alias("start"), t(m["idx"] + m["width"] - 1)["end"].alias("end"), F.array_join(F.slice("low", m["idx"] + 1, m["width"]), " ").alias("phrase")))
+        covered = F.flatten(F.transform("kept", lambda m: F.sequence(m["idx"], m["idx"] + m["width"] - 1)))
+        swept = swept.where(F.size("lexical") > 0).withColumn("free", F.array_except(F.sequence(F.lit(0), F.size("lexical") - 1), covered))
+        lone = F.transform(F.filter("free", lambda i: ~t(i)["machine"]), lambda i: F.struct(t(i)["start"].alias("start"), t(i)["end"].alias("end"), F.get("low", i).alias("phrase")))
+        return swept.select("doc_id", F.explode(F.concat(multi, lone)).alias("r")).select("doc_id", "r.*")
+    found = matching.phrases(s, x.widths, "lexical").join(d.select("phrase").hint("merge"), "phrase").where("width > 1")
+    kept = matching.leftmost(matching.longest(found)).select("doc_id", "idx", "width", "start", "end", "phrase")
+    covered = kept.select("doc_id", F.explode(F.sequence("idx", F.col("idx") + F.col("width") - 1)).alias("idx"))
+    lone = s.select("doc_id", F.posexplode("lexical").alias("idx", "t")).select("doc_id", "idx", "t.*").where("not machine").join(covered.hint("merge"), ["doc_id", "idx"], "left_anti")
+    return lone.select("doc_id", "start", "end", F.lower("text").alias("phrase")).unionByName(kept.select("doc_id", "start", "end", "phrase"))
+
+
+def lexical(x: Inputs) -> DataFrame:
+    """Dictionary and glossary status of words and phrases: longest first, the glossary before the dictionary."""
+    rows = lexical_rows(x).join(matching.small(_dictionary(x).drop("width")), "phrase", "left")
     ev = F.to_json(F.struct("phrase", "instead", "replacement"))
     noun = F.array_contains("roles", "noun")
     word = F.col("source") == 1
@@ -335,3 +384,22 @@ def _none(x: Inputs) -> DataFrame:
 
 
 FAMILIES = [punctuation, contractions, length, lists, notes, paragraph, verb_constructions, grammar, entities, discourse, technical_roles, dictionary_forms, dictionary_roles, procedural, contextual, lexical]
+
+#: Families of single words, by their tests: run() evaluates all that are asked for in one pass over the words.
+WORD_TESTS = {verb_constructions: (verb_tests, free_ings), grammar: (voice_tests, lambda x: [long_nouns(x)]), technical_roles: (role_tests, lambda x: [])}
+
+#: The span families that each rule family reads.
+READS = {
+    punctuation: ["semicolons"], contractions: ["runs"], length: ["units", "groups"], lists: ["lists", "items", "item_words"], notes: ["units", "unit_words"],
+    paragraph: ["paragraphs"], verb_constructions: ["tokens"], grammar: ["tokens"], entities: ["tokens"], discourse: ["headings", "paragraphs", "units", "items", "notes", "safety"],
+    technical_roles: ["tokens"], dictionary_forms: ["tokens"], dictionary_roles: ["tokens"], procedural: ["units", "unit_words", "safety"], contextual: [], lexical: ["lexical"],
+}
+
+
+def run(x: Inputs, families: list) -> DataFrame:
+    """Diagnostics of the rule families: one pass for all families of single words, one for each other."""
+    single = [f for f in families if f in WORD_TESTS and not (f is technical_roles and x.identities is None)]
+    parts = [f(x) for f in families if f not in WORD_TESTS]
+    if single:
+        parts += [checks(words(x), [t for f in single for t in WORD_TESTS[f][0](x)]), *(d for f in single for d in WORD_TESTS[f][1](x))]
+    return _union(parts) if parts else _none(x)

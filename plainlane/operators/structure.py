@@ -1,45 +1,108 @@
 """Document structure: one pass over each text that emits every span family as arrays, with UTF-8 byte offsets.
 
 This is the engine's only per-document imperative step. Blocks (a CommonMark subset: headings, paragraphs, nested lists,
-fenced and indented code, quotes, inline code), notes, safety statements, sentences and words need state machines that
-Column expressions cannot fold in linear time. All rules above it are DataFrame transformations of its arrays. HTML
-blocks and link reference definitions are not recognised.
+fenced and indented code, quotes, inline code), notes, safety statements, sentences, words and word counts need state
+machines that Column expressions cannot fold in linear time. All rules above it are DataFrame transformations of its
+arrays. Every construct takes time in proportion to the text (times the depth of nested parentheses): neighbours are found
+by bisection of sorted spans, never by looking through all of them, and nothing is decided on a cut-off part of the text.
+HTML blocks and link reference definitions are protected, not checked.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .units import RANKS, WHOLE
+
 SPAN = "start long, end long, cs int, ce int"
-SCANNED = (
-    "doc_id long, text string, mode string, "
-    f"protected array<struct<{SPAN}>>, headings array<struct<{SPAN}>>, paragraphs array<struct<id int, {SPAN}, sentences int>>, "
-    f"lists array<struct<id int, depth int, {SPAN}, introduced boolean>>, items array<struct<id int, list int, depth int, {SPAN}, text string>>, "
-    f"notes array<struct<id int, {SPAN}, text string>>, safety array<struct<id int, level string, {SPAN}, text string>>, "
-    f"units array<struct<id int, kind string, parent int, {SPAN}, text string>>, "
-    f"tokens array<struct<idx int, {SPAN}, text string, unit int, gap string>>, lexical array<struct<idx int, {SPAN}, text string, machine boolean>>, "
-    f"runs array<struct<{SPAN}, text string>>, semicolons array<struct<{SPAN}>>, groups array<struct<kind string, {SPAN}, text string>>"
-)
+#: The span families; scanned() computes those that are asked for. unit_words and item_words are the lower-case words of each
+#: unit (its own ones, not those of units inside it) and item, at the same places as in units and items.
+FAMILIES = {
+    "protected": SPAN,
+    "headings": SPAN,
+    "paragraphs": f"id int, {SPAN}, sentences int",
+    "lists": f"id int, depth int, {SPAN}, introduced boolean",
+    "items": f"id int, list int, depth int, {SPAN}, text string",
+    "notes": f"id int, {SPAN}, text string",
+    "safety": f"id int, level string, {SPAN}, text string",
+    "units": f"id int, kind string, parent int, {SPAN}, text string, words int",
+    "unit_words": "words array<string>",
+    "item_words": "words array<string>",
+    "tokens": "start long, end long, text string, unit int, gap string",
+    "lexical": "start long, end long, text string, machine boolean",
+    "runs": f"{SPAN}, text string",
+    "semicolons": SPAN,
+    "groups": f"kind string, {SPAN}, text string",
+}
+
+#: Fields of scan()'s rows that scanned() gives; words are numbered by their place.
+_GIVEN = {"tokens": (1, 2, 5, 6, 7), "lexical": (1, 2, 5, 6)}
 
 _ITEM = re.compile(r"(?P<indent>[ \t]*)(?P<mark>[-*+]|\d{1,9}[.)]|•|\([A-Za-z0-9]\)|[A-Za-z][.)])[ \t]+(?=\S)")
-_HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+(?P<body>.*?))?(?:[ \t]+#+)?[ \t]*$")
+_HASHES = re.compile(r" {0,3}#{1,6}(?=[ \t]|$)")
 _FENCE = re.compile(r" {0,3}(?P<mark>`{3,}|~{3,})")
 _RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
+_SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*")
+_QUOTE = re.compile(r"(?: {0,3}> ?)+")
 _NOTE = re.compile(r"(?P<indent>\s*)note:", re.I)
 _SAFETY = re.compile(r"\s*(?P<level>warning|caution)\s*:", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _RUN = re.compile(r"(?:[^\W\d_]|['’-])+")
 _NONSPACE = re.compile(r"\S+")
+_SPACE = re.compile(r"\s")
+_INK = re.compile(r"\S")
+_TICKS = re.compile("`+")
 _MARK = re.compile(r"[\"“”().?!:]")
+_BRACKET = re.compile(r"[()]")
+_LETTER = re.compile(r"[^\W_]")
+#: A white-space word that holds a letter or a digit, from that character on.
+_PLAIN = re.compile(r"[^\W_]\S*")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "_/\\-")
 _MACHINE = re.compile(r"[_/\\.\-0-9]")
+_OPENERS = "(\"'“‘["
+# HTML blocks start with a comment, an instruction, a declaration, raw text, or a tag of these block names.
+_BLOCK_TAGS = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption "
+    "figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol "
+    "optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+).split()
+_HTML_ENDED = [
+    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
+    (re.compile(r" {0,3}<!--"), re.compile("-->")),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
+    (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">")),
+]
+_HTML_TAG = re.compile(r" {0,3}</?(?:" + "|".join(_BLOCK_TAGS) + r")(?:[\s>]|/>|$)", re.I)
+_HTML_LONE = re.compile(r" {0,3}(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$")
+_LINK_DEFINITION = re.compile(r" {0,3}\[[^\[\]]*[^\s\[\]][^\[\]]*\]:[ \t]*\S")
+
+
+class Spans:
+    """Sorted spans that lie apart: overlap and containment by bisection."""
+
+    def __init__(self, spans: Sequence[tuple[int, int]]):
+        self.spans = list(spans)
+        self.starts = [a for a, _ in self.spans]
+        self.ends = [b for _, b in self.spans]
+
+    def between(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Those that share a place with [a, b)."""
+        return self.spans[bisect_right(self.ends, a) : bisect_left(self.starts, b)]
+
+    def touches(self, a: int, b: int) -> bool:
+        return bisect_right(self.ends, a) < bisect_left(self.starts, b)
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one of them contains [a, b)."""
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and b <= self.ends[k]
 
 
 @dataclass
@@ -75,17 +138,40 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _inside(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(s < b and a < e for s, e in spans)
+def _heading(line: str, indent: int) -> tuple[int, int] | None:
+    """The content of an ATX heading within its line (it may be empty), None if it is none."""
+    m = _HASHES.match(line)
+    if m is None or indent > 3:
+        return None
+    end = len(line.rstrip(" \t"))
+    bare = len(line[:end].rstrip("#"))
+    if bare < end and (bare <= m.end() or line[bare - 1] in " \t"):
+        end = len(line[:bare].rstrip(" \t"))
+    start = m.end() + len(line[m.end() :]) - len(line[m.end() :].lstrip(" \t"))
+    return (start, end) if start < end else (m.end(), m.end())
+
+
+def _html(line: str, in_paragraph: bool) -> re.Pattern | str | None:
+    """What ends the HTML block that starts here: a pattern, "" for the next blank line, None if none starts."""
+    if "<" not in line[:4]:
+        return None
+    for begin, end in _HTML_ENDED:
+        if begin.match(line):
+            return end
+    if _HTML_TAG.match(line) or (not in_paragraph and _HTML_LONE.match(line)):
+        return ""
+    return None
 
 
 def blocks_of(text: str) -> Document:
     d = Document(text)
     para: list[int] | None = None  # start, end
-    stack: list[list[int]] = []  # indent of content, list number
+    stack: list[list[int]] = []  # indent of content, list number, indent of the mark
     fence = ""
     fence_at = 0
+    html: re.Pattern | str | None = None
     after_blank = True
+    ink = ""  # the last character before the line that is no white space
 
     def close_para():
         nonlocal para
@@ -94,63 +180,76 @@ def blocks_of(text: str) -> Document:
                 d.paragraphs.append((para[0], para[1]))
             para = None
 
-    def close_lists(indent: int):
-        while stack and indent < stack[-1][0]:
-            stack.pop()
-
     for a, b in lines_of(text):
         line = text[a:b].rstrip("\r")
         b = a + len(line)
         body = line.strip()
+        before, ink = ink, body[-1:] or ink
         if fence:
             if body.startswith(fence) and not body.strip(fence[0]):
                 d.protected.append((fence_at, b))
                 fence = ""
             continue
+        if html is not None:
+            if html == "" and not body:
+                html = None
+            else:
+                if body:
+                    d.protected.append((a, b))
+                if html and html.search(line):
+                    html = None
+                continue
         if not body:
             close_para()
             after_blank = True
             continue
-        quoted = re.match(r"(?: {0,3}> ?)+", line)
+        quoted = _QUOTE.match(line)
         if quoted:
             a, line = a + quoted.end(), line[quoted.end() :]
-            body = line.strip()
+            body, before = line.strip(), ">"
             if not body:
                 close_para()
                 continue
         indent = len(line) - len(line.lstrip(" \t"))
+        heading = _heading(line, indent)
         if m := _FENCE.match(line):
             close_para()
             fence, fence_at = m["mark"], a
         elif indent >= 4 and not stack and not para:
             d.protected.append((a, b))
-        elif (m := _HEADING.match(line)) and indent < 4:
+        elif heading is not None:
             close_para()
             stack.clear()
-            if m["body"]:
-                d.headings.append((a + m.start("body"), a + m.end("body")))
-        elif para and not stack and re.fullmatch(r" {0,3}(=+|-+)[ \t]*", line):
+            if heading[0] < heading[1]:
+                d.headings.append((a + heading[0], a + heading[1]))
+        elif para and not stack and _SETEXT.fullmatch(line):
             d.headings.append((para[0], para[1]))
             para = None
         elif _RULE.match(line):
             close_para()
             stack.clear()
+        elif not stack and (end := _html(line, para is not None)) is not None:
+            close_para()
+            d.protected.append((a, b))
+            html = None if end and end.search(line) else end
+        elif not stack and not para and _LINK_DEFINITION.match(line):
+            d.protected.append((a, b))
         elif m := _ITEM.match(line):
             close_para()
             lead = len(m["indent"].expandtabs(4))
             while stack and lead < stack[-1][2]:
                 stack.pop()
             if not stack or lead >= stack[-1][0]:
-                d.lists.append([len(stack), a, b, text[:a].rstrip().endswith(":")])
+                d.lists.append([len(stack), a, b, before == ":"])
                 stack.append([lead + len(m[0]) - len(m["indent"]), len(d.lists) - 1, lead])
             d.items.append([stack[-1][1], len(stack) - 1, a + m.end(), b])
             for s in stack:
                 d.lists[s[1]][2] = max(d.lists[s[1]][2], b)
         elif stack and (not after_blank or indent >= stack[0][0]):
             if after_blank:
-                close_lists(indent)
-            own = d.items[-1]
-            own[3] = b
+                while stack and indent < stack[-1][0]:
+                    stack.pop()
+            d.items[-1][3] = b
             for s in stack:
                 d.lists[s[1]][2] = max(d.lists[s[1]][2], b)
         else:
@@ -161,120 +260,161 @@ def blocks_of(text: str) -> Document:
     if fence:
         d.protected.append((fence_at, len(text)))
     close_para()
-    for a, b in [*d.paragraphs, *d.headings, *((i[2], i[3]) for i in d.items)]:
-        d.protected.extend(_code_spans(text, a, b))
+    if "`" in text:
+        for a, b in [*d.paragraphs, *d.headings, *((i[2], i[3]) for i in d.items)]:
+            d.protected.extend(_code_spans(text, a, b))
     d.protected = union(d.protected)
     return d
 
 
 def _code_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
-    ticks = [(m.start(), m.end()) for m in re.compile("`+").finditer(text, a, b)]
+    """From each run of backticks to the next run of the same length."""
+    ticks = [m.span() for m in _TICKS.finditer(text, a, b)]
+    later: dict[int, int] = {}
+    close = [-1] * len(ticks)
+    for k in range(len(ticks) - 1, -1, -1):
+        size = ticks[k][1] - ticks[k][0]
+        close[k] = later.get(size, -1)
+        later[size] = k
     k = 0
     while k < len(ticks):
-        size = ticks[k][1] - ticks[k][0]
-        close = next((j for j in range(k + 1, len(ticks)) if ticks[j][1] - ticks[j][0] == size), None)
-        if close is None:
+        if close[k] < 0:
             k += 1
         else:
-            yield ticks[k][0], ticks[close][1]
-            k = close + 1
-
-
-def _ends_sentence(text: str, i: int, b: int) -> bool:
-    """Whether the period at i is a boundary: not within numbers or names, after short abbreviations, or in "no. 5"."""
-    nxt = text[i + 1] if i + 1 < b else " "
-    if nxt.isalpha() or (nxt.isdigit() and i and text[i - 1].isdigit()):
-        return False
-    word = re.search(r"\S*$", text[max(0, i - 40) : i])[0].lstrip("(\"'“‘[")
-    rest = text[i + 1 : min(b, i + 60)].lstrip()
-    if word.lower() == "no" and rest[:1].isdigit():
-        return False
-    return not (len(word.encode()) <= 3 and word[:1].isalpha() and rest[:1].islower())
+            yield ticks[k][0], ticks[close[k]][1]
+            k = close[k] + 1
+
+
+class Sentences:
+    """Sentence spans of parts of one text. Quotes and parentheses hold boundaries back until they close."""
+
+    def __init__(self, text: str, protected: Sequence[tuple[int, int]]):
+        self.text = text
+        self.protected = Spans(protected)
+        self.spaces = [m.start() for m in _SPACE.finditer(text)]
+        self.token = (-1, 0)  # where the last token looked at starts, with and without its opening marks
+
+    def _word_before(self, i: int) -> str:
+        """The token that ends at i without its opening marks; more than three characters of it say no more."""
+        k = bisect_left(self.spaces, i)
+        start = self.spaces[k - 1] + 1 if k else 0
+        if self.token[0] != start:
+            bare = start
+            while bare < i and self.text[bare] in _OPENERS:
+                bare += 1
+            self.token = (start, bare)
+        bare = min(self.token[1], i)
+        return self.text[bare : min(i, bare + 4)]
+
+    def _ends(self, i: int, b: int) -> bool:
+        """Whether the period at i is a boundary: not within numbers or names, after short abbreviations, or in "no. 5"."""
+        text = self.text
+        nxt = text[i + 1] if i + 1 < b else " "
+        if nxt.isalpha() or (nxt.isdigit() and i and text[i - 1].isdigit()):
+            return False
+        word = self._word_before(i)
+        if len(word) > 3:
+            return True
+        ink = _INK.search(text, i + 1, b)
+        rest = ink[0] if ink else ""
+        if word.lower() == "no" and rest.isdigit():
+            return False
+        return not (len(word.encode()) <= 3 and word[:1].isalpha() and rest.islower())
+
+    def spans(self, a: int, b: int, colon: bool = False) -> list[tuple[int, int]]:
+        text, out, start = self.text, [], a
+        depth, quote = 0, ""
+        code = iter(self.protected.between(a, b))
+        nxt = next(code, None)
+
+        def put(end: int):
+            nonlocal start
+            ink = _INK.search(text, start, end)
+            if ink and _LETTER.search(text, ink.start(), end):
+                out.append((ink.start(), end))
+            start = end
+
+        for m in _MARK.finditer(text, a, b):
+            i, ch = m.start(), m[0]
+            while nxt and i >= nxt[1]:
+                nxt = next(code, None)
+            if nxt and i >= nxt[0]:
+                continue
+            if ch == '"' and quote in ("", '"'):
+                quote = "" if quote else '"'
+            elif ch == "“" and not quote:
+                quote = "”"
+            elif ch == quote and ch == "”":
+                quote = ""
+            elif not quote and ch == "(":
+                depth += 1
+            elif not quote and ch == ")" and depth:
+                depth -= 1
+            elif not quote and not depth and (ch in "?!" or (ch == "." and self._ends(i, b)) or (colon and ch == ":" and not _INK.search(text, i + 1, b))):
+                put(i + 1)
+        put(b)
+        return out
 
 
 def sentences(text: str, a: int, b: int, protected: list[tuple[int, int]], colon: bool = False) -> list[tuple[int, int]]:
-    """Sentence spans of text[a:b]. Quotes and parentheses hold boundaries back until they close."""
-    out, start = [], a
-    depth, quote = 0, ""
-    code = iter([p for p in protected if p[1] > a and p[0] < b])
-    nxt = next(code, None)
-
-    def put(end: int):
-        nonlocal start
-        s = start
-        while s < end and text[s].isspace():
-            s += 1
-        if any(ch.isalnum() for ch in text[s:end]):
-            out.append((s, end))
-        start = end
-
-    for m in _MARK.finditer(text, a, b):
-        i, ch = m.start(), m[0]
-        while nxt and i >= nxt[1]:
-            nxt = next(code, None)
-        if nxt and i >= nxt[0]:
-            continue
-        if ch == '"' and quote in ("", '"'):
-            quote = "" if quote else '"'
-        elif ch == "“" and not quote:
-            quote = "”"
-        elif ch == quote and ch == "”":
-            quote = ""
-        elif not quote and ch == "(":
-            depth += 1
-        elif not quote and ch == ")" and depth:
-            depth -= 1
-        elif not quote and not depth and (ch in "?!" or (ch == "." and _ends_sentence(text, i, b)) or (colon and ch == ":" and not text[i + 1 : b].strip())):
-            put(i + 1)
-    put(b)
-    return out
+    """Sentence spans of text[a:b]."""
+    return Sentences(text, protected).spans(a, b, colon)
 
 
 def _parentheses(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     """Contents of the outermost parentheses."""
     depth, at = 0, 0
-    for i in range(a, b):
-        if text[i] == "(":
+    for m in _BRACKET.finditer(text, a, b):
+        if m[0] == "(":
             depth += 1
-            at = i + 1 if depth == 1 else at
-        elif text[i] == ")" and depth:
+            at = m.end() if depth == 1 else at
+        elif depth:
             depth -= 1
             if not depth:
-                yield at, i
+                yield at, m.start()
 
 
-def units_of(d: Document) -> list[tuple[str, int, int, int]]:
+def units_of(d: Document, split: Sentences, notes: list[tuple[int, int]]) -> list[tuple[str, int, int, int]]:
     """(kind, parent number or -1, start, end) of word-limit units: of prose, items, notes and, in them, of parentheses."""
     text, out = d.text, []
-    notes = notes_of(text)
+    held = Spans(notes)
     marks = sorted(x[1] for x in d.lists if x[0] == 0)
-
-    def add(kind: str, parent: int, a: int, b: int, colon: bool):
-        for s, e in sentences(text, a, b, d.protected, colon):
-            number = len(out)
-            out.append((kind, parent, s, e))
-            for p, q in _parentheses(text, s, e):
-                add("parenthetical", number, p, q, False)
-
-    heads = [(a, b) for a, b in d.paragraphs]
-    for a, b in heads:
-        if not _inside(notes, a, b):
-            add("prose", -1, a, b, any(m >= b and not text[b:m].strip() for m in marks))
+    firsts = [x[1] for x in d.lists]
+
+    def add(kind: str, a: int, b: int, colon: bool):
+        # depth first without recursion: texts may nest parentheses as deep as they like
+        stack = [(kind, -1, iter(split.spans(a, b, colon)))]
+        while stack:
+            kind_, parent, parts = stack[-1]
+            span = next(parts, None)
+            if span is None:
+                stack.pop()
+                continue
+            out.append((kind_, parent, *span))
+            inner = list(_parentheses(text, *span))
+            if inner:
+                stack.append(("parenthetical", len(out) - 1, (s for p in inner for s in split.spans(*p))))
+
+    for a, b in d.paragraphs:
+        if not held.touches(a, b):
+            ink = _INK.search(text, b)
+            k = bisect_left(marks, b)
+            add("prose", a, b, k < len(marks) and (ink is None or marks[k] <= ink.start()))
         else:
             at = a
-            for s, e in [n for n in notes if n[0] < b and a < n[1]]:
+            for s, e in held.between(a, b):
                 if at < s:
-                    add("prose", -1, at, s, False)
+                    add("prose", at, s, False)
                 at = e
             if at < b:
-                add("prose", -1, at, b, False)
-    for list_, depth, a, b in d.items:
-        if not _inside(notes, a, b):
-            inner = min((x[1] for x in d.lists if a < x[1] < b), default=b)
-            add("item", -1, a, inner, inner < b)
+                add("prose", at, b, False)
+    for _, _, a, b in d.items:
+        if not held.touches(a, b):
+            k = bisect_right(firsts, a)
+            inner = firsts[k] if k < len(firsts) and firsts[k] < b else b
+            add("item", a, inner, inner < b)
     for s, e in notes:
-        body = text.index(":", s) + 1
-        add("note", -1, body, e, False)
+        add("note", text.index(":", s) + 1, e, False)
     return out
 
 
@@ -303,52 +443,144 @@ def lexical_tokens(text: str) -> Iterator[tuple[int, int, bool]]:
             yield a, a + len(w), machine
 
 
-def scan(text: str, registry) -> dict[str, list[tuple]]:
-    """All span families of one text; spans are (start byte, end byte, start character, end character)."""
+def plain_words(text: str, a: int, b: int) -> int:
+    """White-space words of text[a:b] that hold a letter or a digit."""
+    return sum(1 for _ in _PLAIN.finditer(text, a, b))
+
+
+class Groups:
+    """Canonical count groups (kind, start, end): by start, the longest first, then by rank; one of each span."""
+
+    def __init__(self, groups):
+        self.spans, last = [], None
+        for a, neg, _, kind in sorted((a, -b, RANKS.get(kind, 9), kind) for kind, a, b in groups if a < b):
+            if (a, neg) != last:
+                self.spans.append((a, -neg, kind))
+            last = (a, neg)
+        self.starts = [g[0] for g in self.spans]
+        whole = [(a, b) for a, b, kind in self.spans if kind in WHOLE]
+        self.whole_starts = [a for a, _ in whole]
+        self.whole_ends = np.maximum.accumulate([b for _, b in whole]).tolist() if whole else []
+
+    def words(self, text: str, a: int, b: int) -> int:
+        """The word count of text[a:b]: 1 within a group that stands for one word, else each group inside it counts as one word
+        (excluded numbering as none), taken from the left, and plain words between them."""
+        k = bisect_right(self.whole_starts, a)
+        if k and self.whole_ends[k - 1] >= b:
+            return 1
+        at, n = a, 0
+        for k in range(bisect_left(self.starts, a), bisect_left(self.starts, b)):
+            s, e, kind = self.spans[k]
+            if s >= at and e <= b:
+                n += plain_words(text, at, s) + (kind != "document_numbering_excluded")
+                at = e
+        return n + plain_words(text, at, b)
+
+
+def gap_kind(gap: str) -> str:
+    """What stands between two words: " " only white space, "-" a hyphen alone, "" nothing, "x" anything else."""
+    return gap if gap in ("", "-") else " " if gap.isspace() else "x"
+
+
+#: Families whose rows are spans.
+SPAN_FAMILIES = tuple(f for f in FAMILIES if f not in ("unit_words", "item_words"))
+_UNITED = {"units", "unit_words", "item_words", "tokens"}
+
+
+def scan(text: str, registry, families=SPAN_FAMILIES) -> dict[str, list[tuple]]:
+    """Span families of one text; spans are (start byte, end byte, start character, end character)."""
     d = blocks_of(text)
     if text.isascii():
         at = range(len(text) + 1)
     else:
-        at = list(accumulate((1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4 for c in text), initial=0))
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.concatenate(([0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)))).tolist()
     sp = lambda a, b: (at[a], at[b], a, b)
-    units = units_of(d)
-    owner: dict[int, int] = {}
-    order = sorted(range(len(units)), key=lambda k: (units[k][2], -units[k][3]))
-    words = [m.span() for m in _WORD.finditer(text)]
-    words = [w for w in words if not _inside(d.protected, *w)] if d.protected else words
-    sorted_starts = [w[0] for w in words]
-    for k in order:  # inner units come later and win
-        _, _, a, b = units[k]
-        for j in range(bisect_left(sorted_starts, a), bisect_left(sorted_starts, b)):
-            owner[j] = k
-    items = [(k, i[0], i[1], *sp(i[2], i[3]), text[i[2] : i[3]]) for k, i in enumerate(d.items)]
-    item_spans = [(i[2], i[3]) for i in d.items]
-    safety = []
-    for a, b in lines_of(text):
-        if m := _SAFETY.match(text[a:b]):
-            safety.append((len(safety), m["level"].lower(), *sp(a + m.end(), b), text[a + m.end() : b]))
-    notes = [(k, *sp(a, b), text[text.index(":", a) + 1 : b]) for k, (a, b) in enumerate(notes_of(text))]
-    return {
-        "protected": [sp(*x) for x in d.protected],
-        "headings": [sp(*x) for x in d.headings],
-        "paragraphs": [(k, *sp(a, b), len(sentences(text, a, b, d.protected))) for k, (a, b) in enumerate(d.paragraphs) if not any(s <= a and b <= e for s, e in item_spans)],
-        "lists": [(k, x[0], *sp(x[1], x[2]), x[3]) for k, x in enumerate(d.lists)],
-        "items": items,
-        "notes": notes,
-        "safety": safety,
-        "units": [(k, u[0], u[1], *sp(u[2], u[3]), text[u[2] : u[3]]) for k, u in enumerate(units)],
-        "tokens": [(k, *sp(a, b), text[a:b], owner.get(k, -1), text[words[k - 1][1] : a][:64] if k else "") for k, (a, b) in enumerate(words)],
-        "lexical": [(k, *sp(a, b), text[a:b], m) for k, (a, b, m) in enumerate(lexical_tokens(text))],
-        "runs": [(*sp(*m.span()), m[0]) for m in _RUN.finditer(text) if "'" in m[0] or "’" in m[0]],
-        "semicolons": [sp(m.start(), m.end()) for m in re.finditer(";", text) if not _inside(d.protected, *m.span())],
-        "groups": [(kind, *sp(a, b), text[a:b]) for kind, a, b in registry.groups(text, d.headings)],
-    }
-
-
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "descriptive") -> DataFrame:
-    """SCANNED: one row of span arrays for each document. mode is a column of docs if it has one, else the given mode.
-
-    Total: any text gives a result; null counts as empty. Narrow: no shuffle.
+    want = set(families)
+    out: dict[str, list[tuple]] = {}
+    protected = Spans(d.protected)
+    notes = notes_of(text) if want & {"notes", *_UNITED} else []
+    if want & {"paragraphs", *_UNITED}:
+        split = Sentences(text, d.protected)
+    if want & {"units", "groups"}:
+        groups = list(registry.groups(text, d.headings))
+    if want & _UNITED:
+        units = units_of(d, split, notes)
+    if "protected" in want:
+        out["protected"] = [sp(*x) for x in d.protected]
+    if "headings" in want:
+        out["headings"] = [sp(*x) for x in d.headings]
+    if "paragraphs" in want:
+        items = Spans([(i[2], i[3]) for i in d.items])
+        out["paragraphs"] = [(k, *sp(a, b), len(split.spans(a, b))) for k, (a, b) in enumerate(d.paragraphs) if not items.holds(a, b)]
+    if "lists" in want:
+        out["lists"] = [(k, x[0], *sp(x[1], x[2]), x[3]) for k, x in enumerate(d.lists)]
+    if "items" in want:
+        out["items"] = [(k, i[0], i[1], *sp(i[2], i[3]), text[i[2] : i[3]]) for k, i in enumerate(d.items)]
+    if "notes" in want:
+        out["notes"] = [(k, *sp(a, b), text[text.index(":", a) + 1 : b]) for k, (a, b) in enumerate(notes)]
+    if "safety" in want:
+        found = [(m, a, b) for a, b in lines_of(text) if (m := _SAFETY.match(text[a:b]))] if _SAFETY.search(text) else []
+        out["safety"] = [(k, m["level"].lower(), *sp(a + m.end(), b), text[a + m.end() : b]) for k, (m, a, b) in enumerate(found)]
+    if "units" in want:
+        counted = Groups(groups)
+        out["units"] = [(k, u[0], u[1], *sp(u[2], u[3]), text[u[2] : u[3]], counted.words(text, u[2], u[3])) for k, u in enumerate(units)]
+    if want & {"tokens", "unit_words", "item_words"}:
+        words = [w for m in _WORD.finditer(text) if not protected.touches(*(w := m.span()))]
+        starts = [w[0] for w in words]
+        low = [text[a:b].lower() for a, b in words]
+        owner = [-1] * len(words)
+        for k in sorted(range(len(units)), key=lambda k: (units[k][2], -units[k][3])):  # inner units come later and win
+            lo, hi = bisect_left(starts, units[k][2]), bisect_left(starts, units[k][3])
+            owner[lo:hi] = [k] * (hi - lo)
+    if "unit_words" in want:
+        own: list[list[str]] = [[] for _ in units]
+        for k, w in zip(owner, low):
+            if k >= 0:
+                own[k].append(w)
+        out["unit_words"] = [(w,) for w in own]
+    if "item_words" in want:
+        ends = [b for _, b in words]
+        out["item_words"] = [(low[bisect_left(starts, i[2]) : bisect_right(ends, i[3])],) for i in d.items]
+    if "tokens" in want:
+        out["tokens"] = [(k, *sp(a, b), text[a:b], owner[k], gap_kind(text[words[k - 1][1] : a]) if k else "") for k, (a, b) in enumerate(words)]
+    if "lexical" in want:
+        out["lexical"] = [(k, *sp(a, b), text[a:b], m) for k, (a, b, m) in enumerate(lexical_tokens(text))]
+    if "runs" in want:
+        out["runs"] = [(*sp(*m.span()), m[0]) for m in _RUN.finditer(text) if "'" in m[0] or "’" in m[0]] if "'" in text or "’" in text else []
+    if "semicolons" in want:
+        out["semicolons"] = [sp(m.start(), m.end()) for m in re.finditer(";", text) if not protected.touches(*m.span())]
+    if "groups" in want:
+        out["groups"] = [(kind, *sp(a, b), text[a:b]) for kind, a, b in groups]
+    return out
+
+
+def schema_of(families=tuple(FAMILIES)) -> str:
+    """The schema of scanned()'s rows for those families."""
+    return "doc_id long, text string, mode string, " + ", ".join(f"{f} array<struct<{FAMILIES[f]}>>" for f in families)
+
+
+SCANNED = schema_of()
+
+
+def _list_array(rows: list[list[tuple]], kind, given: Sequence[int] | None = None):
+    """An Arrow list array of structs, column by column; given: the rows' fields to take."""
+    import pyarrow as pa
+
+    flat = [x for r in rows for x in r]
+    struct = kind.value_type
+    columns = list(zip(*flat)) if flat else [()] * struct.num_fields
+    columns = [columns[k] for k in given] if given and flat else columns
+    values = pa.StructArray.from_arrays([pa.array(c, struct.field(k).type) for k, c in enumerate(columns)], fields=list(struct))
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)
+
+
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "descriptive", families=tuple(FAMILIES), carry=(), with_text: bool = True) -> DataFrame:
+    """One row of span arrays for each document (see FAMILIES), with the columns carry of docs as they are.
+
+    unit_words are those of procedural documents only, for only their rules ask for them. mode is a column of docs if it has one, else the given mode; with_text=False leaves text null. Total: any text gives a
+    result; null counts as empty. Narrow: no shuffle.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -356,28 +588,30 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     from .units import registry
 
-    kind: StructType = _parse_datatype_string(SCANNED)
+    families = tuple(families)
+    kind: StructType = _parse_datatype_string(schema_of(families))
+    for c in carry:
+        kind = kind.add(docs.schema[c])
     arrow = to_arrow_schema(kind)
-    shared = docs.sparkSession.sparkContext.broadcast(registry())
-    names = [f.name for f in kind.fields]
-    fields = {f.name: [x.name for x in f.dataType.elementType.fields] for f in kind.fields[3:]}
+    lean = tuple(f for f in families if f != "unit_words")
+    nothing: dict[str, list] = {"unit_words": []}
 
     def run(batches) -> Iterator:
-        reg = shared.value
+        reg = registry()
         for batch in batches:
-            rows: list[dict] = []
-            size = 0
-            for doc_id, text, m in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text = text or ""
-                found = scan(text, reg)
-                rows.append({"doc_id": doc_id, "text": text, "mode": m} | {k: [dict(zip(fields[k], x)) for x in v] for k, v in found.items()})
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            begin, size, found = 0, 0, []
+            for k, (text, m) in enumerate(zip(texts, batch.column(2).to_pylist())):
+                found.append(nothing | scan(text, reg, families if m == "procedural" else lean))
                 size += len(text)
-                if size > 1 << 19:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                if size > 1 << 19 or k + 1 == len(texts):
+                    n = len(found)
+                    own = [batch.column(0).slice(begin, n), pa.array(texts[begin : k + 1] if with_text else [None] * n, pa.string()), batch.column(2).slice(begin, n)]
+                    own += [_list_array([f[name] for f in found], arrow.field(name).type, _GIVEN.get(name)) for name in families]
+                    own += [batch.column(3 + j).slice(begin, n) for j in range(len(carry))]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(own, arrow)], schema=arrow)
+                    begin, size, found = k + 1, 0, []
 
     own = F.col("mode") if "mode" in docs.columns else F.lit(mode)
-    assert names[:3] == ["doc_id", "text", "mode"]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(own, F.lit(mode)).alias("mode")).mapInArrow(run, SCANNED)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(own, F.lit(mode)).alias("mode"), *carry)
+    return rows.mapInArrow(run, kind)

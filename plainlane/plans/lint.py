@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rules, structure
+from ..operators import matching, rules, structure
 from ..schema import classify
 from ..sources import glossary as glossaries
 from ..sources import lexicon as lexicons
+from ..sources import tables
 
 
-def inputs(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive") -> rules.Inputs:
-    """Everything that rules read, the scan persisted on disk so that families share it."""
+def inputs(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None) -> rules.Inputs:
+    """Everything that the rule families (all by default) read: the scan as a staged table that they share, of the span families
+    and columns that they read."""
     from . import context as contexts
 
     entries = lexicon if lexicon is not None else lexicons.starter(docs.sparkSession)
-    forms = lexicons.form_table(entries)
-    names = glossaries.compiled(glossary) if glossary is not None else None
-    scanned = structure.scanned(docs, mode=mode).persist(StorageLevel.DISK_ONLY)
-    widest = max([r["w"] or 1 for t in ([forms, names] if names is not None else [forms]) for r in t.agg(F.max("width").alias("w")).collect()])
+    forms, ings = matching.pinned(lexicons.form_table(entries)), matching.pinned(lexicons.ing_table(entries))
+    names = matching.pinned(glossaries.compiled(glossary)) if glossary is not None else None
     c = context or {}
-    groups = contexts.groups(scanned, c, names) if c or names is not None else None
-    return rules.Inputs(scanned, forms, lexicons.ing_table(entries), names, evidence, c.get("occurrences"), c.get("topics"), c.get("orderings"), c.get("safety_facts"), groups, int(widest))
+    spans = tuple(structure.FAMILIES)
+    if families is not None:
+        wanted = {s for f in families for s in rules.READS[f]} | ({"tokens", "groups"} if c or names is not None else set())
+        spans = tuple(s for s in spans if s in wanted)
+    scanned = tables.staged(structure.scanned(docs, mode=mode, families=spans, with_text=families is None or bool(c) or names is not None), "scan")
+    widest = max([r["w"] or 1 for t in ([forms, names] if names is not None else [forms]) for r in t.agg(F.max("width").alias("w")).collect()])
+    groups = contexts.groups(scanned, c, names) if (c or names is not None) and (families is None or rules.length in families) else None
+    return rules.Inputs(scanned, forms, ings, names, evidence, c.get("occurrences"), c.get("topics"), c.get("orderings"), c.get("safety_facts"), groups, int(widest))
 
 
 def lint(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None) -> DataFrame:
     """Diagnostics of docs (doc_id, text[, mode]). Sort by (doc_id, start, code, pass_no, seq) for the reporting order."""
-    x = inputs(docs, lexicon, glossary, evidence, context, mode)
-    return reduce(DataFrame.unionByName, [f(x) for f in families or rules.FAMILIES])
+    families = list(families or rules.FAMILIES)
+    return rules.run(inputs(docs, lexicon, glossary, evidence, context, mode, families), families)
 
 
 def outcomes(docs: DataFrame, diags: DataFrame) -> DataFrame:
     """(doc_id, outcome, n_errors, n_blocked) of every document."""
-    out = docs.select("doc_id").join(classify(diags), "doc_id", "left")
+    out = docs.select("doc_id").join(classify(diags).hint("merge"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("outcome", F.lit("clean")).alias("outcome"), F.coalesce("n_errors", F.lit(0)).alias("n_errors"), F.coalesce("n_blocked", F.lit(0)).alias("n_blocked"))
 
 

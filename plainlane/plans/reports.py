@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 
 def severity_by(diags: DataFrame, docs: DataFrame, *dims: str) -> DataFrame:
-    """Counts of diagnostics by code and dimensions of the documents."""
-    return diags.join(docs.select("doc_id", *dims), "doc_id").groupBy(*dims, "code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    """Counts of diagnostics by code and dimensions of the documents; they are counted by document before they meet these."""
+    each = diags.groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    rows = each.join(docs.select("doc_id", *dims).hint("merge"), "doc_id")
+    return rows.groupBy(*dims, "code").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def per_thousand_words(diags: DataFrame, words: DataFrame, *dims: str) -> DataFrame:
     """Diagnostics for each 1,000 words by dimensions; words is (doc_id, dims..., n_words)."""
     n = diags.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = words.join(n, "doc_id", "left").groupBy(*dims).agg(F.sum("n_words").cast("long").alias("n_words"), F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("n_diagnostics"))
+    rows = words.join(n.hint("merge"), "doc_id", "left").groupBy(*dims).agg(F.sum("n_words").cast("long").alias("n_words"), F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("n_diagnostics"))
     return rows.withColumn("per_1000", F.expr("(n_diagnostics * 1000) div nullif(n_words, 0)"))
 
 

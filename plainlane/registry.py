@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from . import functions as T
 from .operators import counting, matching, rewrite, rules, structure
 from .plans import lint, reports
-from .sources import coverage, glossary, lexicon
+from .sources import coverage, glossary, lexicon, tables
+
+
+def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return tables.spread(tables.read(spark, directory, name))
+
 
-_table = lambda s, d, n: s.read.parquet(f"{d}/{n}.parquet")
 _WS = r"[\s\x0b\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _LOWER = "lower"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences over the word limit, by language and source."""
-    docs = _table(spark, sf_dir, "documents")
-    long_ = counting.counted_units(structure.scanned(docs)).where(F.col("words") > F.col("limit"))
-    return long_.join(docs.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_long"), F.max("words").cast("long").alias("longest"))
+    by = ("lang", "source")
+    units = structure.scanned(_table(spark, sf_dir, "documents"), families=("units",), carry=by, with_text=False)
+    long_ = counting.counted_units(units, carry=by).where(F.col("words") > F.col("limit"))
+    return long_.groupBy(*by).agg(F.count(F.lit(1)).alias("n_long"), F.max("words").cast("long").alias("longest"))
 
 
 def semicolon_spans(spark, d):
@@ -115,10 +120,9 @@ _PHRASES = ["of the", "in the", "to the", "of", "the of", "and the", "the"]
 
 def phrase_matches(spark, d):
     """Longest, leftmost matches of a few one- and two-word phrases."""
-    words = _table(spark, d, "documents").select("doc_id", F.lit("descriptive").alias("mode"), F.transform(T.plain_words(F.col("text")), lambda w, i: F.struct(i.alias("idx"), F.lit(0).alias("start"), F.lit(0).alias("end"), w.alias("text"))).alias("lexical"))
-    forms = spark.createDataFrame([(p,) for p in _PHRASES], "phrase string")
-    found = matching.leftmost(matching.longest(matching.phrases(words, 2).join(forms, "phrase")))
-    return found.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    words = _table(spark, d, "documents").select("doc_id", F.transform(T.plain_words(F.col("text")), lambda w: F.struct(w.alias("text"))).alias("lexical"))
+    swept = matching.sweep(words, _PHRASES).select("doc_id", F.explode(F.transform("kept", lambda m: F.array_join(F.slice("low", m["idx"] + 1, m["width"]), " "))).alias("phrase"))
+    return swept.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 _MATCH = f"""WITH RECURSIVE v AS (SELECT unnest([{', '.join(repr(p) for p in _PHRASES)}]) AS phrase),

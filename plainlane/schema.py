@@ -55,6 +55,16 @@ def diagnose(rows: DataFrame, family: str, tests: list[tuple[Column, str, str, s
     return out
 
 
+def checks(rows: DataFrame, tests: list[tuple]) -> DataFrame:
+    """Diagnostics of tests (family, condition, code, severity, message, evidence, start) of several families in one pass over
+    rows (doc_id, end, ...); a null condition is false."""
+    hit = lambda f, c, code, sev, msg, ev, start: F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(msg).alias("message"), F.lit(PASSES.index(f)).alias("pass_no"), ev.alias("evidence"), F.col(start).cast("long").alias("start")))
+    hits = F.filter(F.array(*[hit(*t) for t in tests]), lambda h: h.isNotNull())
+    flat = rows.select("doc_id", F.col("end").cast("long").alias("end"), hits.alias("_hits")).where(F.size("_hits") > 0).select("doc_id", "end", F.explode("_hits").alias("h"))
+    table = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    return flat.select("doc_id", "h.code", "h.severity", "h.start", "end", table[F.col("h.code")].alias("rules"), "h.message", "h.evidence", "h.pass_no", F.col("h.start").alias("seq"))
+
+
 def classify(diags: DataFrame) -> DataFrame:
     """(doc_id, outcome, n_errors, n_blocked): error over blocked."""
     counts = diags.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "blocked").alias("n_blocked"))

@@ -10,7 +10,7 @@ from ..operators import counting, rewrite, structure
 
 def long_sentences(docs: DataFrame, mode: str = "descriptive") -> DataFrame:
     """Sentences over the limit of a stream (or table) of documents (doc_id, text)."""
-    return counting.counted_units(structure.scanned(docs, mode=mode)).where(F.col("words") > F.col("limit"))
+    return counting.counted_units(structure.scanned(docs, mode=mode, families=("units",), with_text=False)).where(F.col("words") > F.col("limit"))
 
 
 def rewrites(changes: DataFrame) -> DataFrame:
