@@ -16,33 +16,44 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and Spark runs on one
+    machine (tests); on a cluster that is an error, for executors would write to their own disks."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "plainlane-shared")
     return path.rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
+    """Writes df as Parquet into the shared folder and reads it back: lineage is cut and lost executors cost nothing.
+
+    Tables that no unstage() deletes, for results still read them, go when the session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _place(spark, path)[0].deleteOnExit(_place(spark, path)[1])
     out = spark.read.schema(df.schema).parquet(path)
     out._plainlane_path = path
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system and the Hadoop path of a path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes tables of staged() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_plainlane_path", None)
         if path:
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            system, place = _place(df.sparkSession, path)
+            system.delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
