@@ -2,12 +2,16 @@
 
 Seeds. Of the 8-word sequences in each 20-word window the one of least hash is the window's anchor, so equal windows have
 equal anchors wherever they stand (winnowing). Anchors meet by hash over the whole corpus; those seen once are dropped.
-Extension. Around each place of a repeated anchor all windows that chose it, to its left and right, are matched word for
-word (128-bit hash together with the anchor's place) with their earliest occurrence. Windows that follow each other in
-both places are parts of one longer match: chained, they make the maximal repeats (doc, first word, end, source place).
-No pairs of occurrences are made: each place is linked to the earliest one only, which decides removal, so a passage in
-thousands of documents costs as many rows as it has places. Each task settles what recurs among its own rows before they
-are shuffled, so a passage in a third of all documents meets itself once per PRE_ROWS rows, not in one task whole. Exact
+Extension. Each place of a repeated anchor is joined with the anchor's earliest place and the match extended word by word to
+the left and to the right, as far as windows with this anchor reach (12 words each way). A match of 20 words or more is a
+repeat of that place; longer repeats are matched piece by piece, by the anchors along them, and chained while text and source
+run on together: these are the maximal repeats (doc, first word, end, source place), and what they cover is removed.
+The rest. Where an anchor stands in several contexts, a place may equal an earlier one that is not the earliest. Windows
+that the extension leaves open are such: they are compared with each other, whole, and linked to their earliest place. An
+equal window that the extension has settled would have settled them too, so nothing else can equal them.
+No pairs of occurrences are made: each place meets one other, so a passage in thousands of documents costs as many rows as
+it has places. Each task extends matches among its own PRE_ROWS places before any is shuffled, so a passage in a third of all
+documents sends a few places for each task to the one that joins its anchor; joins deal keys that stay hot by salt. Exact
 copies of a text are recognised whole.
 """
 
@@ -21,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import SPACED, U64, as_long, blocks, column_bytes, gram_hashes, mix, read_table, release, staged, tidied, word_bounds, word_hashes
+from ._common import SPACED, U64, as_long, blocks, column_bytes, gram_hashes, mix, read_table, release, staged, tidied, unstage, word_bounds, word_hashes
 
 #: Words of a window, and of an anchor.
 LENGTH, ANCHOR = 20, 8
 #: Anchors or windows of a task that are looked at together before they are shuffled.
 PRE_ROWS = 500_000
-#: Parts of a group of copies where its rows are joined.
-SALT = 16
+#: Parts of a group of copies, and of an anchor with HOT places or more in one task, where rows are joined.
+SALT, HOT = 16, 64
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -77,7 +81,8 @@ def _anchors(batches) -> Iterator:
     """(anchor, part, doc_id), once for each text that has it, twice if it has it more than once.
 
     Anchors that PRE_ROWS rows hold more than once are known to recur: their rows are dealt by part, the document, and one
-    more row of part 0 tells other tasks. So an anchor of very many documents meets itself in few rows.
+    more row of part 0 tells other tasks. So an anchor of very many documents meets itself in few rows. Parts of anchors with
+    HOT rows or more have their second bit set.
     """
     import pyarrow as pa
 
@@ -104,113 +109,252 @@ def _anchors(batches) -> Iterator:
         _, number, count = np.unique(x, return_inverse=True, return_counts=True)
         known = count[number] > 1
         one = np.flatnonzero(known)[np.unique(number[known], return_index=True)[1]]
-        part = np.where(known, as_long(mix(doc.view(np.uint64)) | U64(1)), 0)
+        part = np.where(known, as_long(mix(doc.view(np.uint64)) << U64(2) | np.where(count[number] >= HOT, U64(3), U64(1))), 0)
         yield pa.record_batch(
             [pa.array(as_long(np.concatenate((x, x[one])))), pa.array(np.concatenate((part, np.zeros(len(one), np.int64)))), pa.array(np.concatenate((doc, doc[one])))],
             names=["anchor", "part", "doc_id"],
         )
 
 
-PLACES = "w1 long, w2 long, doc_id long, at int"
+#: A match: words [first, end) of doc_id equal those from source_first on of source_id, which start earlier.
+MATCH = "doc_id long, first int, end int, source_id long, source_first int"
+_TYPES = (np.int64, np.int32, np.int32, np.int64, np.int32)
+#: A place of an anchor: its windows (bit k: the one that starts k words before it) and the words around it, or a match.
+PLACE = "anchor long, at int, windows int, around binary, hot boolean, " + MATCH
 
 
-def _places(batches, length: int):
-    """(w1, w2, doc_id, at) of the windows whose anchors are given, block by block."""
+def _contexts(words: np.ndarray, ranges: np.ndarray, at: np.ndarray, owner: np.ndarray, reach: int) -> np.ndarray:
+    """The hashes of the words before (nearest first) and after the anchors at places at; 0 beyond the text."""
+    step = np.arange(1, reach + 1)
+    left, right = at[:, None] - step, at[:, None] + ANCHOR - 1 + step
+    place = np.concatenate((left, right), axis=1)
+    inside = (place >= ranges[owner][:, None]) & (place < ranges[owner + 1][:, None])
+    return np.where(inside, words[np.where(inside, place, 0)] | U64(1), U64(0))
+
+
+def _reach(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words to the left and to the right of equal anchors are equal, one after another."""
+    same = (own == other) & (own != 0)
+    k = own.shape[1] // 2
+    return tuple(np.logical_and.accumulate(x, axis=1).sum(axis=1).astype(np.int32) for x in (same[:, :k], same[:, k:]))
+
+
+def _later(doc: np.ndarray, at: np.ndarray, other_doc: np.ndarray, other_at: np.ndarray) -> np.ndarray:
+    return (doc > other_doc) | ((doc == other_doc) & (at > other_at))
+
+
+def _open_windows(windows: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int) -> np.ndarray:
+    """The windows that a match of so many words each way does not cover."""
+    for k in range(reach + 1):
+        windows = np.where((left >= k) & (right >= reach - k), windows & ~np.int32(1 << k), windows)
+    return windows
+
+
+def _binary(rows: np.ndarray):
+    import pyarrow as pa
+
+    size = rows.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _around(column, reach: int) -> np.ndarray:
+    """The arrays that _binary() has made; no row is null."""
+    import pyarrow as pa
+
+    raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, _, data = raw.buffers()
+    size = 16 * reach
+    flat = np.frombuffer(data, np.uint8)[raw.offset * size : (raw.offset + len(raw)) * size] if data is not None else np.empty(0, np.uint8)
+    return flat.view(np.uint64).reshape(len(raw), 2 * reach)
+
+
+def _matched(doc, at, left, right, source, source_at):
+    """Columns of MATCH."""
+    return doc, at - left, at + ANCHOR + right, source, source_at - left
+
+
+def _placed(batches, length: int):
+    """(anchor, at, windows, around, doc_id, hot) of the anchors that are given, block by block."""
+    reach = length - ANCHOR
     for batch in batches:
         data, offsets = column_bytes(batch.column(1))
         ids = batch.column(0).to_numpy()
         seeds = batch.column(2)
         for i, j in blocks(offsets):
             h, ranges = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            _, least, _ = window_anchors(h, ranges, length)
+            g, least, chosen = window_anchors(h, ranges, length)
             known = np.unique(seeds.slice(i, j - i).flatten().to_numpy().view(np.uint64))
-            at = np.searchsorted(known, least).clip(max=max(len(known) - 1, 0))
-            at = np.flatnonzero((least != 0) & (known[at] == least)) if len(known) else np.empty(0, np.int64)
+            hot = np.unique(batch.column(3).slice(i, j - i).flatten().to_numpy().view(np.uint64))
+            at = np.flatnonzero(chosen)
+            if not len(at) or not len(known):
+                continue
+            k = np.searchsorted(known, g[at]).clip(max=len(known) - 1)
+            at = at[known[k] == g[at]]
             if not len(at):
                 continue
             owner = np.searchsorted(ranges, at, "right") - 1
-            yield as_long(gram_hashes(h, length, salt=1)[at]), as_long(gram_hashes(h, length, salt=2)[at]), ids[i:j][owner], (at - ranges[owner]).astype(np.int32)
+            windows = np.zeros(len(at), np.int32)
+            for k in range(reach + 1):
+                start = at - k
+                ok = (start >= ranges[owner]) & (start < len(least))
+                windows |= (ok & (least[np.where(ok, start, 0)] == g[at])).astype(np.int32) << k
+            yield g[at], (at - ranges[owner]).astype(np.int32), windows, _contexts(h, ranges, at, owner, reach), ids[i:j][owner], np.isin(g[at], hot)
+
 
+def _seeds_extended(length: int):
+    """Places of anchors; those that the earliest place among their task's PRE_ROWS ones settles become matches at once."""
+    reach = length - ANCHOR
 
-def _windows(length: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for part in _places(batches, length):
-            yield pa.record_batch([pa.array(x) for x in part], names=["w1", "w2", "doc_id", "at"])
+        names = [x.split()[0] for x in PLACE.split(", ")]
+        for anchor, at, windows, around, doc, hot in _gathered(_placed(batches, length), PRE_ROWS // 5):
+            order = np.lexsort((at, doc, anchor))
+            anchor, at, windows, around, doc, hot = (x[order] for x in (anchor, at, windows, around, doc, hot))
+            new = np.ones(len(at), bool)
+            new[1:] = anchor[1:] != anchor[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            left, right = _reach(around, around[first])
+            later = _later(doc, at, doc[first], at[first])
+            hit = later & (left + right >= reach)
+            windows = np.where(later, _open_windows(windows, left, right, reach), windows)
+            rest = new | (windows != 0)
+            m = np.flatnonzero(hit)
+            if len(m):
+                f = first[m]
+                none = pa.nulls(len(m), pa.int64())
+                cols = _matched(doc[m], at[m], left[m], right[m], doc[f], at[f])
+                yield pa.record_batch([none, none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.string()).cast(pa.binary()), none.cast(pa.bool_()), *(pa.array(c.astype(t)) for c, t in zip(cols, _TYPES))], names=names)
+            r = np.flatnonzero(rest)
+            none = pa.nulls(len(r), pa.int32())
+            yield pa.record_batch([pa.array(as_long(anchor[r])), pa.array(at[r]), pa.array(windows[r]), _binary(around[r]), pa.array(hot[r]), pa.array(doc[r].astype(np.int64)), none, none, none.cast(pa.int64()), none], names=names)
 
     return run
 
 
-def _first_windows(length: int):
-    """As _windows(), with n: windows that start earlier among the PRE_ROWS rows of their task are repeated for sure. They
-    are given as runs of n that follow each other, by their place in place of hashes, so that one very frequent window is
-    dealt evenly. n is 0 for all others."""
+OPEN = MATCH + ", w1 long, w2 long"
+
+
+def _extended(length: int):
+    """Places joined with their anchor's earliest place: matches, and the windows that stay open, by two hashes of their words."""
+    reach = length - ANCHOR
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for w1, w2, doc, at in _gathered(_places(batches, length), PRE_ROWS):
+        names = [x.split()[0] for x in OPEN.split(", ")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, at, windows, doc, source, source_at = (batch.column(k).to_numpy() for k in (0, 1, 2, 4, 5, 6))
+            around = _around(batch.column(3), reach)
+            left, right = _reach(around, _around(batch.column(7), reach))
+            m = np.flatnonzero(left + right >= reach)
+            if len(m):
+                none = pa.nulls(len(m), pa.int64())
+                cols = _matched(doc[m], at[m], left[m], right[m], source[m], source_at[m])
+                yield pa.record_batch([*(pa.array(c.astype(t)) for c, t in zip(cols, _TYPES)), none, none], names=names)
+            windows = _open_windows(windows, left, right, reach)
+            hashes = []
+            for salt in (1, 2):
+                # of the first k words on a side, nearest first
+                sides = [np.zeros((len(at), reach + 1), np.uint64) for _ in range(2)]
+                for side, part in zip(sides, (around[:, :reach], around[:, reach:])):
+                    for k in range(reach):
+                        side[:, k + 1] = mix(side[:, k] ^ part[:, k] * U64(2 * salt + 1))
+                hashes.append([mix(sides[0][:, k] ^ mix(sides[1][:, reach - k] ^ mix(anchor.view(np.uint64) + U64(64 * salt + k)))) for k in range(reach + 1)])
+            for k in range(reach + 1):
+                r = np.flatnonzero(windows & (1 << k))
+                if len(r):
+                    none = pa.nulls(len(r), pa.int32())
+                    yield pa.record_batch([pa.array(doc[r].astype(np.int64)), pa.array((at[r] - k).astype(np.int32)), none, none.cast(pa.int64()), none, *(pa.array(as_long(x[k][r])) for x in hashes)], names=names)
+
+    return run
+
+
+def _open_settled(length: int):
+    """Open windows that equal an earlier one among their task's PRE_ROWS become matches; all others go on."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in OPEN.split(", ")]
+        parts = (tuple(b.column(k).to_numpy() for k in (5, 6, 0, 1)) for b in batches if b.num_rows)
+        for w1, w2, doc, at in _gathered(parts, PRE_ROWS):
             order = np.lexsort((at, doc, w2, w1))
             w1, w2, doc, at = w1[order], w2[order], doc[order], at[order]
-            known = np.zeros(len(at), bool)
-            known[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-            # places of repeated rows are no earlier ones: they are as their group's first
-            first = np.maximum.accumulate(np.where(known, 0, np.arange(len(at))))
-            known &= (doc != doc[first]) | (at != at[first])
-            run_doc, run_at = doc[known], at[known]
-            order = np.lexsort((run_at, run_doc))
-            run_doc, run_at = run_doc[order], run_at[order]
-            new = np.ones(len(run_at), bool)
-            new[1:] = (run_doc[1:] != run_doc[:-1]) | (run_at[1:] > run_at[:-1] + 1)
-            first, last = np.flatnonzero(new), np.flatnonzero(np.concatenate((new[1:], np.ones(min(len(new), 1), bool))))
-            n = run_at[last] - run_at[first] + 1
-            run_doc, run_at = run_doc[first], run_at[first]
-            rest = ~known
-            columns = (w1[rest], run_doc), (w2[rest], run_at.astype(np.int64)), (doc[rest], run_doc), (at[rest], run_at), (np.zeros(int(rest.sum()), np.int32), n)
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in columns], names=["w1", "w2", "doc_id", "at", "n"])
+            new = np.ones(len(at), bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            later = _later(doc, at, doc[first], at[first])
+            end = pa.array(np.where(later, at + length, 0).astype(np.int32), mask=~later)
+            source, source_at = pa.array(doc[first], mask=~later), pa.array(at[first].astype(np.int32), mask=~later)
+            yield pa.record_batch([pa.array(doc), pa.array(at.astype(np.int32)), end, source, source_at, pa.array(np.where(later, doc, w1)), pa.array(np.where(later, at, w2))], names=names)
 
     return run
 
 
 def _seeded(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, anchors) of texts that have anchors which recur."""
+    """(doc_id, text, anchors, hot) of texts that have anchors which recur; hot are those of very many places."""
     rows = texts.mapInArrow(tidied(_anchors), "anchor long, part long, doc_id long")
     seeds = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("anchor", "part"))).where("c > 1 or part <> 0")
-    by_doc = staged(seeds.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "seeds")
+    hot = F.collect_set(F.when(F.col("part").bitwiseAND(2) != 0, F.col("anchor"))).alias("hot")
+    by_doc = staged(seeds.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), hot), "seeds")
     release(texts.sparkSession)
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors")
+    return texts.join(by_doc, "doc_id").select("doc_id", "text", "anchors", "hot")
+
+
+def matches(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """MATCH: pieces of texts (doc_id, text) of length words or more with an earlier place; they cover every window of length
+    words that starts earlier too, and no others. length is 8 to 38."""
+    if not ANCHOR <= length <= ANCHOR + 30:
+        raise ValueError("length must be 8 to 38 words")
+    spark = texts.sparkSession
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    places = staged(_seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_seeds_extended(length)), PLACE), "places")
+    release(spark)
+    open_ = places.where("anchor is not null").select("anchor", "at", "windows", "around", "doc_id", "hot")
+    at = F.struct("doc_id", "at")
+    earliest = open_.groupBy("anchor").agg(F.min_by(F.struct("doc_id", "at", "around"), at).alias("e"), F.count(F.lit(1)).alias("c"), F.max("hot").alias("any_hot")).where("c > 1")
+    parts = F.sequence(F.lit(0), F.when(F.col("any_hot"), SALT - 1).otherwise(0))
+    earliest = earliest.select("anchor", F.explode(parts).alias("salt"), "e")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALT))).otherwise(0).cast("int")
+    met = open_.withColumn("salt", salt).join(earliest.hint("merge"), ["anchor", "salt"]).where("doc_id > e.doc_id or (doc_id = e.doc_id and at > e.at)")
+    met = met.select("anchor", "at", "windows", "around", "doc_id", F.col("e.doc_id").alias("source"), F.col("e.at").alias("source_at"), F.col("e.around").alias("source_around"))
+    extended = staged(met.mapInArrow(tidied(_extended(length)), OPEN), "extended")
+    rest = extended.where("w1 is not null").mapInArrow(tidied(_open_settled(length)), OPEN)
+    same = Window.partitionBy("w1", "w2", F.col("end").isNull())
+    rest = rest.withColumn("e", F.min(F.struct("doc_id", "first")).over(same)).where("end is not null or doc_id > e.doc_id or first > e.first")
+    rest = rest.select("doc_id", "first", F.coalesce("end", F.col("first") + length).alias("end"), F.coalesce("source_id", "e.doc_id").alias("source_id"), F.coalesce("source_first", "e.first").alias("source_first"))
+    return places.where("anchor is null").select(names).unionByName(extended.where("w1 is null").select(names)).unionByName(rest)
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, at, source_id, source_at): windows of texts (doc_id, text) that start earlier too, with the earliest place."""
-    places = _seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_windows(length)), PLACES)
-    earliest = places.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("e"))
-    found = places.join(earliest, ["w1", "w2"]).where("doc_id > e.doc_id or at > e.at")
-    return found.select("doc_id", "at", F.col("e.doc_id").alias("source_id"), F.col("e.at").alias("source_at"))
+    """(doc_id, at, source_id, source_at): windows of texts (doc_id, text) that start earlier too, with such a place."""
+    m = matches(texts, length).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("end") - F.col("first") - length)))
+    return m.select("doc_id", (F.col("first") + F.col("k")).alias("at"), "source_id", (F.col("source_first") + F.col("k")).alias("source_at"))
 
 
 def repeated_places(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, at, n): runs of n windows of repeated_windows() from at on, in one shuffle, for removal needs no sources.
-
-    Runs may meet or overlap, as those of repeated rows do.
-    """
-    places = _seeded(texts.where("doc_id is not null")).mapInArrow(tidied(_first_windows(length)), PLACES + ", n int")
-    earliest = F.first(F.struct("doc_id", "at")).over(Window.partitionBy("w1", "w2", F.col("n") > 0).orderBy("doc_id", "at").rowsBetween(Window.unboundedPreceding, 0))
-    return places.withColumn("e", earliest).where("n > 0 or doc_id > e.doc_id or at > e.at").select("doc_id", "at", F.greatest("n", F.lit(1)).alias("n"))
+    """(doc_id, at, n): runs of n windows of repeated_windows() from at on. Runs may meet or overlap."""
+    return matches(texts, length).select("doc_id", F.col("first").alias("at"), (F.col("end") - F.col("first") - length + 1).alias("n"))
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, first, end, source_id, source_first): repeats of at least length words, in words, with an earlier place.
 
-    Windows whose places run on together in the text and in the source are chained into one repeat. Rows of null id,
-    null, empty and short texts give none; repeated rows count once; other columns are not looked at.
+    Matches that run on together in the text and in the source are chained into one repeat. Rows of null id, null, empty and
+    short texts give none; repeated rows count once; other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_windows(texts, length).distinct().withColumn("shift", F.col("source_at") - F.col("at"))
-    w = Window.partitionBy("doc_id", "source_id", "shift").orderBy("at")
-    runs = runs.withColumn("run", F.col("at") - F.row_number().over(w))
-    return runs.groupBy("doc_id", "source_id", "shift", "run").agg(F.min("at").alias("first"), (F.max("at") + length).alias("end")).select("doc_id", "first", "end", "source_id", (F.col("first") + F.col("shift")).alias("source_first"))
+    pieces = matches(texts, length).withColumn("shift", F.col("source_first") - F.col("first"))
+    w = Window.partitionBy("doc_id", "source_id", "shift").orderBy("first", "end")
+    seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.withColumn("new", F.when(seen.isNull() | (F.col("first") > seen), 1).otherwise(0))
+    pieces = pieces.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = pieces.groupBy("doc_id", "source_id", "shift", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    return runs.select("doc_id", "first", "end", "source_id", (F.col("first") + F.col("shift")).alias("source_first"))
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -227,17 +371,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     import pyarrow as pa
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = texts.where("doc_id is not null").select("doc_id", F.md5("text").alias("m"), F.octet_length("text").alias("b"))
-    groups = named.groupBy("m", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    named = texts.where("doc_id is not null").select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("m"))
+    groups = named.groupBy("m").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1 and m is not null")
     # a group may hold a large part of all rows: they are dealt to SALT parts
-    groups = groups.select("m", "b", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    groups = groups.select("m", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    copies = salted.join(groups, ["m", "b", "salt"]).where("doc_id > rep").select("doc_id").distinct()
+    copies = salted.join(groups.hint("merge"), ["m", "salt"]).where("doc_id > rep").select("doc_id").distinct()
     copies = staged(copies.withColumn("copy", F.lit(True)), "copies")
     own = texts.join(copies, "doc_id", "left_anti")
     # seeds come from all texts that are not copies: a copy's windows all start earlier in its original
-    marks = repeated_places(own, length).groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("run"))
-    marks = staged(marks.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", *(F.array().cast("array<int>").alias(c) for c in ("at", "run")), "copy")), "marks")
+    marks = maximal_repeats(own, length=length).groupBy("doc_id").agg(F.collect_list("first").alias("at"), F.collect_list("end").alias("end"))
+    marks = staged(marks.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", *(F.array().cast("array<int>").alias(c) for c in ("at", "end")), "copy")), "marks")
+    unstage(copies)
     release(docs.sparkSession)
 
     def run(batches) -> Iterator:
@@ -245,7 +390,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, offsets = column_bytes(batch.column(1))
             copy = batch.column(4).fill_null(False).to_pylist()
             ats = batch.column(2).offsets.to_numpy()
-            values, runs = (np.empty(0, np.int32) if x.values is None else x.values.to_numpy() for x in batch.columns[2:4])
+            firsts, ends = (np.empty(0, np.int32) if x.values is None else x.values.to_numpy() for x in batch.columns[2:4])
             n, removed, digest, kept = [], [], [], []
             for i in range(len(copy)):
                 words = data[offsets[i] : offsets[i + 1]].tobytes().split()
@@ -254,9 +399,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     left = [] if len(words) >= length else words
                 elif ats[i + 1] > ats[i]:
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at, run_ = values[ats[i] : ats[i + 1]], runs[ats[i] : ats[i + 1]]
+                    at, end = firsts[ats[i] : ats[i + 1]], ends[ats[i] : ats[i + 1]]
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + run_ - 1 + length, -1)
+                    np.add.at(edge, end, -1)
                     left = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 else:
                     left = words
@@ -267,7 +412,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if n:
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "run", "copy").mapInArrow(tidied(run), RESULT)
+    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "at", "end", "copy").mapInArrow(tidied(run), RESULT)
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
