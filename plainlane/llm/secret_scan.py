@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and SQL operations only.
 
-Long runs of key characters with a digit are candidates. Integer features of each (length, character classes and their
+Long runs of key characters are candidates, and shorter ones that are assigned to a secret's name. What stands around a
+candidate is taken from the text itself, whatever candidates that context holds. Integer features of each (length, character classes and their
 transitions, distinct characters, dictionary coverage, path marks, neighbouring words) go through a forest that is trained
 in numpy from labelled findings, which a seeded rule writes, and then spelled as SQL: sums of nested CASE expressions, the
 same text for Spark and for DuckDB.
@@ -14,17 +15,20 @@ import string
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read_table
 
 CANDIDATE = "[A-Za-z0-9_+/~.-]{16,}={0,2}"
+#: Runs of key characters, and what stands before one of less than 16 that is a candidate.
+RUN = "[A-Za-z0-9_+/~.-]{8,}={0,2}"
+SHORT_AFTER = "(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private.?key)[A-Za-z0-9_.-]*[^A-Za-z0-9]{0,2}[:=][ ]*[^A-Za-z0-9 ]?$"
 #: Characters of context looked at, before and after.
 BEFORE, AFTER = 40, 16
 TREES, TREE_DEPTH, LEAF = 24, 6, 8
-#: Labelled findings that the rule writes for training.
-FINDINGS = 3000
+#: Labelled findings that the rules write for training: long ones with a digit and plain context, and all others.
+FINDINGS, MORE_FINDINGS = 3000, 3000
 THRESHOLD = 500
 
 #: Words of identifiers, paths and placeholders.
@@ -184,6 +188,60 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     return out
 
 
+def more_findings(n: int = MORE_FINDINGS, seed: int = 12) -> list[tuple[str, str, str, int]]:
+    """Findings that labelled_findings() has none of: values of long key names (which are candidates themselves), the names,
+    runs without a digit, and short values that are assigned to secrets' names."""
+    r = random.Random(seed)
+    words = DICTIONARY.split()
+    alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
+    text = lambda k, of: "".join(r.choices(of, k=k))
+    syllables = "the ing ion ed er an re on at en nd ti es or te of is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+    word = lambda k: "".join(r.choices(syllables, k=k))
+    natural = lambda k: " ".join(word(r.randint(1, 4)) for _ in range(k))
+    holders = "aws github gitlab stripe azure google slack service client admin production staging database app my".split()
+    secrets_ = "secret_access_key access_token secret_key api_key private_key auth_token client_secret password api_token credentials".split()
+    harmless = "sha256 md5 checksum commit digest build revision version uuid etag".split()
+
+    def named(last: str) -> str:
+        name = "_".join([*r.choices(holders, k=r.randint(1, 2)), last])
+        return r.choice([name, name.upper(), name.replace("_", "-"), name.replace("_", ".")])
+
+    out = []
+    while len(out) < n:
+        quote = r.choice(['"', "'", "", '"'])
+        assign = r.choice([" = ", "=", ": ", "=", '": '])
+        after = quote or " " + natural(2)
+        plain, kind = natural(r.randint(0, 5)) + " ", r.randrange(12)
+        value = r.choice([lambda: text(r.choice([32, 40, 40, 64]), hexa), lambda: text(r.randint(20, 60), alnum + "+/_-"), lambda: text(r.randint(16, 40), string.ascii_letters)])()
+        if kind < 3:
+            out.append((value, plain + named(r.choice(secrets_)) + assign + quote, after, 1))
+        elif kind < 5:  # a password or key of 8 to 15 characters
+            short = text(r.randint(8, 15), r.choice([alnum, alnum + "_-.~+", string.ascii_letters])) if r.random() < 0.7 else word(r.randint(2, 4))[:11] + text(4, string.digits)
+            out.append((short, plain + r.choice([named(r.choice(secrets_)), "password", "passwd", "token", "secret"]) + assign + quote, after, 1))
+        elif kind == 5:  # the name is none
+            name = named(r.choice(secrets_ + harmless))
+            if len(name) >= 16:
+                out.append((name + r.choice(["", "="]), plain, assign.strip() + quote + value[:8], 0))
+        elif kind == 6:
+            out.append((text(r.choice([32, 40, 64]), hexa), plain + named(r.choice(harmless)) + assign + quote, after, 0))
+        elif kind == 7:
+            s = word(r.randint(8, 14)) + r.choice(["", "", "."])
+            if len(s) >= 16:
+                out.append((r.choice([s, s.capitalize(), s.upper()]), r.choice([plain, plain + "\n", ""]), " " + natural(2), 0))
+        elif kind == 8:
+            s = r.choice(["/", "_", "-", "."]).join(r.choices(words, k=r.randint(3, 6))) + r.choice(["", ".html", ".py", "/", "."])
+            if len(s) >= 16:
+                out.append((s, r.choice([plain, plain + "https://", plain + "/", plain + "path: "]), " " + natural(2), 0))
+        elif kind == 9:  # placeholders and words in the place of a value
+            s = r.choice(["changeme", "your_password", "placeholder", "password", "example_key", "required", "undefined", "disabled", "localhost", "your-token-here", "xxxxxxxxxxxx", "********".replace("*", "x")])
+            out.append((s, plain + named(r.choice(secrets_)) + assign + quote, after, 0))
+        elif kind == 10:
+            out.append((text(16, string.digits), r.choice([plain, plain + "| ", ""]), " " + natural(2), 0))
+        else:
+            out.append((r.choice(words) + r.choice("._-") + r.choice(words) + r.choice([".com", ".org", "", ".example.com"]) + "/" + r.choice(words), plain + r.choice(["@", "http://", ""]), " " + natural(1), 0))
+    return [x for x in out if len(x[0]) >= 16 or re.search(SHORT_AFTER, x[1])]
+
+
 class _Tree:
     """A node of a classification tree: feature and threshold, or a leaf's share of secrets in thousandths."""
 
@@ -220,8 +278,8 @@ class _Tree:
 
 @lru_cache(1)
 def forest() -> list[_Tree]:
-    """The forest of the rule's findings; the same one everywhere."""
-    findings = labelled_findings()
+    """The forest of the rules' findings; the same one everywhere."""
+    findings = labelled_findings() + more_findings()
     x = np.array([_Python(s, b, a).features() for s, b, a, _ in findings])
     y = np.array([label for *_, label in findings])
     rng = np.random.default_rng(5)
@@ -247,17 +305,29 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     nth counts a text's candidates from 0, start is the character where one begins, score is the forest's mean in
     thousandths, is_secret whether it reaches threshold. Null and empty texts have no candidates; a null id stays null;
-    repeated rows are scanned each; an empty table gives an empty one; other columns are not looked at. Texts stay where
-    they are; only candidates that hold a digit are shuffled, by row, to sum their places.
+    repeated rows are scanned each; an empty table gives an empty one; other columns are not looked at. No shuffle: one fold
+    over the runs of a text, which keeps their places and the characters before them; what stands after a candidate is taken
+    from the next two runs and the gaps before them, which are longer than it.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(CANDIDATE))
-    cut = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(f"({CANDIDATE})")).alias("c"), F.split("t", CANDIDATE).alias("p"))
-    between = F.transform("p", lambda x: F.struct(F.length(x).alias("n"), F.right(x, F.lit(BEFORE)).alias("r"), F.left(x, F.lit(AFTER)).alias("l")))
-    zipped = cut.select("doc_id", "row", F.posexplode(F.arrays_zip(F.col("c"), between.alias("p"), F.slice(between, 2, 1 << 30).alias("q"))).alias("nth", "x")).where("x.c is not null")
-    found = zipped.select("doc_id", "row", "nth", F.col("x.c").alias("s"), F.col("x.p.n").alias("gap"), F.col("x.p.r").alias("before"), F.col("x.q.l").alias("after"))
-    place = F.sum(F.col("gap") + F.length("s")).over(Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - F.length("s")
-    found = found.withColumn("start", place.cast("long")).where(F.col("s").rlike("[0-9]"))
-    featured = found.selectExpr("doc_id", "nth", "start", "s", *(f"cast({f(_Spark)} as int) as {name}" for name, f in _SQL_FEATURES.items()))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(CANDIDATE) | F.col("t").rlike(f"[:=][ ]*[^A-Za-z0-9 ]?{RUN}"))
+    cut = texts.select("doc_id", F.split("t", RUN).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({RUN})")).alias("runs"))
+    cut = cut.select("doc_id", F.arrays_zip("gaps", "runs").alias("x"))
+    none = "array<struct<start:bigint,at:int,s:string,before:string>>"
+    state = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(none).alias("found"))
+
+    def step(acc, x):
+        before = F.right(F.concat(acc["tail"], x["gaps"]), F.lit(BEFORE))
+        return F.struct(
+            (acc["pos"] + F.length(x["gaps"]) + F.length(x["runs"])).alias("pos"), (acc["at"] + 1).alias("at"), F.right(F.concat(before, x["runs"]), F.lit(BEFORE)).alias("tail"),
+            F.when(x["runs"].rlike("^" + CANDIDATE) | before.rlike(SHORT_AFTER), F.concat(acc["found"], F.array(F.struct((acc["pos"] + F.length(x["gaps"])).alias("start"), acc["at"].alias("at"), x["runs"].alias("s"), before.alias("before"))))).otherwise(acc["found"]).alias("found"),
+        )
+
+    runs = F.filter("x", lambda x: x["runs"].isNotNull())
+    found = cut.withColumn("found", F.aggregate(runs, state, step)["found"]).where(F.size("found") > 0)
+    part = lambda k, name: F.coalesce(F.get("x", k)[name], F.lit(""))
+    after = lambda y: F.left(F.concat(*(part(y["at"] + k, name) for k in (1, 2) for name in ("gaps", "runs"))), F.lit(AFTER))
+    rows = found.select("doc_id", F.posexplode(F.transform("found", lambda y: F.struct(y["start"].alias("start"), y["s"].alias("s"), y["before"].alias("before"), after(y).alias("after")))).alias("nth", "y")).select("doc_id", "nth", "y.*")
+    featured = rows.selectExpr("doc_id", "nth", "start", "s", *(f"cast({f(_Spark)} as int) as {name}" for name, f in _SQL_FEATURES.items()))
     scored = featured.select("doc_id", "nth", "start", F.col("s").alias("candidate"), F.expr(_score_sql("cast({} div {} as int)")).alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= threshold)
 
@@ -270,11 +340,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql() -> str:
     features = ", ".join(f"CAST({f(_Duck)} AS INTEGER) AS {name}" for name, f in _SQL_FEATURES.items())
     return f"""
-WITH t AS (SELECT doc_id, text AS t FROM documents WHERE regexp_matches(text, '{CANDIDATE}')),
-cut AS (SELECT doc_id, regexp_extract_all(t, '{CANDIDATE}') AS c, string_split_regex(t, '{CANDIDATE}') AS p FROM t),
-flat AS (SELECT doc_id, c, p, unnest(range(1, len(c) + 1)) AS k FROM cut),
-found AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS nth, c[k] AS s, p[k] AS before, coalesce(p[k + 1], '') AS after,
-  CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(c[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM flat),
-featured AS (SELECT doc_id, nth, start, s, {features} FROM found WHERE regexp_matches(s, '[0-9]'))
+WITH t AS (SELECT doc_id, text AS t FROM documents WHERE regexp_matches(text, '{CANDIDATE}') OR regexp_matches(text, '[:=][ ]*[^A-Za-z0-9 ]?{RUN}')),
+cut AS (SELECT doc_id, t, regexp_extract_all(t, '{RUN}') AS c, string_split_regex(t, '{RUN}') AS p FROM t),
+flat AS (SELECT doc_id, t, c, p, unnest(range(1, len(c) + 1)) AS k FROM cut),
+placed AS (SELECT doc_id, t, c[k] AS s, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(c[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM flat),
+around AS (SELECT doc_id, s, start, right(left(t, start), {BEFORE}) AS before, substr(t, start + length(s) + 1, {AFTER}) AS after FROM placed),
+found AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS nth FROM around WHERE {_Duck.matches("s", "^" + CANDIDATE)} OR {_Duck.matches("before", SHORT_AFTER)}),
+featured AS (SELECT doc_id, nth, start, s, {features} FROM found)
 SELECT doc_id, nth, start, s AS candidate, CAST({_score_sql("{} // {}")} AS INTEGER) AS score, {_score_sql("{} // {}")} >= {THRESHOLD} AS is_secret FROM featured
 """
