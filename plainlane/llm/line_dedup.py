@@ -5,7 +5,7 @@ variable fields. A leaf that fewer than MIN_DOCS documents reach holds no recurr
 tokens that stand at their place in at least MIN_DOCS documents' lines are constant and all others are variable fields;
 a line with the fields blanked is its template. Templates of mostly constant tokens that recur in at least MIN_DOCS
 documents are dropped from all of them but the first (least doc_id), so content is lost nowhere. Counting is by
-aggregates that combine before they shuffle, so no leaf, template or line has to fit one task, and the result does not
+aggregates that combine before they shuffle and count documents, not rows, so no leaf, template or line has to fit one task, and the result does not
 depend on order, as that of a tree grown line by line would. Texts meet their line numbers in merge joins at every size.
 
 That is op4, as its SQL has it. The pipeline takes templates() instead, which also knows templates whose constant tokens
@@ -14,7 +14,6 @@ are those of a share of the leaf, so that they are the same in a corpus of any s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
-from ._common import SPACED, U64, as_long, blocks, column_bytes, mix, read_table, release, staged, tidied, unstage, word_bounds, word_hashes
+from ._common import SPACED, U64, as_long, blocks, column_bytes, mix, read_table, staged, tidied, unstage, word_bounds, word_hashes
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -135,14 +134,26 @@ def _salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str =
     return big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(small.select("*", parts), [*on, "salt"], how).drop("salt")
 
 
+def _sizes(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, size): leaves of min_docs documents or more, with the number of their lines (equal ones of a document once)."""
+    each = lines.groupBy("leaf", "doc_id").agg(F.count_distinct("line").alias("size"))
+    return each.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size")).where(F.col("docs") >= min_docs).select("leaf", "size")
+
+
+def _kinds(lines: DataFrame, *more: str) -> DataFrame:
+    """(leaf, line, docs, at, more...): how many documents hold each line of each leaf, whatever the rows that repeat them."""
+    each = lines.groupBy("leaf", "line", "doc_id").agg(F.min("number").alias("number"), *(F.max(c).alias(c) for c in more))
+    return each.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "number")).alias("at"), *(F.max(c).alias(c) for c in more))
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, numbers): the numbers (from 0) of the lines that a document loses; rows for such documents only."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    lines = staged(texts.mapInArrow(tidied(_parse), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean"), "lines")
+    lines = staged(texts.mapInArrow(tidied(_parse), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean").drop("new_line"), "lines")
+    # rows that repeat a document may lift a leaf over min_docs here; its templates are counted by documents below
     leaves = lines.where("new_leaf").groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     mine = staged(_salted(lines.drop("new_leaf"), leaves, ["leaf"], "doc_id"), "leaf-lines")
-    kinds = mine.groupBy("leaf", "line").agg(F.sum(F.col("new_line").cast("long")).alias("docs"), F.min(F.struct("doc_id", "number")).alias("at"))
-    kinds = staged(kinds, "kinds")
+    kinds = staged(_kinds(mine), "kinds")
     wanted = kinds.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.number")).alias("numbers"))
     tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(tidied(_tokens), "leaf long, line long, tokens array<long>").dropDuplicates(["leaf", "line"])
     tokens = staged(tokens.join(kinds.select("leaf", "line", "docs"), ["leaf", "line"]), "tokens")
@@ -158,7 +169,6 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     recurring = found.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     lost = staged(_salted(found, recurring, ["template"], "doc_id").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("number").alias("numbers")), "lost")
     unstage(lines, mine, kinds, tokens, found)
-    release(docs.sparkSession)
     return lost
 
 
@@ -174,12 +184,12 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     lines = staged(texts.mapInArrow(tidied(partial(_parse, up=True)), "doc_id long, number int, leaf long, line long, new_leaf boolean, new_line boolean, up long"), "lines")
-    leaves = lines.groupBy("leaf").agg(F.count_if("new_leaf").alias("docs"), F.count_if("new_line").alias("size")).where(F.col("docs") >= min_docs).select("leaf", "size")
-    placed = staged(_salted(lines.drop("new_leaf"), leaves, ["leaf"], "doc_id", "left"), "placed")
-    rest = placed.where("size is null").select("doc_id", "number", F.col("up").alias("leaf"), "line", "new_line")
-    above = rest.groupBy("leaf", "doc_id").agg(F.count_if("new_line").alias("size")).groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("size")).where(F.col("docs") >= min_docs).select("leaf", "size")
+    leaves = _sizes(lines, min_docs)
+    placed = staged(_salted(lines.drop("new_leaf", "new_line"), leaves, ["leaf"], "doc_id", "left"), "placed")
+    rest = placed.where("size is null").select("doc_id", "number", F.col("up").alias("leaf"), "line")
+    above = _sizes(rest, min_docs)
     mine = staged(placed.where("size is not null").drop("up").unionByName(_salted(rest, above, ["leaf"], "doc_id")), "leaf-lines")
-    kinds = staged(mine.groupBy("leaf", "line").agg(F.count_if("new_line").alias("docs"), F.max("size").alias("size"), F.min(F.struct("doc_id", "number")).alias("at")), "kinds")
+    kinds = staged(_kinds(mine, "size"), "kinds")
     wanted = kinds.groupBy("at.doc_id").agg(F.array_sort(F.collect_list("at.number")).alias("numbers"))
     tokens = texts.join(wanted.hint("merge"), "doc_id").select("text", "numbers").mapInArrow(tidied(partial(_tokens, marked=True)), "leaf long, line long, tokens array<long>").select("line", "tokens").dropDuplicates(["line"])
     tokens = staged(tokens.join(kinds.drop("at"), "line"), "tokens")
@@ -198,17 +208,13 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     found = staged(_salted(mine.drop("size"), named, ["leaf", "line"], "doc_id").select("doc_id", "number", "template"), "templated")
     recurring = found.select("template", "doc_id").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
     gone = _salted(found, recurring, ["template"], "doc_id").where("doc_id <> first").select("doc_id", "number")
-    equal = placed.groupBy("line").agg(F.count_if("new_line").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= exact_docs).select("line", "first")
+    equal = placed.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= exact_docs).select("line", "first")
     gone = gone.unionByName(_salted(placed, equal, ["line"], "doc_id").where("doc_id <> first").select("doc_id", "number"))
     lost = staged(gone.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")), "lost")
     unstage(lines, placed, mine, kinds, tokens, found)
-    release(docs.sparkSession)
     return lost
 
 
-CLEANED = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
-
-
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, keep_text: bool = True, lost_lines: Callable[..., DataFrame] = recurring_lines) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256, kept): every document without its recurring lines.
 
@@ -216,29 +222,17 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line and lose nothing (a null text gives an empty kept); rows of null id lose nothing and count for nothing. Rows
     repeated whole count as one document and are all returned; ids should be unique otherwise. An empty table gives an
     empty one; other columns are not looked at. keep_text=False leaves kept null. lost_lines is
-    recurring_lines or templates.
+    recurring_lines or templates. Texts are cut by Column expressions, in time linear in their lines.
     """
-    import pyarrow as pa
-
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lost = lost_lines(docs, id_col, text_col, min_docs)
-
-    def run(batches) -> Iterator:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n, dropped, digest, kept = [], [], [], []
-            for text, numbers in zip(texts, batch.column(2).to_pylist()):
-                lines = (text or "").split("\n")
-                gone = set(numbers or ())
-                left = "\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text or ""
-                n.append(len(lines))
-                dropped.append(len(gone))
-                digest.append(hashlib.sha256(left.encode()).hexdigest())
-                kept.append(left if keep_text else None)
-            if n:
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], names=[x.split()[0] for x in CLEANED.split(", ")])
-
-    return texts.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "text", "numbers").mapInArrow(tidied(run), CLEANED)
+    both = texts.join(lost.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "numbers")
+    lines = both.withColumn("lines", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("numbers"))
+    left = F.when(F.col("numbers").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n"))
+    cut = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("numbers").isNull(), 0).otherwise(F.size("numbers")).cast("long").alias("n_dropped"), left.alias("kept"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_lines", "n_dropped", digest, F.col("kept") if keep_text else F.lit(None).cast("string").alias("kept"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -554,3 +554,74 @@ def test_entries_are_complete():
 
     assert sorted(int(k[2:].split("_")[0]) for k in entries.QUERIES if k != "pipeline") == list(range(1, 11)) and "pipeline" in entries.QUERIES
     assert set(entries.SQL) <= set(entries.QUERIES)
+
+
+def test_repeated_rows_are_one_document_for_line_dedup(spark):
+    """Rows that repeat a document turn no variable field into a constant, and all are cut alike."""
+    rows = [(i, f"The same words stand in it but w{i}x") for i in range(10)]
+    for how in (line_dedup.recurring_lines, line_dedup.templates):
+        for more in (0, 9):
+            docs = spark.createDataFrame(rows + rows[1:2] * more, "doc_id long, text string")
+            got = {(x.doc_id, x.n_dropped, x.kept) for x in line_dedup.drop_recurring(docs, lost_lines=how).collect()}
+            assert got == {(0, 0, rows[0][1])} | {(i, 1, "") for i in range(1, 10)}
+    few = spark.createDataFrame([(1, "Only in one document it stands here")] * 12 + [(2, "another text")], "doc_id long, text string")
+    assert line_dedup.drop_recurring(few, lost_lines=line_dedup.templates).agg({"n_dropped": "max"}).first()[0] == 0
+
+
+def test_secret_candidates_against_brute_force(spark):
+    """Context is what the text holds around a candidate; short values count after secrets' names only."""
+    r = random.Random(4)
+    key = lambda k, of="0123456789abcdef": "".join(r.choices(of, k=k))
+    pieces = ["word ", "a_long_key_name_without_end=", "password=", "db_passwd: '", "version = ", "naïve ", "\n", "漢字 ", "; ", '"', "x=", "secret_access_key=\"", "commit ", "eightchr "]
+    rows = [(i, "".join(r.choice(pieces) if r.random() < 0.7 else key(r.choice([4, 9, 12, 16, 40]), "abcdefXYZ012/+-") for _ in range(r.randint(1, 25)))) for i in range(150)]
+    rows += [(200, "x" * 50000 + " " + "password=" + key(12) + " word" * 5000), (201, None), (202, "")]
+    want = {}
+    for i, t in rows:
+        nth = 0
+        for m in re.finditer(secret_scan.RUN, t or ""):
+            before, after = t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 16]
+            if re.match(secret_scan.CANDIDATE, m[0]) or re.search(secret_scan.SHORT_AFTER, before):
+                want[i, nth] = (m.start(), m[0], secret_scan.score_of(m[0], before, after))
+                nth += 1
+    got = {(x.doc_id, x.nth): (x.start, x.candidate, x.score) for x in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({i for i, _ in want}) > 100
+
+
+@pytest.mark.parametrize("name", ["secret=", "aws_secret_access_key=", 'AWS_SECRET_ACCESS_KEY = "', "GITHUB_ACCESS_TOKEN: ", "client.secret='"])
+def test_secrets_after_long_names_are_found(spark, name):
+    r = random.Random(7)
+    for alphabet, size, least in (("0123456789abcdef", 40, 0.95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24, 0.9), ("abcdefghjkmnpqrstuvwxyzABCDEFGH0123456789", 11, 0.9)):
+        rows = [(i, f"set {name}{''.join(r.choices(alphabet, k=size))}\" and go on") for i in range(100)]
+        got = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).where(f"is_secret and length(candidate) = {size}").select("doc_id").distinct().count()
+        assert got >= 100 * least
+
+
+def test_words_and_placeholders_are_no_secrets():
+    fresh = secret_scan.more_findings(600, seed=78)
+    assert sum((secret_scan.score_of(s, b, a) >= secret_scan.THRESHOLD) == bool(y) for s, b, a, y in fresh) / len(fresh) > 0.95
+
+
+def test_substring_several_contexts_of_one_anchor(spark):
+    """A frequent short line with different words around it: places that equal an earlier one which is not the anchor's first."""
+    r = random.Random(12)
+    line = [f"f{k}" for k in range(10)]
+    sides = [([f"l{v}x{k}" for k in range(12)], [f"r{v}x{k}" for k in range(12)]) for v in range(6)]
+    rows = []
+    for i in range(240):
+        left, right = sides[r.randrange(6)][0], sides[r.randrange(6)][1]
+        cut = r.randint(0, 12)
+        rows.append((i, " ".join([*(f"u{r.randrange(10**6)}" for _ in range(r.randint(0, 6))), *left[cut:], *line, *right[: r.randint(0, 12)], f"v{i}"])))
+    seen, want = set(), set()
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                want.add((i, k))
+            seen.add(key)
+    got = substring_dedup.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(x.doc_id, k) for x in got for k in range(x["first"], x.end - 19)} == want and len(want) > 200
+    by_id = {i: t.split() for i, t in rows}
+    for x in got:
+        assert (x.source_id, x.source_first) < (x.doc_id, x["first"])
+        assert by_id[x.doc_id][x["first"] : x.end] == by_id[x.source_id][x.source_first : x.source_first + x.end - x["first"]]
