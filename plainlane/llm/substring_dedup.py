@@ -150,6 +150,24 @@ def _open_windows(windows: np.ndarray, left: np.ndarray, right: np.ndarray, reac
     return windows
 
 
+def _uncovered(windows: np.ndarray, doc: np.ndarray, at: np.ndarray, m_doc: np.ndarray, first: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """The windows of the places that no match [first, end) of their document covers. Whole documents only: a window that is
+    open stays so at all its anchors' places, those in a run of one word among them."""
+    docs, number = np.unique(doc, return_inverse=True)
+    last = np.zeros(len(docs), np.int64)
+    np.maximum.at(last, number, at)
+    base = np.concatenate(([0], np.cumsum(last + 2 * length)))
+    edge = np.zeros(base[-1] + 1, np.int32)
+    m = base[np.searchsorted(docs, m_doc)]
+    np.add.at(edge, m + first, 1)
+    np.add.at(edge, m + end - length + 1, -1)
+    covered = np.cumsum(edge) > 0
+    place = base[number] + at
+    for k in range(length - ANCHOR + 1):
+        windows = np.where(covered[np.maximum(place - k, 0)], windows & ~np.int32(1 << k), windows)
+    return windows
+
+
 def _binary(rows: np.ndarray):
     import pyarrow as pa
 
@@ -219,8 +237,10 @@ def _seeds_extended(length: int):
             later = _later(doc, at, doc[first], at[first])
             hit = later & (left + right >= reach)
             windows = np.where(later, _open_windows(windows, left, right, reach), windows)
-            rest = new | (windows != 0)
             m = np.flatnonzero(hit)
+            if len(m):
+                windows = _uncovered(windows, doc, at, doc[m], at[m] - left[m], at[m] + ANCHOR + right[m], length)
+            rest = new | (windows != 0)
             if len(m):
                 f = first[m]
                 none = pa.nulls(len(m), pa.int64())
@@ -308,6 +328,11 @@ def _seeded(texts: DataFrame) -> DataFrame:
 def matches(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """MATCH: pieces of texts (doc_id, text) of length words or more with an earlier place; they cover every window of length
     words that starts earlier too, and no others. length is 8 to 38."""
+    return _matches(texts, length)[0]
+
+
+def _matches(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """matches() and the staged table that it reads."""
     if not ANCHOR <= length <= ANCHOR + 30:
         raise ValueError("length must be 8 to 38 words")
     spark = texts.sparkSession
@@ -322,12 +347,15 @@ def matches(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALT))).otherwise(0).cast("int")
     met = open_.withColumn("salt", salt).join(earliest.hint("merge"), ["anchor", "salt"]).where("doc_id > e.doc_id or (doc_id = e.doc_id and at > e.at)")
     met = met.select("anchor", "at", "windows", "around", "doc_id", F.col("e.doc_id").alias("source"), F.col("e.at").alias("source_at"), F.col("e.around").alias("source_around"))
-    extended = staged(met.mapInArrow(tidied(_extended(length)), OPEN), "extended")
+    settled = places.where("anchor is null").select(*names, *(F.lit(None).cast("long").alias(w) for w in ("w1", "w2")))
+    extended = staged(settled.unionByName(met.mapInArrow(tidied(_extended(length)), OPEN)), "extended")
+    unstage(places)
+    release(spark)
     rest = extended.where("w1 is not null").mapInArrow(tidied(_open_settled(length)), OPEN)
     same = Window.partitionBy("w1", "w2", F.col("end").isNull())
     rest = rest.withColumn("e", F.min(F.struct("doc_id", "first")).over(same)).where("end is not null or doc_id > e.doc_id or first > e.first")
     rest = rest.select("doc_id", "first", F.coalesce("end", F.col("first") + length).alias("end"), F.coalesce("source_id", "e.doc_id").alias("source_id"), F.coalesce("source_first", "e.first").alias("source_first"))
-    return places.where("anchor is null").select(names).unionByName(extended.where("w1 is null").select(names)).unionByName(rest)
+    return extended.where("w1 is null").select(names).unionByName(rest), extended
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -348,7 +376,11 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short texts give none; repeated rows count once; other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = matches(texts, length).withColumn("shift", F.col("source_first") - F.col("first"))
+    return _chained(matches(texts, length))
+
+
+def _chained(pieces: DataFrame) -> DataFrame:
+    pieces = pieces.withColumn("shift", F.col("source_first") - F.col("first"))
     w = Window.partitionBy("doc_id", "source_id", "shift").orderBy("first", "end")
     seen = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     pieces = pieces.withColumn("new", F.when(seen.isNull() | (F.col("first") > seen), 1).otherwise(0))
@@ -380,9 +412,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = staged(copies.withColumn("copy", F.lit(True)), "copies")
     own = texts.join(copies, "doc_id", "left_anti")
     # seeds come from all texts that are not copies: a copy's windows all start earlier in its original
-    marks = maximal_repeats(own, length=length).groupBy("doc_id").agg(F.collect_list("first").alias("at"), F.collect_list("end").alias("end"))
+    pieces, table = _matches(own, length)
+    marks = _chained(pieces).groupBy("doc_id").agg(F.collect_list("first").alias("at"), F.collect_list("end").alias("end"))
     marks = staged(marks.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", *(F.array().cast("array<int>").alias(c) for c in ("at", "end")), "copy")), "marks")
-    unstage(copies)
+    unstage(copies, table)
     release(docs.sparkSession)
 
     def run(batches) -> Iterator:
