@@ -332,6 +332,47 @@ k AS (SELECT doc_id, CASE WHEN regexp_matches(l, '(?i)^\s*note:') THEN 'note' WH
 SELECT doc_id, kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY doc_id, kind"""
 
 
+_PROSE = "^[\\p{L} .,!?\n]*$"
+_LETTERED = "(^|\n)[ ]*([A-Za-z][.)][ ]|[ ]{4})"
+
+
+def prose_rules(spark, d):
+    """Word-limit units, long sentences (STE-LEN-002) and long paragraphs (STE-PARA-001) of documents of plain prose: letters and
+    sentence marks only, no lettered items and no indented lines."""
+    t = F.col("text")
+    docs = _table(spark, d, "documents").where(t.rlike(_PROSE) & ~t.rlike(_LETTERED)).select("doc_id", "text")
+    x = lint.inputs(docs, families=[rules.length, rules.paragraph])
+    units = counting.counted_units(x.scanned).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("words").cast("long").alias("n_words"), F.max("words").cast("long").alias("longest"))
+    codes = rules.run(x, [rules.length, rules.paragraph]).groupBy("doc_id").agg(*(F.count_if(F.col("code") == c).alias(n) for c, n in (("STE-LEN-002", "n_long"), ("STE-PARA-001", "n_paragraphs"))))
+    return units.join(codes.hint("merge"), "doc_id", "left").select("doc_id", "n_sentences", "n_words", "longest", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_long", "n_paragraphs")))
+
+
+#: Tokens of a paragraph with chr(1) after each sentence: after every ? and !, and after periods that no letter follows, but for
+#: the last one of a token of up to three bytes before a lower-case word.
+_PROSE_SQL = rf"""WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\p{{L}} .,!?\n]*') AND NOT regexp_matches(text, '(^|\n)[ ]*([A-Za-z][.)][ ]|[ ]{{4}})')),
+p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ ]*\n\s*')) AS t FROM d),
+q AS (SELECT doc_id, row_number() OVER () AS par, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM p),
+e AS (SELECT doc_id, par, list_transform(w, lambda x, i: CASE WHEN x[-1] = '.' AND strlen(x) <= 4 AND regexp_matches(x, '^\p{{L}}') AND i < len(w) AND regexp_matches(w[i + 1], '^\p{{Ll}}')
+  THEN regexp_replace(regexp_replace(x[1:-2], '([?!])', '\1' || chr(1), 'g'), '[.]([^\p{{L}}]|$)', '.' || chr(1) || '\1', 'g') || '.' ELSE regexp_replace(regexp_replace(x, '([?!])', '\1' || chr(1), 'g'), '[.]([^\p{{L}}]|$)', '.' || chr(1) || '\1', 'g') END) AS w FROM q),
+s AS (SELECT doc_id, par, unnest(string_split(array_to_string(w, ' '), chr(1))) AS s FROM e),
+n AS (SELECT doc_id, par, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: regexp_matches(x, '\p{{L}}'))) AS words FROM s WHERE regexp_matches(s, '\p{{L}}')),
+pars AS (SELECT doc_id, count(*) AS n_paragraphs FROM (SELECT doc_id, par FROM n GROUP BY doc_id, par HAVING count(*) > 6) GROUP BY doc_id)
+SELECT n.doc_id, count(*) AS n_sentences, CAST(sum(words) AS BIGINT) AS n_words, CAST(max(words) AS BIGINT) AS longest, count(*) FILTER (words > 25) AS n_long, any_value(coalesce(pars.n_paragraphs, 0)) AS n_paragraphs
+FROM n LEFT JOIN pars USING (doc_id) GROUP BY n.doc_id"""
+
+
+def lexical_rules(spark, d):
+    """Diagnostics of the lexical family by document and code."""
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return lint.lint(docs, families=[rules.lexical]).groupBy("doc_id", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _lexical_sql() -> str:
+    return f"""WITH {_T2}, s AS (SELECT doc_id, n_approved AS a, n_unapproved AS u FROM t LEFT JOIN {_form_values()} ON lower(t.word) = f.form WHERE NOT machine),
+c AS (SELECT doc_id, CASE WHEN a IS NULL THEN 'STE-TERM-001' WHEN a = 0 THEN 'STE-LEX-001' WHEN u > 0 THEN 'STE-LEX-002' END AS code FROM s)
+SELECT doc_id, code, CASE WHEN code = 'STE-LEX-001' THEN 'error' ELSE 'blocked' END AS severity, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY doc_id, code"""
+
+
 def lint_documents(spark, d):
     """Diagnostics of all rule families over the documents, by code and language."""
     docs = _table(spark, d, "documents")
@@ -354,7 +395,8 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "containment_edges": (containment_edges, _CONTAIN), "precedes_edges": (precedes_edges, _PRECEDES), "first_full_form": (first_full_form, _FULL),
     "diagnostics_per_1000_words": (diagnostics_per_1000_words, _rate_sql), "coverage_status": (coverage_status, _coverage_sql), "glossary_conflicts": (glossary_conflicts, _CONFLICT),
     "lexicon_identity": (lexicon_identity, _identity_sql), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
-    "block_lines": (block_lines, _block_sql), "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "lint_fixtures": (lint_fixtures, None),
+    "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
+    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "lint_fixtures": (lint_fixtures, None),
 }
 
 
