@@ -21,6 +21,7 @@ PREFIXABLE_SYMBOLS = "g m s A K mol cd rad sr Hz N Pa J W C V F Ω Ω S Wb T H 
 PREFIXABLE_NAMES = "gram meter metre second ampere kelvin mole candela radian steradian hertz newton pascal joule watt coulomb volt farad ohm siemens weber tesla henry lumen lux becquerel gray sievert katal liter litre electronvolt dalton".split()
 
 _NUMBER = re.compile(r"[-+−]?(?:\d[\d,  ]*(?:\.\d+)?|\.\d+)(?:\s?[-–—/]\s?\d[\d,]*(?:\.\d+)?)?(?:st|nd|rd|th)?")
+_QUOTES = re.compile('["“”\n]')
 _WORD = re.compile(r"\S+")
 _OPEN, _CLOSE = "\"“'([{#*`‘", "\"”’')]},;:?!.`"
 _CLOCK = re.compile(r"[ap]\.?m\.?", re.I)
@@ -28,6 +29,29 @@ _IDENTIFIER = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])[A-Za-z0-9\-_/.:]+")
 _HYPHENATED = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
 
 
+def quotations(text: str) -> Iterator[tuple[int, int]]:
+    """From each opening mark to the next closing one of its kind on the same line, leftmost first; straight marks open and close."""
+    marks = [(m.start(), m[0]) for m in _QUOTES.finditer(text)]
+    close = [-1] * len(marks)
+    later = {'"': -1, "”": -1}
+    for k in range(len(marks) - 1, -1, -1):
+        ch = marks[k][1]
+        if ch == "\n":
+            later = {'"': -1, "”": -1}
+        elif ch == "“":
+            close[k] = later["”"]
+        else:
+            if ch == '"':
+                close[k] = later['"']
+            later[ch] = k
+    k = 0
+    while k < len(marks):
+        if close[k] >= 0:
+            yield marks[k][0], marks[close[k]][0] + 1
+            k = close[k]
+        k += 1
+
+
 @dataclass
 class Registry:
     """Closed sets of unit symbols (exact) and names (any case)."""
@@ -46,8 +70,8 @@ class Registry:
         """(kind, start, end) of headings, quotations, parentheses, hyphenated words, numbers, identifiers and clock marks."""
         for a, b in headings:
             yield "heading", a, b
-        for m in re.finditer(r'"[^"\n]*"|“[^”\n]*”', text):
-            yield "quoted", m.start(), m.end()
+        for a, b in quotations(text):
+            yield "quoted", a, b
         stack: list[int] = []
         for m in re.finditer(r"[()]", text):
             if m[0] == "(":

@@ -55,3 +55,57 @@ def first_full_form(mentions: DataFrame) -> DataFrame:
     """mentions (doc_id, identity, start, is_full) with seen_full: whether a full form stands earlier."""
     w = Window.partitionBy("doc_id", "identity").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return mentions.withColumn("seen_full", F.coalesce(F.min(F.when(F.col("is_full"), F.col("start"))).over(w).isNotNull(), F.lit(False)))
+
+
+def coreference(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """(correct, total, accuracy): expected links (case, mention, antecedent) that an observed one (case, mention, representative)
+    answers: the same mention in any case, and a representative that contains the antecedent."""
+    o = observed.select("case", F.lower("mention").alias("m"), F.lower(F.coalesce("representative", F.lit(""))).alias("r")).groupBy("case", "m").agg(F.collect_set("r").alias("rs"))
+    e = expected.select("case", F.lower("mention").alias("m"), F.lower("antecedent").alias("a"))
+    hit = F.coalesce(F.exists("rs", lambda r: F.contains(r, F.col("a"))), F.lit(False))
+    return e.join(o, ["case", "m"], "left").agg(F.count_if(hit).alias("correct"), F.count(F.lit(1)).alias("total")).withColumn("accuracy", F.try_divide("correct", "total"))
+
+
+def token_parity(reference: DataFrame, observed: DataFrame, label: str) -> DataFrame:
+    """(correct, total, accuracy): tokens (case, start, end, label) of which an observed token has the same span: equal labels.
+    Tokens without a label on the reference's side are not counted."""
+    o = observed.select("case", "start", "end", F.col(label).alias("seen"))
+    both = reference.where(F.col(label).isNotNull()).join(o, ["case", "start", "end"])
+    return both.agg(F.count_if(F.col(label).eqNullSafe(F.col("seen"))).alias("correct"), F.count(F.lit(1)).alias("total")).withColumn("accuracy", F.try_divide("correct", "total"))
+
+
+def combined(**providers: DataFrame) -> DataFrame:
+    """(provider, metric, correct, total, accuracy) of several providers' measures (metric, correct, total, accuracy)."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [m.select(F.lit(p).alias("provider"), "metric", "correct", "total", "accuracy") for p, m in providers.items()])
+
+
+def constituents(trees: DataFrame) -> DataFrame:
+    """(case, ordinal, label, text) of bracketed trees (case, tree): each inner node with the words below it, children first."""
+    import re
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for case, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words: list[str] = []
+                open_: list[tuple[str, int]] = []
+                n = 0
+                for label, close, word in re.findall(r"\(\s*([^\s()]*)|(\))|([^\s()]+)", tree or ""):
+                    if word:
+                        words.append(word)
+                    elif close and open_:
+                        name, at = open_.pop()
+                        if name and len(words) > at:
+                            rows.append((case, n, name, " ".join(words[at:])))
+                            n += 1
+                    elif not close:
+                        open_.append((label, len(words)))
+            if rows:
+                types = (pa.int64(), pa.int32(), pa.string(), pa.string())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["case", "ordinal", "label", "text"])
+
+    return trees.select(F.col("case").cast("long").alias("case"), "tree").mapInArrow(run, "case long, ordinal int, label string, text string")

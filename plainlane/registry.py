@@ -8,10 +8,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import fixtures
 from . import functions as T
 from .operators import counting, matching, rewrite, rules, structure
-from .plans import lint, reports
-from .sources import coverage, glossary, lexicon, tables
+from .plans import fixes, lint, reports
+from .sources import coverage, glossary, lexicon, tables, texts
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -373,6 +374,38 @@ c AS (SELECT doc_id, CASE WHEN a IS NULL THEN 'STE-TERM-001' WHEN a = 0 THEN 'ST
 SELECT doc_id, code, CASE WHEN code = 'STE-LEX-001' THEN 'error' ELSE 'blocked' END AS severity, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY doc_id, code"""
 
 
+def fixed_pages(spark, d):
+    """Pages with a fix for each semicolon."""
+    pages = _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    places = pages.select("doc_id", F.explode(T.mark_offsets(F.col("text"), ";")).alias("start"))
+    out = fixes.apply_fixes(pages, places.select("doc_id", "start", (F.col("start") + 1).alias("end"), F.lit(", and").alias("replacement")))
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "fixed")
+
+
+_FIXED = "SELECT page_id AS doc_id, sha256(replace(html, ';', ', and')) AS sha256, contains(html, ';') AS fixed FROM pages"
+
+
+def dictionary_lookup(spark, d):
+    """Entries of each distinct word of the documents: by form, else by lemma."""
+    words = _table(spark, d, "documents").select(F.explode(T.plain_words(F.col("text"))).alias("word"))
+    return lexicon.lookup(words, lexicon.starter(spark)).select("word", "lemma", "status", "pos", "matched")
+
+
+def _lookup_sql() -> str:
+    rows = {(f.lower(), e["lemma"].lower(), e["status"], e["part_of_speech"], "form") for e in lexicon.starter_entries() for f in e["forms"]}
+    rows |= {(e["lemma"].lower(), e["lemma"].lower(), e["status"], e["part_of_speech"], "lemma") for e in lexicon.starter_entries()}
+    values = ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in sorted(rows))
+    return f"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM documents), k(key, lemma, status, pos, matched) AS (VALUES {values}),
+j AS (SELECT word, lemma, status, pos, matched FROM w JOIN k ON word = key)
+SELECT DISTINCT * FROM j WHERE matched = 'form' OR word NOT IN (SELECT word FROM j WHERE matched = 'form')"""
+
+
+def human_report(spark, d):
+    """Lines that a person reads, of the lexical errors of the English documents."""
+    docs = _table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    return texts.human_lines(lint.lint(docs, families=[rules.lexical]).where("severity = 'error'")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("least"), F.max("nth").cast("long").alias("last"))
+
+
 def lint_documents(spark, d):
     """Diagnostics of all rule families over the documents, by code and language."""
     docs = _table(spark, d, "documents")
@@ -396,6 +429,8 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "diagnostics_per_1000_words": (diagnostics_per_1000_words, _rate_sql), "coverage_status": (coverage_status, _coverage_sql), "glossary_conflicts": (glossary_conflicts, _CONFLICT),
     "lexicon_identity": (lexicon_identity, _identity_sql), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
     "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
+    "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql), "human_report": (human_report, None),
+    "rule_fixtures": (lambda spark, d: fixtures.diagnostics(spark), fixtures.sql),
     "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "lint_fixtures": (lint_fixtures, None),
 }
 

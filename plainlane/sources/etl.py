@@ -57,3 +57,30 @@ def paradigm(forms: Column) -> Column:
     """A verb's paradigm from its sequence of base, present, past and participle forms; fewer give none."""
     at = lambda k: F.get(forms, F.lit(k))
     return F.when(F.size(forms) >= 4, F.struct(F.lit("lexical").alias("classification"), forms.alias("source_sequence"), at(0).alias("base_form"), F.array(at(0), at(1)).alias("simple_present_variants"), F.array(at(2)).alias("simple_past_variants"), at(3).alias("past_participle")))
+
+
+def compiled_entries(rows: DataFrame) -> DataFrame:
+    """entries() as lexicon entries (lexicon.ENTRY, with entry_id): approved verbs of four forms or more get their paradigm."""
+    from . import lexicon
+
+    verb = F.col("approved") & (F.col("part_of_speech") == "verb")
+    empty = lambda c: F.lit(None).cast(c)
+    kinds = {f.name: f.dataType for f in lexicon.starter(rows.sparkSession).schema.fields}
+    out = rows.select(
+        F.col("headword").alias("lemma"), F.when(F.col("approved"), "approved").otherwise("unapproved").alias("status"), "part_of_speech", "forms",
+        F.when(verb, paradigm(F.col("forms"))).cast(kinds["verb_paradigm"]).alias("verb_paradigm"), empty(kinds["senses"]).alias("senses"), empty(kinds["alternatives"]).alias("alternatives"),
+        empty(kinds["restrictions"]).alias("restrictions"), F.lit("structural").alias("interpretation_state"),
+    )
+    return lexicon.with_ids(out)
+
+
+def authority_problems(entry_rows: DataFrame, manifest: dict, content: DataFrame | None = None) -> DataFrame:
+    """(check, expected, actual) of what differs from a manifest: entries, approved and unapproved records, and (with content, a
+    binaryFile row) the artifact's bytes and digest."""
+    counts = entry_rows.agg(F.count(F.lit(1)).alias("entries"), F.count_if("approved").alias("approved"), F.count_if(~F.col("approved")).alias("unapproved"))
+    names = ["entries", "approved", "unapproved"]
+    if content is not None:
+        counts = counts.crossJoin(content.select(F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).limit(1))
+        names += ["bytes", "sha256"]
+    found = F.array(*(F.struct(F.lit(k).alias("check"), F.lit(str(manifest.get(k))).alias("expected"), F.col(k).cast("string").alias("actual")) for k in names))
+    return counts.select(F.explode(found).alias("c")).select("c.*").where("expected <> actual")

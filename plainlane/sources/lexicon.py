@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENTRY = (
@@ -82,8 +82,6 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def with_ids(entries: DataFrame) -> DataFrame:
     """Numbers entries by lemma, part of speech and status."""
-    from pyspark.sql import Window
-
     return entries.withColumn("entry_id", F.row_number().over(Window.orderBy("lemma", "part_of_speech", "status")) - 1).select("entry_id", *ENTRY_NAMES)
 
 
@@ -105,6 +103,16 @@ def form_rows(entries: DataFrame) -> DataFrame:
     return rows.select("form", "entry_id", "lemma", "status", "pos", F.when(F.col("p").isNotNull(), roles).otherwise(F.array().cast("array<string>")).alias("roles"), (F.col("p.classification") == "modal").alias("modal"), "interpreted", "instead", F.size(F.split("form", " ")).alias("width"))
 
 
+def lookup(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """(word, entry_id, lemma, status, pos, matched) for words (word): entries that have it as a form, else as their lemma."""
+    key = F.array_join(F.filter(F.split(F.lower("word"), "[ \\t\\n\\f\\r]+"), lambda w: w != ""), " ")
+    asked = words.select("word").distinct().withColumn("key", key)
+    e = entries.select("entry_id", F.lower("lemma").alias("lemma"), "status", F.col("part_of_speech").alias("pos"), F.explode(F.concat(F.transform(F.coalesce("forms", F.array().cast("array<string>")), lambda f: F.struct(F.lower(f).alias("key"), F.lit("form").alias("matched"))), F.array(F.struct(F.lower("lemma").alias("key"), F.lit("lemma").alias("matched"))))).alias("k"))
+    e = e.select("entry_id", "lemma", "status", "pos", "k.key", "k.matched").distinct()
+    found = asked.join(e, "key").withColumn("by_form", F.max(F.col("matched") == "form").over(Window.partitionBy("word")))
+    return found.where((F.col("matched") == "form") | ~F.col("by_form")).select("word", "entry_id", "lemma", "status", "pos", "matched")
+
+
 def form_table(entries: DataFrame) -> DataFrame:
     """One row for each form, with what rules ask of all its candidates: joins with it stay one to one."""
     r = form_rows(entries)
