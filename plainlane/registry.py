@@ -12,7 +12,7 @@ from . import fixtures
 from . import functions as T
 from .operators import counting, matching, rewrite, rules, structure
 from .plans import fixes, lint, reports
-from .sources import coverage, glossary, lexicon, tables, texts
+from .sources import coverage, glossary, lexicon, tables
 
 
 def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -400,12 +400,6 @@ j AS (SELECT word, lemma, status, pos, matched FROM w JOIN k ON word = key)
 SELECT DISTINCT * FROM j WHERE matched = 'form' OR word NOT IN (SELECT word FROM j WHERE matched = 'form')"""
 
 
-def human_report(spark, d):
-    """Lines that a person reads, of the lexical errors of the English documents."""
-    docs = _table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    return texts.human_lines(lint.lint(docs, families=[rules.lexical]).where("severity = 'error'")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("least"), F.max("nth").cast("long").alias("last"))
-
-
 def lint_documents(spark, d):
     """Diagnostics of all rule families over the documents, by code and language."""
     docs = _table(spark, d, "documents")
@@ -429,7 +423,7 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "diagnostics_per_1000_words": (diagnostics_per_1000_words, _rate_sql), "coverage_status": (coverage_status, _coverage_sql), "glossary_conflicts": (glossary_conflicts, _CONFLICT),
     "lexicon_identity": (lexicon_identity, _identity_sql), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
     "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
-    "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql), "human_report": (human_report, None),
+    "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql),
     "rule_fixtures": (lambda spark, d: fixtures.diagnostics(spark), fixtures.sql),
     "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "lint_fixtures": (lint_fixtures, None),
 }
