@@ -161,8 +161,9 @@ c AS (SELECT doc_id, line, CAST(len(list_filter(regexp_split_to_array(t, '[.?!]+
 
 def count_groups(spark, d):
     """Number words, identifiers, quotations and parentheses of each document."""
-    t = _table(spark, d, "documents")
-    w = T.count_lexemes(F.col("text"))
+    # the words are a column of their own, so that they are split once
+    w = F.col("w")
+    t = _table(spark, d, "documents").select("doc_id", "text", T.count_lexemes(F.col("text")).alias("w"))
     counts = t.select(
         "doc_id", F.size(F.filter(w, T.is_number)).cast("long").alias("n_numbers"), F.size(F.filter(w, T.is_identifier)).cast("long").alias("n_identifiers"),
         F.size(F.regexp_extract_all("text", F.lit('"[^"\n]*"'), F.lit(0))).cast("long").alias("n_quoted"), F.size(F.regexp_extract_all("text", F.lit("\\([^()]*\\)"), F.lit(0))).cast("long").alias("n_parentheses"),
