@@ -56,8 +56,16 @@ def unstage(*tables: DataFrame) -> None:
             system.delete(place, True)
 
 
+#: Documents whose files are smaller than this are dealt to all cores once: they may hold fewer row groups than there are
+#: cores, and a row group is one task. Larger inputs stay where they are.
+SMALL_BYTES = 48 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 #: Rows of an Arrow batch: bounds what a worker and its executor hold of whole texts at once.
