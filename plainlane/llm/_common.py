@@ -27,14 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, **options) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage is cut and lost executors cost nothing.
 
-    Tables that no unstage() deletes, for results still read them, go when the session ends.
+    options are the writer's. Tables that no unstage() deletes, for results still read them, go when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _place(spark, path)[0].deleteOnExit(_place(spark, path)[1])
     out = spark.read.schema(df.schema).parquet(path)
     out._plainlane_path = path

@@ -2,8 +2,9 @@
 
 A stream starts with a program association and a program map table, then carries the payload as the PES packets of one
 elementary stream. Each PES packet holds one access unit with a presentation time stamp; every GROUP-th unit is a
-random-access point, marked in the adaptation field together with a clock reference. The reader parses the tables,
-checks the continuity counters of each PID, reassembles the PES packets and returns time stamps and random-access points.
+random-access point, marked in the adaptation field together with a clock reference. Streams are stored in a table. The
+reader takes them from there, parses the tables (whose sections may cross packets), checks the continuity counters of each
+PID and leaves out repeated packets, reassembles the PES packets and returns time stamps and random-access points.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column_bytes, read_table, tidied
+from ._common import column_bytes, read_table, staged, tidied
 
 PACKET = 188
 SYNC = 0x47
@@ -133,11 +134,52 @@ class Stream:
     errors: list[str] = field(default_factory=list)
 
 
-def _parse_section(packet: bytes, body: int) -> bytes | None:
-    at = body + 1 + packet[body]
-    length = (packet[at + 1] & 0x0F) << 8 | packet[at + 2]
-    section = packet[at : at + 3 + length]
-    return section if len(section) == 3 + length and section_crc(section) == 0 else None
+def _continuous(p: np.ndarray, rows: np.ndarray, body: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, int]:
+    """rows of one PID's packets with payload, without packets sent twice, and the number of gaps in their counters.
+
+    A packet sent twice has its predecessor's counter and payload. A gap at a packet marked as a discontinuity is none.
+    """
+    if len(rows) < 2:
+        return rows, 0
+    step = (p[rows[1:], 3].astype(np.int16) - p[rows[:-1], 3]) % 16
+    twice = np.zeros(len(rows), bool)
+    for k in np.flatnonzero((step == 0) & (body[rows[1:]] == body[rows[:-1]])) + 1:
+        start = body[rows[k]]
+        twice[k] = (p[rows[k], start:] == p[rows[k - 1], start:]).all()
+    gaps = (step != 1) & ~twice[1:] & ~marked[rows[1:]]
+    return rows[~twice], int(gaps.sum())
+
+
+def _sections(p: np.ndarray, rows: np.ndarray, first: np.ndarray, body: np.ndarray) -> Iterator[bytes | None]:
+    """The sections in one PID's packets, which may cross packets or share one; None for each that is damaged or cut off."""
+    held = None
+
+    def whole() -> Iterator[bytes | None]:
+        nonlocal held
+        while held and held[0] != 0xFF and len(held) >= 3:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                return
+            yield held[:size] if section_crc(held[:size]) == 0 else None
+            held = held[size:]
+        if held and held[0] == 0xFF:
+            held = b""
+
+    for i in rows:
+        data = p[i, body[i] :].tobytes()
+        if first[i] and data:
+            start = 1 + data[0]
+            if held:
+                held += data[1:start]
+                yield from whole()
+                if held:
+                    yield None
+            held = data[start:]
+        elif held is not None:
+            held += data
+        yield from whole()
+    if held:
+        yield None
 
 
 def demux(media: bytes) -> Stream:
@@ -159,31 +201,35 @@ def demux(media: bytes) -> Stream:
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
     first = (p[:, 1] & 0x40) > 0
     control = p[:, 3] >> 4 & 3
-    counter = (p[:, 3] & 15).astype(np.int16)
     field_bytes = np.where(control >= 2, p[:, 4].astype(np.int32) + 1, 0)
     body = np.where(control & 1, 4 + field_bytes, PACKET).clip(max=PACKET)
-    for i in np.flatnonzero(synced & first & (pid == PAT_PID)):
-        x = _parse_section(p[i].tobytes(), int(body[i]))
+    marked = (field_bytes > 1) & (p[:, 5] & 0x80 > 0)
+
+    def packets_of(wanted: int) -> np.ndarray:
+        rows, gaps = _continuous(p, np.flatnonzero(synced & (pid == wanted) & ((control & 1) > 0)), body, marked)
+        s.discontinuities += gaps
+        return rows
+
+    for x in _sections(p, packets_of(PAT_PID), first, body):
         if x is None or x[0] != 0:
             s.errors.append("bad program association table")
             continue
         for at in range(8, len(x) - 4, 4):
             s.programs[x[at] << 8 | x[at + 1]] = (x[at + 2] & 0x1F) << 8 | x[at + 3]
-    for i in np.flatnonzero(synced & first & np.isin(pid, [v for k, v in s.programs.items() if k])):
-        x = _parse_section(p[i].tobytes(), int(body[i]))
-        if x is None or x[0] != 2:
-            s.errors.append("bad program map table")
-            continue
-        at = 12 + ((x[10] & 0x0F) << 8 | x[11])
-        while at + 5 <= len(x) - 4:
-            s.streams[(x[at + 1] & 0x1F) << 8 | x[at + 2]] = x[at]
-            at += 5 + ((x[at + 3] & 0x0F) << 8 | x[at + 4])
+    for table in sorted({v for k, v in s.programs.items() if k}):
+        for x in _sections(p, packets_of(table), first, body):
+            if x is None or x[0] != 2:
+                s.errors.append("bad program map table")
+                continue
+            at = 12 + ((x[10] & 0x0F) << 8 | x[11])
+            while at + 5 <= len(x) - 4:
+                s.streams[(x[at + 1] & 0x1F) << 8 | x[at + 2]] = x[at]
+                at += 5 + ((x[at + 3] & 0x0F) << 8 | x[at + 4])
     parts: list[bytes] = []
     for es in s.streams:
-        rows = np.flatnonzero(synced & (pid == es) & ((control & 1) > 0))
+        rows = packets_of(es)
         if not len(rows):
             continue
-        s.discontinuities += int(((counter[rows][1:] - counter[rows][:-1]) % 16 != 1).sum())
         q, start = p[rows], body[rows]
         data = q[np.arange(PACKET)[None, :] >= start[:, None]].tobytes()
         ends = np.cumsum(PACKET - start)
@@ -218,43 +264,69 @@ def padded(text: bytes) -> bytes:
     return text + bytes(max(-(-len(text) // ALIGN), 1) * ALIGN - len(text))
 
 
+STORED = "doc_id long, n_bytes long, media binary"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, stamps array<long>, access_stamps array<long>, access_packets array<long>"
+#: Bytes of streams that a worker gives back at once, and of a row group of the stored table.
+LOT_BYTES, GROUP_BYTES = 8 << 20, 16 << 20
 
 
-def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """Stores each text as a transport stream and reads it back.
-
-    Returns SCHEMA's columns: sizes and digests of what was read back and of the stored form, the feature string, the
-    stream itself, all time stamps, and time stamps and packet numbers of random-access points. keep_media=False leaves
-    the three bulky ones null. Null and empty texts become one unit of 64 zero bytes; a null id stays null; equal texts
-    give equal values; an empty table gives an empty one. Other columns are not looked at. Narrow: no shuffle.
-    """
+def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, media): each text as a transport stream, and its bytes without padding. Narrow: no shuffle."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
+            streams, size, done = [], 0, 0
+            for i in range(batch.num_rows):
+                streams.append(mux(padded(data[offsets[i] : offsets[i + 1]].tobytes())))
+                size += len(streams[-1])
+                if size > LOT_BYTES or i == batch.num_rows - 1:
+                    sizes = pa.array(np.diff(offsets[done : i + 2]), pa.int64())
+                    yield pa.record_batch([batch.column(0).slice(done, i + 1 - done), sizes, pa.array(streams, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                    streams, size, done = [], 0, i + 1
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), STORED)
+
+
+def read_media(stored: DataFrame, keep_media: bool = True) -> DataFrame:
+    """What a reader finds in stored streams (doc_id, n_bytes, media), as SCHEMA has it; null streams are empty ones."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows: list[tuple] = []
-            ids = batch.column(0).to_pylist()
             size = 0
-            for i, doc_id in enumerate(ids):
-                text = data[offsets[i] : offsets[i + 1]].tobytes()
-                media = mux(padded(text))
+            for doc_id, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                media = media.as_py() or b""
                 s = demux(media)
                 back = s.payload
                 rows.append((
-                    doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature(s),
+                    doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature(s),
                     media if keep_media else None, s.stamps if keep_media else None,
                     [t for t, _ in s.access_points] if keep_media else None, [at for _, at in s.access_points] if keep_media else None,
                 ))
                 size += len(media)
-                if size > 8 << 20 or len(rows) >= 4096:
+                if size > LOT_BYTES:
                     yield _batch(rows)
                     rows, size = [], 0
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), SCHEMA)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), SCHEMA)
+
+
+def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
+    """Stores each text as a transport stream in a table in the shared folder and reads it back from there.
+
+    Returns SCHEMA's columns: sizes and digests of what was read back and of the stored form, the feature string, the
+    stream itself, all time stamps, and time stamps and packet numbers of random-access points. keep_media=False leaves
+    the four bulky ones null. Null and empty texts become one unit of 64 zero bytes; a null id stays null; equal texts
+    give equal values; repeated rows are all returned; very long texts are one stream each; an empty table gives an empty
+    one. Other columns are not looked at. Narrow: no shuffle.
+    """
+    stored = staged(write_media(docs, id_col, text_col), "media", compression="zstd", **{"parquet.block.size": GROUP_BYTES})
+    return read_media(stored, keep_media)
 
 
 def _batch(rows: list[tuple]):

@@ -514,6 +514,89 @@ def test_transport_stream(docs, empty):
     assert transport_stream.media_column(empty).count() == 0
 
 
+def section_ok(x):
+    """The CRC-32 of a table section, bit by bit: its remainder is zero."""
+    c = 0xFFFFFFFF
+    for bit in "".join(f"{b:08b}" for b in x):
+        top = c >> 31 ^ int(bit)
+        c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+    return c == 0
+
+
+def plain_reader(media):
+    """A transport stream read packet by packet by the standard's bit fields: (feature, payload)."""
+    bits = lambda b, at, n: int("".join(f"{x:08b}" for x in b)[at : at + n], 2)
+    programs, streams, units, points, last, gaps = {}, {}, [], [], {}, 0
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    for at, x in enumerate(packets):
+        assert len(x) == 188 and x[0] == 0x47 and bits(x, 8, 1) == 0 and bits(x, 24, 2) == 0
+        begins, pid, field, payload, counter = bits(x, 9, 1), bits(x, 11, 13), bits(x, 26, 1), bits(x, 27, 1), bits(x, 28, 4)
+        assert payload
+        gaps += pid in last and (last[pid] + 1) % 16 != counter
+        last[pid] = counter
+        rest, access = x[4:], False
+        if field:
+            if rest[0]:
+                access = bits(rest, 9, 1)
+                if bits(rest, 11, 1):
+                    base, extension = bits(rest, 16, 33), bits(rest, 55, 9)
+                    assert extension == 0 and base == len(units) * 3600
+            rest = rest[1 + rest[0] :]
+        if pid in (0, *programs.values()):
+            section = rest[1 + rest[0] :]
+            section = section[: 3 + bits(section, 12, 12)]
+            assert begins and section_ok(section) and section[0] == (0 if pid == 0 else 2)
+            if pid == 0:
+                programs |= {bits(section, k * 8, 16): bits(section, k * 8 + 19, 13) for k in range(8, len(section) - 4, 4)}
+            else:
+                streams[bits(section, 12 * 8 + 11, 13)] = section[12]
+        else:
+            assert pid in streams
+            if begins:
+                units.append(b"")
+                if access:
+                    points.append((len(units) - 1, at))
+            units[-1] += rest
+    stamps, payload = [], b""
+    for x in units:
+        assert x[:3] == b"\0\0\1" and bits(x, 32, 16) == len(x) - 6 and bits(x, 56, 2) == 2 and bits(x, 72, 4) == 2
+        stamps.append(bits(x, 76, 3) << 30 | bits(x, 80, 15) << 15 | bits(x, 96, 15))
+        payload += x[9 + x[8] :]
+    access = ",".join(f"{stamps[n]}@{at}" for n, at in points)
+    names = ",".join(f"{k}:{v}" for k, v in sorted(streams.items()))
+    feature = f"ts;programs={len(programs)};streams={names};packets={len(packets)};units={len(units)};pts={min(stamps)}-{max(stamps)};access={access};gaps={gaps};errors=0"
+    return feature, payload
+
+
+def test_transport_stream_against_a_plain_reader(docs):
+    by_id = dict(texts()[:-1])
+    rows = transport_stream.media_column(docs).collect()
+    assert len(rows) == len(texts())
+    for r in rows:
+        feature, payload = plain_reader(bytes(r.media))
+        assert feature == r.feature and hashlib.sha256(payload).hexdigest() == r.payload_sha256
+        if r.doc_id is not None:
+            assert payload == transport_stream.padded((by_id[r.doc_id] or "").encode())
+
+
+def test_transport_stream_tables_and_repeated_packets():
+    """Tables over several packets, packets sent twice, marked discontinuities and tables cut off."""
+    t = transport_stream
+    raw = random.Random(1).randbytes(30000)
+    media = t.mux(raw)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = b"".join(x + x for x in packets)
+    assert (t.demux(twice).payload, t.demux(twice).discontinuities, t.demux(twice).errors) == (raw, 0, [])
+    assert t.demux(b"".join([*packets[:6], packets[5], packets[5], *packets[6:]])).payload == raw
+    body = bytes([0xE0 | t.ES_PID >> 8, t.ES_PID & 255, 0xF0 | 400 >> 8, 400 & 255, *bytes(400), t.STREAM_TYPE, 0xE0 | t.ES_PID >> 8, t.ES_PID & 255, 0xF0, 0])
+    section = b"\0" + t._section(0x02, 1, body)
+    parts = [section[i : i + 184] for i in range(0, len(section), 184)]
+    table = [bytes([0x47, (0x40 if k == 0 else 0) | 0x10, 0, 0x10 | k]) + x.ljust(184, b"\xff") for k, x in enumerate(parts)]
+    long = b"".join([packets[0], *table, *packets[2:]])
+    assert len(table) == 3 and (t.demux(long).payload, t.demux(long).streams, t.demux(long).errors) == (raw, {t.ES_PID: t.STREAM_TYPE}, [])
+    assert t.demux(b"".join([packets[0], *table[:2], *packets[2:]])).errors == ["bad program map table"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
