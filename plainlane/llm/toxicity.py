@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import gru
@@ -22,6 +22,8 @@ from ._common import LOWER, SPACED, U64, blocks, column_bytes, mix, ragged, read
 LENGTH, STRIDE = 24, 12
 #: Bounds of the training sample: documents of each label, taken by the order of a hash of their ids.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 1000, 1600
+#: Bounds of the sample's texts in bytes: of one, and of all of one label. Longer texts teach nothing, but are scored whole.
+TEXT_BYTES, SAMPLE_BYTES = 2 << 20, 16 << 20
 #: Sizes of character n-grams in bytes (a mark stands before and after each word), and their hash buckets.
 GRAMS, BUCKETS = (3, 5, 7), 1 << 14
 #: A word has its own vector if so many documents of the sample have it.
@@ -256,21 +258,35 @@ def fold_of(col) -> F.Column:
     return F.crc32(F.encode(F.coalesce(col.cast("string"), F.lit("")), "UTF-8")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of the labelled rows outside fold 0, from at most TOXIC_SAMPLE + CLEAN_SAMPLE of them.
+def sample(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_SAMPLE, clean_docs: int = CLEAN_SAMPLE,
+    text_bytes: int = TEXT_BYTES, sample_bytes: int = SAMPLE_BYTES,
+) -> tuple[list[tuple[int, int, bytes]], float]:
+    """The rows to learn from, as (id, label, text) in the order of ids, and the share of toxic ones among all labelled rows.
 
-    Null ids, null labels and rows without a document are not used; an id labelled twice counts once.
+    Labelled rows outside fold 0: the first toxic_docs and clean_docs ids by a hash; of their texts those of at most
+    text_bytes, as long as those of a label are sample_bytes together. Null ids, null labels and rows without a document
+    are not used; an id labelled twice counts once, as toxic if either says so; of several texts of an id the greatest is
+    taken; null texts are empty.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(fold_of(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id")
-    sample = known.where("y = 1").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).union(known.where("y = 0").orderBy(order, "doc_id").limit(CLEAN_SAMPLE))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # the sample is at most 2,600 ids
-    rows = sorted((r["doc_id"], r["y"], (r["text"] or "").encode()) for r in texts.join(F.broadcast(sample), "doc_id").collect())
+    chosen = known.where("y = 1").orderBy(order, "doc_id").limit(toxic_docs).union(known.where("y = 0").orderBy(order, "doc_id").limit(clean_docs))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    # the sample is at most toxic_docs + clean_docs ids
+    texts = texts.where(F.octet_length("text") <= text_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+    so_far = Window.partitionBy("y").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    texts = texts.withColumn("total", F.sum(F.octet_length("text").cast("long")).over(so_far)).where(F.col("total") <= sample_bytes)
+    rows = sorted((r["doc_id"], r["y"], bytes(r["text"])) for r in texts.collect())
     total = sum(counts.values())
-    share = counts.get(1, 0) / total if total else 0.0
+    return rows, counts.get(1, 0) / total if total else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **bounds: int) -> Model:
+    """A model of sample()'s rows, with its bounds."""
+    rows, share = sample(docs, labels, id_col, text_col, label_col, **bounds)
     return train([t for _, _, t in rows], np.array([y for _, y, _ in rows] or [0]), share)
 
 

@@ -1,15 +1,17 @@
 """The training-data operators against brute force, on small tables with every awkward case."""
 
 import hashlib
+import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from plainlane.llm import byte_bpe, decontaminate, gru, line_dedup, minhash_dedup, secret_scan, sharding, substring_dedup, superminhash, token_counts, toxicity, transport_stream
+from plainlane.llm import _common, byte_bpe, decontaminate, gru, line_dedup, minhash_dedup, secret_scan, sharding, substring_dedup, superminhash, token_counts, toxicity, transport_stream
 
 #: Columns named like the operators' own ones.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, anchor long, shard int, score double, numbers string, file string, bucket long, __score long"
@@ -448,6 +450,98 @@ def test_toxicity_held_out(spark, docs, empty):
     assert {x.score for x in toxicity.toxicity(d.limit(3), constant).collect()} <= {constant.base} or constant.base < 0.5
 
 
+def plain_score(model, text):
+    """The probability of a text by the definition: one word, window and step after another, in Python numbers."""
+    M = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+        return x ^ x >> 31
+
+    def number(w):
+        h = sum(int(_common._BYTE[b]) * pow(int(_common._P), k, 1 << 64) for k, b in enumerate(w))
+        found = np.flatnonzero(model.words == np.uint64(mix((h + len(w)) & M)))
+        return int(found[0]) + 1 if len(found) else 0
+
+    def vector(w):
+        marked = [mix((x + 0x632BE59BD9B4E019) & M) for x in (1, *w, 1)]
+        grams = []
+        for k in toxicity.GRAMS:
+            for a in range(len(marked) - k + 1):
+                x = 0
+                for y in marked[a : a + k]:
+                    x = (x * 0x9E3779B97F4A7C15 + y) & M
+                grams.append(mix((x + k) & M) % toxicity.BUCKETS)
+        p = model.p
+        char = np.mean([p["char"][g].astype(float) for g in grams], axis=0) if grams else np.zeros(gru.CHAR_DIM)
+        return np.concatenate((p["word"][number(w)], char))
+
+    p = {k: np.asarray(v, float) for k, v in model.p.items() if k not in ("word", "char")}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def direction(d, vectors):
+        h, n, out = np.zeros(gru.HIDDEN), gru.HIDDEN, []
+        for v in vectors:
+            x, g = v @ p["wx"][:, d] + p["b"][d], h @ p["wh"][d]
+            z, r = sigmoid(x[:n] + g[:n]), sigmoid(x[n : 2 * n] + g[n : 2 * n])
+            h = (1 - z) * np.tanh(x[2 * n :] + r * g[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    def logit(vectors):
+        states = [np.concatenate(x) for x in zip(direction(0, vectors), direction(1, vectors[::-1])[::-1])]
+        weights = np.exp([np.tanh(s @ p["wa"] + p["ba"]) @ p["va"] for s in states])
+        return sum(w * s for w, s in zip(weights / weights.sum(), states)) @ p["wo"] + p["bo"][0]
+
+    found = []
+    for w in words(text):
+        b = w.encode()
+        for _ in range(3):
+            b = b[1:] if len(b) > 1 and b[0] < 128 and chr(b[0]) in string.punctuation else b
+            b = b[:-1] if len(b) > 1 and b[-1] < 128 and chr(b[-1]) in string.punctuation else b
+        found.append(vector(b))
+    if not found:
+        return model.base
+    n = len(found)
+    firsts = sorted({min(k, max(n - 24, 0)) for k in range(0, max(n - 24, 0) + 12, 12)})
+    x = sorted((max(-12, min(12, logit(found[k : k + 24]))) for k in firsts), reverse=True)
+    f = [1, x[0], sum(x[:3]) / len(x[:3]), sum(y > 0 for y in x) / len(x), math.log1p(len(x))]
+    return sigmoid(np.dot(f, model.scale))
+
+
+def test_toxicity_against_plain_scores(spark, docs):
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)] + ["(Vuxx!)", "zorgat,", "Ärger"]
+    rows = [(i, " ".join(r.choices(vocabulary[: 60 if i % 2 else 63], k=r.randint(1, 90))), i % 2) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(d, d)
+    assert len(model.words) > 30
+    got = {x.doc_id: x.score for x in toxicity.toxicity(d, model).collect()}
+    for i, t, _ in rows[:60]:
+        assert abs(got[i] - plain_score(model, t)) < 1e-3
+    assert len(set(got.values())) > 100
+    by_id = dict(texts()[:-1])
+    got = {x.doc_id: x.score for x in toxicity.toxicity(docs, model).where("doc_id is not null").collect()}
+    for i in (k for k in by_id if k is not None and len(by_id[k] or "") < 3000):
+        assert abs(got[i] - plain_score(model, by_id[i])) < 1e-3
+    long = " ".join(r.choices(vocabulary, k=20000))  # many windows, over several chunks
+    got = toxicity.toxicity(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first()["score"]
+    assert abs(got - plain_score(model, long)) < 1e-3
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, "x" * 100 * (1 + (i % 50 == 7)), i % 2) for i in range(200)] + [(3, "y", 1), (None, "z", 1), (8, None, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got, share = toxicity.sample(d, d)
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert [i for i, _, _ in got] == held and abs(share - sum(i % 2 for i in held) / len(held)) < 1e-9
+    assert dict((i, t) for i, _, t in got).get(3, b"y") == b"y"
+    got, _ = toxicity.sample(d, d, toxic_docs=30, clean_docs=20, text_bytes=150, sample_bytes=1500)
+    assert 0 < len(got) <= 31 and all(len(t) <= 150 for _, _, t in got)
+    assert all(sum(len(t) for _, y, t in got if y == k) <= 1500 for k in (0, 1))
+
+
 def test_windows_cover_all_words():
     for n in (1, 5, 23, 24, 25, 36, 37, 100):
         first, owner = toxicity.windows(np.array([0, n, n, n + 3]))
