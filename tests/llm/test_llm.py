@@ -726,6 +726,146 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["byte BPE"])
 
 
+def plain_lines(rows):
+    """{(doc_id, line number)} that the pipeline's stage drops, by its rule (templates by share, and equal lines)."""
+    has_digit = lambda w: re.search("[0-9]", w) is not None
+    masked = lambda w, k: tuple("<*>" if has_digit(y) else y for y in w[:k])
+    lines = {(i, k): tuple(w) for i, t in rows if i is not None for k, x in enumerate((t or "").split("\n")) if (w := words(x, lower=False))}
+
+    def leaves(depth, among):
+        out = {}
+        for at in among:
+            w = lines[at]
+            out.setdefault((depth, len(w), masked(w, depth)), []).append(at)
+        return {k: v for k, v in out.items() if len({i for i, _ in v}) >= 10}
+
+    deep = leaves(3, lines)
+    placed = {at for v in deep.values() for at in v}
+    found = {}
+    for leaf, ats in (deep | leaves(2, set(lines) - placed)).items():
+        kinds = {(i, lines[i, k]) for i, k in ats}
+        docs = Counter(w for _, w in kinds)
+        place = Counter()
+        for w, c in docs.items():
+            place.update({(k, y): c for k, y in enumerate(w)})
+        for at in ats:
+            w = lines[at]
+            fixed = [y if place[k, y] >= 10 else None for k, y in enumerate(w)]
+            shared = [y if y and not has_digit(y) and place[k, y] * 10 >= 3 * len(kinds) else None for k, y in enumerate(fixed)]
+            n_shared, n_digit, n_fixed = sum(y is not None for y in shared), sum(map(has_digit, w)), sum(y is not None for y in fixed)
+            if n_shared and 10 * (n_shared + n_digit) >= 7 * len(w):
+                found.setdefault(("shared", leaf, tuple(shared)), []).append(at)
+            elif 10 * n_fixed >= 7 * len(w):
+                found.setdefault(("fixed", leaf, tuple(fixed)), []).append(at)
+    lost = set()
+    for ats in found.values():
+        ids = {i for i, _ in ats}
+        lost |= {at for at in ats if len(ids) >= 10 and at[0] != min(ids)}
+    equal = {}
+    for at, w in lines.items():
+        equal.setdefault(w, []).append(at)
+    for ats in equal.values():
+        ids = {i for i, _ in ats}
+        lost |= {at for at in ats if len(ids) >= 3 and at[0] != min(ids)}
+    return lost
+
+
+def plain_clean(t, items):
+    """A text without benchmark passages; None if it is contaminated."""
+    pattern = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    raw = (t or "").encode()
+    lower = lambda b: b.translate(bytes(LOWER.get(k, k) for k in range(256)))
+    at = [m.span() for m in re.finditer(pattern, lower(raw))]
+    w, windows = [lower(raw[a:b]) for a, b in at], set()
+    for x in items:
+        y = re.findall(pattern, lower((x or "").encode()))
+        windows |= {tuple(y[k : k + 13]) for k in range(max(len(y) - 12, 1))} if y else set()
+    hit = set()
+    for n in {len(x) for x in windows}:
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in windows:
+                hit |= set(range(k, k + n))
+    if hit and 20 * len(hit) >= len(w):
+        return None
+    spans = []
+    for k in sorted(hit):
+        spans = [*spans[:-1], (spans[-1][0], k)] if spans and spans[-1][1] == k - 1 else [*spans, (k, k)]
+    for a, b in reversed(spans):
+        if b - a + 1 >= 8:
+            raw = raw[: at[a][0]] + raw[at[b][1] :]
+    return raw.decode()
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor kept, against plain Python over all rows; nulls, empty texts and extra columns."""
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    r = random.Random(11)
+    syllables = "ba ce di fo gu ha je ki lo mu ne pa".split()
+    plain = lambda n: " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) + str(r.randrange(40)) * r.randrange(2) for _ in range(n))
+    item, short = plain(30), plain(9)
+    data = []
+    for i in range(150):
+        t = plain(450 if i % 7 == 0 else r.randint(40, 90))
+        if i % 5 == 1:
+            t += " vuxx zorgat vuxx"
+        if i % 3 == 0:
+            t = f"Posted by {r.choice(['Al', 'Be', 'Cy'])} on 2021-03-{i % 28:02d}\n{t}\nAll rights reserved by nobody at all"
+        if i % 50 == 2:
+            t += "\nonly here and there in a few"
+        data.append((i, t))
+    data += [(500 + k, data[k][1]) for k in (0, 2, 7)]
+    for k in range(6):  # at the threshold of 0.75 and on both sides of it
+        w = [f"u{k}x{j}" for j in range(80)]
+        data += [(600 + 2 * k, " ".join(w)), (601 + 2 * k, " ".join([*w[: 64 + 4 * k], *(f"v{k}x{j}" for j in range(4))]))]
+    data += [(700, item), (701, f"{plain(700)}\n{item.upper()} {plain(20)}"), (702, f"{plain(400)}, {short}! {plain(10)}"), (703, plain(150) + " " + short)]
+    data += [(800, None), (801, ""), (802, " \n "), (803, "All rights reserved by nobody at all"), (None, plain(30) + " naïve 漢字")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, numbers string, __id long, score double"
+    d = spark.createDataFrame([(i, t, None, "s", len(t or ""), "n", 4, 0.5) for i, t in data], schema)
+    tables = {
+        "documents": d, "labels": spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(150)] + [(None, 1, 1)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, item), (2, short), (3, None), (4, "")], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        df.drop("numbers", "__id", "score").write.parquet(f"{tmp_path}/{name}.parquet") if name == "documents" else df.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    model = toxicity.fit(d, tables["labels"])
+    want = [(i, t) for i, t in data if plain_score(model, t) < 0.5]
+    assert 20 < len(data) - len(want) < 60
+    steps = [want]
+    lost = plain_lines(want)
+    assert len(lost) > 60
+    out = []
+    for i, t in want:
+        if any(x == i for x, _ in lost):
+            t = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in lost)
+            if not words(t):
+                continue
+        out.append((i, t))
+    steps.append(out)
+    keyed = [(i, t) for i, t in out if i is not None]
+    groups = components(keyed)
+    steps.append([(i, t) for i, t in out if i is None or groups[i][1] == i])
+    assert 3 <= len(out) - len(steps[-1]) <= 10
+    steps.append([(i, x) for i, t in steps[-1] if (x := plain_clean(t, [item, short, None, ""])) is not None])
+    docs = d
+    for (name, stage), rows in zip(corpus_pipeline.STAGES, steps):
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        got = {x.doc_id: x for x in docs.collect()}
+        assert docs.columns == d.columns and docs.count() == len(got)
+        # a null text that loses nothing may come back as it is
+        assert {i: x.text or "" for i, x in got.items()} == {i: t or "" for i, t in rows}, name
+        assert all(x.n_chars == len(x.text or "") and (x.numbers, x["__id"], x.score) == ("n", 4, 0.5) for x in got.values())
+    before, after = dict(steps[2]), dict(steps[3])
+    assert len(before) > len(after) and any(before[i] != t for i, t in after.items())
+    v = byte_bpe.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    ids = {x.doc_id: list(x.ids) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert ids == {i: enc.encode_ordinary(t or "") for i, t in steps[-1]}
+
+
 def test_entries_are_complete():
     from plainlane.llm import entries
 
