@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, decontaminate, line_dedup, minhash_dedup, secret_scan, sharding, substring_dedup, token_counts, toxicity, transport_stream
+from . import byte_bpe, collocations, decontaminate, line_dedup, minhash_dedup, secret_scan, sharding, source_mixing, substring_dedup, token_counts, toxicity, transport_stream, vector_codes
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_secrets": secret_scan.op8_secrets,
     "op9_substring": substring_dedup.op9_substring,
     "op10_transport_stream": transport_stream.op10_transport_stream,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_source_mixing": source_mixing.op13_source_mixing,
 }
 
 SQL = {
@@ -26,6 +29,9 @@ SQL = {
     "op9_substring": substring_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op7_sharding": sharding.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_source_mixing": source_mixing.SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:
