@@ -54,13 +54,9 @@ def simple_sentences(text: Column) -> Column:
 
 
 def mark_offsets(text: Column, mark: str) -> Column:
-    """Byte offsets of every occurrence of a one-byte mark: one fold over the parts between them."""
-    parts = F.split(text, f"[{mark}]")
-    state = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        at = (acc["at"] + F.octet_length(part) + 1).cast("long")
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+    """Byte offsets of every occurrence of a one-byte mark, from running sums of the lengths of the parts between them."""
+    from ..operators import arrays
 
+    ends = arrays.running_sums(F.transform(F.split(text, f"[{mark}]"), lambda part: F.octet_length(part).cast("bigint") + 1))
     # the last part ends at the text's end, not at a mark
-    return F.aggregate(parts, state, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
+    return F.when(text.isNotNull(), F.transform(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))), lambda at: at - 1))

@@ -9,43 +9,139 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import reports
+from ..sources import tables
 from ..sources.evidence import resolution
 from . import matching, rules
 
 PRONOUNS = ["it", "its"]
 
 
-def nodes(scanned: DataFrame) -> DataFrame:
-    """(doc_id, kind, id, start, end) of headings, paragraphs, sentences, items, notes and safety statements."""
+def nodes(scanned: DataFrame, topics: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, id, start, end) of headings, paragraphs, sentences, items, notes and safety statements, and of topics (facts)
+    and entity mentions if they are given; id numbers a document's nodes of a kind by place."""
     parts = [("headings", "heading"), ("paragraphs", "paragraph"), ("units", "sentence"), ("items", "item"), ("notes", "note"), ("safety", "safety")]
+    parts = [(f, k) for f, k in parts if f in scanned.columns]
 
     def array(family: str, kind: str) -> Column:
         return F.transform(family, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("id"), s["start"].alias("start"), s["end"].alias("end")))
 
-    return scanned.select("doc_id", F.explode(F.concat(*[array(f, k) for f, k in parts])).alias("n")).select("doc_id", "n.*")
+    out = scanned.select("doc_id", F.explode(F.concat(*[array(f, k) for f, k in parts])).alias("n")).select("doc_id", "n.*")
+    for rows, kind in ((topics, "topic"), (mentions, "entity")):
+        if rows is not None:
+            number = (F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", *(["identity"] if kind == "entity" else ["topic"]))) - 1).cast("int")
+            out = out.unionByName(rows.select("doc_id", F.lit(kind).alias("kind"), number.alias("id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    return out
 
 
-def edges(scanned: DataFrame) -> DataFrame:
-    """(doc_id, relation, kind, start, to_kind, to_start): precedes among nodes of a kind, contains from paragraphs."""
-    n = nodes(scanned)
+def edges(scanned: DataFrame, topics: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """(doc_id, relation, kind, start, to_kind, to_start): precedes among nodes of a kind, contains from paragraphs to sentences,
+    topics and entity mentions."""
+    n = nodes(scanned, topics, mentions)
     w = Window.partitionBy("doc_id", "kind").orderBy("start", "end")
     follows = n.withColumn("to_start", F.lead("start").over(w)).where("to_start is not null").select("doc_id", F.lit("precedes").alias("relation"), "kind", "start", F.col("kind").alias("to_kind"), "to_start")
-    inner = n.where("kind = 'sentence'")
-    held = reports.contains(n.where("kind = 'paragraph'"), inner)
-    return follows.unionByName(held.select("doc_id", F.lit("contains").alias("relation"), F.lit("paragraph").alias("kind"), F.col("outer_start").alias("start"), F.lit("sentence").alias("to_kind"), F.col("inner_start").alias("to_start")))
-
-
-def references(x: rules.Inputs) -> DataFrame:
-    """(doc_id, start, end, pronoun, candidates, state): antecedents of it and its among entity mentions, those before it in
-    its sentence, else those of the sentence before. Several identities stay ambiguous."""
-    token_unit = x.scanned.select("doc_id", F.posexplode("tokens").alias("idx", "t")).select("doc_id", "idx", F.col("t.unit").alias("unit"))
-    m = rules.mentions(x).join(token_unit, ["doc_id", "idx"]).select("doc_id", F.col("unit").alias("m_unit"), F.col("start").alias("m_start"), "term_id")
-    p = matching.word_rows(x.scanned).where(F.col("w").isin(*PRONOUNS) & (F.col("unit") >= 0)).select("doc_id", "unit", "start", "end", F.col("w").alias("pronoun"))
-    near = p.join(m, "doc_id", "left").where("m_unit is null or m_unit = unit - 1 or (m_unit = unit and m_start < start)")
-    own, last = F.collect_set(F.when(F.col("m_unit") == F.col("unit"), F.col("term_id"))), F.collect_set(F.when(F.col("m_unit") == F.col("unit") - 1, F.col("term_id")))
-    found = near.groupBy("doc_id", "start", "end", "pronoun").agg(own.alias("own"), last.alias("last"))
-    found = p.join(found, ["doc_id", "start", "end", "pronoun"], "left").withColumn("candidates", F.array_sort(F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce("last", F.array().cast("array<string>")))))
-    return found.select("doc_id", "start", "end", "pronoun", "candidates", resolution(F.col("candidates")).alias("state"))
+    outer, out = n.where("kind = 'paragraph'"), follows
+    for kind in ("sentence", "topic", "entity"):
+        if kind == "sentence" or (topics if kind == "topic" else mentions) is not None:
+            held = reports.contains(outer, n.where(F.col("kind") == kind))
+            out = out.unionByName(held.select("doc_id", F.lit("contains").alias("relation"), F.lit("paragraph").alias("kind"), F.col("outer_start").alias("start"), F.lit(kind).alias("to_kind"), F.col("inner_start").alias("to_start")))
+    return out
+
+
+def antecedents(pronouns: DataFrame, mentions: DataFrame) -> DataFrame:
+    """pronouns (doc_id, unit, start, end, ...) with basis, n and antecedent (identity, start, end): the distinct identities that end
+    before a pronoun in its unit (basis "same"), or else those of the unit before ("previous"). antecedent is the first mention
+    of the one identity, null unless n is 1.
+
+    An as-of merge: each unit's first mentions and its pronouns in one order of places, with a running count and the first
+    identity so far as the only state. Pronouns never meet all mentions of their document.
+    """
+    first = mentions.groupBy("doc_id", "unit", "identity").agg(F.min(F.struct("end", "start")).alias("m"))
+    first = first.select("doc_id", "unit", F.struct("identity", F.col("m.start").alias("start"), F.col("m.end").alias("end")).alias("a"))
+    kind, own = first.schema["a"].dataType, [c for c in pronouns.columns if c not in ("doc_id", "unit")]
+    row = F.struct(*own)
+    events = first.select("doc_id", "unit", F.col("a.end").alias("at"), F.lit(0).alias("order"), "a").withColumn("p", F.lit(None).cast(pronouns.select(row.alias("p")).schema["p"].dataType))
+    events = events.unionByName(pronouns.select("doc_id", "unit", F.col("start").alias("at"), F.lit(1).alias("order"), F.lit(None).cast(kind).alias("a"), row.alias("p")))
+    upto = Window.partitionBy("doc_id", "unit").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.withColumn("n", F.count("a").over(upto)).withColumn("first", F.first("a", ignorenulls=True).over(upto)).where("p is not null")
+    whole = first.groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("last_n"), F.min(F.struct("a.end", "a")).alias("last")).select("doc_id", (F.col("unit") + 1).alias("unit"), "last_n", F.col("last.a").alias("last"))
+    both = seen.join(whole.hint("merge"), ["doc_id", "unit"], "left")
+    same, before = F.col("n") > 0, F.coalesce(F.col("last_n"), F.lit(0)) > 0
+    n = F.when(same, F.col("n")).otherwise(F.coalesce("last_n", F.lit(0)))
+    return both.select(
+        "doc_id", "unit", "p.*", F.when(same, F.lit("same")).when(before, F.lit("previous")).alias("basis"), n.cast("long").alias("n"), F.when(n == 1, F.when(same, F.col("first")).otherwise(F.col("last"))).alias("antecedent"),
+    )
+
+
+def state_of(n: Column) -> Column:
+    return F.when(n == 0, "unknown").when(n == 1, "resolved").otherwise("ambiguous")
+
+
+def pronouns(scanned: DataFrame) -> DataFrame:
+    """(doc_id, unit, start, end, pronoun) of it and its within units."""
+    return matching.word_rows(scanned, around=("w",)).where(F.col("w").isin(*PRONOUNS) & (F.col("unit") >= 0)).select("doc_id", "unit", "start", "end", F.col("w").alias("pronoun"))
+
+
+def references(x: rules.Inputs, found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, end, pronoun, candidates, state): antecedents() of it and its among all mentions, with the identities that
+    compete. Several identities stay ambiguous; their lists are what makes rows long, antecedents() alone is linear."""
+    found = all_mentions(x) if found is None else found
+    a = antecedents(pronouns(x.scanned), found)
+    firsts = found.groupBy("doc_id", "unit", "identity").agg(F.min("end").alias("first_end"))
+    unit = F.when(F.col("basis") == "previous", F.col("unit") - 1).otherwise(F.col("unit"))
+    near = a.withColumn("at", unit).join(firsts.withColumnRenamed("unit", "at"), ["doc_id", "at"], "left").where("basis is null or first_end <= start or basis = 'previous'")
+    lists = near.groupBy("doc_id", "start", "end", "pronoun", "n").agg(F.array_sort(F.collect_set(F.when(F.col("basis").isNotNull(), F.col("identity")))).alias("candidates"))
+    return lists.select("doc_id", "start", "end", "pronoun", "candidates", state_of(F.col("n")).alias("state"))
+
+
+def all_mentions(x: rules.Inputs) -> DataFrame:
+    from . import mentions
+
+    return mentions.mentions(x)
+
+
+def reference_edges(pronouns: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(doc_id, start, end, unit, state, entity): each pronoun with the number of its antecedent's node among the document's entity
+    nodes (equal identity and span; of several equal ones the first), null unless resolved."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "identity")) - 1
+    ids = mentions.select("doc_id", "start", "end", "identity").withColumn("entity", number.cast("int"))
+    ids = ids.groupBy("doc_id", F.struct("identity", "start", "end").alias("antecedent")).agg(F.min("entity").alias("entity"))
+    found = antecedents(pronouns, mentions)
+    return found.join(ids.hint("merge"), ["doc_id", "antecedent"], "left").select("doc_id", "start", "end", "unit", state_of(F.col("n")).alias("state"), "entity")
+
+
+def ordering_edges(nodes: DataFrame, orderings: DataFrame) -> DataFrame:
+    """orderings (doc_id, before, after[, source]) with before_id, after_id and their states: nodes of equal kind, start and end.
+    Targets are (kind, start, end); one node resolves, several are ambiguous."""
+    flat = nodes.groupBy("doc_id", F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).alias("t")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("k"))
+    out = orderings.withColumn("_n", F.xxhash64("doc_id", "before", "after"))
+    for side in ("before", "after"):
+        t = flat.select("doc_id", F.col("t").alias("_t"), F.col("id").alias(f"{side}_id"), F.col("k").alias("_k"))
+        key = F.struct(F.col(f"{side}.kind").alias("kind"), F.col(f"{side}.start").cast("long").alias("start"), F.col(f"{side}.end").cast("long").alias("end"))
+        out = out.withColumn("_t", key).join(t.hint("merge"), ["doc_id", "_t"], "left").withColumn(f"{side}_state", state_of(F.coalesce("_k", F.lit(0))))
+        out = out.withColumn(f"{side}_id", F.when(F.col("_k") == 1, F.col(f"{side}_id"))).drop("_t", "_k")
+    return out.drop("_n")
+
+
+def contradictions(orders: DataFrame) -> DataFrame:
+    """The orders (doc_id, a, b: a comes before b) that lie on a cycle, with b reaching a; a self-order is one.
+
+    Places without an order into them or out of them are peeled off, round by round, which leaves cycles and what lies between
+    them. What each place there reaches grows semi-naively: only pairs of the last round are extended. Rounds are written to the
+    shared folder; the driver sees counts.
+    """
+    left = tables.staged(orders.select("doc_id", "a", "b").where("a is not null and b is not null").distinct(), "orders")
+    size = -1
+    while (now := left.count()) not in (0, size):
+        size = now
+        heads, tails = left.select("doc_id", F.col("a").alias("b")).distinct(), left.select("doc_id", F.col("b").alias("a")).distinct()
+        left = tables.staged(left.join(heads.hint("merge"), ["doc_id", "b"], "left_semi").join(tails.hint("merge"), ["doc_id", "a"], "left_semi").select("doc_id", "a", "b"), "orders")
+    reach = new = left
+    while new.limit(1).count():
+        more = new.select("doc_id", "a", F.col("b").alias("m")).join(left.select("doc_id", F.col("a").alias("m"), "b").hint("merge"), ["doc_id", "m"]).select("doc_id", "a", "b").distinct()
+        new = tables.staged(more.join(reach.hint("merge"), ["doc_id", "a", "b"], "left_anti"), "reach")
+        reach = tables.staged(reach.unionByName(new), "reach")
+    back = reach.select("doc_id", F.col("a").alias("b"), F.col("b").alias("a"))
+    return left.join(back.hint("merge"), ["doc_id", "a", "b"], "left_semi").select("doc_id", "a", "b")
 
 
 def senses(x: rules.Inputs, entries: DataFrame) -> DataFrame:

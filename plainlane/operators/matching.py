@@ -1,7 +1,7 @@
 """Phrase matching: n-grams of word arrays joined with form tables, longest match, leftmost sweep.
 
 A sweep with a set of phrases runs inside each document's row and shuffles nothing: places are looked at whose word begins a
-phrase, the widest phrase there is found in the set, and a fold keeps the leftmost ones. Sets of over MOST_PHRASES phrases take
+phrase, the widest phrase there is found in the set, and a linear sweep (arrays.py) keeps the leftmost ones. Sets of over MOST_PHRASES phrases take
 the way of joins: phrases are exploded, joined, and only places that match are shuffled (by doc_id).
 Form tables are broadcast only if they are counted and small (small()); frames that derive from documents never are.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
 
 #: Phrases that a plan may hold as a set, and rows of a dimension table that may be broadcast.
 MOST_PHRASES, MOST_ROWS = 50_000, 500_000
@@ -56,15 +57,10 @@ def sweep(scanned: DataFrame, phrases: list[str], family: str = "lexical", space
         return F.coalesce(*found) if found else F.lit(None).cast("int")
 
     hits = F.filter(F.transform("_heads", lambda i: F.struct(i.alias("idx"), width(i).alias("width"))), lambda m: m["width"].isNotNull())
-    none = F.array().cast("array<struct<idx:int,width:int>>")
-
-    def step(acc: Column, m: Column) -> Column:
-        take = m["idx"] >= acc["cursor"]
-        return F.struct(F.when(take, m["idx"] + m["width"]).otherwise(acc["cursor"]).alias("cursor"), F.when(take, F.concat(acc["kept"], F.array(m))).otherwise(acc["kept"]).alias("kept"))
-
     rows = rows.withColumn("_hits", hits)
-    kept = F.when(F.size("_hits") > 0, F.aggregate("_hits", F.struct(F.lit(0).alias("cursor"), none.alias("kept")), step)["kept"]).otherwise(none)
-    return rows.withColumn("kept", kept).drop("_heads", "_hits")
+    places = arrays.kept_places(F.transform("_hits", lambda m: m["idx"]), F.transform("_hits", lambda m: m["idx"] + m["width"]))
+    rows = rows.withColumn("_kept", places)
+    return rows.withColumn("kept", F.transform("_kept", lambda i: F.get("_hits", i.cast("int")))).drop("_heads", "_hits", "_kept")
 
 
 #: Columns of word_rows() beside those of the words themselves.
@@ -112,16 +108,12 @@ def longest(matches: DataFrame, priority: str | None = None) -> DataFrame:
 
 def leftmost(matches: DataFrame) -> DataFrame:
     """Of the matches (doc_id, idx, width, ...) those that a sweep from the left keeps: each starts where the last kept
-    one has ended, or later. One fold over a document's sorted matches."""
-    state = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc: Column, m: Column) -> Column:
-        take = m["idx"] >= acc["cursor"]
-        return F.struct(F.when(take, m["idx"] + m["width"]).otherwise(acc["cursor"]).cast("int").alias("cursor"), F.when(take, F.concat(acc["kept"], F.array(m["idx"]))).otherwise(acc["kept"]).alias("kept"))
-
+    one has ended, or later. One linear sweep over a document's sorted matches."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("width").cast("int").alias("width"))))
-    kept = matches.groupBy("doc_id").agg(F.aggregate(ordered, state, step)["kept"].alias("kept"))
-    return matches.join(kept.select("doc_id", F.explode("kept").alias("idx")).hint("merge"), ["doc_id", "idx"])
+    rows = matches.groupBy("doc_id").agg(ordered.alias("all"))
+    rows = rows.withColumn("places", arrays.kept_places(F.transform("all", lambda m: m["idx"]), F.transform("all", lambda m: m["idx"] + m["width"])))
+    kept = rows.select("doc_id", F.explode(F.transform("places", lambda i: F.get("all", i.cast("int"))["idx"])).alias("idx"))
+    return matches.join(kept.hint("merge"), ["doc_id", "idx"])
 
 
 def span_union(spans: DataFrame) -> DataFrame:

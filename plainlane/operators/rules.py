@@ -34,6 +34,7 @@ class Inputs:
     safety_facts: DataFrame | None = None
     groups: DataFrame | None = None
     widths: int = 4
+    entities: DataFrame | None = None
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

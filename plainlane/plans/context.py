@@ -52,9 +52,10 @@ def _chars(rows: DataFrame, scanned: DataFrame) -> DataFrame:
     return rows.join(text, "doc_id").select("doc_id", F.struct("kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), cut(F.col("start")).alias("cs"), cut(F.col("end")).alias("ce")).alias("g"))
 
 
-def groups(scanned: DataFrame, context: dict[str, DataFrame], names: DataFrame | None) -> DataFrame | None:
-    """(doc_id, groups) from occurrences (count_group, text_authority), named entities and abbreviations of the glossary."""
-    from ..operators import matching
+def groups(scanned: DataFrame, context: dict[str, DataFrame], names_: DataFrame | None) -> DataFrame | None:
+    """(doc_id, groups) from occurrences (count_group, text_authority), named entities and abbreviations of the glossary (names_),
+    whatever their length."""
+    from ..operators import matching, mentions
 
     parts = []
     o = context.get("occurrences")
@@ -66,13 +67,15 @@ def groups(scanned: DataFrame, context: dict[str, DataFrame], names: DataFrame |
             parts.append(o.select("doc_id", "start", "end", pick(AUTHORITY, "text_authority").alias("kind")).where("kind is not null"))
     e = context.get("entities")
     if e is not None:
-        surface = e.select("doc_id", F.col("class"), F.explode(F.array_distinct(F.concat(F.array("canonical"), F.coalesce("forms", F.array().cast("array<string>"))))).alias("s")).select("doc_id", "class", normal(F.col("s")).alias("phrase")).distinct()
-        ph = matching.phrases(scanned, 6, "tokens", spaced=True).join(surface, ["doc_id", "phrase"])
+        names = mentions.surfaces_of(e)
+        found = mentions.placed(mentions.own_occurrences(scanned.select("doc_id", "text"), names), scanned).join(names, ["doc_id", "surface"])
         kind = F.coalesce(F.create_map(*[x for k, v in CLASSES.items() for x in (F.lit(k), F.lit(v))])[F.col("class")], F.lit("proper_noun"))
-        parts.append(ph.select("doc_id", "start", "end", kind.alias("kind")))
-    if names is not None:
-        short = names.where("alias_kind in ('abbreviation', 'acronym')").select(F.col("identity").alias("phrase"))
-        parts.append(matching.phrases(scanned, 3, "tokens", spaced=True).join(short, "phrase").select("doc_id", "start", "end", F.lit("abbreviation").alias("kind")))
+        parts.append(found.select("doc_id", "start", "end", kind.alias("kind")))
+    if names_ is not None:
+        short = names_.where("alias_kind in ('abbreviation', 'acronym')").select(F.col("identity").alias("phrase"))
+        widest = short.agg(F.max(F.size(F.split("phrase", " ")))).first()[0]
+        if widest:
+            parts.append(matching.phrases(scanned, widest, "tokens", spaced=True).join(short, "phrase").select("doc_id", "start", "end", F.lit("abbreviation").alias("kind")))
     if not parts:
         return None
     return _chars(reduce(DataFrame.unionByName, parts), scanned).groupBy("doc_id").agg(F.collect_list("g").alias("groups"))

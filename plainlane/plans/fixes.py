@@ -11,21 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import arrays
 from ..schema import classify
 
-_FIX = "array<struct<start:bigint,end:bigint,replacement:string>>"
-
-
 def _sorted(fixes: DataFrame) -> DataFrame:
     """Fixes with taken: a sweep from the last fix to the first takes those that end where the last taken one starts, or before."""
     rows = fixes.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "replacement")), asc=False).alias("all"))
-    state = F.struct(F.lit((1 << 62)).cast("long").alias("at"), F.array().cast(_FIX).alias("taken"))
-
-    def step(acc: Column, f: Column) -> Column:
-        take = (f["end"] <= acc["at"]) & (f["start"] <= f["end"])
-        return F.struct(F.when(take, f["start"]).otherwise(acc["at"]).alias("at"), F.when(take, F.concat(acc["taken"], F.array(f))).otherwise(acc["taken"]).alias("taken"))
-
-    return rows.withColumn("taken", F.reverse(F.aggregate("all", state, step)["taken"]))
+    rows = rows.withColumn("whole", F.filter("all", lambda f: f["start"] <= f["end"]))
+    # a sweep to the left is one to the right of the mirrored places
+    places = arrays.kept_places(F.transform("whole", lambda f: -f["end"]), F.transform("whole", lambda f: -f["start"]))
+    return rows.withColumn("taken", F.reverse(F.transform(places, lambda i: F.get("whole", i.cast("int"))))).drop("whole")
 
 
 def overlaps(fixes: DataFrame) -> DataFrame:
@@ -35,12 +30,12 @@ def overlaps(fixes: DataFrame) -> DataFrame:
 
 def apply_fixes(docs: DataFrame, fixes: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with fixed texts and the column fixed (whether any fix was applied). A null text stays null."""
-    raw = F.col("text").cast("binary")
+    raw = F.col("_raw")
     piece = lambda a, b: F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).cast("string")
     before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("taken", i - 1)["end"])
     parts = F.transform("taken", lambda f, i: F.concat(piece(before(i), f["start"]), f["replacement"]))
     last = F.element_at("taken", -1)["end"]
-    both = docs.join(_sorted(fixes).select("doc_id", "taken").hint("merge"), "doc_id", "left")
+    both = docs.withColumn("_raw", F.col("text").cast("binary")).join(_sorted(fixes).select("doc_id", "taken").hint("merge"), "doc_id", "left")
     some = F.col("taken").isNotNull() & (F.size("taken") > 0) & F.col("text").isNotNull()
     text = F.when(some, F.concat(F.array_join(parts, ""), piece(last, F.octet_length("text").cast("long")))).otherwise(F.col("text"))
     return both.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), F.coalesce(some, F.lit(False)).alias("fixed"))

@@ -28,7 +28,7 @@ def inputs(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFram
     scanned = tables.staged(structure.scanned(docs, mode=mode, families=spans, with_text=families is None or bool(c) or names is not None), "scan")
     widest = max([r["w"] or 1 for t in ([forms, names] if names is not None else [forms]) for r in t.agg(F.max("width").alias("w")).collect()])
     groups = contexts.groups(scanned, c, names) if (c or names is not None) and (families is None or rules.length in families) else None
-    return rules.Inputs(scanned, forms, ings, names, evidence, c.get("occurrences"), c.get("topics"), c.get("orderings"), c.get("safety_facts"), groups, int(widest))
+    return rules.Inputs(scanned, forms, ings, names, evidence, c.get("occurrences"), c.get("topics"), c.get("orderings"), c.get("safety_facts"), groups, int(widest), c.get("entities"))
 
 
 def lint(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None) -> DataFrame:
