@@ -2,8 +2,11 @@
 
 Texts are lower-cased (A-Z), cut into pieces at sentence marks and line ends, and into words at blanks. Three steps:
 
-1. A count-min sketch of all phrases of 1 to 4 words, whose cells stop counting at the threshold. Tasks sketch what they
-   read, blocks of cells are summed by Spark, and the sum is broadcast: its size is a parameter, whatever the input.
+1. Two count-min sketches whose cells stop counting at the threshold: of all words and pairs, then of longer phrases whose
+   pairs the first one does not rule out. Tasks sketch what they read, blocks of cells are summed by Spark, and the sums are
+   broadcast: their size is a parameter, whatever the input. They rule much out while there are fewer phrases than about half
+   the threshold times the cells; a corpus that is larger needs a higher threshold or more cells, or its counts are as right
+   but mostly of phrases that fail.
 2. Tasks read the texts again in shards. Phrases of a shard whose bound and whose parts' bounds reach the threshold are
    candidates; they are compiled into pyahocorasick automata with a blank at either end of each phrase, and the shard is
    scanned for all, overlapping, matches. Spark sums the counts and applies the threshold, so that the bounds change
@@ -29,9 +32,12 @@ TOP = 2000
 #: A phrase goes if a longer one that holds it has this many per cent of its count.
 INSIDE = 80
 SCALE = 2_000_000
-#: Cells in each of a sketch's two rows: a quarter of the text's bytes, within these bounds (one byte a cell).
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 25
+#: Cells in each of a sketch's two rows: an eighth to a quarter of the text's bytes, within these bounds. A cell has one byte, or
+#: four with thresholds from 256 on.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
 CELL_BLOCK = 1 << 16
+#: Phrases that a task counts before it gives their counts, and rows of a batch of them.
+HELD, ROWS = 500_000, 50_000
 #: A shard ends when it has so many bytes of text or of candidates.
 SHARD_BYTES, CANDIDATE_BYTES = 16 << 20, 2 << 20
 
@@ -91,17 +97,43 @@ def _by_lang(batch, lot: dict[str, list[bytes]]) -> int:
     return len(raw)
 
 
-def _sketcher(width: int, full: int, most: int):
+def _passed(phrases: Phrases, full: int, sketches: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, places, hashes) of a chunk's phrases that may reach full: both phrases of one word less may, and so may they by
+    their own sketch. Sketches are of words and pairs, and of longer phrases; what has no sketch yet is not ruled out by it."""
+    before = None
+    for k, (at, hashes) in enumerate(phrases.by_length, 1):
+        passed = np.ones(len(at), bool) if before is None else before[at] & before[at + 1]
+        if len(sketches) > (k > 2):
+            cells = sketches[int(k > 2)]
+            a, b = _cells(hashes, cells.shape[1])
+            passed &= (cells[0][a] >= full) & (cells[1][b] >= full)
+        before = np.zeros(len(phrases.starts) + 1, bool)
+        before[at[passed]] = True
+        yield k, at[passed], hashes[passed]
+
+
+def _shaped(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(2, -1)
+
+
+def _sketcher(width: int, full: int, kind: str, most: int, prior):
+    """Cells of words and pairs, or, with prior, the sketch of these, of the longer phrases that it does not rule out."""
+
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        cells = np.zeros((2, width), np.uint8)
+        known = [_shaped(prior.value, kind)] if prior is not None else []
+        cells = np.zeros((2, width), kind)
         for batch in batches:
             lot: dict[str, list[bytes]] = {}
             _by_lang(batch, lot)
             for lang, texts in lot.items():
                 for chunk in chunks(normalised(texts)):
-                    hashes = np.concatenate([h for _, h in Phrases(chunk, lang, most).by_length])
+                    phrases = Phrases(chunk, lang, most if known else min(most, 2))
+                    if known:
+                        hashes = np.concatenate([h for k, _, h in _passed(phrases, full, known) if k > 2])
+                    else:
+                        hashes = np.concatenate([h for _, h in phrases.by_length])
                     for row, index in zip(cells, _cells(hashes, width)):
                         index, counts = np.unique(index, return_counts=True)
                         row[index] = np.minimum(row[index] + counts, full)
@@ -112,7 +144,7 @@ def _sketcher(width: int, full: int, most: int):
     return run
 
 
-def _summer(full: int):
+def _summer(full: int, kind: str):
     """Sums blocks of cells up to full; a task holds the blocks dealt to it, one array each."""
 
     def run(batches) -> Iterator:
@@ -121,41 +153,35 @@ def _summer(full: int):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = np.frombuffer(raw.as_buffer(), np.uint8)
-                held[i] = np.minimum(held[i].astype(np.uint16) + new, full).astype(np.uint8) if i in held else new.copy()
+                new = np.frombuffer(raw.as_buffer(), kind)
+                held[i] = np.minimum(held[i].astype(np.int64) + new, full).astype(kind) if i in held else new.copy()
         for i, block in held.items():
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "cells"])
 
     return run
 
 
-def sketch(texts: DataFrame, width: int, min_count: int, most: int) -> np.ndarray:
-    """The two rows of cells of all phrases of texts (text, lang). The driver holds 2 * width bytes."""
-    full = min(min_count, 255)
-    blocks = texts.mapInArrow(tidied(_sketcher(width, full, most)), "block int, cells binary")
-    total = blocks.repartition("block").mapInArrow(tidied(_summer(full)), "block int, cells binary")
-    cells = np.zeros(2 * width, np.uint8).reshape(-1, min(CELL_BLOCK, width))
+def sketch(texts: DataFrame, width: int, full: int, kind: str, most: int, prior=None) -> bytes:
+    """The two rows of cells of the phrases of texts (text, lang). The driver holds them: 2 * width cells."""
+    blocks = texts.mapInArrow(tidied(_sketcher(width, full, kind, most, prior)), "block int, cells binary")
+    total = blocks.repartition("block").mapInArrow(tidied(_summer(full, kind)), "block int, cells binary")
+    cells = np.zeros(2 * width, kind).reshape(-1, min(CELL_BLOCK, width))
     for row in total.toLocalIterator():
-        cells[row["block"]] = np.frombuffer(row["cells"], np.uint8)
-    return cells.reshape(2, width)
-
-
-def _candidates(chunk: bytes, lang: str, cells: np.ndarray, full: int, most: int, found: dict[bytes, None]) -> int:
-    """Adds to found the phrases of a chunk whose bounds, and those of their parts, are full; bytes of what is new."""
-    phrases, added, before = Phrases(chunk, lang, most), 0, None
-    for k, (at, hashes) in enumerate(phrases.by_length, 1):
-        a, b = _cells(hashes, cells.shape[1])
-        passed = (cells[0][a] >= full) & (cells[1][b] >= full)
-        if before is not None:  # both phrases of one word less
-            passed &= before[at] & before[at + 1]
-        before = np.zeros(len(phrases.starts) + 1, bool)
-        before[at[passed]] = True
-        _, first = np.unique(hashes[passed], return_index=True)
-        for i in at[passed][first].tolist():
-            phrase = chunk[phrases.starts[i] : phrases.ends[i + k - 1]]
+        cells[row["block"]] = np.frombuffer(row["cells"], kind)
+    return cells.tobytes()
+
+
+def _candidates(chunk: bytes, lang: str, sketches: list[np.ndarray], full: int, most: int, found: dict[bytes, None]) -> int:
+    """Adds to found the phrases of a chunk that pass; bytes of what is new."""
+    phrases, added = Phrases(chunk, lang, most), 0
+    for k, at, hashes in _passed(phrases, full, sketches):
+        _, first = np.unique(hashes, return_index=True)
+        at = at[first]
+        for a, b in zip(phrases.starts[at].tolist(), phrases.ends[at + k - 1].tolist()):
+            phrase = chunk[a:b]
             if phrase not in found:
                 found[phrase] = None
-                added += len(phrase) + 2
+                added += b - a + 2
     return added
 
 
@@ -175,26 +201,34 @@ def automata(phrases: list[bytes], limit: int = CANDIDATE_BYTES):
         first = i
 
 
-def _counter(shared, full: int, most: int, shard_bytes: int, candidate_bytes: int):
-    def counted(shard: list[tuple[str, bytes]], found: dict[str, dict[bytes, None]]) -> Iterator:
-        import pyarrow as pa
-
+def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, candidate_bytes: int):
+    def count(shard: list[tuple[str, bytes]], found: dict[str, dict[bytes, None]], totals: dict[str, dict[bytes, int]]) -> None:
         for lang, phrases in found.items():
-            names = list(phrases)
-            counts = np.zeros(len(names), np.int64)
+            names, own = list(phrases), totals.setdefault(lang, {})
             for first, n, automaton in automata(names, candidate_bytes):
+                counts = np.zeros(n, np.int64)
                 for of, chunk in shard:
                     if of == lang:
-                        hits = np.fromiter(map(itemgetter(1), automaton.iter(chunk.decode("latin-1"))), np.int32)
-                        counts[first : first + n] += np.bincount(hits, minlength=n)
-            names.append(b"")  # all words
-            counts = np.append(counts, sum(int(np.count_nonzero(np.diff(WORDS[np.frombuffer(c, np.uint8)].view(np.int8)) == 1)) for of, c in shard if of == lang))
-            yield pa.record_batch([pa.array([lang] * len(names)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts)], names=["lang", "phrase", "c"])
+                        counts += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(chunk.decode("latin-1"))), np.int32), minlength=n)
+                for name, c in zip(names[first : first + n], counts.tolist()):
+                    own[name] = own.get(name, 0) + c
+            # all words
+            own[b""] = own.get(b"", 0) + sum(int(np.count_nonzero(np.diff(WORDS[np.frombuffer(c, np.uint8)].view(np.int8)) == 1)) for of, c in shard if of == lang)
+
+    def rows(totals: dict[str, dict[bytes, int]]) -> Iterator:
+        import pyarrow as pa
+
+        for lang, own in totals.items():
+            names = list(own)
+            for i in range(0, len(names), ROWS):
+                part = names[i : i + ROWS]
+                yield pa.record_batch([pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([own[x] for x in part], pa.int64())], names=["lang", "phrase", "c"])
 
     def run(batches) -> Iterator:
-        cells = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+        sketches = [_shaped(x.value, kind) for x in shared]
         shard, found, size, added = [], {}, 0, 0
         lot: dict[str, list[bytes]] = {}
+        totals: dict[str, dict[bytes, int]] = {}
         waiting = 0
         for batch in _then_none(batches):
             if batch is not None:
@@ -205,12 +239,16 @@ def _counter(shared, full: int, most: int, shard_bytes: int, candidate_bytes: in
                 for chunk in chunks(normalised(texts)):
                     shard.append((lang, chunk))
                     size += len(chunk)
-                    added += _candidates(chunk, lang, cells, full, most, found.setdefault(lang, {}))
+                    added += _candidates(chunk, lang, sketches, full, most, found.setdefault(lang, {}))
                     if size >= shard_bytes or added >= candidate_bytes:
-                        yield from counted(shard, found)
+                        count(shard, found, totals)
                         shard, found, size, added = [], {}, 0, 0
+                        if sum(map(len, totals.values())) >= HELD:
+                            yield from rows(totals)
+                            totals = {}
             lot, waiting = {}, 0
-        yield from counted(shard, found)
+        count(shard, found, totals)
+        yield from rows(totals)
 
     return run
 
@@ -231,10 +269,14 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", mi
         raise ValueError("min_count and most must be positive")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    width = 1 << max(LEAST_CELLS.bit_length() - 1, min(most_cells.bit_length() - 1, (size // 4).bit_length()))
-    cells = sketch(texts, width, min_count, most)
-    shared = docs.sparkSession.sparkContext.broadcast(cells.tobytes())
-    counts = texts.mapInArrow(tidied(_counter(shared, min(min_count, 255), most, shard_bytes, candidate_bytes)), "lang string, phrase string, c long")
+    width = 1 << max(LEAST_CELLS.bit_length() - 1, min(most_cells.bit_length() - 1, (size // 8).bit_length()))
+    kind = "u1" if min_count < 256 else "u4"
+    full = min(min_count, (1 << 32) - 1)
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(sketch(texts, width, full, kind, most))]
+    if most > 2:
+        shared.append(context.broadcast(sketch(texts, width, full, kind, most, shared[0])))
+    counts = texts.mapInArrow(tidied(_counter(shared, full, kind, most, shard_bytes, candidate_bytes)), "lang string, phrase string, c long")
     return counts.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where((F.col("a") >= min_count) | (F.col("phrase") == ""))
 
 
