@@ -9,8 +9,8 @@ Texts are lower-cased (A-Z), cut into pieces at sentence marks and line ends, an
    but mostly of phrases that fail.
 2. Tasks read the texts again in shards. Phrases of a shard whose bound and whose parts' bounds reach the threshold are
    candidates; they are compiled into pyahocorasick automata with a blank at either end of each phrase, and the shard is
-   scanned for all, overlapping, matches. Spark sums the counts and applies the threshold, so that the bounds change
-   nothing but the work. A shard ends at a number of bytes of text or of candidates, so that an automaton's memory is
+   scanned for all, overlapping, matches. Counts are packed by bucket of phrases, shuffled, summed one bucket at a time and
+   held against the threshold, so that the bounds change nothing but the work. A shard ends at a number of bytes of text or of candidates, so that an automaton's memory is
    bounded however little the sketch rules out.
 3. Scores, the drop of phrases inside longer ones, and ranks are joins and groupings of the frequent phrases.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import itemgetter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +39,8 @@ LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
 CELL_BLOCK = 1 << 16
 #: Phrases that a task counts before it gives their counts, and rows of a batch of them.
 HELD, ROWS = 500_000, 50_000
+#: Counts travel in buckets of phrases, one for so many bytes of text; a task sums one bucket after another.
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 64
 #: A shard ends when it has so many bytes of text or of candidates.
 SHARD_BYTES, CANDIDATE_BYTES = 16 << 20, 2 << 20
 
@@ -201,7 +204,9 @@ def automata(phrases: list[bytes], limit: int = CANDIDATE_BYTES):
         first = i
 
 
-def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, candidate_bytes: int):
+def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, candidate_bytes: int, buckets: int):
+    """Counts of a task's candidates, packed into one row for each language and bucket of phrases: they hold no line ends."""
+
     def count(shard: list[tuple[str, bytes]], found: dict[str, dict[bytes, None]], totals: dict[str, dict[bytes, int]]) -> None:
         for lang, phrases in found.items():
             names, own = list(phrases), totals.setdefault(lang, {})
@@ -219,10 +224,12 @@ def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, ca
         import pyarrow as pa
 
         for lang, own in totals.items():
-            names = list(own)
-            for i in range(0, len(names), ROWS):
-                part = names[i : i + ROWS]
-                yield pa.record_batch([pa.array([lang] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array([own[x] for x in part], pa.int64())], names=["lang", "phrase", "c"])
+            packed: dict[int, list[bytes]] = {}
+            for name in own:
+                packed.setdefault(crc32(name) % buckets, []).append(name)
+            for bucket, names in packed.items():
+                counts = np.fromiter(map(own.__getitem__, names), np.int64, len(names))
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([lang]), pa.array([b"\n".join(names)], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["bucket", "lang", "phrases", "counts"])
 
     def run(batches) -> Iterator:
         sketches = [_shaped(x.value, kind) for x in shared]
@@ -253,6 +260,33 @@ def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, ca
     return run
 
 
+def _totals(least: int):
+    """Sums packed counts that come in the order of their buckets, and gives the phrases with least or more (and all words)."""
+
+    def rows(held: dict[str, dict[bytes, int]]) -> Iterator:
+        import pyarrow as pa
+
+        for lang, own in held.items():
+            names = [x for x, c in own.items() if c >= least or not x]
+            for i in range(0, len(names), ROWS):
+                part = names[i : i + ROWS]
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([own[x] for x in part], pa.int64())], names=["lang", "phrase", "a"])
+
+    def run(batches) -> Iterator:
+        now, held = None, {}
+        for batch in batches:
+            for bucket, lang, phrases, counts in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if bucket != now:
+                    yield from rows(held)
+                    now, held = bucket, {}
+                own = held.setdefault(lang, {})
+                for name, c in zip(phrases.split(b"\n"), np.frombuffer(counts, np.int64).tolist()):
+                    own[name] = own.get(name, 0) + c
+        yield from rows(held)
+
+    return run
+
+
 def _then_none(batches) -> Iterator:
     yield from batches
     yield None
@@ -276,8 +310,9 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", mi
     shared = [context.broadcast(sketch(texts, width, full, kind, most))]
     if most > 2:
         shared.append(context.broadcast(sketch(texts, width, full, kind, most, shared[0])))
-    counts = texts.mapInArrow(tidied(_counter(shared, full, kind, most, shard_bytes, candidate_bytes)), "lang string, phrase string, c long")
-    return counts.groupBy("lang", "phrase").agg(F.sum("c").alias("a")).where((F.col("a") >= min_count) | (F.col("phrase") == ""))
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    packed = texts.mapInArrow(tidied(_counter(shared, full, kind, most, shard_bytes, candidate_bytes, buckets)), "bucket int, lang string, phrases binary, counts binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_totals(min_count)), "lang string, phrase string, a long")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, most: int = MAX_WORDS,
