@@ -12,10 +12,11 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read_table
@@ -26,6 +27,8 @@ RUN = "[A-Za-z0-9_+/~.-]{8,}={0,2}"
 SHORT_AFTER = "(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|credential|private.?key)[A-Za-z0-9_.-]*[^A-Za-z0-9]{0,2}[:=][ ]*[^A-Za-z0-9 ]?$"
 #: Characters of context looked at, before and after.
 BEFORE, AFTER = 40, 16
+#: Pieces of a text whose lengths are summed at once.
+LOT = 256
 TREES, TREE_DEPTH, LEAF = 24, 6, 8
 #: Labelled findings that the rules write for training: long ones with a digit and plain context, and all others.
 FINDINGS, MORE_FINDINGS = 3000, 3000
@@ -300,33 +303,48 @@ def _score_sql(divide: str) -> str:
     return divide.format("(" + " + ".join(f"({t.sql()})" for t in forest()) + ")", TREES)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body asks for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _found(x: Column) -> Column:
+    """The candidates (start, s, before, after) among a text's pieces (gaps, runs: what stands before each run).
+
+    A fold copies its state at each step, so nothing is gathered in one: context comes from the pieces next to a run, and where a
+    run starts from sums of LOT pieces, sums of these, and the pieces of its own lot.
+    """
+    text = lambda k: F.concat(*(F.coalesce(F.get(x, k)[name], F.lit("")) for name in ("gaps", "runs")))
+    # runs have eight characters or more
+    before = lambda i: F.right(F.concat(*(text(i - k) for k in range(-(-BEFORE // 8), 0, -1)), F.get(x, i)["gaps"]), F.lit(BEFORE))
+    after = lambda i: F.left(F.concat(text(i + 1), text(i + 2)), F.lit(AFTER))
+    run = lambda i: F.get(x, i)["runs"]
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: a + n)
+    lengths = F.transform(x, lambda y: (F.length(y["gaps"]) + F.coalesce(F.length(y["runs"]), F.lit(0))).cast("long"))
+    hits = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: run(i).isNotNull() & (run(i).rlike("^" + CANDIDATE) | before(i).rlike(SHORT_AFTER)))
+
+    def placed(n: Column, firsts: Column) -> Column:
+        lot = lambda i: F.floor(i / LOT).cast("int")
+        start = lambda i: F.get(firsts, lot(i)) + total(F.slice(n, lot(i) * LOT + 1, i % LOT)) + F.length(F.get(x, i)["gaps"])
+        return F.transform(hits, lambda i: F.struct(start(i).alias("start"), run(i).alias("s"), before(i).alias("before"), after(i).alias("after")))
+
+    lots = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / LOT).cast("int"))
+    sums = lambda n: F.transform(lots, lambda b: total(F.slice(n, b * LOT + 1, LOT)))
+    firsts = lambda s: F.transform(lots, lambda b: total(F.slice(s, F.lit(1), b)))
+    return _let(lengths, lambda n: _let(sums(n), lambda s: _let(firsts(s), lambda f: placed(n, f))))
+
+
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, nth, start, candidate, score, is_secret) of every candidate in every whole text.
 
     nth counts a text's candidates from 0, start is the character where one begins, score is the forest's mean in
     thousandths, is_secret whether it reaches threshold. Null and empty texts have no candidates; a null id stays null;
-    repeated rows are scanned each; an empty table gives an empty one; other columns are not looked at. No shuffle: one fold
-    over the runs of a text, which keeps their places and the characters before them; what stands after a candidate is taken
-    from the next two runs and the gaps before them, which are longer than it.
+    repeated rows are scanned each; an empty table gives an empty one; other columns are not looked at. No shuffle, and time in
+    proportion to a text's candidates: what stands around one is taken from the runs and gaps next to it.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where(F.col("t").rlike(CANDIDATE) | F.col("t").rlike(f"[:=][ ]*[^A-Za-z0-9 ]?{RUN}"))
-    cut = texts.select("doc_id", F.split("t", RUN).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({RUN})")).alias("runs"))
-    cut = cut.select("doc_id", F.arrays_zip("gaps", "runs").alias("x"))
-    none = "array<struct<start:bigint,at:int,s:string,before:string>>"
-    state = F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(none).alias("found"))
-
-    def step(acc, x):
-        before = F.right(F.concat(acc["tail"], x["gaps"]), F.lit(BEFORE))
-        return F.struct(
-            (acc["pos"] + F.length(x["gaps"]) + F.length(x["runs"])).alias("pos"), (acc["at"] + 1).alias("at"), F.right(F.concat(before, x["runs"]), F.lit(BEFORE)).alias("tail"),
-            F.when(x["runs"].rlike("^" + CANDIDATE) | before.rlike(SHORT_AFTER), F.concat(acc["found"], F.array(F.struct((acc["pos"] + F.length(x["gaps"])).alias("start"), acc["at"].alias("at"), x["runs"].alias("s"), before.alias("before"))))).otherwise(acc["found"]).alias("found"),
-        )
-
-    runs = F.filter("x", lambda x: x["runs"].isNotNull())
-    found = cut.withColumn("found", F.aggregate(runs, state, step)["found"]).where(F.size("found") > 0)
-    part = lambda k, name: F.coalesce(F.get("x", k)[name], F.lit(""))
-    after = lambda y: F.left(F.concat(*(part(y["at"] + k, name) for k in (1, 2) for name in ("gaps", "runs"))), F.lit(AFTER))
-    rows = found.select("doc_id", F.posexplode(F.transform("found", lambda y: F.struct(y["start"].alias("start"), y["s"].alias("s"), y["before"].alias("before"), after(y).alias("after")))).alias("nth", "y")).select("doc_id", "nth", "y.*")
+    pieces = F.arrays_zip(F.split("t", RUN).alias("gaps"), F.regexp_extract_all("t", F.lit(f"({RUN})")).alias("runs"))
+    rows = texts.select("doc_id", F.posexplode_outer(_let(pieces, _found)).alias("nth", "y")).where("y is not null").select("doc_id", "nth", "y.*")
     featured = rows.selectExpr("doc_id", "nth", "start", "s", *(f"cast({f(_Spark)} as int) as {name}" for name, f in _SQL_FEATURES.items()))
     scored = featured.select("doc_id", "nth", "start", F.col("s").alias("candidate"), F.expr(_score_sql("cast({} div {} as int)")).alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= threshold)

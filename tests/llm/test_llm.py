@@ -942,3 +942,19 @@ def test_substring_several_contexts_of_one_anchor(spark):
     for x in got:
         assert (x.source_id, x.source_first) < (x.doc_id, x["first"])
         assert by_id[x.doc_id][x["first"] : x.end] == by_id[x.source_id][x.source_first : x.source_first + x.end - x["first"]]
+
+
+def test_secrets_of_one_text_are_linear(spark):
+    """Twenty times as many candidates in one text take well under sixty times as long, and all are found."""
+    import time
+
+    took = []
+    for n in (5_000, 100_000):
+        text = " ".join(f"k{k} = {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        rows = secret_scan.secrets(docs).select("nth", "start", "candidate").collect()
+        took.append(time.time() - began)
+        assert len(rows) == n and all(text[r["start"] : r["start"] + 40] == r["candidate"] for r in rows[:: max(1, n // 500)])
+        assert [r["nth"] for r in rows] == list(range(n))
+    assert took[1] < 60 * took[0]
