@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixtures
+from . import fixtures, graph_queries
 from . import functions as T
 from .operators import counting, matching, rewrite, rules, structure
 from .plans import fixes, lint, reports
@@ -428,6 +428,7 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "rule_fixtures": (lambda spark, d: fixtures.diagnostics(spark), fixtures.sql),
     "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "lint_fixtures": (lint_fixtures, None),
 }
+_QUERIES |= graph_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
