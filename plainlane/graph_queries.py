@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import arrays, graph, mentions, nesting
-from .sources import tables
+from .sources import etl, tables
 
 #: Surfaces are the benchmark's words of six letters or more, and the first eight words of each item as one name.
 _WORD, _NAME = "[A-Za-z]{6,}", r"^\S+(?: \S+){7}"
@@ -120,7 +120,24 @@ h AS (SELECT x.page_id, x.kind, x.start, x.stop, coalesce(y.kind, '') AS holder,
 SELECT * FROM h"""
 
 
+#: Lines of pages: a line ends after each mark's end. Closing marks are noise; headings and list items open sections.
+_NOISE, _OPENER = "^</", "<(h1|li)>"
+
+
+def page_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the pages read as one book, from each heading or list item to the next, over the ends of pages."""
+    pages = tables.spread(tables.read(spark, d, "pages")).select(F.col("page_id").alias("page"), F.regexp_replace("html", ">", ">\n").alias("text"))
+    out = etl.sections(etl.clean_lines(pages, _NOISE), _OPENER, range_pages=64)
+    return out.select("section", "page", "last", F.sha2("text", 256).alias("sha256"))
+
+
+_SECTIONS = f"""WITH l AS (SELECT page_id AS page, unnest(string_split(replace(html, '>', '>' || chr(10)), chr(10))) AS line, unnest(range(0, len(string_split(replace(html, '>', '>' || chr(10)), chr(10))))) AS line_no FROM pages),
+k AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_OPENER}') THEN 1 ELSE 0 END) OVER (ORDER BY page, line_no) AS n FROM l WHERE NOT regexp_matches(line, '{_NOISE}') AND trim(line) <> '')
+SELECT regexp_extract(arg_min(line, (page, line_no)), '{_OPENER}') AS section, min(page) AS page, max(page) AS last, sha256(string_agg(line, chr(10) ORDER BY page, line_no)) AS sha256 FROM k WHERE n > 0 GROUP BY n"""
+
+
 QUERIES = {
+    "page_sections": (page_sections, _SECTIONS),
     "entity_mentions": (entity_mentions, _MENTIONS),
     "reference_edges": (reference_edges, _REFERENCES),
     "order_contradictions": (order_contradictions, _ORDERS),

@@ -17,10 +17,28 @@ def clean_lines(page_rows: DataFrame, noise: str) -> DataFrame:
     return rows.where(~F.col("line").rlike(noise) & (F.trim("line") != ""))
 
 
-def sections(lines: DataFrame, opener: str) -> DataFrame:
-    """(section, page, line_no, last, text): each line that matches opener starts a section, up to the next such line."""
-    w = Window.partitionBy(F.lit(0)).orderBy("page", "line_no")
-    rows = lines.withColumn("n", F.sum(F.col("line").rlike(opener).cast("int")).over(w)).where("n > 0")
+#: Pages of a range, in which marks are counted one after another.
+RANGE_PAGES = 1024
+
+
+def numbered(rows: DataFrame, mark: Column, line: str, range_pages: int = RANGE_PAGES) -> DataFrame:
+    """rows (page, line, ...) with n, the marks up to each row in the order of pages and lines: a two-level prefix scan.
+
+    Marks are counted by ranges of pages, the counts (one row a range) are summed in order, and rows are numbered within their
+    range. No task holds more than a range; null marks count as none, a null page as before all others.
+    """
+    rows = rows.withColumn("_range", F.floor(F.col("page") / range_pages)).withColumn("_mark", F.coalesce(mark, F.lit(False)).cast("long"))
+    counts = rows.groupBy("_range").agg(F.sum("_mark").alias("_c"))
+    before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
+    inner = Window.partitionBy("_range").orderBy("page", line).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_n", F.sum("_mark").over(inner)).withColumn("_key", F.coalesce("_range", F.lit(-1 << 40)))
+    both = own.join(before.select(F.coalesce("_range", F.lit(-1 << 40)).alias("_key"), "_before"), "_key")
+    return both.withColumn("n", F.col("_before") + F.col("_n")).drop("_range", "_mark", "_n", "_key", "_before")
+
+
+def sections(lines: DataFrame, opener: str, range_pages: int = RANGE_PAGES) -> DataFrame:
+    """(section, page, last, text): each line that matches opener starts a section, up to the next such line."""
+    rows = numbered(lines, F.col("line").rlike(opener), "line_no", range_pages).where("n > 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"]), "\n")
     return rows.groupBy("n").agg(F.regexp_extract(F.min_by("line", F.struct("page", "line_no")), opener, 0).alias("section"), F.min("page").alias("page"), F.max("page").alias("last"), text.alias("text")).drop("n")
 
@@ -38,8 +56,7 @@ def entries(rows: DataFrame) -> DataFrame:
     """Table rows (page, row_no, word, meaning, good, bad) folded to entries: continued rows belong to the last headword.
 
     approved: the headword is in capitals. Pages and their order come with the rows."""
-    w = Window.partitionBy(F.lit(0)).orderBy("page", "row_no")
-    marked = rows.withColumn("entry", F.sum(is_headword("word").cast("int")).over(w)).where("entry > 0")
+    marked = numbered(rows, is_headword("word"), "row_no").withColumnRenamed("n", "entry").where("entry > 0")
     joined = lambda c: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "row_no", F.coalesce(F.trim(c), F.lit("")).alias("x")))), lambda y: y["x"]), " "))
     out = marked.groupBy("entry").agg(joined("word").alias("word_cell"), joined("meaning").alias("meaning"), joined("good").alias("ste_example"), joined("bad").alias("non_ste_example"), F.array_sort(F.collect_set("page")).alias("source_pages"))
     head = F.trim(F.regexp_extract("word_cell", "^([^(]*)\\(", 1))

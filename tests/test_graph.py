@@ -44,6 +44,23 @@ def test_etl(spark):
     assert [r.page for r in etl.missing_pages(p, 1, 3).collect()] == [3]
 
 
+def test_numbered_over_ranges(spark):
+    """Marks are counted over ranges of pages as one window over all rows would count them, and no task gets all rows."""
+    import random
+
+    r = random.Random(2)
+    rows = [(p, k, r.random() < 0.2) for p in r.sample(range(-40, 400), 150) for k in range(r.randint(0, 6))] + [(None, 0, True), (None, 1, None)]
+    got = etl.numbered(spark.createDataFrame(rows, "page int, row_no int, mark boolean").repartition(4), F.col("mark"), "row_no", 7)
+    n, want = 0, {}
+    for p, k, mark in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        n += bool(mark)
+        want[p, k] = n
+    assert {(x["page"], x["row_no"]): x["n"] for x in got.collect()} == want
+    lines = spark.createDataFrame([(p, k, f"{p} {k}") for p in range(50) for k in range(3)], "page int, line_no int, line string")
+    plan = etl.sections(lines, "[05] 0$")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(page" not in plan.lower() and plan.count("Window") == 2
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "word " * 30 + "end."), (2, "Short.")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
