@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixtures, graph_queries
+from . import graph_queries
 from . import functions as T
 from .operators import counting, matching, rewrite, rules, structure
 from .plans import fixes, lint, reports
@@ -243,39 +243,59 @@ CAST((sum(len(list_filter(w, lambda x: list_contains(bad, x)))) * 1000) // nulli
 
 
 def coverage_status(spark, d):
-    return coverage.status_counts(coverage.rules(spark))
+    """Rules by status, of a coverage table that the parts' sizes stand for."""
+    status = F.get(F.array(*map(F.lit, coverage.STATUSES)), F.col("p_size") % len(coverage.STATUSES))
+    return coverage.status_counts(_table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("rule"), status.alias("status")))
 
 
 def _coverage_sql() -> str:
-    rows = ", ".join(f"('{r}', '{s}')" for r, _, s, _ in (x.split() for x in coverage.RULES.strip().splitlines()))
-    return f"SELECT status, count(*) AS n_rules FROM (VALUES {rows}) t(rule, status) GROUP BY status"
-
-
-_TERMS = [("t1", "Fuel pump", "fp"), ("t2", "Oil  filter", "filter"), ("t3", "fuel PUMP", "pump"), ("t4", "Filter", "oil filter"), ("t5", "Valve", "main valve")]
+    return f"SELECT status, count(*) AS n_rules FROM (SELECT {coverage.STATUSES}[p_size % {len(coverage.STATUSES)} + 1] AS status FROM part) GROUP BY status"
+
+
+def _part_terms(spark, d) -> DataFrame:
+    """A terminology of the parts: names are terms and brands their short names; sizes decide what is wrong with each."""
+    size, id_ = F.col("p_size"), F.concat(F.lit("t"), (F.col("p_partkey") % 1900).cast("string"))
+    a = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    return _table(spark, d, "part").select(
+        F.when(size == 50, "other/v9").otherwise("terminology/v2").alias("doc_schema"), a("SMALL", "LARGE").alias("known_sources"), F.col("p_partkey").cast("int").alias("ordinal"),
+        id_.alias("id"), F.concat(F.lit(" "), F.initcap("p_name"), F.lit("\t")).alias("canonical"), F.when(size < 5, a()).otherwise(a("noun")).alias("roles"), F.lit("").alias("definition"),
+        F.array(F.struct(F.concat("p_name", F.lit("s")).alias("text"), F.when(size == 7, a("verb")).otherwise(a("noun")).alias("roles"))).alias("forms"),
+        F.array(F.struct(F.col("p_brand").alias("text"), F.lit("short").alias("kind"))).alias("aliases"), F.array(F.struct(F.col("p_type").alias("source"), a().alias("supports"))).alias("sources"),
+        F.when(size % 20 == 0, "deprecated").otherwise("approved").alias("status"), F.when(size % 10 == 0, F.concat(F.lit("t"), (F.col("p_partkey") % 1900 + 7).cast("string"))).alias("replacement"), a().alias("examples"),
+    )
 
 
 def glossary_conflicts(spark, d):
-    t = glossary.terms_frame(spark, [{"id": i, "canonical": c, "roles": ["noun"], "aliases": [{"text": a, "kind": "short"}], "status": "approved"} for i, c, a in _TERMS])
-    return glossary.integrity(t).select("code", "detail")
+    """Every integrity code of a terminology that is made of the parts."""
+    return glossary.integrity(_part_terms(spark, d)).select("code", "detail")
 
 
-_CONFLICT = f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{i}', '{c}', '{a}')" for k, (i, c, a) in enumerate(_TERMS))}) t(o, id, c, a)),
-n AS (SELECT o, 0 AS p, lower(regexp_replace(c, '\\s+', ' ', 'g')) AS k FROM t UNION ALL SELECT o, 1, lower(regexp_replace(a, '\\s+', ' ', 'g')) FROM t),
-r AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o, p) AS rn FROM n), c AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY o) AS rn FROM n WHERE p = 0)
-SELECT DISTINCT 'TERM-ID-CONFLICT-001' AS code, k AS detail FROM r WHERE rn > 1 UNION SELECT DISTINCT 'TERM-DUP-001', k FROM c WHERE rn > 1"""
+_CONFLICT = """WITH t AS (SELECT *, 't' || (p_partkey % 1900) AS id, lower(p_name) AS c FROM part),
+names AS (SELECT c AS identity FROM t UNION ALL SELECT lower(p_brand) FROM t UNION ALL SELECT lower(p_name) || 's' FROM t),
+bad AS (
+  SELECT 'TERM-SCHEMA-001' AS code, 'other/v9' AS detail FROM t WHERE p_size = 50
+  UNION ALL SELECT 'TERM-STABLE-ID-001', id FROM t GROUP BY id HAVING count(*) > 1
+  UNION ALL SELECT 'TERM-DUP-001', c FROM t GROUP BY c HAVING count(*) > 1
+  UNION ALL SELECT 'TERM-ROLE-001', id FROM t WHERE p_size < 5
+  UNION ALL SELECT 'TERM-FORM-001', id FROM t WHERE p_size = 7 OR p_size < 5
+  UNION ALL SELECT 'TERM-SOURCE-001', p_type FROM t WHERE p_type NOT IN ('SMALL', 'LARGE')
+  UNION ALL SELECT 'TERM-REPLACEMENT-001', 't' || (p_partkey % 1900 + 7) FROM t WHERE p_size % 10 = 0 AND (p_size % 20 <> 0 OR 't' || (p_partkey % 1900 + 7) NOT IN (SELECT id FROM t))
+  UNION ALL SELECT 'TERM-ID-CONFLICT-001', identity FROM names GROUP BY identity HAVING count(*) > 1)
+SELECT DISTINCT code, detail FROM bad"""
 
 
 def lexicon_identity(spark, d):
-    e = lexicon.starter(spark)
-    return lexicon.identity_report(e, 128, 14).select("check", "expected", "actual")
+    """A lexicon of the parts against counts that it does not have: sizes decide status, part of speech and forms."""
+    size = F.col("p_size")
+    status = F.when(size % 3 == 0, "approved").when(size % 3 == 1, "unapproved").otherwise("odd")
+    forms = F.when(size % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name"))
+    e = _table(spark, d, "part").select(F.when(size == 13, " ").otherwise(F.col("p_name")).alias("lemma"), status.alias("status"), F.when(size % 7 == 0, "thing").otherwise("noun").alias("part_of_speech"), forms.alias("forms"))
+    return lexicon.identity_report(e, 128, 14)
 
 
-def _identity_sql() -> str:
-    e = lexicon.starter_entries()
-    v = ", ".join(f"('{x['lemma']}', '{x['status']}')" for x in e)
-    return f"""WITH t AS (SELECT * FROM (VALUES {v}) t(lemma, status))
-SELECT 'approved' AS "check", CAST(128 AS BIGINT) AS expected, count(*) FILTER (status = 'approved') AS actual FROM t UNION ALL SELECT 'unapproved', 14, count(*) FILTER (status = 'unapproved') FROM t
-UNION ALL SELECT x, 0, 0 FROM (VALUES ('bad_status'), ('empty_lemma'), ('bad_pos'), ('no_forms')) v(x)"""
+_IDENTITY = """WITH c AS (SELECT unnest([('approved', 128, count(*) FILTER (p_size % 3 = 0)), ('unapproved', 14, count(*) FILTER (p_size % 3 = 1)), ('bad_status', 0, count(*) FILTER (p_size % 3 = 2)),
+  ('empty_lemma', 0, count(*) FILTER (p_size = 13)), ('bad_pos', 0, count(*) FILTER (p_size % 7 = 0)), ('no_forms', 0, count(*) FILTER (p_size % 11 = 0))]) AS r FROM part)
+SELECT r[1] AS "check", CAST(r[2] AS BIGINT) AS expected, CAST(r[3] AS BIGINT) AS actual, r[2] = r[3] AS passed FROM c"""
 
 
 def provider_latency(spark, d):
@@ -412,21 +432,16 @@ def lint_outcomes(spark, d):
     return lint.outcomes(docs, lint.lint(docs)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("n_errors").alias("n_errors"), F.sum("n_blocked").alias("n_blocked"))
 
 
-def lint_fixtures(spark, d):
-    return lint.lint(spark.createDataFrame(_FIXTURE, "doc_id long, mode string, text string")).drop("evidence", "message")
-
-
 _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "sentence_limits": (flagship, None), "semicolon_spans": (semicolon_spans, _SEMI), "rewrite_checks": (rewrite_checks, _REWRITE), "rewrite_numbers": (rewrite_numbers, _REWRITE_N),
     "token_inventory": (token_inventory, _TOKENS), "lexical_status": (lexical_status, _status_sql), "unknown_terms": (unknown_terms, _unknown_sql), "phrase_matches": (phrase_matches, _MATCH),
     "sentence_length_simple": (sentence_length_simple, _SENT), "paragraph_cap": (paragraph_cap, _CAP), "count_groups": (count_groups, _GROUPS), "span_union": (span_union, _UNION),
     "containment_edges": (containment_edges, _CONTAIN), "precedes_edges": (precedes_edges, _PRECEDES), "first_full_form": (first_full_form, _FULL),
     "diagnostics_per_1000_words": (diagnostics_per_1000_words, _rate_sql), "coverage_status": (coverage_status, _coverage_sql), "glossary_conflicts": (glossary_conflicts, _CONFLICT),
-    "lexicon_identity": (lexicon_identity, _identity_sql), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
+    "lexicon_identity": (lexicon_identity, _IDENTITY), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
     "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
     "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql),
-    "rule_fixtures": (lambda spark, d: fixtures.diagnostics(spark), fixtures.sql),
-    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "lint_fixtures": (lint_fixtures, None),
+    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None),
 }
 _QUERIES |= graph_queries.QUERIES
 

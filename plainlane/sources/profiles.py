@@ -18,9 +18,9 @@ BUILT_IN = {
     "github": ("code hosting", [("pull request", ["noun"]), ("fork", ["noun", "verb"])]),
 }
 CONFIG_FIELDS = {"schema", "profiles"}
-CONFIG, TERMS, CONTEXT = ".ste/config.json", ".ste/terms.json", ".ste/context.json"
+CONFIG, TERMS, CONTEXT = ".plainlane/config.json", ".plainlane/terms.json", ".plainlane/context.json"
 #: Environment variable that names the lexicon file, where no path is given.
-LEXICON_VARIABLE = "STE_LINT_LEXICON"
+LEXICON_VARIABLE = "PLAINLANE_LEXICON"
 
 
 def listed(spark: SparkSession) -> DataFrame:

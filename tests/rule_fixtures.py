@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import lint
-from .sources import glossary as glossaries
+from plainlane.plans import lint
+from plainlane.sources import glossary as glossaries
 
 _LONG = " ".join(["tool"] * 27)
 TEXTS = [
@@ -91,7 +91,7 @@ def evidence(spark: SparkSession) -> DataFrame:
 
 def lexicon(spark: SparkSession) -> DataFrame:
     """The starter lexicon and a few entries that make rules of evidence and of several readings report."""
-    from .sources import lexicon as lexicons
+    from plainlane.sources import lexicon as lexicons
 
     entry = lambda lemma, pos, status="approved": {"lemma": lemma, "status": status, "part_of_speech": pos, "forms": [lemma], "interpretation_state": "interpreted"}
     more = [entry("run", "verb"), entry("good", "adjective"), entry("connected", "adjective"), entry("opening", "noun"), entry("yard", "noun"), entry("yard", "verb", "unapproved")]

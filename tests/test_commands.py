@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plainlane
-from plainlane import fixtures
+import rule_fixtures as fixtures
 from plainlane.operators import grammar, matching, rules, structure, units
 from plainlane.plans import fixes, lint, reports
 from plainlane.sources import etl, glossary, lexicon, profiles, texts
@@ -51,11 +51,11 @@ def test_files_and_sinks(spark, tmp_path):
 
 
 def test_profiles(spark, tmp_path):
-    (tmp_path / "p" / ".ste").mkdir(parents=True)
+    (tmp_path / "p" / ".plainlane").mkdir(parents=True)
     (tmp_path / "p" / "docs").mkdir()
-    (tmp_path / "p" / ".ste" / "config.json").write_text('{"profiles": ["git"]}')
+    (tmp_path / "p" / ".plainlane" / "config.json").write_text('{"profiles": ["git"]}')
     (tmp_path / "p" / "docs" / "x.md").write_text("x")
-    assert profiles.project_file(str(tmp_path / "p" / "docs" / "x.md"), profiles.CONFIG) == str(tmp_path / "p" / ".ste" / "config.json")
+    assert profiles.project_file(str(tmp_path / "p" / "docs" / "x.md"), profiles.CONFIG) == str(tmp_path / "p" / ".plainlane" / "config.json")
     got = profiles.effective_glossary(spark, str(tmp_path / "p" / "docs" / "x.md"))
     assert got.profiles == ["git"] and {r.canonical for r in got.report().collect()} == {"commit", "branch", "rebase"}
     assert [r.id for r in profiles.listed(spark).collect()] == ["software-core", "git", "github"]
