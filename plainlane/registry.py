@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -432,6 +433,42 @@ def lint_outcomes(spark, d):
     return lint.outcomes(docs, lint.lint(docs)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("n_errors").alias("n_errors"), F.sum("n_blocked").alias("n_blocked"))
 
 
+#: What stands around each four words of a document, in turn: marks that the rules must report where they stand.
+_MARKED = ["The {0}; {1} {2} {3}.", "It doesn't {0} {1} {2} {3}.", "- {0} {1},\n- The {2} {3},", "NOTE: Remove the {0} {1} {2} {3}.", "WARNING: The {0} {1} {2} {3}.", "NOTE: Open the {0} {1} {2} {3}."]
+#: Of each of these, the codes it makes and the bytes before them (w1 is the bytes of the first word, w2 of the first two).
+_MARKS = [("STE-PUNC-001", "4 + w1", 0), ("STE-SYN-001", "3", 1), ("STE-LIST-001", "0", 2), ("STE-LIST-002", "2", 2), ("STE-LIST-003", "2", 2), ("STE-LIST-003", "7 + w2", 2), ("STE-NOTE-001", "6", 3), ("STE-SAFE-001", "8", 4), ("STE-NOTE-002", "6", 5)]
+
+
+def marked_rules(spark, d):
+    """Semicolons, contractions, lists, notes and warnings written around all words of the documents, as the rules report them."""
+    w = F.col("w")
+
+    def around(k):
+        parts = [F.concat(*(x for i, t in enumerate(_pieces(m)) for x in ([F.lit(t)] if i % 2 == 0 else [F.get(w, 4 * k + int(t))]))) for m in _MARKED]
+        return F.get(F.array(*parts), k % len(_MARKED))
+
+    words = _table(spark, d, "documents").select("doc_id", T.plain_words(F.col("text")).alias("w")).where(F.size("w") >= 4)
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 4).cast("int") - 1), around), "\n\n")
+    found = lint.lint(words.select("doc_id", text.alias("text")), mode="procedural", families=[rules.punctuation, rules.contractions, rules.lists, rules.notes, rules.procedural])
+    return found.where(F.col("code").isin(*{c for c, _, _ in _MARKS})).groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("sum_start"))
+
+
+def _pieces(mark: str) -> list[str]:
+    """Fixed text and numbers of words of a mark, in turn."""
+    return re.split(r"\{(\d)\}", mark)
+
+
+def _marked_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    texts = " ".join(f"WHEN {r} THEN " + " || ".join(quote(t) if i % 2 == 0 else f"w[4 * k + {int(t) + 1}]" for i, t in enumerate(_pieces(m))) for r, m in enumerate(_MARKED))
+    codes = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, base + {b} AS start FROM o WHERE r = {r}" for c, b, r in _MARKS)
+    return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(0, len(w) // 4)) AS k FROM d),
+t AS (SELECT doc_id, k, k % {len(_MARKED)} AS r, strlen(w[4 * k + 1]) AS w1, strlen(w[4 * k + 1]) + strlen(w[4 * k + 2]) AS w2, CASE k % {len(_MARKED)} {texts} END AS t FROM k),
+o AS (SELECT *, sum(strlen(t) + 2) OVER (PARTITION BY doc_id ORDER BY k) - strlen(t) - 2 AS base FROM t)
+SELECT doc_id, code, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM ({codes}) GROUP BY doc_id, code"""
+
+
 _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "sentence_limits": (flagship, None), "semicolon_spans": (semicolon_spans, _SEMI), "rewrite_checks": (rewrite_checks, _REWRITE), "rewrite_numbers": (rewrite_numbers, _REWRITE_N),
     "token_inventory": (token_inventory, _TOKENS), "lexical_status": (lexical_status, _status_sql), "unknown_terms": (unknown_terms, _unknown_sql), "phrase_matches": (phrase_matches, _MATCH),
@@ -441,7 +478,7 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "lexicon_identity": (lexicon_identity, _IDENTITY), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
     "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
     "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql),
-    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None),
+    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "marked_rules": (marked_rules, _marked_sql),
 }
 _QUERIES |= graph_queries.QUERIES
 
