@@ -439,18 +439,32 @@ _MARKED = ["The {0}; {1} {2} {3}.", "It doesn't {0} {1} {2} {3}.", "- {0} {1},\n
 _MARKS = [("STE-PUNC-001", "4 + w1", 0), ("STE-SYN-001", "3", 1), ("STE-LIST-001", "0", 2), ("STE-LIST-002", "2", 2), ("STE-LIST-003", "2", 2), ("STE-LIST-003", "7 + w2", 2), ("STE-NOTE-001", "6", 3), ("STE-SAFE-001", "8", 4), ("STE-NOTE-002", "6", 5)]
 
 
-def marked_rules(spark, d):
-    """Semicolons, contractions, lists, notes and warnings written around all words of the documents, as the rules report them."""
+#: The same of verbs and noun runs, in descriptive texts; the words come in a sentence of their own.
+_VERBS = ["It has closed the valve. The {0} {1} {2} {3}.", "The pipe was removed. The {0} {1} {2} {3}.", "The valve is closing. The {0} {1} {2} {3}.", "It is connected. The {0} {1} {2} {3}.", "It has set it. The {0} {1} {2} {3}.", "The record is opening. The {0} {1} {2} {3}.", "The new water pump system part is hot. The {0} {1} {2} {3}."]
+_VERB_MARKS = [("STE-VERB-001", "3", 0), ("STE-VERB-003", "9", 1), ("STE-VERB-005", "10", 2), ("STE-GRAM-002", "10", 2), ("STE-VERB-003", "3", 3), ("STE-VERB-002", "3", 4), ("STE-VERB-005", "11", 5), ("STE-GRAM-002", "11", 5), ("STE-NOUN-001", "4", 6)]
+
+
+def _marked(spark, d, marks: list[str], codes: list[tuple[str, str, int]], mode: str, families: list) -> DataFrame:
     w = F.col("w")
 
     def around(k):
-        parts = [F.concat(*(x for i, t in enumerate(_pieces(m)) for x in ([F.lit(t)] if i % 2 == 0 else [F.get(w, 4 * k + int(t))]))) for m in _MARKED]
-        return F.get(F.array(*parts), k % len(_MARKED))
+        parts = [F.concat(*(x for i, t in enumerate(_pieces(m)) for x in ([F.lit(t)] if i % 2 == 0 else [F.get(w, 4 * k + int(t))]))) for m in marks]
+        return F.get(F.array(*parts), k % len(marks))
 
     words = _table(spark, d, "documents").select("doc_id", T.plain_words(F.col("text")).alias("w")).where(F.size("w") >= 4)
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(w) / 4).cast("int") - 1), around), "\n\n")
-    found = lint.lint(words.select("doc_id", text.alias("text")), mode="procedural", families=[rules.punctuation, rules.contractions, rules.lists, rules.notes, rules.procedural])
-    return found.where(F.col("code").isin(*{c for c, _, _ in _MARKS})).groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("sum_start"))
+    found = lint.lint(words.select("doc_id", text.alias("text")), mode=mode, families=families)
+    return found.where(F.col("code").isin(*{c for c, _, _ in codes})).groupBy("doc_id", "code").agg(F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("sum_start"))
+
+
+def marked_rules(spark, d):
+    """Semicolons, contractions, lists, notes and warnings written around all words of the documents, as the rules report them."""
+    return _marked(spark, d, _MARKED, _MARKS, "procedural", [rules.punctuation, rules.contractions, rules.lists, rules.notes, rules.procedural])
+
+
+def marked_verbs(spark, d):
+    """Verb constructions and long nouns written between all words of the documents, as the rules report them."""
+    return _marked(spark, d, _VERBS, _VERB_MARKS, "descriptive", [rules.verb_constructions, rules.grammar])
 
 
 def _pieces(mark: str) -> list[str]:
@@ -458,15 +472,15 @@ def _pieces(mark: str) -> list[str]:
     return re.split(r"\{(\d)\}", mark)
 
 
-def _marked_sql() -> str:
+def _marked_sql(marks: list[str] = _MARKED, codes: list[tuple[str, str, int]] = _MARKS) -> str:
     quote = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    texts = " ".join(f"WHEN {r} THEN " + " || ".join(quote(t) if i % 2 == 0 else f"w[4 * k + {int(t) + 1}]" for i, t in enumerate(_pieces(m))) for r, m in enumerate(_MARKED))
-    codes = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, base + {b} AS start FROM o WHERE r = {r}" for c, b, r in _MARKS)
+    texts = " ".join(f"WHEN {r} THEN " + " || ".join(quote(t) if i % 2 == 0 else f"w[4 * k + {int(t) + 1}]" for i, t in enumerate(_pieces(m))) for r, m in enumerate(marks))
+    found = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS code, base + {b} AS start FROM o WHERE r = {r}" for c, b, r in codes)
     return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM documents),
 k AS (SELECT doc_id, w, unnest(range(0, len(w) // 4)) AS k FROM d),
-t AS (SELECT doc_id, k, k % {len(_MARKED)} AS r, strlen(w[4 * k + 1]) AS w1, strlen(w[4 * k + 1]) + strlen(w[4 * k + 2]) AS w2, CASE k % {len(_MARKED)} {texts} END AS t FROM k),
+t AS (SELECT doc_id, k, k % {len(marks)} AS r, strlen(w[4 * k + 1]) AS w1, strlen(w[4 * k + 1]) + strlen(w[4 * k + 2]) AS w2, CASE k % {len(marks)} {texts} END AS t FROM k),
 o AS (SELECT *, sum(strlen(t) + 2) OVER (PARTITION BY doc_id ORDER BY k) - strlen(t) - 2 AS base FROM t)
-SELECT doc_id, code, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM ({codes}) GROUP BY doc_id, code"""
+SELECT doc_id, code, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM ({found}) GROUP BY doc_id, code"""
 
 
 _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
@@ -478,7 +492,7 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "lexicon_identity": (lexicon_identity, _IDENTITY), "provider_latency": (provider_latency, _LATENCY), "verified_digest": (verified_digest, _DIGEST), "contraction_lines": (contraction_lines, _contraction_sql),
     "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
     "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql),
-    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "marked_rules": (marked_rules, _marked_sql),
+    "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "marked_rules": (marked_rules, _marked_sql), "marked_verbs": (marked_verbs, lambda: _marked_sql(_VERBS, _VERB_MARKS)),
 }
 _QUERIES |= graph_queries.QUERIES
 
