@@ -21,26 +21,34 @@ def clean_lines(page_rows: DataFrame, noise: str) -> DataFrame:
 RANGE_PAGES = 1024
 
 
-def numbered(rows: DataFrame, mark: Column, line: str, range_pages: int = RANGE_PAGES) -> DataFrame:
+def numbered(rows: DataFrame, mark: Column, line: str, range_pages: int = RANGE_PAGES, keep_range: bool = False) -> DataFrame:
     """rows (page, line, ...) with n, the marks up to each row in the order of pages and lines: a two-level prefix scan.
 
     Marks are counted by ranges of pages, the counts (one row a range) are summed in order, and rows are numbered within their
-    range. No task holds more than a range; null marks count as none, a null page as before all others.
+    range (_range, if it is kept). No task holds more than a range; null marks count as none, a null page as before all others.
     """
-    rows = rows.withColumn("_range", F.floor(F.col("page") / range_pages)).withColumn("_mark", F.coalesce(mark, F.lit(False)).cast("long"))
+    place = F.coalesce(F.floor(F.col("page") / range_pages), F.lit(-1 << 40))
+    rows = rows.withColumn("_range", place).withColumn("_mark", F.coalesce(mark, F.lit(False)).cast("long"))
     counts = rows.groupBy("_range").agg(F.sum("_mark").alias("_c"))
     before = counts.select("_range", (F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
     inner = Window.partitionBy("_range").orderBy("page", line).rowsBetween(Window.unboundedPreceding, 0)
-    own = rows.withColumn("_n", F.sum("_mark").over(inner)).withColumn("_key", F.coalesce("_range", F.lit(-1 << 40)))
-    both = own.join(before.select(F.coalesce("_range", F.lit(-1 << 40)).alias("_key"), "_before"), "_key")
-    return both.withColumn("n", F.col("_before") + F.col("_n")).drop("_range", "_mark", "_n", "_key", "_before")
+    both = rows.withColumn("_n", F.sum("_mark").over(inner)).join(before, "_range").withColumn("n", F.col("_before") + F.col("_n"))
+    return both.drop("_mark", "_n", "_before", *([] if keep_range else ["_range"]))
 
 
 def sections(lines: DataFrame, opener: str, range_pages: int = RANGE_PAGES) -> DataFrame:
-    """(section, page, last, text): each line that matches opener starts a section, up to the next such line."""
-    rows = numbered(lines, F.col("line").rlike(opener), "line_no", range_pages).where("n > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy("n").agg(F.regexp_extract(F.min_by("line", F.struct("page", "line_no")), opener, 0).alias("section"), F.min("page").alias("page"), F.max("page").alias("last"), text.alias("text")).drop("n")
+    """(section, page, last, text): each line that matches opener starts a section, up to the next such line.
+
+    Lines are shuffled once, to their ranges; only sections that a range begins or ends with meet again.
+    """
+    rows = numbered(lines, F.col("line").rlike(opener), "line_no", range_pages, keep_range=True).where("n > 0")
+    whole = rows.groupBy("_range", "n").agg(F.min("page").alias("page"), F.max("page").alias("last"), F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))).alias("x"))
+    own = Window.partitionBy("_range")
+    whole = whole.withColumn("edge", (F.col("n") == F.min("n").over(own)) | (F.col("n") == F.max("n").over(own)))
+    split = whole.where("edge").groupBy("n").agg(F.min("page").alias("page"), F.max("last").alias("last"), F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    out = whole.where("not edge").select("page", "last", "x").unionByName(split.select("page", "last", "x"))
+    text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    return out.select(F.regexp_extract(F.get("x", F.lit(0))["line"], opener, 0).alias("section"), "page", "last", text.alias("text"))
 
 
 def is_headword(cell: str | Column) -> Column:
