@@ -7,12 +7,12 @@ from .operators.grammar import action_structures, noun_phrases, subject_predicat
 from .operators.rewrite import check_rewrites
 from .operators.structure import scanned
 from .plans.fixes import apply_fixes, lint_fixed
-from .plans.lint import exit_code, inputs, lint, outcomes
+from .plans.lint import exit_code, inputs, lint, outcomes, run_status
 from .sources.lexicon import lookup
 from .sources.profiles import choose_lexicon, effective_glossary
 from .sources.texts import human_lines, json_documents, read_texts, write_json
 
 __all__ = [
     "action_structures", "apply_fixes", "check_rewrites", "choose_lexicon", "effective_glossary", "exit_code", "human_lines", "inputs", "json_documents", "lint",
-    "lint_fixed", "lookup", "noun_phrases", "outcomes", "read_texts", "scanned", "subject_predicates", "write_json",
+    "lint_fixed", "lookup", "noun_phrases", "outcomes", "read_texts", "run_status", "scanned", "subject_predicates", "write_json",
 ]

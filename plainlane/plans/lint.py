@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +49,21 @@ def exit_code(diags: DataFrame) -> int:
     """1 with errors, 2 with blocked ones only, else 0."""
     r = diags.agg(F.bool_or(F.col("severity") == "error").alias("e"), F.bool_or(F.col("severity") == "blocked").alias("b")).first()
     return 1 if r["e"] else 2 if r["b"] else 0
+
+
+#: Exit codes of runs that give no diagnostics: data that do not hold, and anything else that fails.
+INVALID_DATA, FAILED = 3, 4
+
+
+def run_status(work: Callable[[], DataFrame]) -> tuple[int, str]:
+    """(exit code, message) of a run: work reads what it needs and gives diagnostics.
+
+    0 to 2 as exit_code(); 3 if a lexicon, terminology, context or project file is missing where one is needed or does not hold
+    (these readers raise ValueError); 4 if anything else fails, reading and writing of files included.
+    """
+    try:
+        return exit_code(work()), ""
+    except ValueError as e:
+        return INVALID_DATA, str(e)
+    except Exception as e:
+        return FAILED, str(e).splitlines()[0] if str(e) else type(e).__name__

@@ -154,3 +154,16 @@ def test_sweep_agrees_with_joins(spark):
         matching.MOST_PHRASES = most
     assert swept == joined and any(" " in p for *_, p in swept)
     assert F is not None
+
+
+def test_run_status(spark, tmp_path, monkeypatch):
+    from plainlane import run_status
+
+    monkeypatch.delenv(profiles.LEXICON_VARIABLE, raising=False)
+    run = lambda text, **k: run_status(lambda: lint.lint(spark.createDataFrame([(1, text)], "doc_id long, text string"), lexicon=profiles.choose_lexicon(spark, **k), families=[rules.punctuation]))
+    assert run("Stop it.", allow_starter=True) == (0, "") and run("Stop; go.", allow_starter=True) == (1, "")
+    code, message = run("Stop it.")
+    assert code == 3 and "lexicon" in message
+    (tmp_path / "x.json").write_text("{}")
+    assert run("Stop it.", path=str(tmp_path / "x.json"), sha256="0" * 64, size=2)[0] == 3
+    assert run_status(lambda: spark.read.parquet(str(tmp_path / "nothing")))[0] == 4
