@@ -122,26 +122,51 @@ def ordering_edges(nodes: DataFrame, orderings: DataFrame) -> DataFrame:
     return out.drop("_n")
 
 
-def contradictions(orders: DataFrame) -> DataFrame:
-    """The orders (doc_id, a, b: a comes before b) that lie on a cycle, with b reaching a; a self-order is one.
-
-    Places without an order into them or out of them are peeled off, round by round, which leaves cycles and what lies between
-    them. What each place there reaches grows semi-naively: only pairs of the last round are extended. Rounds are written to the
-    shared folder; the driver sees counts.
-    """
-    left = tables.staged(orders.select("doc_id", "a", "b").where("a is not null and b is not null").distinct(), "orders")
-    size = -1
+def _peeled(orders: DataFrame) -> DataFrame:
+    """orders without those of places that no order leads into or out of, round by round; what is left lies on or between cycles."""
+    left, size = tables.staged(orders, "orders"), -1
     while (now := left.count()) not in (0, size):
         size = now
         heads, tails = left.select("doc_id", F.col("a").alias("b")).distinct(), left.select("doc_id", F.col("b").alias("a")).distinct()
         left = tables.staged(left.join(heads.hint("merge"), ["doc_id", "b"], "left_semi").join(tails.hint("merge"), ["doc_id", "a"], "left_semi").select("doc_id", "a", "b"), "orders")
-    reach = new = left
-    while new.limit(1).count():
-        more = new.select("doc_id", "a", F.col("b").alias("m")).join(left.select("doc_id", F.col("a").alias("m"), "b").hint("merge"), ["doc_id", "m"]).select("doc_id", "a", "b").distinct()
-        new = tables.staged(more.join(reach.hint("merge"), ["doc_id", "a", "b"], "left_anti"), "reach")
-        reach = tables.staged(reach.unionByName(new), "reach")
-    back = reach.select("doc_id", F.col("a").alias("b"), F.col("b").alias("a"))
-    return left.join(back.hint("merge"), ["doc_id", "a", "b"], "left_semi").select("doc_id", "a", "b")
+    return left
+
+
+def _colored(left: DataFrame) -> DataFrame:
+    """(doc_id, v, c): the greatest place that reaches each place, itself included. Each round sends on only what has changed."""
+    places = left.select("doc_id", F.col("a").alias("v")).union(left.select("doc_id", "b")).distinct()
+    colors = new = tables.staged(places.withColumn("c", F.col("v")), "colors")
+    while True:
+        sent = new.join(left.select("doc_id", F.col("a").alias("v"), "b").hint("merge"), ["doc_id", "v"]).groupBy("doc_id", F.col("b").alias("v")).agg(F.max("c").alias("m"))
+        new = tables.staged(sent.join(colors.hint("merge"), ["doc_id", "v"]).where("m > c").select("doc_id", "v", F.col("m").alias("c")), "recolored")
+        if not new.limit(1).count():
+            return colors
+        colors = tables.staged(colors.join(new.withColumnRenamed("c", "m").hint("merge"), ["doc_id", "v"], "left").select("doc_id", "v", F.coalesce("m", "c").alias("c")), "colors")
+
+
+def contradictions(orders: DataFrame) -> DataFrame:
+    """The orders (doc_id, a, b: a comes before b) that lie on a cycle, with b reaching a; a self-order is one.
+
+    Places on no cycle are peeled off. Of the rest each gets as its color the greatest place that reaches it; those of a color
+    that reach its namesake are one strongly connected part, whose orders are the contradictory ones. Parts found are taken out
+    and the rest begins anew. Both searches are semi-naive and hold one row a place, never pairs of places; rounds are written
+    to the shared folder and the driver sees counts.
+    """
+    left = _peeled(orders.select("doc_id", "a", "b").where("a is not null and b is not null").distinct())
+    out = left.where("false")
+    while left.limit(1).count():
+        colors = _colored(left)
+        inner = left.join(colors.select("doc_id", F.col("v").alias("a"), F.col("c").alias("ca")).hint("merge"), ["doc_id", "a"]).join(colors.select("doc_id", F.col("v").alias("b"), F.col("c").alias("cb")).hint("merge"), ["doc_id", "b"])
+        inner = tables.staged(inner.where("ca = cb").select("doc_id", "a", "b"), "one-color")
+        part = new = tables.staged(colors.where("v = c").select("doc_id", "v"), "part")
+        while new.limit(1).count():
+            back = inner.join(new.withColumnRenamed("v", "b").hint("merge"), ["doc_id", "b"]).select("doc_id", F.col("a").alias("v")).distinct()
+            new = tables.staged(back.join(part.hint("merge"), ["doc_id", "v"], "left_anti"), "part")
+            part = tables.staged(part.unionByName(new), "part")
+        a, b = part.withColumnRenamed("v", "a").hint("merge"), part.withColumnRenamed("v", "b").hint("merge")
+        out = out.unionByName(inner.join(a, ["doc_id", "a"], "left_semi").join(b, ["doc_id", "b"], "left_semi").select("doc_id", "a", "b"))
+        left = _peeled(left.join(a, ["doc_id", "a"], "left_anti").join(b, ["doc_id", "b"], "left_anti").select("doc_id", "a", "b"))
+    return out
 
 
 def senses(x: rules.Inputs, entries: DataFrame) -> DataFrame:

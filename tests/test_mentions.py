@@ -130,7 +130,7 @@ def test_reference_and_ordering_edges(spark):
 
 def test_contradictory_orderings(spark):
     r = random.Random(7)
-    orders = [(d, r.randrange(12), r.randrange(12)) for d in range(12) for _ in range(r.randint(0, 16))] + [(99, k, k + 1) for k in range(30)] + [(98, 5, 5), (97, None, 1)]
+    orders = [(d, r.randrange(12), r.randrange(12)) for d in range(12) for _ in range(r.randint(0, 16))] + [(99, k, k + 1) for k in range(9)] + [(98, 5, 5), (97, None, 1)]
     want = set()
     for d in {x[0] for x in orders}:
         own = {(a, b) for e, a, b in orders if e == d and a is not None}
@@ -141,6 +141,8 @@ def test_contradictory_orderings(spark):
                 break
             reach |= more
         want |= {(d, a, b) for a, b in own if (b, a) in reach or a == b}
+    orders += [(96, k, (k + 1) % 7) for k in range(7)]
+    want |= {(96, k, (k + 1) % 7) for k in range(7)}
     rows = spark.createDataFrame(orders, "doc_id long, a int, b int")
     assert {tuple(x) for x in graph.contradictions(rows).collect()} == want
     assert graph.contradictions(rows.where("false")).count() == 0
