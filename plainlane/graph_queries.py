@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import arrays, graph, mentions, nesting
@@ -75,9 +75,8 @@ def order_contradictions(spark: SparkSession, d: str) -> DataFrame:
     """Names that each conversation mentions in both orders: steps from one mention to the next that lie on a cycle."""
     turns = tables.spread(tables.read(spark, d, "conversations")).select("conv_id", "turn", "text")
     found = mentions.occurrences(turns, _surfaces(spark, d), ("conv_id", "turn"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "start", "end", "surface")
-    steps = found.select(F.col("conv_id").alias("doc_id"), F.col("surface").alias("a"), F.lead("surface").over(w).alias("b")).where("b is not null and a <> b")
-    return graph.contradictions(steps).select(F.col("doc_id").alias("conv_id"), "a", "b")
+    visits = tables.staged(found.select(F.col("conv_id").alias("doc_id"), "turn", "start", "end", F.col("surface").alias("name")), "visits")
+    return graph.walk_contradictions(visits, "turn").select(F.col("doc_id").alias("conv_id"), "a", "b")
 
 
 _ORDERS = f"""WITH RECURSIVE {_SURFACES},

@@ -169,6 +169,37 @@ def contradictions(orders: DataFrame) -> DataFrame:
     return out
 
 
+def walk_contradictions(visits: DataFrame, unit: str, range_units: int = 1024) -> DataFrame:
+    """The orders (doc_id, a, b) that lie on a cycle, where a and b are neighbours in a document's sequence of visits
+    (doc_id, unit, start, end, name), ordered by these; what contradictions() gives for such steps, without its rounds.
+
+    A sequence leads from each place to all later ones, so a step lies on a cycle exactly if some name is visited before and
+    after it. Each name that recurs opens at its first place and closes at its last; a step while any is open is one. The
+    running count of open names is a two-level scan: within ranges of units, and over one row a range. No task holds a whole
+    document. Steps from a name to itself are none, repeated visits change nothing, a null unit comes last, and rows of null
+    doc_id or name are left out.
+    """
+    key = ["unit", "start", "end", "name"]
+    rows = visits.where("doc_id is not null and name is not null")
+    rows = rows.select("doc_id", F.coalesce(F.col(unit).cast("long"), F.lit((1 << 63) - 1)).alias("unit"), "start", "end", "name")
+    spans = rows.groupBy("doc_id", "name").agg(F.min(F.struct(*key[:3])).alias("first"), F.max(F.struct(*key[:3])).alias("last")).where("first <> last")
+    turns = F.explode(F.array(F.struct("first.*", F.lit(1).alias("opens")), F.struct("last.*", F.lit(-1).alias("opens"))))
+    marks = spans.select("doc_id", "name", turns.alias("t")).select("doc_id", "t.unit", "t.start", "t.end", "name", "t.opens", F.lit(0).alias("visit"))
+    events = rows.select("doc_id", *key, F.lit(0).alias("opens"), F.lit(1).alias("visit")).unionByName(marks)
+    events = events.withColumn("range", F.floor(F.col("unit") / range_units))
+
+    within = Window.partitionBy("doc_id", "range").orderBy(*key, "visit")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    steps = events.withColumn("open", F.sum("opens").over(upto)).where("visit = 1").withColumn("b", F.lead("name").over(within))
+
+    first = F.min(F.when(F.col("visit") == 1, F.struct(*key))).alias("first")
+    sums, over = events.groupBy("doc_id", "range").agg(F.sum("opens").alias("own"), first), Window.partitionBy("doc_id").orderBy("range")
+    before = F.sum("own").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
+    sums = sums.select("doc_id", "range", before.alias("before"), F.lead("first.name").over(over).alias("next"))
+    both = steps.join(sums.hint("merge"), ["doc_id", "range"]).where(F.col("open") + F.col("before") > 0)
+    return both.select("doc_id", F.col("name").alias("a"), F.coalesce("b", "next").alias("b")).where("a <> b").distinct()
+
+
 def senses(x: rules.Inputs, entries: DataFrame) -> DataFrame:
     """(doc_id, start, end, w, candidates, state): meanings of the interpreted approved entries of each word."""
     from ..sources import lexicon

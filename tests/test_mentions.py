@@ -189,3 +189,29 @@ def test_sweep_keeps_what_a_fold_keeps(spark):
         assert kept == want and sums == total
 
 
+
+
+def test_walk_contradictions(spark):
+    """Against reachability over the same steps, over several ranges, with repeated visits, nulls, one place and no rows."""
+    r = random.Random(11)
+    visits = [(d, unit, k, k + 1, r.choice("abcdefghijklmnop"[: 4 + d])) for d in range(10) for unit in r.sample(range(40), 6) for k in range(r.randint(0, 3))]
+    visits += visits[:7] + [(50, 0, 0, 1, "a"), (51, None, 0, 1, "b"), (51, 3, 0, 1, "a"), (51, 2, 0, 1, "b"), (52, 1, 0, 1, None), (None, 1, 0, 1, "a"), (None, 2, 0, 1, "b"), (None, 3, 0, 1, "a")]
+    walks = {}
+    for d, unit, start, end, name in visits:
+        if d is not None and name is not None:
+            walks.setdefault(d, []).append((unit is None, unit or 0, start, end, name))
+    want = set()
+    for d, walk in walks.items():
+        names = [x[-1] for x in sorted(walk)]
+        own = {(a, b) for a, b in zip(names, names[1:]) if a != b}
+        reach = set(own)
+        while more := {(a, c) for a, b in reach for b2, c in own if b == b2} - reach:
+            reach |= more
+        want |= {(d, a, b) for a, b in own if (b, a) in reach}
+    rows = spark.createDataFrame(visits, "doc_id long, unit int, start long, end long, name string")
+    steps = spark.createDataFrame([(d, a[-1], b[-1]) for d, walk in walks.items() for a, b in zip(sorted(walk), sorted(walk)[1:]) if a[-1] != b[-1]], "doc_id long, a string, b string")
+    assert want and (51, "b", "a") in want
+    for width in (1, 8, 1024):
+        assert sorted(map(tuple, graph.walk_contradictions(rows, "unit", width).collect())) == sorted(want)
+    assert {tuple(x) for x in graph.contradictions(steps.where("doc_id < 5")).collect()} == {x for x in want if x[0] < 5}
+    assert graph.walk_contradictions(rows.where("false"), "unit").count() == 0
