@@ -5,7 +5,7 @@ fenced and indented code, quotes, inline code), notes, safety statements, senten
 machines that Column expressions cannot fold in linear time. All rules above it are DataFrame transformations of its
 arrays. Every construct takes time in proportion to the text (times the depth of nested parentheses): neighbours are found
 by bisection of sorted spans, never by looking through all of them, and nothing is decided on a cut-off part of the text.
-HTML blocks and link reference definitions are protected, not checked.
+HTML blocks and link reference definitions are protected, not checked, in quotes and items too.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ _GIVEN = {"tokens": (1, 2, 5, 6, 7), "lexical": (1, 2, 5, 6)}
 
 _ITEM = re.compile(r"(?P<indent>[ \t]*)(?P<mark>[-*+]|\d{1,9}[.)]|•|\([A-Za-z0-9]\)|[A-Za-z][.)])[ \t]+(?=\S)")
 _HASHES = re.compile(r" {0,3}#{1,6}(?=[ \t]|$)")
-_FENCE = re.compile(r" {0,3}(?P<mark>`{3,}|~{3,})")
+_FENCE = re.compile(r" {0,3}(?P<mark>`{3,}+(?!.*`)|~{3,})")
 _RULE = re.compile(r" {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*")
 _QUOTE = re.compile(r"(?: {0,3}> ?)+")
+_QUOTE_MARK = re.compile(r" {0,3}> ?")
 _NOTE = re.compile(r"(?P<indent>\s*)note:", re.I)
 _SAFETY = re.compile(r"\s*(?P<level>warning|caution)\s*:", re.I)
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -81,7 +82,11 @@ _HTML_ENDED = [
 ]
 _HTML_TAG = re.compile(r" {0,3}</?(?:" + "|".join(_BLOCK_TAGS) + r")(?:[\s>]|/>|$)", re.I)
 _HTML_LONE = re.compile(r" {0,3}(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$")
-_LINK_DEFINITION = re.compile(r" {0,3}\[[^\[\]]*[^\s\[\]][^\[\]]*\]:[ \t]*\S")
+#: Parts of a link reference definition may stand on lines of their own, but no blank line in them; a title fills its last line.
+_LABEL = r"\[(?=[^\[\]]*[^\s\[\]])(?:[^\[\]\\\n]|\\.|\\(?=\n)|\n(?![ \t\r]*\n)){1,999}\]"
+_GAP = r"[ \t]*(?:\r?\n[ \t]*(?=\S))?"
+_TITLES = "|".join(rf"{p}(?:[^{p}{q}\\\n]|\\.|\\(?=\n)|\n(?![ \t\r]*\n))*{q}" for p, q in (('"', '"'), ("'", "'"), (r"\(", r"\)")))
+_LINK_DEFINITION = re.compile(rf" {{0,3}}{_LABEL}:{_GAP}(?:<[^<>\n]*>|[^\s<]\S*)(?:(?=\s){_GAP}(?:{_TITLES}))?[ \t\r]*(?=\n|\Z)")
 
 
 class Spans:
@@ -163,14 +168,44 @@ def _html(line: str, in_paragraph: bool) -> re.Pattern | str | None:
     return None
 
 
+def _unquoted(line: str, quotes: int) -> int:
+    """Where a line goes on after so many quote marks, -1 if it has fewer."""
+    at = 0
+    for _ in range(quotes):
+        m = _QUOTE_MARK.match(line, at)
+        if m is None:
+            return -1
+        at = m.end()
+    return at
+
+
+def _wide(line: str) -> int:
+    """Columns of white space before the line's text."""
+    return len(line[: len(line) - len(line.lstrip(" \t"))].expandtabs(4))
+
+
+def _content(line: str, columns: int) -> int:
+    """Characters of the line's white space that fill so many columns."""
+    k, col = 0, 0
+    while col < columns and k < len(line) and line[k] in " \t":
+        col += 4 - col % 4 if line[k] == "\t" else 1
+        k += 1
+    return k
+
+
 def blocks_of(text: str) -> Document:
+    """Blocks by lines. Open containers are quotes (a number of marks) and items (a stack); a line with fewer marks or less indent
+    closes them and the code or HTML within, unless it goes on with a paragraph of theirs (lazily)."""
     d = Document(text)
     para: list[int] | None = None  # start, end
     stack: list[list[int]] = []  # indent of content, list number, indent of the mark
+    quotes = list_quotes = 0  # quote marks of the open paragraph or list
     fence = ""
-    fence_at = 0
+    fence_at = last = 0
     html: re.Pattern | str | None = None
-    after_blank = True
+    inside = (0, 0)  # quote marks and indent of the open code or HTML
+    skip = 0  # where a link reference definition ends
+    after_blank = True  # no paragraph is open that a line could go on with
     ink = ""  # the last character before the line that is no white space
 
     def close_para():
@@ -180,83 +215,121 @@ def blocks_of(text: str) -> Document:
                 d.paragraphs.append((para[0], para[1]))
             para = None
 
+    def grow(b: int):
+        if stack:
+            d.items[-1][3] = b
+        for s in stack:
+            d.lists[s[1]][2] = max(d.lists[s[1]][2], b)
+
     for a, b in lines_of(text):
         line = text[a:b].rstrip("\r")
         b = a + len(line)
         body = line.strip()
         before, ink = ink, body[-1:] or ink
-        if fence:
-            if body.startswith(fence) and not body.strip(fence[0]):
-                d.protected.append((fence_at, b))
-                fence = ""
+        if a < skip:
             continue
-        if html is not None:
-            if html == "" and not body:
+        if fence or html is not None:
+            at = _unquoted(line, inside[0])
+            held = line[at:].strip() if at >= 0 else ""
+            if at < 0 or (held and _wide(line[at:]) < inside[1]):
+                if fence:
+                    d.protected.append((fence_at, last))
+                fence, html, after_blank = "", None, True
+            elif fence:
+                last = b
+                grow(b)
+                if held.startswith(fence) and not held.strip(fence[0]):
+                    d.protected.append((fence_at, b))
+                    fence = ""
+                continue
+            elif html == "" and not held:
                 html = None
             else:
-                if body:
-                    d.protected.append((a, b))
+                if held:
+                    d.protected.append((a + at, b))
+                    grow(b)
                 if html and html.search(line):
                     html = None
                 continue
-        if not body:
-            close_para()
-            after_blank = True
-            continue
         quoted = _QUOTE.match(line)
+        marks = quoted[0].count(">") if quoted else 0
+        if stack and (marks > list_quotes or (not body and marks < list_quotes)):
+            # a quote closes the items that it is not indented into; a blank line closes the quote of a list
+            room = _wide(line) if body else -1
+            while stack and stack[-1][0] > room:
+                stack.pop()
+        if para and marks > quotes:
+            close_para()
         if quoted:
             a, line = a + quoted.end(), line[quoted.end() :]
             body, before = line.strip(), ">"
-            if not body:
-                close_para()
-                continue
-        indent = len(line) - len(line.lstrip(" \t"))
-        heading = _heading(line, indent)
-        if m := _FENCE.match(line):
+        if not body:
+            close_para()
+            after_blank = True
+            continue
+        if stack and marks < list_quotes and (after_blank or _ITEM.match(line)):
+            stack.clear()
+        indent, wide = len(line) - len(line.lstrip(" \t")), _wide(line)
+        floor = max((s[0] for s in stack if s[0] <= wide), default=0)  # of the innermost item that the line may belong to
+        inner = _content(line, floor)
+        heading = _heading(line, wide)
+        after = False
+        if m := _FENCE.match(line, inner):
             close_para()
-            fence, fence_at = m["mark"], a
-        elif indent >= 4 and not stack and not para:
+            while stack and stack[-1][0] > floor:
+                stack.pop()
+            fence, fence_at, last, inside, after = m["mark"], a + inner, b, (marks, floor), True
+            grow(b)
+        elif wide >= 4 and not stack and not para:
             d.protected.append((a, b))
         elif heading is not None:
             close_para()
             stack.clear()
             if heading[0] < heading[1]:
                 d.headings.append((a + heading[0], a + heading[1]))
-        elif para and not stack and _SETEXT.fullmatch(line):
+        elif para and not stack and marks == quotes and _SETEXT.fullmatch(line):
             d.headings.append((para[0], para[1]))
             para = None
         elif _RULE.match(line):
             close_para()
             stack.clear()
-        elif not stack and (end := _html(line, para is not None)) is not None:
+        elif (end := _html(line[inner:], para is not None or (bool(stack) and not after_blank))) is not None:
             close_para()
-            d.protected.append((a, b))
-            html = None if end and end.search(line) else end
-        elif not stack and not para and _LINK_DEFINITION.match(line):
-            d.protected.append((a, b))
+            while stack and stack[-1][0] > floor:
+                stack.pop()
+            d.protected.append((a + inner, b))
+            html, inside, after = (None if end and end.search(line) else end), (marks, floor), True
+            grow(b)
+        elif not stack and not para and (m := _LINK_DEFINITION.match(text, a, b if marks else len(text))):
+            skip = m.end()
+            d.protected.append((a, skip))
         elif m := _ITEM.match(line):
             close_para()
             lead = len(m["indent"].expandtabs(4))
             while stack and lead < stack[-1][2]:
                 stack.pop()
+            list_quotes = marks
             if not stack or lead >= stack[-1][0]:
                 d.lists.append([len(stack), a, b, before == ":"])
                 stack.append([lead + len(m[0]) - len(m["indent"]), len(d.lists) - 1, lead])
+            else:
+                stack[-1][0] = lead + len(m[0]) - len(m["indent"])
             d.items.append([stack[-1][1], len(stack) - 1, a + m.end(), b])
-            for s in stack:
-                d.lists[s[1]][2] = max(d.lists[s[1]][2], b)
-        elif stack and (not after_blank or indent >= stack[0][0]):
+            grow(b)
+            if (end := _html(line[m.end() :], False)) is not None:
+                d.protected.append((a + m.end(), b))
+                html, inside, after = (None if end and end.search(line) else end), (marks, stack[-1][0]), True
+        elif stack and (not after_blank or wide >= stack[0][0]):
             if after_blank:
-                while stack and indent < stack[-1][0]:
+                while stack and wide < stack[-1][0]:
                     stack.pop()
-            d.items[-1][3] = b
-            for s in stack:
-                d.lists[s[1]][2] = max(d.lists[s[1]][2], b)
+            grow(b)
         else:
             stack.clear()
-            first = a + indent
-            para = [para[0] if para else first, b]
-        after_blank = False
+            if para is None:
+                para, quotes = [a + indent, b], marks
+            para[1] = b
+        after_blank = after
     if fence:
         d.protected.append((fence_at, len(text)))
     close_para()
