@@ -270,6 +270,9 @@ def blocks_of(text: str) -> Document:
         if stack and marks < list_quotes and (after_blank or _ITEM.match(line)):
             stack.clear()
         indent, wide = len(line) - len(line.lstrip(" \t")), _wide(line)
+        if after_blank and stack and wide < stack[-1][0] and not _ITEM.match(line):
+            while stack and wide < stack[-1][0]:
+                stack.pop()
         floor = max((s[0] for s in stack if s[0] <= wide), default=0)  # of the innermost item that the line may belong to
         inner = _content(line, floor)
         heading = _heading(line, wide)
@@ -319,10 +322,7 @@ def blocks_of(text: str) -> Document:
             if (end := _html(line[m.end() :], False)) is not None:
                 d.protected.append((a + m.end(), b))
                 html, inside, after = (None if end and end.search(line) else end), (marks, stack[-1][0]), True
-        elif stack and (not after_blank or wide >= stack[0][0]):
-            if after_blank:
-                while stack and wide < stack[-1][0]:
-                    stack.pop()
+        elif stack:
             grow(b)
         else:
             stack.clear()

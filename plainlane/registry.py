@@ -444,6 +444,11 @@ _VERBS = ["It has closed the valve. The {0} {1} {2} {3}.", "The pipe was removed
 _VERB_MARKS = [("STE-VERB-001", "3", 0), ("STE-VERB-003", "9", 1), ("STE-VERB-005", "10", 2), ("STE-GRAM-002", "10", 2), ("STE-VERB-003", "3", 3), ("STE-VERB-002", "3", 4), ("STE-VERB-005", "11", 5), ("STE-GRAM-002", "11", 5), ("STE-NOUN-001", "4", 6)]
 
 
+#: The same of semicolons in and after quotes, items, code, HTML and definitions: what is code, HTML or a definition reports none.
+_CONTAINERS = ["> {0} {1}\n{2} {3};", "> ```\n> {0}; {1}\n> ```\n> {2} {3};", "> ```\n> {0}; {1}\n\n{2} {3};", "> <div>\n> {0}; {1}\n> </div>\n>\n> {2} {3};", "- {0};\n  ```\n  {1}; {2}\n  ```\n  {3};", "[{0}]:\n  {1}\n  \"{2};\n  {3}\"", "- {0} {1}\n\n  <div>\n  {2};\n  </div>\n\n  {3};", "> - {0}\n{1}; {2}\n\n  {3};"]
+_CONTAINER_MARKS = [("STE-PUNC-001", "strlen(t) - 1", r) for r in (0, 1, 2, 3, 4, 6, 7)] + [("STE-PUNC-001", "2 + w1", 4), ("STE-PUNC-001", "5 + w2", 7)]
+
+
 def _marked(spark, d, marks: list[str], codes: list[tuple[str, str, int]], mode: str, families: list) -> DataFrame:
     w = F.col("w")
 
@@ -467,6 +472,11 @@ def marked_verbs(spark, d):
     return _marked(spark, d, _VERBS, _VERB_MARKS, "descriptive", [rules.verb_constructions, rules.grammar])
 
 
+def marked_containers(spark, d):
+    """Quotes, items, code, HTML and link definitions around all words of the documents, with the semicolons that are prose in them."""
+    return _marked(spark, d, _CONTAINERS, _CONTAINER_MARKS, "descriptive", [rules.punctuation])
+
+
 def _pieces(mark: str) -> list[str]:
     """Fixed text and numbers of words of a mark, in turn."""
     return re.split(r"\{(\d)\}", mark)
@@ -493,6 +503,7 @@ _QUERIES: dict[str, tuple[Callable, str | Callable | None]] = {
     "block_lines": (block_lines, _block_sql), "prose_rules": (prose_rules, _PROSE_SQL), "lexical_rules": (lexical_rules, _lexical_sql),
     "fixed_pages": (fixed_pages, _FIXED), "dictionary_lookup": (dictionary_lookup, _lookup_sql),
     "lint_documents": (lint_documents, None), "lint_outcomes": (lint_outcomes, None), "marked_rules": (marked_rules, _marked_sql), "marked_verbs": (marked_verbs, lambda: _marked_sql(_VERBS, _VERB_MARKS)),
+    "marked_containers": (marked_containers, lambda: _marked_sql(_CONTAINERS, _CONTAINER_MARKS)),
 }
 _QUERIES |= graph_queries.QUERIES
 

@@ -60,6 +60,9 @@ def parts(text):
         ("[a]: x \"one\n\ntwo\"", {"p": ["[a]: x \"one", "two\""]}),
         ("one\n[a]: x", {"p": ["one\n[a]: x"]}),
         ("> [a]: x 'y'\n> one", {"p": ["one"]}),
+        ("- one\n\n[a]:\n  x\n  'y'\n\ntwo", {"i": ["one"], "p": ["two"]}),
+        ("- one\n\n    two\n\n- three\n\nfour", {"i": ["one\n\n    two", "three"], "p": ["four"]}),
+        ("- one\n  - two\n\n  three\n- four", {"depth": [0, 1, 0]}),
         # tabs are columns
         ("\ta; b\n\none", {"p": ["one"], "x": ["\ta; b"]}),
         ("- one\n\n\ttwo\n\nthree", {"i": ["one\n\n\ttwo"], "p": ["three"]}),
