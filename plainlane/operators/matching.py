@@ -69,15 +69,21 @@ AROUND = ("w", "p1", "p2", "n1", "n2", "p_start", "first", "n_gap")
 
 def word_rows(scanned: DataFrame, family: str = "tokens", around: tuple[str, ...] = AROUND) -> DataFrame:
     """One row a word, with its neighbours: (doc_id, mode, idx, start, end, text, unit, gap, around...)."""
-    rows = scanned.select("doc_id", "mode", family, F.transform(family, lambda t: F.lower(t["text"])).alias("low"))
-    near = lambda i: F.get(F.col(family), i)
-    fields = {
-        "w": lambda x, i: F.get("low", i), "p1": lambda x, i: F.get("low", i - 1), "p2": lambda x, i: F.get("low", i - 2),
-        "n1": lambda x, i: F.get("low", i + 1), "n2": lambda x, i: F.get("low", i + 2), "p_start": lambda x, i: near(i - 1)["start"],
-        "first": lambda x, i: F.coalesce(near(i - 1)["unit"], F.lit(-2)) != x["unit"], "n_gap": lambda x, i: F.coalesce(near(i + 1)["gap"], F.lit("")),
+    # arrays of the neighbours, shifted and zipped: lambdas over each word are interpreted, these are compiled
+    fields = {"p1": ("text", -1), "p2": ("text", -2), "n1": ("text", 1), "n2": ("text", 2), "p_start": ("start", -1), "first": ("unit", -1), "n_gap": ("gap", 1)}
+
+    def shifted(field: str, by: int) -> Column:
+        values = F.col(family)[field]
+        return F.slice(values, by + 1, F.size(values)) if by > 0 else F.concat(*[F.array(F.get(values, F.lit(-1)))] * -by, values)
+
+    near = [f for f in around if f in fields]
+    zipped = F.arrays_zip(F.col(family).alias("t"), *(shifted(*fields[f]).alias(f) for f in near))
+    rows = scanned.where(F.size(family) > 0).select("doc_id", "mode", F.posexplode(zipped).alias("idx", "x")).where("x.t is not null")
+    given = {
+        "w": F.lower("x.t.text"), "p_start": F.col("x.p_start"), "first": F.coalesce("x.first", F.lit(-2)) != F.col("x.t.unit"), "n_gap": F.coalesce("x.n_gap", F.lit("")),
+        **{f: F.lower(f"x.{f}") for f in ("p1", "p2", "n1", "n2")},
     }
-    t = F.transform(family, lambda x, i: F.struct(i.alias("idx"), x.alias("t"), *(fields[f](x, i).alias(f) for f in around)))
-    return rows.select("doc_id", "mode", F.explode(t).alias("x")).select("doc_id", "mode", "x.idx", "x.t.*", *(f"x.{f}" for f in around))
+    return rows.select("doc_id", "mode", "idx", "x.t.*", *(given[f].alias(f) for f in around))
 
 
 def phrases(scanned: DataFrame, widths: int, family: str = "lexical", spaced: bool = False) -> DataFrame:

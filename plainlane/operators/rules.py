@@ -41,9 +41,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _known(x: Inputs, around: tuple[str, ...] = matching.AROUND) -> DataFrame:
-    """Words with all that their form's candidates say."""
-    return matching.word_rows(x.scanned, around=around).join(matching.small(x.forms.where("width = 1").withColumnRenamed("form", "w").drop("width")), "w", "left")
+def _known(x: Inputs, around: tuple[str, ...] = matching.AROUND, among: Column | None = None) -> DataFrame:
+    """Words (among those) with all that their form's candidates say."""
+    rows = matching.word_rows(x.scanned, around=around)
+    return (rows if among is None else rows.where(among)).join(matching.small(x.forms.where("width = 1").withColumnRenamed("form", "w").drop("width")), "w", "left")
 
 
 def punctuation(x: Inputs) -> DataFrame:
@@ -68,16 +69,29 @@ def length(x: Inputs) -> DataFrame:
     return diagnostics(rows, "length", code, "error", "The sentence is too long.", F.to_json(F.struct("words", "limit")))
 
 
+def _item_syntax(items: DataFrame, x: Inputs) -> DataFrame:
+    """items (doc_id, start, end, text, own) that have words: whether they are, or may be, sentences. Inside each row while the
+    lexicon's verbs are few enough to stand in the plan, else by a join."""
+    one = x.forms.where("width = 1")
+    auxiliary = [*BE, *HAVE, "do", "does", "did", "can", "must", "will"]
+    verbs, openers = matching.phrase_set(one.where("verbs > 0"), "form"), matching.phrase_set(one.where("base_verbs > 0 and nominals = 0"), "form")
+    if verbs is not None and openers is not None:
+        sure = lambda w, i: w.isin(auxiliary) | ((i == 0) & w.isin(openers))
+        sentence = F.exists("own", lambda w: w.isin(auxiliary)) | F.get("own", F.lit(0)).isin(openers)
+        maybe = F.exists(F.transform("own", lambda w, i: w.isin(verbs) & ~sure(w, i)), lambda t: t)
+        return items.where(F.size("own") > 0).select("doc_id", "start", "end", "text", sentence.alias("sentence"), maybe.alias("maybe"))
+    words = items.select("doc_id", "start", "end", "text", F.posexplode("own").alias("at", "w")).join(matching.small(one.select(F.col("form").alias("w"), "base_verbs", "verbs", "other_approved", "nominals")), "w", "left")
+    sure = F.col("w").isin(auxiliary) | ((F.col("at") == 0) & (F.col("base_verbs") > 0) & (F.col("nominals") == 0))
+    maybe = (F.col("verbs") > 0) & ~sure
+    return words.groupBy("doc_id", "start", "end", "text").agg(F.bool_or(F.coalesce(sure, F.lit(False))).alias("sentence"), F.bool_or(F.coalesce(maybe, F.lit(False))).alias("maybe"))
+
+
 def lists(x: Inputs) -> DataFrame:
     heads = x.scanned.select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.*").where("depth = 0 and not introduced")
     zipped = x.scanned.select("doc_id", F.explode(F.arrays_zip("items", "item_words")).alias("z"))
     items = zipped.select("doc_id", "z.items.start", "z.items.end", F.regexp_replace("z.items.text", "\\s+$", "").alias("text"), F.col("z.item_words.words").alias("own"))
     first = F.regexp_extract("text", "\\p{IsAlphabetic}", 0)
-    words = items.select("doc_id", "start", "end", "text", F.posexplode("own").alias("at", "w")).join(matching.small(x.forms.where("width = 1").select(F.col("form").alias("w"), "base_verbs", "verbs", "other_approved", "nominals")), "w", "left")
-    verb = F.col("w").isin(*BE, *HAVE, "do", "does", "did", "can", "must", "will")
-    sure = verb | ((F.col("at") == 0) & (F.col("base_verbs") > 0) & (F.col("nominals") == 0))
-    maybe = (F.col("verbs") > 0) & ~sure
-    syntax = words.groupBy("doc_id", "start", "end", "text").agg(F.bool_or(F.coalesce(sure, F.lit(False))).alias("sentence"), F.bool_or(F.coalesce(maybe, F.lit(False))).alias("maybe"))
+    syntax = _item_syntax(items, x)
     period = F.col("text").endswith(".")
     wrong = syntax.where(~F.col("text").rlike("[,;]$"))
     return _union([
@@ -94,12 +108,18 @@ def lists(x: Inputs) -> DataFrame:
 
 
 def _opening(rows: DataFrame, x: Inputs, most: int = 8) -> DataFrame:
-    """rows (doc_id, start, end, words array) with the candidates of their longest known opening phrase of up to most words."""
-    tagged = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.greatest(F.size("words"), F.lit(1))))))
-    tagged = tagged.withColumn("form", F.array_join(F.slice("words", 1, F.col("k")), " "))
-    joined = tagged.join(matching.small(x.forms.select("form", "base_verbs", "other_approved", "n_unapproved", "n_approved")), "form", "left").where("n_approved is not null or k = 1")
-    m = F.max_by(F.struct("form", "base_verbs", "other_approved", "n_unapproved", "n_approved"), F.when(F.col("n_approved").isNotNull(), F.col("k")).otherwise(0)).alias("m")
-    return joined.groupBy("doc_id", "start", "end").agg(m, F.first("words").alias("words")).select("doc_id", "start", "end", "words", "m.*")
+    """rows (doc_id, start, end, words array) with the candidates of their longest known opening phrase of up to most words: one
+    join for each number of words that forms have, and no shuffle while the forms are few."""
+    known = ["base_verbs", "other_approved", "n_unapproved", "n_approved"]
+    joined = rows.select("doc_id", "start", "end", "words")
+    widths = range(1, max(min(most, x.widths), 1) + 1)
+    for k in widths:
+        forms = x.forms.where(F.col("width") == k).select(F.col("form").alias(f"_f{k}"), F.struct("form", *known).alias(f"_m{k}"))
+        opening = F.when(F.size("words") >= k, F.array_join(F.slice("words", 1, k), " "))
+        joined = joined.withColumn(f"_f{k}", opening).join(matching.small(forms), f"_f{k}", "left")
+    none = F.struct(F.coalesce(F.get("words", F.lit(0)), F.lit("")).alias("form"), *(F.lit(None).cast("long").alias(c) for c in known))
+    m = F.coalesce(*(F.col(f"_m{k}") for k in reversed(widths)), none)
+    return joined.select("doc_id", "start", "end", "words", m.alias("m")).select("doc_id", "start", "end", "words", "m.*")
 
 
 def _unit_words(x: Inputs, kinds: list[str]) -> DataFrame:
@@ -133,11 +153,13 @@ def paragraph(x: Inputs) -> DataFrame:
     return _union(out)
 
 
-def words(x: Inputs) -> DataFrame:
-    """Every word with its candidates, its verb if it is a progressive form, and whether glossary terms of one word are nouns
-    or verbs: what all families of single words read, in one pass."""
+def words(x: Inputs, after_auxiliary: bool = False) -> DataFrame:
+    """Every word (or only those after a form of have or be, which is all that tests of verbs and voice look at) with its
+    candidates, its verb if it is a progressive form, and whether glossary terms of one word are nouns or verbs: what all families
+    of single words read, in one pass."""
     ings = x.ings.select(F.col("form").alias("w"), F.col("base"), F.col("n_approved").alias("ing_ok"))
-    k = _known(x, ("w", "p1", "n1", "p_start", "first")).join(matching.small(ings), "w", "left")
+    have, be = _after_auxiliary()
+    k = _known(x, ("w", "p1", "n1", "p_start", "first"), have | be if after_auxiliary else None).join(matching.small(ings), "w", "left")
     if x.identities is None:
         return k.withColumn("noun", F.lit(False)).withColumn("verb", F.lit(False))
     terms = x.identities.where("width = 1 and coalesce(status, 'approved') <> 'deprecated'").groupBy(F.col("identity").alias("w"))
@@ -187,7 +209,7 @@ def role_tests(x: Inputs) -> list[tuple]:
 
 
 def verb_constructions(x: Inputs) -> DataFrame:
-    out = [checks(words(x), verb_tests(x))]
+    out = [checks(words(x, True), verb_tests(x))]
     return _union(out + free_ings(x))
 
 
@@ -216,7 +238,7 @@ def nominal_runs(x: Inputs) -> DataFrame:
 
 
 def grammar(x: Inputs) -> DataFrame:
-    return _union([long_nouns(x), checks(words(x), voice_tests(x))])
+    return _union([long_nouns(x), checks(words(x, True), voice_tests(x))])
 
 
 def long_nouns(x: Inputs) -> DataFrame:
@@ -288,7 +310,8 @@ def procedural(x: Inputs) -> DataFrame:
     head = _opening(u.where(~opener), x, x.widths).where("n_approved is not null")
     known = F.col("n_approved") + F.col("n_unapproved") > 0
     imperative = F.col("base_verbs") > 0
-    ands = u.where(~opener).select("doc_id", "start", "end", F.explode(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.get("words", i - 1).alias("p")))).alias("t")).where("t.i = 0 or t.p = 'and'")
+    # two commands take an "and" between them
+    ands = u.where(~opener & F.array_contains("words", "and")).select("doc_id", "start", "end", F.explode(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.get("words", i - 1).alias("p")))).alias("t")).where("t.i = 0 or t.p = 'and'")
     acts = ands.select("doc_id", "start", "end", "t.i", F.col("t.w").alias("form")).join(x.forms.where("base_verbs > 0 and width = 1").select("form"), "form").groupBy("doc_id", "start", "end").agg(F.count(F.lit(1)).alias("actions"), F.min("i").alias("i"))
     out = [
         diagnostics(acts.where("actions > 1 and i = 0"), "procedural", "STE-PROC-003", "error", "Write one instruction in a sentence.", F.to_json(F.struct("actions"))),
@@ -402,5 +425,5 @@ def run(x: Inputs, families: list) -> DataFrame:
     single = [f for f in families if f in WORD_TESTS and not (f is technical_roles and x.identities is None)]
     parts = [f(x) for f in families if f not in WORD_TESTS]
     if single:
-        parts += [checks(words(x), [t for f in single for t in WORD_TESTS[f][0](x)]), *(d for f in single for d in WORD_TESTS[f][1](x))]
+        parts += [checks(words(x, technical_roles not in single), [t for f in single for t in WORD_TESTS[f][0](x)]), *(d for f in single for d in WORD_TESTS[f][1](x))]
     return _union(parts) if parts else _none(x)

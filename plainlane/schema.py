@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,16 @@ def diagnostics(rows: DataFrame, family: str, code: str | Column, severity: str
     )
 
 
+def _any(conditions) -> Column:
+    """Whether one of the conditions holds: rows without any go before their diagnostics are made."""
+    return reduce(Column.__or__, (F.coalesce(c, F.lit(False)) for c in conditions))
+
+
 def diagnose(rows: DataFrame, family: str, tests: list[tuple[Column, str, str, str]], evidence: Column | None = None, start: str = "start", end: str = "end", rules: Column | None = None) -> DataFrame:
     """Diagnostics of all tests (condition, code, severity, message) in one pass over rows; a null condition is false."""
-    hits = F.filter(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(msg).alias("message"))) for c, code, sev, msg in tests]), lambda h: h.isNotNull())
-    kept = rows.select("doc_id", F.col(start).alias("start"), F.col(end).alias("end"), hits.alias("_hits"), (evidence if evidence is not None else F.lit(None).cast("string")).alias("_evidence"), (rules if rules is not None else F.lit(None).cast("array<string>")).alias("_rules"))
-    flat = kept.where(F.size("_hits") > 0).withColumn("_h", F.explode("_hits"))
+    hits = F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(msg).alias("message"))) for c, code, sev, msg in tests])
+    kept = rows.where(_any(t[0] for t in tests)).select("doc_id", F.col(start).alias("start"), F.col(end).alias("end"), hits.alias("_hits"), (evidence if evidence is not None else F.lit(None).cast("string")).alias("_evidence"), (rules if rules is not None else F.lit(None).cast("array<string>")).alias("_rules"))
+    flat = kept.withColumn("_h", F.explode("_hits")).where(F.col("_h").isNotNull())
     table = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     out = diagnostics(flat, family, F.col("_h.code"), F.col("_h.severity"), "", F.col("_evidence"), rules=F.coalesce(F.col("_rules"), table[F.col("_h.code")]), text=F.col("_h.message"))
     return out
@@ -59,8 +66,8 @@ def checks(rows: DataFrame, tests: list[tuple]) -> DataFrame:
     """Diagnostics of tests (family, condition, code, severity, message, evidence, start) of several families in one pass over
     rows (doc_id, end, ...); a null condition is false."""
     hit = lambda f, c, code, sev, msg, ev, start: F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(msg).alias("message"), F.lit(PASSES.index(f)).alias("pass_no"), ev.alias("evidence"), F.col(start).cast("long").alias("start")))
-    hits = F.filter(F.array(*[hit(*t) for t in tests]), lambda h: h.isNotNull())
-    flat = rows.select("doc_id", F.col("end").cast("long").alias("end"), hits.alias("_hits")).where(F.size("_hits") > 0).select("doc_id", "end", F.explode("_hits").alias("h"))
+    hits = F.array(*[hit(*t) for t in tests])
+    flat = rows.where(_any(t[1] for t in tests)).select("doc_id", F.col("end").cast("long").alias("end"), F.explode(hits).alias("h")).where(F.col("h").isNotNull())
     table = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     return flat.select("doc_id", "h.code", "h.severity", "h.start", "end", table[F.col("h.code")].alias("rules"), "h.message", "h.evidence", "h.pass_no", F.col("h.start").alias("seq"))
 
