@@ -8,8 +8,8 @@ Texts are lower-cased (A-Z), cut into pieces at sentence marks and line ends, an
    the threshold times the cells; a corpus that is larger needs a higher threshold or more cells, or its counts are as right
    but mostly of phrases that fail.
 2. Tasks read the texts again in shards. Phrases of a shard whose bound and whose parts' bounds reach the threshold are
-   candidates; they are compiled into pyahocorasick automata with a blank at either end of each phrase, and the shard is
-   scanned for all, overlapping, matches. Counts are packed by bucket of phrases, shuffled, summed one bucket at a time and
+   candidates; those of several words are compiled into pyahocorasick automata with a blank at either end of each phrase, and what of
+   the shard stands in a pair that passes is scanned for all, overlapping, matches; single words are counted by their hashes. Counts are packed by bucket of phrases, shuffled, summed one bucket at a time and
    held against the threshold, so that the bounds change nothing but the work. A shard ends at a number of bytes of text or of candidates, so that an automaton's memory is
    bounded however little the sketch rules out.
 3. Scores, the drop of phrases inside longer ones, and ranks are joins and groupings of the frequent phrases.
@@ -174,18 +174,44 @@ def sketch(texts: DataFrame, width: int, full: int, kind: str, most: int, prior=
     return cells.tobytes()
 
 
-def _candidates(chunk: bytes, lang: str, sketches: list[np.ndarray], full: int, most: int, found: dict[bytes, None]) -> int:
-    """Adds to found the phrases of a chunk that pass; bytes of what is new."""
-    phrases, added = Phrases(chunk, lang, most), 0
+def _candidates(chunk: bytes, phrases: Phrases, sketches: list[np.ndarray], full: int, found: dict[bytes, None], words: dict[bytes, int]) -> tuple[int, bytes]:
+    """Adds to found the phrases of 2 words or more of a chunk that pass, and to words how often its words that pass stand in it;
+    bytes of what is new in found, and what of the chunk an automaton has to read."""
+    added, paired = 0, np.empty(0, np.int64)
     for k, at, hashes in _passed(phrases, full, sketches):
-        _, first = np.unique(hashes, return_index=True)
+        _, first, times = np.unique(hashes, return_index=True, return_counts=True)
+        if k == 1:
+            for a, b, n in zip(phrases.starts[at[first]].tolist(), phrases.ends[at[first]].tolist(), times.tolist()):
+                words[chunk[a:b]] = words.get(chunk[a:b], 0) + n
+            continue
+        if k == 2:
+            paired = at
         at = at[first]
         for a, b in zip(phrases.starts[at].tolist(), phrases.ends[at + k - 1].tolist()):
             phrase = chunk[a:b]
             if phrase not in found:
                 found[phrase] = None
                 added += b - a + 2
-    return added
+    return added, _paired(chunk, phrases, paired)
+
+
+def _paired(chunk: bytes, phrases: Phrases, paired: np.ndarray) -> bytes:
+    """A chunk without the words in none of the pairs that start at those places: one line end stands for each run of them, which no
+    candidate reaches over."""
+    if not len(paired):
+        return b""
+    lone = np.ones(len(phrases.starts), bool)
+    lone[paired] = lone[paired + 1] = False
+    data = np.frombuffer(chunk, np.uint8).copy()
+    gone = np.flatnonzero(lone)
+    follows = np.zeros(len(gone), bool)
+    follows[1:] = gone[1:] == gone[:-1] + 1
+    data[phrases.starts[gone[~follows]]] = 10
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[phrases.starts[gone[~follows]] + 1] += 1
+    edge[phrases.ends[gone[follows] - 1]] += 1
+    edge[phrases.ends[gone]] -= 1
+    return data[np.cumsum(edge[:-1], dtype=np.int8) == 0].tobytes()
 
 
 def automata(phrases: list[bytes], limit: int = CANDIDATE_BYTES):
@@ -217,8 +243,6 @@ def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, ca
                         counts += np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(chunk.decode("latin-1"))), np.int32), minlength=n)
                 for name, c in zip(names[first : first + n], counts.tolist()):
                     own[name] = own.get(name, 0) + c
-            # all words
-            own[b""] = own.get(b"", 0) + sum(int(np.count_nonzero(np.diff(WORDS[np.frombuffer(c, np.uint8)].view(np.int8)) == 1)) for of, c in shard if of == lang)
 
     def rows(totals: dict[str, dict[bytes, int]]) -> Iterator:
         import pyarrow as pa
@@ -244,9 +268,13 @@ def _counter(shared: list, full: int, kind: str, most: int, shard_bytes: int, ca
                     continue
             for lang, texts in lot.items():
                 for chunk in chunks(normalised(texts)):
-                    shard.append((lang, chunk))
+                    phrases, own = Phrases(chunk, lang, most), totals.setdefault(lang, {})
+                    # all words are counted as the empty phrase
+                    own[b""] = own.get(b"", 0) + len(phrases.starts)
+                    new, read = _candidates(chunk, phrases, sketches, full, found.setdefault(lang, {}), own)
+                    shard.append((lang, read))
                     size += len(chunk)
-                    added += _candidates(chunk, lang, sketches, full, most, found.setdefault(lang, {}))
+                    added += new
                     if size >= shard_bytes or added >= candidate_bytes:
                         count(shard, found, totals)
                         shard, found, size, added = [], {}, 0, 0

@@ -69,6 +69,15 @@ def test_empty(spark):
     assert c.collocations(spark.createDataFrame([(1, None, None, None, 1, 1, 1)], SCHEMA)).count() == 0
 
 
+def test_paired():
+    chunk = c.normalised([b"a b c d e. f g h i j k"])
+    phrases = c.Phrases(chunk, "en", 4)
+    read = lambda *at: c._paired(chunk, phrases, c.np.array(at, c.np.int64))
+    # lone words go, one line end for each run of them, so that no phrase reaches over
+    assert read() == b"" and read(0, 3) == b" a b \n d e \n \n " and read(1, 9) == b" \n b c \n j k "
+    assert read(*range(10)) == chunk
+
+
 def test_normalised():
     assert c.normalised([b"A  b\t.\n, C", b"", b" d"]) == b" a b \n c \n d "
     text = c.normalised([b"x y. " * 3000])
