@@ -33,6 +33,8 @@ LENGTH, ANCHOR = 20, 8
 PRE_ROWS = 500_000
 #: Parts of a group of copies, and of an anchor with HOT places or more in one task, where rows are joined.
 SALT, HOT = 16, 64
+#: Bytes of a word's hash that a place keeps of the words around it: only places of one anchor meet, so 48 bits tell them apart.
+KEPT = 6
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -124,12 +126,12 @@ PLACE = "anchor long, at int, windows int, around binary, hot boolean, " + MATCH
 
 
 def _contexts(words: np.ndarray, ranges: np.ndarray, at: np.ndarray, owner: np.ndarray, reach: int) -> np.ndarray:
-    """The hashes of the words before (nearest first) and after the anchors at places at; 0 beyond the text."""
+    """The hashes (KEPT bytes) of the words before (nearest first) and after the anchors at places at; 0 beyond the text."""
     step = np.arange(1, reach + 1)
     left, right = at[:, None] - step, at[:, None] + ANCHOR - 1 + step
     place = np.concatenate((left, right), axis=1)
     inside = (place >= ranges[owner][:, None]) & (place < ranges[owner + 1][:, None])
-    return np.where(inside, words[np.where(inside, place, 0)] | U64(1), U64(0))
+    return np.where(inside, words[np.where(inside, place, 0)] & U64((1 << 8 * KEPT) - 1) | U64(1), U64(0))
 
 
 def _reach(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +173,9 @@ def _uncovered(windows: np.ndarray, doc: np.ndarray, at: np.ndarray, m_doc: np.n
 def _binary(rows: np.ndarray):
     import pyarrow as pa
 
-    size = rows.shape[1] * 8
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+    size = rows.shape[1] * KEPT
+    kept = np.ascontiguousarray(rows, "<u8").view(np.uint8).reshape(*rows.shape, 8)[:, :, :KEPT]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32)), pa.py_buffer(kept.tobytes())])
 
 
 def _around(column, reach: int) -> np.ndarray:
@@ -181,9 +184,11 @@ def _around(column, reach: int) -> np.ndarray:
 
     raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     _, _, data = raw.buffers()
-    size = 16 * reach
+    size = 2 * reach * KEPT
     flat = np.frombuffer(data, np.uint8)[raw.offset * size : (raw.offset + len(raw)) * size] if data is not None else np.empty(0, np.uint8)
-    return flat.view(np.uint64).reshape(len(raw), 2 * reach)
+    out = np.zeros((len(raw), 2 * reach, 8), np.uint8)
+    out[:, :, :KEPT] = flat.reshape(len(raw), 2 * reach, KEPT)
+    return out.view("<u8").reshape(len(raw), 2 * reach)
 
 
 def _matched(doc, at, left, right, source, source_at):

@@ -918,6 +918,16 @@ def test_words_and_placeholders_are_no_secrets():
     assert sum((secret_scan.score_of(s, b, a) >= secret_scan.THRESHOLD) == bool(y) for s, b, a, y in fresh) / len(fresh) > 0.95
 
 
+def test_substring_places_are_lean():
+    """The words around a place are kept in six bytes each, and are read back as they were."""
+    words = _common.mix(np.arange(1, 400, dtype=np.uint64))
+    ranges, at = np.array([0, 150, 399]), np.array([0, 13, 60, 142, 150, 391])
+    around = substring_dedup._contexts(words, ranges, at, np.searchsorted(ranges, at, "right") - 1, 12)
+    column = substring_dedup._binary(around)
+    assert (substring_dedup._around(column, 12) == around).all() and (substring_dedup._around(column.slice(2, 3), 12) == around[2:5]).all()
+    assert (around[0, :12] == 0).all() and (around[2] != 0).all() and len(column[0].as_py()) == 24 * 6
+
+
 def test_substring_several_contexts_of_one_anchor(spark):
     """A frequent short line with different words around it: places that equal an earlier one which is not the anchor's first."""
     r = random.Random(12)
