@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,19 @@ def test_counting_prefers_outer_groups(spark):
     d = structure.scanned(spark.createDataFrame([(1, 'Read "the long title here" and stop (now or later).')], "doc_id long, text string"))
     r = {x.kind: x.words for x in counting.counted_units(d).collect()}
     assert r["prose"] == 5 and r["parenthetical"] == 3
+
+
+def test_scanned_words_come_as_arrays():
+    """Words and lexical tokens leave the scan as arrays and bytes, not as one Python object a word; they say what plain code finds."""
+    import re
+
+    text = "Don’t x-y “it's” ½a  C:\\x/y (é), a_b;\u3000𝒳 5. no-\n`co de` z' end."
+    out = structure._scan(text, REGISTRY, ("tokens", "lexical"))
+    assert all(isinstance(c, (np.ndarray, structure.Strings)) for f in ("tokens", "lexical") for c in out[f])
+    found = structure.scan(text, REGISTRY, ("tokens", "lexical"))
+    want = [m.span() for m in re.finditer(r"[^\W_]+(?:['’][^\W_]+)*", text) if not text.index("`co") < m.start() < text.index("` z")]
+    assert [t[3:5] for t in found["tokens"]] == want and [t[5] for t in found["tokens"]] == [text[a:b] for a, b in want]
+    gaps = ["", *(g if g in ("", "-") else " " if g.isspace() else "x" for g in (text[b:a] for (_, b), (a, _) in zip(want, want[1:])))]
+    assert [t[7] for t in found["tokens"]] == gaps
+    assert [t[1:3] for t in found["tokens"]] == [tuple(len(text[:k].encode()) for k in w) for w in want]
+    assert [(t[5], t[6]) for t in found["lexical"]] == [("x-y", True), ("C:\\x/y", True), ("é", False), ("a_b", True), ("𝒳", False), ("5", True), ("no-", True), ("co", False), ("de", False), ("z", False), ("end", False)]
