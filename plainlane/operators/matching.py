@@ -8,6 +8,8 @@ Form tables are broadcast only if they are counted and small (small()); frames t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from . import arrays
 
 #: Phrases that a plan may hold as a set, and rows of a dimension table that may be broadcast.
 MOST_PHRASES, MOST_ROWS = 50_000, 500_000
+#: First words of phrases that are sought in a whole text before its words are looked at.
+FEW_HEADS = 32
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -38,12 +42,20 @@ def phrase_set(table: DataFrame, column: str) -> list[str] | None:
 def sweep(scanned: DataFrame, phrases: list[str], family: str = "lexical", spaced: bool = False) -> DataFrame:
     """scanned with the columns low (its lower-case words) and kept: the places (idx, width) of the widest phrase at each place,
     of which a sweep from the left keeps those that start where the last kept one ended, or later. spaced: only white space
-    may stand between a phrase's words (the family has gaps)."""
+    may stand between a phrase's words (the family has gaps). While the phrases begin with no more than FEW_HEADS words, low is
+    empty in documents that hold none of these, which is told from the whole text at once."""
     by_width: dict[int, list[str]] = {}
     for p in phrases:
         by_width.setdefault(p.count(" ") + 1, []).append(p)
     heads = sorted({p.split(" ")[0] for p in phrases})
-    rows = scanned.withColumn("low", F.transform(family, lambda t: F.lower(t["text"])))
+    low = F.transform(family, lambda t: F.lower(t["text"]))
+    if heads and len(heads) <= FEW_HEADS:
+        whole = F.concat(F.lit(" "), F.lower(F.array_join(F.col(family)["text"], " ")), F.lit(" "))
+        rows = scanned.withColumn("_whole", whole)
+        holds = reduce(Column.__or__, (F.contains("_whole", F.lit(f" {h} ")) for h in heads))
+        rows = rows.withColumn("low", F.when(holds, low).otherwise(F.array().cast("array<string>"))).drop("_whole")
+    else:
+        rows = scanned.withColumn("low", low)
     low = F.col("low")
     rows = rows.withColumn("_heads", F.filter(F.transform(low, lambda w, i: F.when(w.isin(heads), i)), lambda i: i.isNotNull()))
 
@@ -86,6 +98,21 @@ def word_rows(scanned: DataFrame, family: str = "tokens", around: tuple[str, ...
     return rows.select("doc_id", "mode", "idx", "x.t.*", *(given[f].alias(f) for f in around))
 
 
+def chosen_rows(scanned: DataFrame, among: list[str], after: int = 0, around: tuple[str, ...] = AROUND, family: str = "tokens") -> DataFrame:
+    """word_rows() of the words that are, or stand after places behind, one of these lower-case words. Texts alone are exploded
+    and told by the set; only what is left looks its neighbours up."""
+    words = F.col(family)
+    rows = scanned.where(F.size(family) > 0).select("doc_id", "mode", family, F.posexplode(words["text"]).alias("_k", "_text"))
+    rows = rows.where(F.lower("_text").isin(among)).select("doc_id", "mode", (F.col("_k") + after).alias("idx"), family)
+    at = lambda by: F.get(words, F.col("idx") + by)
+    given = {
+        "w": F.lower(at(0)["text"]), "p_start": at(-1)["start"], "first": F.coalesce(at(-1)["unit"], F.lit(-2)) != at(0)["unit"], "n_gap": F.coalesce(at(1)["gap"], F.lit("")),
+        **{f: F.lower(at(by)["text"]) for f, by in (("p1", -1), ("p2", -2), ("n1", 1), ("n2", 2))},
+    }
+    own = [f.name for f in scanned.schema[family].dataType.elementType]
+    return rows.where(at(0).isNotNull()).select("doc_id", "mode", "idx", *(at(0)[c].alias(c) for c in own), *(given[f].alias(f) for f in around))
+
+
 def phrases(scanned: DataFrame, widths: int, family: str = "lexical", spaced: bool = False) -> DataFrame:
     """(doc_id, mode, idx, width, start, end, phrase, machine): all runs of 1 to widths words; spaced: only those that
     white space alone separates (the family has gaps)."""

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import checks, diagnose, diagnostics
+from ..schema import checks, diagnose, diagnose_one, diagnostics
 from . import counting, matching
 
 # Closed word classes and word lists of the rules.
@@ -41,10 +41,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _known(x: Inputs, around: tuple[str, ...] = matching.AROUND, among: Column | None = None) -> DataFrame:
-    """Words (among those) with all that their form's candidates say."""
-    rows = matching.word_rows(x.scanned, around=around)
-    return (rows if among is None else rows.where(among)).join(matching.small(x.forms.where("width = 1").withColumnRenamed("form", "w").drop("width")), "w", "left")
+def _known(x: Inputs, around: tuple[str, ...] = matching.AROUND) -> DataFrame:
+    """Words with all that their form's candidates say."""
+    return _with_forms(x, matching.word_rows(x.scanned, around=around))
+
+
+def _with_forms(x: Inputs, rows: DataFrame) -> DataFrame:
+    return rows.join(matching.small(x.forms.where("width = 1").withColumnRenamed("form", "w").drop("width")), "w", "left")
 
 
 def punctuation(x: Inputs) -> DataFrame:
@@ -158,8 +161,12 @@ def words(x: Inputs, after_auxiliary: bool = False) -> DataFrame:
     candidates, its verb if it is a progressive form, and whether glossary terms of one word are nouns or verbs: what all families
     of single words read, in one pass."""
     ings = x.ings.select(F.col("form").alias("w"), F.col("base"), F.col("n_approved").alias("ing_ok"))
-    have, be = _after_auxiliary()
-    k = _known(x, ("w", "p1", "n1", "p_start", "first"), have | be if after_auxiliary else None).join(matching.small(ings), "w", "left")
+    around = ("w", "p1", "n1", "p_start", "first")
+    if after_auxiliary:
+        k = _with_forms(x, matching.chosen_rows(x.scanned, [*HAVE, *BE], 1, around).where("gap = ' '"))
+    else:
+        k = _known(x, around)
+    k = k.join(matching.small(ings), "w", "left")
     if x.identities is None:
         return k.withColumn("noun", F.lit(False)).withColumn("verb", F.lit(False))
     terms = x.identities.where("width = 1 and coalesce(status, 'approved') <> 'deprecated'").groupBy(F.col("identity").alias("w"))
@@ -225,7 +232,12 @@ def free_ings(x: Inputs) -> list[DataFrame]:
 def nominal_runs(x: Inputs) -> DataFrame:
     """(doc_id, start, end, n): runs of words that can only be nouns or noun modifiers, after a determiner; words joined by
     hyphens count once. Gaps and islands over the marked words."""
-    k = _known(x, ("w", "p1")).withColumn("nominal", (F.col("nominals") > 0) & (F.col("verbs") == 0) & ~F.col("w").isin(*DETERMINERS))
+    nominal = matching.phrase_set(x.forms.where("width = 1 and nominals > 0 and verbs = 0"), "form")
+    terms = [] if x.identities is None else matching.phrase_set(x.identities.where("width = 1 and array_contains(roles, 'noun')"), "identity")
+    # no other words can be nominal: while they stand in the plan, only they get their neighbours and their forms
+    few = nominal is not None and terms is not None
+    rows = matching.chosen_rows(x.scanned, sorted({*nominal, *terms}), 0, ("w", "p1")) if few else matching.word_rows(x.scanned, around=("w", "p1"))
+    k = _with_forms(x, rows).withColumn("nominal", (F.col("nominals") > 0) & (F.col("verbs") == 0) & ~F.col("w").isin(*DETERMINERS))
     if x.identities is not None:
         nouns = x.identities.where("width = 1 and array_contains(roles, 'noun')").select(F.col("identity").alias("w"), F.lit(True).alias("term")).distinct()
         k = k.join(matching.small(nouns), "w", "left").withColumn("nominal", F.coalesce(F.col("nominal"), F.lit(False)) | F.col("term").isNotNull())
@@ -376,11 +388,14 @@ def lexical_rows(x: Inputs) -> DataFrame:
     if many is not None:
         swept = matching.sweep(s, many)
         t = lambda i: F.get("lexical", i)
-        multi = F.transform("kept", lambda m: F.struct(t(m["idx"])["start"].alias("start"), t(m["idx"] + m["width"] - 1)["end"].alias("end"), F.array_join(F.slice("low", m["idx"] + 1, m["width"]), " ").alias("phrase")))
+        row = lambda start, end, text, machine: F.struct(start.alias("start"), end.alias("end"), text.alias("text"), machine.alias("machine"))
+        multi = F.transform("kept", lambda m: row(t(m["idx"])["start"], t(m["idx"] + m["width"] - 1)["end"], F.array_join(F.slice("low", m["idx"] + 1, m["width"]), " "), F.lit(False)))
         covered = F.flatten(F.transform("kept", lambda m: F.sequence(m["idx"], m["idx"] + m["width"] - 1)))
-        swept = swept.where(F.size("lexical") > 0).withColumn("free", F.array_except(F.sequence(F.lit(0), F.size("lexical") - 1), covered))
-        lone = F.transform(F.filter("free", lambda i: ~t(i)["machine"]), lambda i: F.struct(t(i)["start"].alias("start"), t(i)["end"].alias("end"), F.get("low", i).alias("phrase")))
-        return swept.select("doc_id", F.explode(F.concat(multi, lone)).alias("r")).select("doc_id", "r.*")
+        free = F.array_except(F.sequence(F.lit(0), F.size("lexical") - 1), covered)
+        # lambdas over each word are interpreted: documents without any phrase give their words as they are
+        rows = F.when(F.size("kept") == 0, F.col("lexical")).otherwise(F.concat(multi, F.transform(free, lambda i: row(t(i)["start"], t(i)["end"], t(i)["text"], t(i)["machine"]))))
+        swept = swept.where(F.size("lexical") > 0).select("doc_id", F.explode(rows).alias("r")).where("not r.machine")
+        return swept.select("doc_id", "r.start", "r.end", F.lower("r.text").alias("phrase"))
     found = matching.phrases(s, x.widths, "lexical").join(d.select("phrase").hint("merge"), "phrase").where("width > 1")
     kept = matching.leftmost(matching.longest(found)).select("doc_id", "idx", "width", "start", "end", "phrase")
     covered = kept.select("doc_id", F.explode(F.sequence("idx", F.col("idx") + F.col("width") - 1)).alias("idx"))
@@ -394,7 +409,7 @@ def lexical(x: Inputs) -> DataFrame:
     ev = F.to_json(F.struct("phrase", "instead", "replacement"))
     noun = F.array_contains("roles", "noun")
     word = F.col("source") == 1
-    return diagnose(rows, "lexical", [
+    return diagnose_one(rows, "lexical", [
         (word & (F.col("n_approved") == 0), "STE-LEX-001", "error", "Use an approved word."),
         (word & (F.col("n_approved") > 0) & (F.col("n_unapproved") > 0), "STE-LEX-002", "blocked", "The word is approved only in some uses."),
         (F.col("source").isNull(), "STE-TERM-001", "blocked", "The word is in neither source."),

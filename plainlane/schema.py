@@ -62,6 +62,14 @@ def diagnose(rows: DataFrame, family: str, tests: list[tuple[Column, str, str, s
     return out
 
 
+def diagnose_one(rows: DataFrame, family: str, tests: list[tuple[Column, str, str, str]], evidence: Column | None = None, rules: Column | None = None) -> DataFrame:
+    """diagnose() for tests of which no two hold at once: each row gives one diagnostic or none, without an array of hits."""
+    pick = lambda k: reduce(lambda c, t: c.when(t[0], t[k]), tests, F)
+    table = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    own = table[pick(1)] if rules is None else F.coalesce(rules, table[pick(1)])
+    return diagnostics(rows.where(pick(1).isNotNull()), family, pick(1), pick(2), "", evidence, rules=own, text=pick(3))
+
+
 def checks(rows: DataFrame, tests: list[tuple]) -> DataFrame:
     """Diagnostics of tests (family, condition, code, severity, message, evidence, start) of several families in one pass over
     rows (doc_id, end, ...); a null condition is false."""
