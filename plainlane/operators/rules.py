@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,12 +36,22 @@ class Inputs:
     groups: DataFrame | None = None
     widths: int = 4
     entities: DataFrame | None = None
+    codes: frozenset[str] | None = None  # those that are asked for; None for all
+
+    def asks(self, start: str) -> bool:
+        """Whether a code that starts so is asked for."""
+        return self.codes is None or any(c.startswith(start) for c in self.codes)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _tests(x: Inputs, tests: list[tuple]) -> list[tuple]:
+    """The tests (condition, code, ...) of codes that are asked for."""
+    return [t for t in tests if x.asks(t[1])]
+
+
 def _known(x: Inputs, around: tuple[str, ...] = matching.AROUND) -> DataFrame:
     """Words with all that their form's candidates say."""
     return _with_forms(x, matching.word_rows(x.scanned, around=around))
@@ -90,24 +101,30 @@ def _item_syntax(items: DataFrame, x: Inputs) -> DataFrame:
 
 
 def lists(x: Inputs) -> DataFrame:
-    heads = x.scanned.select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.*").where("depth = 0 and not introduced")
-    zipped = x.scanned.select("doc_id", F.explode(F.arrays_zip("items", "item_words")).alias("z"))
-    items = zipped.select("doc_id", "z.items.start", "z.items.end", F.regexp_replace("z.items.text", "\\s+$", "").alias("text"), F.col("z.item_words.words").alias("own"))
-    first = F.regexp_extract("text", "\\p{IsAlphabetic}", 0)
-    syntax = _item_syntax(items, x)
-    period = F.col("text").endswith(".")
-    wrong = syntax.where(~F.col("text").rlike("[,;]$"))
-    return _union([
-        diagnostics(heads, "lists", "STE-LIST-001", "error", "Introduce the list with a colon."),
-        diagnose(items, "lists", [
+    out = []
+    if x.asks("STE-LIST-001"):
+        heads = x.scanned.select("doc_id", F.explode("lists").alias("l")).select("doc_id", "l.*").where("depth = 0 and not introduced")
+        out.append(diagnostics(heads, "lists", "STE-LIST-001", "error", "Introduce the list with a colon."))
+    # white space at the end, which most items do not have: their last character tells
+    blanks = [" ", "\t", "\n", "\x0b", "\f", "\r", "\x85", "\u2028", "\u2029"]
+    stripped = lambda item: F.when(F.substring(f"{item}.text", -1, 1).isin(blanks), F.regexp_replace(f"{item}.text", "\\s+$", "")).otherwise(F.col(f"{item}.text")).alias("text")
+    if x.asks("STE-LIST-002") or x.asks("STE-LIST-003"):
+        items = x.scanned.select("doc_id", F.explode("items").alias("i")).select("doc_id", "i.start", "i.end", stripped("i"))
+        first = F.regexp_extract("text", "\\p{IsAlphabetic}", 0)
+        # one pass for each: an array of both hits of every item costs more than to read the items twice
+        out += [diagnose(items, "lists", [t]) for t in _tests(x, [
             ((first != "") & (F.lower(first) == first) & (F.upper(first) != first), "STE-LIST-002", "error", "Start the item with a capital letter."),
             (F.col("text").rlike("[,;]$"), "STE-LIST-003", "error", "Do not end the item with a comma or semicolon."),
-        ]),
-        diagnose(wrong, "lists", [
+        ])]
+    if x.asks("STE-LIST-004"):
+        zipped = x.scanned.select("doc_id", F.explode(F.arrays_zip("items", "item_words")).alias("z"))
+        syntax = _item_syntax(zipped.select("doc_id", "z.items.start", "z.items.end", stripped("z.items"), F.col("z.item_words.words").alias("own")), x)
+        period = F.col("text").endswith(".")
+        out.append(diagnose(syntax.where(~F.col("text").rlike("[,;]$")), "lists", [
             (F.col("sentence") & ~period | (~F.col("sentence") & ~F.col("maybe") & period), "STE-LIST-004", "error", "End sentences, and only them, with a period."),
             (~F.col("sentence") & F.col("maybe"), "STE-LIST-004", "blocked", "It is not clear whether the item is a sentence."),
-        ]),
-    ])
+        ]))
+    return _union(out) if out else _none(x)
 
 
 def _opening(rows: DataFrame, x: Inputs, most: int = 8) -> DataFrame:
@@ -135,10 +152,10 @@ def _unit_words(x: Inputs, kinds: list[str]) -> DataFrame:
 def notes(x: Inputs) -> DataFrame:
     rows = _opening(_unit_words(x, ["note"]), x).where("base_verbs > 0")
     sure = F.col("other_approved") == 0
-    return diagnose(rows, "notes", [
+    return diagnose(rows, "notes", _tests(x, [
         (sure, "STE-NOTE-001", "error", "Do not give instructions in a note."),
         (~sure, "STE-NOTE-002", "blocked", "The note may give an instruction."),
-    ], F.to_json(F.struct("form")))
+    ]), F.to_json(F.struct("form")))
 
 
 def paragraph(x: Inputs) -> DataFrame:
@@ -317,6 +334,11 @@ def dictionary_roles(x: Inputs) -> DataFrame:
 
 
 def procedural(x: Inputs) -> DataFrame:
+    out = (commands(x) if x.asks("STE-PROC") else []) + (safety(x) if x.asks("STE-SAFE") else [])
+    return _union(out) if out else _none(x)
+
+
+def commands(x: Inputs) -> list[DataFrame]:
     u = _unit_words(x, ["prose", "item"]).where(~F.col("text").rlike("(?i)^\\s*(warning|caution|note)\\s*:"))
     opener = F.get("words", F.lit(0)).isin(*OPENERS)
     head = _opening(u.where(~opener), x, x.widths).where("n_approved is not null")
@@ -325,26 +347,29 @@ def procedural(x: Inputs) -> DataFrame:
     # two commands take an "and" between them
     ands = u.where(~opener & F.array_contains("words", "and")).select("doc_id", "start", "end", F.explode(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"), F.get("words", i - 1).alias("p")))).alias("t")).where("t.i = 0 or t.p = 'and'")
     acts = ands.select("doc_id", "start", "end", "t.i", F.col("t.w").alias("form")).join(x.forms.where("base_verbs > 0 and width = 1").select("form"), "form").groupBy("doc_id", "start", "end").agg(F.count(F.lit(1)).alias("actions"), F.min("i").alias("i"))
-    out = [
+    return [
         diagnostics(acts.where("actions > 1 and i = 0"), "procedural", "STE-PROC-003", "error", "Write one instruction in a sentence.", F.to_json(F.struct("actions"))),
         diagnostics(u.where(opener & ~F.col("text").contains(",")), "procedural", "STE-PROC-002", "error", "Put a comma after the condition."),
-        diagnose(head, "procedural", [
+        diagnose(head, "procedural", _tests(x, [
             (known & ~imperative & (F.col("n_approved") > 0), "STE-PROC-001", "error", "Start the instruction with a command."),
             (imperative & (F.col("other_approved") > 0), "STE-PROC-004", "blocked", "The first word may be no command."),
-        ], F.to_json(F.struct("form"))),
-    ]
+        ]), F.to_json(F.struct("form"))),
+    ]
+
+
+def safety(x: Inputs) -> list[DataFrame]:
     s = x.scanned.select("doc_id", F.explode("safety").alias("s")).select("doc_id", "s.level", "s.start", "s.end", F.filter(F.split(F.lower("s.text"), "[^\\p{IsAlphabetic}\\p{N}']+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
     o = _opening(s.where(~F.get("words", F.lit(0)).isin(*OPENERS)), x)
     ok = F.coalesce(F.col("base_verbs"), F.lit(0)) > 0
-    out.append(diagnose(o, "procedural", [
+    out = [diagnose(o, "procedural", _tests(x, [
         (~ok, "STE-SAFE-001", "error", "Start with a command or a condition."),
         (ok & (F.col("other_approved") > 0), "STE-SAFE-002", "blocked", "The opening may be no command."),
-    ], F.to_json(F.struct("form"))))
+    ]), F.to_json(F.struct("form")))]
     if x.safety_facts is not None:
         f = x.safety_facts.select("doc_id", F.col("start").alias("fs"), F.col("end").alias("fe"), F.lower("safety_level").alias("fact"))
         both = s.join(f, "doc_id").where("fs < end and start < fe").groupBy("doc_id", "start", "end", "level").agg(F.collect_set("fact").alias("facts"))
         out.append(diagnostics(both.where((F.size("facts") == 1) & (F.get("facts", F.lit(0)) != F.col("level"))), "procedural", "STE-SAFE-003", "error", "Use the signal word of the risk.", F.to_json(F.struct("level", "facts"))))
-    return _union(out)
+    return out
 
 
 def contextual(x: Inputs) -> DataFrame:
@@ -435,8 +460,30 @@ READS = {
 }
 
 
+#: Families of which some codes read less, by how those start.
+PARTS = {
+    lists: {"STE-LIST-001": ["lists"], "STE-LIST-002": ["items"], "STE-LIST-003": ["items"], "STE-LIST-004": ["items", "item_words"]},
+    procedural: {"STE-PROC": ["units", "unit_words"], "STE-SAFE": ["safety"]},
+}
+#: The kinds of units that are read by families, or their codes, that do not read all.
+KINDS = {notes: ("note",), procedural: ("prose", "item")}
+
+
+def reads(family: Callable, codes: frozenset[str] | None) -> list[str]:
+    """The span families that a rule family reads for the codes that are asked for."""
+    if codes is None or family not in PARTS:
+        return READS[family]
+    return [s for start, spans in PARTS[family].items() if any(c.startswith(start) for c in codes) for s in spans]
+
+
 def run(x: Inputs, families: list) -> DataFrame:
-    """Diagnostics of the rule families: one pass for all families of single words, one for each other."""
+    """Diagnostics of the rule families, of the codes that are asked for: one pass for all families of single words, one for each
+    other."""
+    out = _run(x, families)
+    return out if x.codes is None else out.where(F.col("code").isin(*sorted(x.codes)))
+
+
+def _run(x: Inputs, families: list) -> DataFrame:
     single = [f for f in families if f in WORD_TESTS and not (f is technical_roles and x.identities is None)]
     parts = [f(x) for f in families if f not in WORD_TESTS]
     if single:

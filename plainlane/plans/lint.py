@@ -14,29 +14,33 @@ from ..sources import lexicon as lexicons
 from ..sources import tables
 
 
-def inputs(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None) -> rules.Inputs:
-    """Everything that the rule families (all by default) read: the scan as a staged table that they share, of the span families
-    and columns that they read."""
+def inputs(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None, codes: set[str] | None = None) -> rules.Inputs:
+    """Everything that the rule families (all by default) read: the scan as a staged table that they share, of the span families,
+    columns and kinds of units that they read for the codes that are asked for (all by default)."""
     from . import context as contexts
 
     entries = lexicon if lexicon is not None else lexicons.starter(docs.sparkSession)
     forms, ings = matching.pinned(lexicons.form_table(entries)), matching.pinned(lexicons.ing_table(entries))
     names = matching.pinned(glossaries.compiled(glossary)) if glossary is not None else None
     c = context or {}
-    spans = tuple(structure.FAMILIES)
+    codes = None if codes is None else frozenset(codes)
+    spans, kinds, counted, whole = tuple(structure.FAMILIES), structure.KINDS, True, bool(c) or names is not None
     if families is not None:
-        wanted = {s for f in families for s in rules.READS[f]} | ({"tokens", "groups"} if c or names is not None else set())
+        wanted = {s for f in families for s in rules.reads(f, codes)} | ({"tokens", "groups"} if whole else set())
         spans = tuple(s for s in spans if s in wanted)
-    scanned = tables.staged(structure.scanned(docs, mode=mode, families=spans, with_text=families is None or bool(c) or names is not None), "scan")
+        if not whole:
+            read = {k for f in families if {"units", "unit_words", "tokens"} & set(rules.reads(f, codes)) for k in rules.KINDS.get(f, kinds)}
+            kinds, counted = tuple(k for k in kinds if k in read), rules.length in families
+    scanned = tables.staged(structure.scanned(docs, mode=mode, families=spans, with_text=families is None or whole, kinds=kinds, counted=counted), "scan")
     widest = max([r["w"] or 1 for t in ([forms, names] if names is not None else [forms]) for r in t.agg(F.max("width").alias("w")).collect()])
     groups = contexts.groups(scanned, c, names) if (c or names is not None) and (families is None or rules.length in families) else None
-    return rules.Inputs(scanned, forms, ings, names, evidence, c.get("occurrences"), c.get("topics"), c.get("orderings"), c.get("safety_facts"), groups, int(widest), c.get("entities"))
+    return rules.Inputs(scanned, forms, ings, names, evidence, c.get("occurrences"), c.get("topics"), c.get("orderings"), c.get("safety_facts"), groups, int(widest), c.get("entities"), codes)
 
 
-def lint(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None) -> DataFrame:
-    """Diagnostics of docs (doc_id, text[, mode]). Sort by (doc_id, start, code, pass_no, seq) for the reporting order."""
+def lint(docs: DataFrame, lexicon: DataFrame | None = None, glossary: DataFrame | None = None, evidence: DataFrame | None = None, context: dict[str, DataFrame] | None = None, mode: str = "descriptive", families: list | None = None, codes: set[str] | None = None) -> DataFrame:
+    """Diagnostics of docs (doc_id, text[, mode]), of those codes if some are given: what others alone read is not computed. Sort by (doc_id, start, code, pass_no, seq) for the reporting order."""
     families = list(families or rules.FAMILIES)
-    return rules.run(inputs(docs, lexicon, glossary, evidence, context, mode, families), families)
+    return rules.run(inputs(docs, lexicon, glossary, evidence, context, mode, families, codes), families)
 
 
 def outcomes(docs: DataFrame, diags: DataFrame) -> DataFrame:

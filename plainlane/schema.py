@@ -54,6 +54,11 @@ def _any(conditions) -> Column:
 
 def diagnose(rows: DataFrame, family: str, tests: list[tuple[Column, str, str, str]], evidence: Column | None = None, start: str = "start", end: str = "end", rules: Column | None = None) -> DataFrame:
     """Diagnostics of all tests (condition, code, severity, message) in one pass over rows; a null condition is false."""
+    if len(tests) == 1:
+        c, code, sev, msg = tests[0]
+        return diagnostics(rows.where(F.coalesce(c, F.lit(False))), family, code, sev, msg, evidence, start, end, rules)
+    if not tests:
+        return diagnostics(rows.where("false"), family, "", "", "", evidence, start, end)
     hits = F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity"), F.lit(msg).alias("message"))) for c, code, sev, msg in tests])
     kept = rows.where(_any(t[0] for t in tests)).select("doc_id", F.col(start).alias("start"), F.col(end).alias("end"), hits.alias("_hits"), (evidence if evidence is not None else F.lit(None).cast("string")).alias("_evidence"), (rules if rules is not None else F.lit(None).cast("array<string>")).alias("_rules"))
     flat = kept.withColumn("_h", F.explode("_hits")).where(F.col("_h").isNotNull())
